@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distances(values: np.ndarray, pivot: np.uint64) -> np.ndarray:
-    return np.bitwise_count(values ^ pivot)
+    return np.bitwise_count(values ^ pivot).astype(np.int64)
 
 
 class TopTree:
@@ -113,7 +113,7 @@ class TopTree:
                 index_parts.append(index)
                 continue
             pivot, split, inner, outer = self.nodes[node]
-            d = distances(values[index], np.uint64(pivot)).astype(np.int64)
+            d = distances(values[index], np.uint64(pivot))
             for child, part in ((inner, index[d <= split]), (outer, index[d > split - self.radius])):
                 if len(part):
                     stack.append((child, part))
@@ -180,7 +180,7 @@ def local_groups(values: np.ndarray, radius: int, block: int = 1024) -> np.ndarr
             if cut is None:
                 match(left, left, True)
                 continue
-            d = distances(values[left], cut[0]).astype(np.int64)
+            d = distances(values[left], cut[0])
             stack += [(left[d <= cut[1]], None), (left[d > cut[1]], None)]
             near_in, near_out = left[(d <= cut[1]) & (d > cut[1] - radius)], left[(d > cut[1]) & (d <= cut[1] + radius)]
             if len(near_in) and len(near_out):
@@ -190,7 +190,7 @@ def local_groups(values: np.ndarray, radius: int, block: int = 1024) -> np.ndarr
         if cut is None:
             match(left, right, False)
             continue
-        a, b = (distances(values[x], cut[0]).astype(np.int64) for x in (left, right))
+        a, b = (distances(values[x], cut[0]) for x in (left, right))
         s = cut[1]
         for x, y in (
             (left[a <= s], right[b <= s]),
