@@ -25,7 +25,7 @@ SOURCE = r"\.(c|cpp|cc)$"
 
 def read_build_log(spark: SparkSession, path: str) -> DataFrame:
     """(ord, argv, cwd, env, ll_file); lines that are not JSON objects with argv are skipped, a missing cwd is ``.``."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"))
     return parse_build_log(lines)
 
 

@@ -48,7 +48,7 @@ class ProgramFacts:
 
 def read_ir_lines(spark: SparkSession, root: str) -> DataFrame:
     """(file, line_no, text) of all ``.ll`` files below a folder; whole files, so that lines keep their order."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ll").option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ll").text(root, wholetext=True)
     return lines_of(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 

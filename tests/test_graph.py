@@ -170,5 +170,14 @@ def test_the_last_flow_into_a_place_keeps_its_origin(spark):
     assert [tuple(r) for r in graph.trace_hops(flows, 2, 2).collect()] == [(1, 0, 1)]
 
 
+def test_ir_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.ll").write_text("define void @f() {\n  call void @g()\n}")
+    (tmp_path / "b.txt").write_text("define void @no() {")
+    lines = ir.read_ir_lines(spark, str(tmp_path))
+    assert [r.line_no for r in lines.orderBy("line_no").collect()] == [1, 2, 3]
+    assert edges(graph.call_edges(ir.parse_ir(lines))) == {("f", "g", "direct")}
+
+
 def test_empty_input(spark):
     assert edges(graph.call_edges(facts(spark, ""))) == set()
