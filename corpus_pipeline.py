@@ -16,9 +16,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs)
-    lost = groups.where("component_id != doc_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    lost = materialise(simhash.near_copies(docs).where("component_id != doc_id").select("doc_id").distinct())
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

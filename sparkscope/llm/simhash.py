@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscope.llm.components import connected_components
-from sparkscope.llm.kernels import binary_rows, fingerprint64
+from sparkscope.llm.kernels import binary_rows, fingerprint64, key_runs, mix64, shingle_hashes, word_hashes
 from sparkscope.session import materialise, workers_see_package
 
 #: Sample from which the top tree's vantage points come, and the fingerprints a leaf should hold.
@@ -254,3 +254,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Min-wise samples of a text's shingles, shingles in each, and the size up to which all members of a sample's group are compared.
+SAMPLES, SAMPLE_SHINGLES, SMALL_GROUP, NEIGHBOURS = 10, 3, 32, 8
+#: Members of a sample's group that one task handles; larger groups are dealt out.
+CROWDED = 4096
+_SEEDS = mix64(np.arange(101, 101 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, in order."""
+    return np.unique(shingle_hashes(word_hashes(text), shingle))
+
+
+def _samples(shingles: np.ndarray) -> np.ndarray:
+    """One hash for each min-wise sample: equal for two texts with probability about similarity ** SAMPLE_SHINGLES."""
+    out = np.empty(SAMPLES, np.uint64)
+    for j in range(SAMPLES):
+        values = mix64(shingles * _SEEDS[j])
+        k = min(SAMPLE_SHINGLES, len(values))
+        least = np.sort(np.partition(values, k - 1)[:k]) if k else values
+        out[j] = np.bitwise_xor.reduce(mix64(least + np.arange(1, k + 1, dtype=np.uint64) * _SEEDS[j])) if k else 0
+    return out
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, digest, keys): SimHash, hash of the shingle set, and sample hashes of each whole text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, digests, keys = [], [], []
+            for text in binary_rows(batch, "text"):
+                shingles = shingle_set(text, shingle)
+                fps.append(simhash(text, shingle))
+                digests.append(xxhash.xxh64_intdigest(shingles.tobytes()))
+                keys.append(_samples(shingles) if len(shingles) else np.empty(0, np.uint64))
+            listed = pa.array([fingerprint64(k) for k in keys], pa.list_(pa.int64()))
+            longs = (pa.array(fingerprint64(np.array(x, np.uint64))) for x in (fps, digests))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, listed], ["doc_id", "fp", "digest", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, digest long, keys array<long>")
+
+
+def _group_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare from (key, doc_id): all of a small group, else each with the next few and the first.
+
+    Groups of more than CROWDED members are dealt out by a hash, so no task
+    holds a hot one; different samples deal and order differently.
+    """
+    crowded = members.groupBy("key").count().where(F.col("count") > CROWDED).select(F.col("key").alias("full"), F.ceil(F.col("count") / CROWDED).alias("parts"))
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")))
+    dealt = members.join(crowded, F.col("key") == F.col("full"), "left").select(F.xxhash64("key", part).alias("task"), F.xxhash64("doc_id", "key").alias("o"), "doc_id")
+
+    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        size = 0
+        for group in key_runs(batches, "task"):
+            n = group.num_rows
+            if n < 2:
+                continue
+            ids = group.column("doc_id").to_numpy()
+            if n <= SMALL_GROUP:
+                i, j = np.triu_indices(n, 1)
+            else:
+                i = np.concatenate([np.arange(n - d) for d in range(1, NEIGHBOURS + 1)] + [np.zeros(n - 1, np.int64)])
+                j = np.concatenate([np.arange(d, n) for d in range(1, NEIGHBOURS + 1)] + [np.arange(1, n)])
+            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+            size += len(i)
+            if size > 1 << 18:
+                yield _pair_rows(found)
+                found, size = [], 0
+        if found:
+            yield _pair_rows(found)
+
+    return dealt.repartition("task").sortWithinPartitions("task", "o").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of document ids whose shingle sets have at least the given Jaccard similarity, compared in full."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [np.unique(shingle_set(t, shingle).astype(np.uint32)).tobytes() for t in binary_rows(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "shingles"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                low, high = sorted((len(p), len(q)))
+                common = len(np.intersect1d(p, q, assume_unique=True)) if low >= similarity * high else 0
+                keep.append(common >= similarity * (low + high - common) - 1e-9 and common > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+    blobs = docs.mapInArrow(sets, "id long, shingles binary").join(wanted, F.col("id") == F.col("w"), "left_semi")
+    first = pairs.join(blobs, F.col("a") == F.col("id")).select("a", "b", F.col("shingles").alias("x"))
+    both = first.join(blobs, F.col("b") == F.col("id")).select("a", "b", "x", F.col("shingles").alias("y"))
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """(doc_id, component_id): groups of near-duplicates for a corpus filter, one row per document.
+
+    Documents are linked if their fingerprints differ in at most ``radius``
+    bits (vantage-point trees), or if they share the SimHash sample of one of
+    SAMPLES min-wise samples and their shingle sets have at least
+    ``similarity``. A change of one word in a short text moves more than a few
+    bits of its fingerprint, which is why samples are looked up as well.
+    Wordless texts are one group; null ids are dropped; extra columns are
+    ignored.
+    """
+    workers_see_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    sketched = materialise(_sketches(rows, shingle))
+    same = materialise(sketched.groupBy("digest").agg(F.min_by(F.struct("doc_id", "fp", "keys"), "doc_id").alias("r")).select("digest", "r.*"))
+    points = same.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    equal = same.select("doc_id", "fp").join(points, "fp").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    pairs = materialise(_group_pairs(same.select(F.explode("keys").alias("key"), "doc_id")))
+    near = similar_pairs(rows, pairs, shingle, similarity)
+    links = materialise(hamming_links(materialise(points), radius).union(equal).union(near))
+    parts = connected_components(links)
+    groups = same.join(parts, same.doc_id == parts.node, "left").select(F.col("digest").alias("d"), F.coalesce("component", "doc_id").alias("component_id"))
+    return sketched.join(groups, F.col("digest") == F.col("d")).select("doc_id", "component_id")

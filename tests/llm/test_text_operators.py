@@ -132,6 +132,39 @@ def test_vantage_point_trees_find_every_link(spark, radius):
     assert {i: found.get(i, i) for i in truth} == truth
 
 
+def test_near_copies_against_brute_force(spark, documents, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [[f"w{x}" for x in rng.integers(0, 900, n)] for n in (30, 80, 200, 500)]
+    texts = list(documents.text[:80])
+    for words in base:
+        for _ in range(12):
+            changed = [*words]
+            for i in rng.integers(0, len(words), max(1, len(words) // rng.choice([20, 60, 150]))):
+                changed[i] = "new"
+            texts.append(" ".join(changed))
+    texts += [None, "", "! ?", "one", "One!", "one two three", texts[3].upper(), "a " * 5000]
+    sets = {i: set(simhash.shingle_set(None if t is None else t.encode()).tolist()) for i, t in enumerate(texts)}
+    near = lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b) if a and b else False)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if near(sets[i], sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    truth = {i: find(i) for i in sets}
+    for crowded in (simhash.CROWDED, 8):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, texts)).collect()}
+        assert np.mean([got[i] == truth[i] for i in truth]) >= (1 if crowded > 8 else 0.9)
+    assert simhash.near_copies(table(spark, ["x"]).where("false")).count() == 0
+
+
 def test_packing_round_trip(spark, documents):
     texts = [*documents.text, *AWKWARD, "word " * 300000, "z" * 9000]
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
