@@ -65,6 +65,8 @@ def materialise(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
+    # nothing needs the shuffle files behind the table any more; Spark drops them once the driver has collected their handles
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
