@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import langid, packing, simhash, tiling, windows
+from sparkscope.llm import langid, membership, packing, simhash, tiling, windows
 from sparkscope.session import materialise, table, workers_see_package
 
 
@@ -17,7 +17,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
     lost = materialise(simhash.near_copies(docs).where("component_id != doc_id").select("doc_id").distinct())
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    return membership.without(docs, "doc_id", lost)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain most of a benchmark item."""
     leaks = tiling.contaminations(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialise(leaks), "doc_id", "left_anti").select(*docs.columns)
+    return membership.without(docs, "doc_id", materialise(leaks))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.llm.components import connected_components
 from sparkscope.llm.kernels import binary_rows, fingerprint64, key_runs, mix64, shingle_hashes, word_hashes
+from sparkscope.llm.membership import possible
 from sparkscope.session import materialise, workers_see_package
 
 #: Sample from which the top tree's vantage points come, and the fingerprints a leaf should hold.
@@ -354,8 +355,8 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
                 keep.append(common >= similarity * (low + high - common) - 1e-9 and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    blobs = docs.mapInArrow(sets, "id long, shingles binary").join(wanted, F.col("id") == F.col("w"), "left_semi")
+    wanted = possible(docs, "doc_id", pairs.select("a").union(pairs.select("b")))
+    blobs = wanted.mapInArrow(sets, "id long, shingles binary")
     first = pairs.join(blobs, F.col("a") == F.col("id")).select("a", "b", F.col("shingles").alias("x"))
     both = first.join(blobs, F.col("b") == F.col("id")).select("a", "b", "x", F.col("shingles").alias("y"))
     return both.mapInArrow(compare, "a long, b long")
