@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkscope.llm import langid, membership, packing, simhash, tiling, windows
 from sparkscope.session import materialise, table, workers_see_package
@@ -11,7 +12,9 @@ from sparkscope.session import materialise, table, workers_see_package
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the language model rejects, which are those without a letter or of an uncertain language."""
     model = langid.fit_language_model(docs)
-    return langid.predict_languages(docs, model).where("not rejected").select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    judged = langid.predict_languages(docs.select("text", F.struct(*rest).alias("row")), model).where("not rejected")
+    return judged.select("text", "row.*").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

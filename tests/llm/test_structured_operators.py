@@ -177,7 +177,8 @@ def test_repeated_passages(spark):
 def test_membership(spark):
     ids = spark.range(0, 5000, 7).withColumnRenamed("id", "x")
     rows = spark.range(6000).selectExpr("if(id = 5999, null, id) as doc_id", "id as x", "'t' as text")
-    marked = {r.x: r._may for r in membership.mark(rows, "doc_id", ids).collect()}
+    frame, may = membership.mark(rows, "doc_id", ids)
+    marked = {r.x: r[may] for r in frame.collect()}
     assert all(marked[i] for i in range(0, 5000, 7)) and sum(marked.values()) < 720 and not marked[5999]
     kept = {r.x for r in membership.without(rows, "doc_id", ids).collect()}
     assert kept == set(range(6000)) - set(range(0, 5000, 7))
@@ -226,6 +227,19 @@ def test_stages_act_on_planted_cases(spark):
     assert 9002 in ids(stages["decontamination"](spark, both, SF))
 
 
+def test_stages_keep_columns_that_clash_with_their_own(spark):
+    import corpus_pipeline
+
+    names = ("score", "rejected", "lang_pred", "_may", "_bits", "_id", "cut_id", "cut_spans", "fp", "row")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in kept.collect() for n in names)
+
+
 def test_word_hash_is_the_same_in_any_place():
     a = kernels.word_hashes(b"tail of words")
     b = kernels.word_hashes(b"x" * 70000 + b" tail of words")
