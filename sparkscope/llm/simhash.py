@@ -26,8 +26,8 @@ from sparkscope.llm.membership import possible
 from sparkscope.session import materialise, workers_see_package
 
 #: Sample from which the top tree's vantage points come, and the fingerprints a leaf should hold.
-SAMPLE_ROWS = 8192
-LEAF_ROWS = 16384
+SAMPLE_ROWS = 1 << 16
+LEAF_ROWS = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
