@@ -71,6 +71,7 @@ class Model:
     langs: tuple[str, ...]
     scores: np.ndarray  # buckets x languages
     temperature: float
+    shortness: float  # by how many subwords a text's length is discounted
     threshold: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -78,7 +79,7 @@ class Model:
         counts = subwords(text) if text else None
         if counts is None or not self.langs or not (total := counts.sum()):
             return "und", 0.0, True
-        p = _softmax(counts @ self.scores / total / self.temperature)
+        p = _softmax(counts @ self.scores / total / (self.temperature * (1 + self.shortness / total)))
         best = int(np.argmax(p))
         return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
 
@@ -92,7 +93,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS
     """Fit on (language, bucket, count) rows; every fifth is kept for temperature and threshold."""
     langs = tuple(sorted({r[0] for r in rows}))
     if not langs:
-        return Model((), np.zeros((buckets, 0)), 1.0, 0.0)
+        return Model((), np.zeros((buckets, 0)), 1.0, 0.0, 0.0)
     rng = np.random.default_rng(SEED)
     place = {lang: i for i, lang in enumerate(langs)}
     held = [r for i, r in enumerate(rows) if i % 5 == 4]
@@ -113,23 +114,33 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS
             embed[index] -= (now * len(index) ** 0.5) * weight[:, None] * back
             step += 1
     scores = embed @ linear
-    temperature, threshold = _calibrate(scores, held or fit, place)
-    return Model(langs, scores, temperature, threshold)
+    return Model(langs, scores, *_calibrate(scores, held or fit, place))
 
 
-def _calibrate(scores: np.ndarray, rows: list, place: dict[str, int]) -> tuple[float, float]:
-    """Temperature of least log loss, and the least threshold of the wanted precision within the allowed rejections."""
+def _calibrate(scores: np.ndarray, rows: list, place: dict[str, int]) -> tuple[float, float, float]:
+    """(temperature, shortness, threshold): the first two of least log loss, the least threshold of the wanted precision within the allowed rejections.
+
+    The loss is against smoothed targets, (n + 1) / (n + 2) for the true
+    language of n rows, so that probabilities claim no more than n rows show.
+    """
+    size = np.array([c.sum() for _, _, c in rows])
     logits = np.stack([(c / c.sum()) @ scores[i] for _, i, c in rows])
     truth = np.array([place[lang] for lang, _, _ in rows])
-    at = np.arange(len(truth))
-    temperature = min(np.geomspace(0.02, 5, 60), key=lambda t: -np.log(_softmax(logits / t)[at, truth] + 1e-12).mean())
-    p = _softmax(logits / temperature)
+    target = np.full(logits.shape, 1 / (len(truth) + 2) / max(1, len(place) - 1))
+    target[np.arange(len(truth)), truth] = (len(truth) + 1) / (len(truth) + 2)
+
+    def probabilities(t: float, c: float) -> np.ndarray:
+        return _softmax(logits / (t * (1 + c / size))[:, None])
+
+    grid = [(t, c) for t in np.geomspace(0.02, 5, 40) for c in (0.0, 8.0, 32.0, 128.0, 512.0)]
+    temperature, shortness = min(grid, key=lambda g: -(target * np.log(probabilities(*g) + 1e-12)).sum(axis=1).mean())
+    p = probabilities(temperature, shortness)
     best, right = p.max(axis=1), p.argmax(axis=1) == truth
-    allowed = np.quantile(best, MAX_REJECTED) if len(best) else 0.0
+    allowed = float(np.quantile(best, MAX_REJECTED))
     for t in np.sort(np.r_[0.0, best]):
         if t > allowed or right[best >= t].mean() >= PRECISION:
-            return float(temperature), float(min(t, allowed))
-    return float(temperature), 0.0
+            return float(temperature), shortness, min(float(t), allowed)
+    return float(temperature), shortness, 0.0
 
 
 def fold(id_col: str = "doc_id") -> Column:
