@@ -184,3 +184,24 @@ def decode_seed(content: Column, encoding: Column) -> Column:
         .when(kind == "hex", F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("hex")))
         .otherwise(F.encode(content, "UTF-8"))
     )
+
+
+def without_fence(text: Column) -> Column:
+    """Text of a fenced code block without its fences."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:python|py)?\s*\n", ""), r"\n```\s*$", "")
+
+
+def unwrapped_code(text: Column) -> Column:
+    """Code inside a JSON wrapper, by the first of the usual keys that is there; else the text itself."""
+    body = F.trim(text)
+    keys = F.coalesce(*(F.get_json_object(body, p) for p in ("$['fuzzer.cc']", "$.content", "$.code", "$.harness", "$.fileContent")))
+    return F.when(body.startswith("{") & (F.coalesce(keys, F.lit("")) != ""), keys).otherwise(text)
+
+
+def mentions_word(text: Column, words: Column) -> Column:
+    """Whether one of an array of names stands in the text as a whole word, ignoring case."""
+    return F.exists(words, lambda w: F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9_])\Q"), w, F.lit(r"\E($|[^A-Za-z0-9_])"))))
+
+
+def parameter_text(parameter: Column) -> Column:
+    return F.concat_ws(" ", F.coalesce(parameter["type"], F.lit("?")), F.coalesce(parameter["name"], F.lit("?")))

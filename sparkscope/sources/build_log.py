@@ -169,3 +169,57 @@ def strategy(library: DataFrame, shared: DataFrame, link: DataFrame, objects: Da
     from functools import reduce
 
     return top_k(reduce(DataFrame.union, rows), [], ["i"], 1).drop("i")
+
+
+# Folders without headers or libraries to use, and symbol parts of libraries that a static one needs (part, flag, own names).
+SKIPPED_FOLDERS = (
+    ".git", ".svn", ".hg", "__pycache__", "CMakeFiles", "node_modules", "tests", "test", "testsuite", "fuzz", "fuzzing", "benchmark", "benchmarks", "doc", "docs", "examples", "example", "private", "internal",
+)
+SYMBOL_LIBRARIES = (
+    ("lzma_", "-llzma", ("lzma", "xz")), ("BZ2_", "-lbz2", ("bz2", "bzip2")), ("ZSTD_", "-lzstd", ("zstd",)), ("icuuc", "-licuuc", ("icuuc",)), ("icui18n", "-licui18n", ("icui18n",)),
+    ("SSL_", "-lssl", ("ssl", "openssl")), ("EVP_", "-lcrypto", ("crypto", "openssl")), ("deflateInit", "-lz", ("z", "zlib")), ("inflateInit", "-lz", ("z", "zlib")), ("gzopen", "-lz", ("z", "zlib")),
+    ("gzdopen", "-lz", ("z", "zlib")), ("gzread", "-lz", ("z", "zlib")), ("gzwrite", "-lz", ("z", "zlib")), ("gzclose", "-lz", ("z", "zlib")), ("jpeg_", "-ljpeg", ("jpeg", "libjpeg")),
+    ("png_", "-lpng", ("png", "libpng")), ("jbg_", "-ljbig", ("jbig",)), ("acl_get_", "-lacl", ("acl",)), ("acl_set_", "-lacl", ("acl",)), ("acl_create", "-lacl", ("acl",)), ("LZ4_", "-llz4", ("lz4",)),
+    ("lzo1x_", "-llzo2", ("lzo2",)), ("XML_Parse", "-lexpat", ("expat",)), ("xmlReadDoc", "-lxml2", ("xml2", "libxml2")),
+)
+
+
+def build_system(listing: DataFrame, tools: DataFrame) -> DataFrame:
+    """(root, system) from marker files (root, file) at project roots and the build tools (name) at hand."""
+    cmake = tools.agg(F.coalesce(F.bool_or(F.col("name") == "cmake"), F.lit(False)).alias("cmake"))
+    has = lambda f: F.array_contains("files", f)
+    input_ = has("configure.ac") | has("configure.in")
+    marked = listing.groupBy("root").agg(F.collect_set("file").alias("files")).crossJoin(F.broadcast(cmake))
+    system = (
+        F.when(has("configure") & (~F.col("cmake") | input_), "autotools").when(has("CMakeLists.txt") & F.col("cmake"), "cmake").when(has("Makefile"), "make")
+        .when(has("meson.build"), "meson").when(has("configure") | input_, "autotools").otherwise("unknown")
+    )
+    return marked.select("root", system.alias("system"))
+
+
+def extra_libraries(undefined: DataFrame, rules: tuple = SYMBOL_LIBRARIES) -> DataFrame:
+    """(library, ord, flag): flags for the undefined symbols (library, symbol) of static libraries, not for a library itself; rule order."""
+    name = F.lower(F.col("library"))
+
+    def own(names: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for n in names:
+            out = out | name.startswith(n)
+        return out
+
+    hits = F.array_compact(F.array(*(F.when(F.col("symbol").contains(p) & ~own(names), F.struct(F.lit(i).alias("ord"), F.lit(flag).alias("flag"))) for i, (p, flag, names) in enumerate(rules))))
+    rows = undefined.select("library", F.explode(hits).alias("h"))
+    return rows.groupBy("library", F.col("h.flag").alias("flag")).agg(F.min("h.ord").alias("ord")).select("library", "ord", "flag")
+
+
+def search_paths(files: DataFrame, limit: int = 120) -> DataFrame:
+    """(kind, value): folders with headers, folders with libraries, and library names, each kind sorted and cut to a limit."""
+    seen = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))))
+    folder, base = F.regexp_replace("path", "/[^/]*$", ""), F.regexp_extract("path", "([^/]+)$", 1)
+    library = base.rlike(r"^lib.+\.(a|so(\..*)?)$")
+    found = F.array_compact(F.array(
+        F.when(base.endswith(".h"), F.struct(F.lit("include").alias("kind"), folder.alias("value"))),
+        F.when(library, F.struct(F.lit("library_dir").alias("kind"), folder.alias("value"))),
+        F.when(library, F.struct(F.lit("library").alias("kind"), library_name(base).alias("value"))),
+    ))
+    return top_k(seen.select(F.explode(found).alias("f")).select("f.*").distinct(), ["kind"], ["value"], limit)

@@ -155,3 +155,6 @@ def test_scalar_functions(spark):
     assert one(names.decode_seed(text("zz"), text("hex"))) is None and bytes(one(names.decode_seed(text("é"), text("utf8")))) == "é".encode()
     assert one(names.to_integer(text("0x1F"))) == 31 and one(names.to_integer(text("x"))) is None
     assert one(names.is_constant_like(text("-12UL"))) and one(names.is_constant_like(text("ABC_1"))) and not one(names.is_constant_like(text("abc")))
+    assert one(names.without_fence(text("```python\nx = 1\n```"))) == "x = 1" and one(names.unwrapped_code(text('{"code": "int x;"}'))) == "int x;" and one(names.unwrapped_code(text("int y;"))) == "int y;"
+    assert one(names.mentions_word(text("uses BUF now"), F.array(text("buf")))) and not one(names.mentions_word(text("uses buffer"), F.array(text("buf"))))
+    assert one(names.parameter_text(F.struct(text("int").alias("type"), text("x").alias("name")))) == "int x"

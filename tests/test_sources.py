@@ -43,6 +43,17 @@ def test_build_log(spark, tmp_path):
     assert build_log.strategy(empty, spark.range(2), spark.range(1), empty).first().strategy == "shared_library"
 
 
+def test_projects(spark):
+    listing = spark.createDataFrame([("a", "configure"), ("a", "CMakeLists.txt"), ("b", "Makefile"), ("c", "configure.ac"), ("d", "x")], "root string, file string")
+    tools = spark.createDataFrame([("cmake",)], "name string")
+    systems = lambda t: {r.root: r.system for r in build_log.build_system(listing, t).collect()}
+    assert systems(tools) == {"a": "cmake", "b": "make", "c": "autotools", "d": "unknown"} and systems(tools.where("false"))["a"] == "autotools"
+    undefined = spark.createDataFrame([("tiff", "inflateInit_"), ("tiff", "gzread"), ("tiff", "jpeg_start"), ("zlib", "deflateInit_"), ("png16", "png_x")], "library string, symbol string")
+    assert [(r.library, r.flag) for r in build_log.extra_libraries(undefined).orderBy("library", "ord").collect()] == [("tiff", "-lz"), ("tiff", "-ljpeg")]
+    files = spark.createDataFrame([("/s/a/x.h",), ("/s/tests/y.h",), ("/s/b/libz.so.1",), ("/s/b/libq.a",)], "path string")
+    assert {(r.kind, r.value) for r in build_log.search_paths(files).collect()} == {("include", "/s/a"), ("library_dir", "/s/b"), ("library", "z"), ("library", "q")}
+
+
 HEADER = """#define FOO_API __attribute__((visibility("default")))
 /* int hidden(int a); */
 FOO_API int foo_open(const char *path, int flags);
