@@ -250,3 +250,22 @@ def test_word_hash_is_the_same_in_any_place():
 def test_shingles_of_short_texts(k):
     assert len(kernels.shingle_hashes(kernels.word_hashes(b"a b c"), k)) == (3 if k == 1 else 1)
     assert len(kernels.shingle_hashes(kernels.word_hashes(b""), k)) == 0
+
+
+def test_repeated_rows_long_inputs_and_empty_tables(spark):
+    long_html = "<article>" + "<p>word &amp; more</p>" * 40000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://h/", long_html, "x"), (2, "http://h/", "<p>a</p>", "x"), (2, "http://h/", "<p>a</p>", "x")], "page_id long, url string, html string, host string")
+    rows = sitetree.extract_pages(pages).collect()
+    assert sorted((r.page_id, r.n_chars) for r in rows) == [(1, 40000 * 12 - 1), (2, 1), (2, 1)]
+    same = spark.createDataFrame([(1, "http://a.org/" + "x" * 200000, "v")] * 2, "page_id long, url string, verdict string")
+    assert [(r.page_id, r.verdict) for r in urls.judge_urls(same).collect()] == [(1, "allow")] * 2
+    assert urls.judge_urls(same.where("false")).count() == 0
+    vectors = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.1]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in nndescent.near_duplicate_vectors(vectors).collect()) == [(5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 0, 7, True)]
+    text = " ".join(f"w{i}" for i in range(20000))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
+    assert [(r.doc_id, r.start_word, r.end_word, r.source_id) for r in windows.repeated_passages(docs).collect()] == [(2, 0, 20000, 1)]
+
+
+def test_one_query_for_each_operator():
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
