@@ -25,7 +25,7 @@ from sparkscope.llm.kernels import binary_rows, fingerprint64, key_runs, mix64,
 from sparkscope.llm.membership import possible
 from sparkscope.session import materialise, workers_see_package
 
-#: Sample from which the top tree's vantage points come, and the fingerprints a leaf should hold.
+#: Size of the sample from which the top tree's vantage points come, and the fingerprints a leaf should hold.
 SAMPLE_ROWS = 1 << 16
 LEAF_ROWS = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -207,12 +207,14 @@ def local_groups(values: np.ndarray, radius: int, block: int = 1024) -> np.ndarr
 def hamming_links(points: DataFrame, radius: int = 2, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``points`` (fp, rep) within ``radius`` bits.
 
-    ``points`` has distinct fingerprints. The sample bounds only what the
-    driver sees; every fingerprint is routed and searched.
+    ``points`` has distinct fingerprints. About ``sample_rows`` of them shape
+    the top tree on the driver; every fingerprint is routed and searched.
     """
     workers_see_package(points.sparkSession)
     n = points.count()
-    sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect() if n > leaf_rows else []
+    # a share of the hash space, so that every task gives its part and none sorts
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, n)) * (1 << 30))
+    sample = points.where(share).select("fp").collect() if n > leaf_rows else []
     tree = TopTree(np.array([r.fp for r in sample], np.int64).view(np.uint64), min(-(-n // leaf_rows), max(1, len(sample) // 16)), radius)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
