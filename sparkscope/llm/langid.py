@@ -156,9 +156,15 @@ def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     workers_see_package(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1))
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
-    last = labelled.select(order.alias("o")).orderBy("o").limit(train_rows).agg(F.max("o").alias("o")).first()["o"]
+    n = labelled.count()
+    if not n:
+        return train([])
+    # a share of the hash space leaves little more than train_rows to sort, however many rows are labelled
+    share = labelled.where(F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 1.2 * train_rows / n) * (1 << 30)))
+    last = share.select(order.alias("o")).orderBy("o").limit(train_rows).agg(F.max("o").alias("o")).first()["o"]
     if last is None:
         return train([])
+    labelled = share
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
