@@ -407,7 +407,12 @@ def repo_url_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", names.repository_url(F.col("url")).alias("canonical"))
 
 
-@query()
+@query("""WITH RECURSIVE lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(regexp_extract_all(line, '[.,;]')) DESC, line_no) AS rn FROM lines),
+walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, CAST(400 AS BIGINT) AS budget, CAST(NULL AS BIGINT) AS line_no, '' AS line FROM documents
+  UNION ALL SELECT r.doc_id, r.rn, CASE WHEN length(r.line) + 1 <= w.budget THEN w.budget - length(r.line) - 1 ELSE w.budget END, CASE WHEN length(r.line) + 1 <= w.budget THEN r.line_no END, r.line FROM walk w JOIN ranked r ON r.doc_id = w.doc_id AND r.rn = w.rn + 1),
+kept AS (SELECT doc_id, line_no, CASE WHEN line_no > lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) + 1 THEN '    // ...' || chr(10) || line ELSE line END AS line FROM walk WHERE line_no IS NOT NULL)
+SELECT d.doc_id, count(k.line_no) AS n_lines, coalesce(string_agg(k.line, chr(10) ORDER BY k.line_no), '') AS excerpt FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id""")
 def smart_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     scored = lines.withColumn("score", F.size(F.regexp_extract_all("line", F.lit("[.,;]"), F.lit(0))).cast("long"))
