@@ -269,3 +269,13 @@ def test_repeated_rows_long_inputs_and_empty_tables(spark):
 
 def test_one_query_for_each_operator():
     assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_matches_its_oracle(spark, name):
+    db = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got, truth = registry.QUERIES[name](spark, SF).toPandas(), db.execute(registry.ORACLES[name]).df()
+    plain = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f.notna(), None).itertuples(index=False, name=None)))
+    assert sorted(got.columns) == sorted(truth.columns) and plain(got) == plain(truth)
