@@ -1,4 +1,4 @@
-"""The reference-side operators over the driver's tables, each with DuckDB SQL for the same rows."""
+"""The program-side operators over the driver's tables, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
