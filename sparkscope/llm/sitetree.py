@@ -27,6 +27,9 @@ from sparkscope.session import materialise, workers_see_package
 #: Pages that must share a node before the tree judges it, importance below which it goes, and the paper's attenuation.
 MIN_PAGES, MIN_IMPORTANCE, GAMMA = 4, 0.3, 0.9
 
+#: Open elements at which further inline and other elements are taken as part of their parent, as browsers do.
+MOST_INLINE, MOST_OPEN = 256, 1024
+
 # Elements without content, without text, block elements, and names of site furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe template xmp".split())
@@ -48,7 +51,7 @@ _SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr":
 _TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol li dl dt dd figure figcaption table thead tbody tfoot tr td th caption".split())
 
 _MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))|([^\s\"'<>/=]+)")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -167,6 +170,8 @@ def parse(text: str | None) -> Page:
             continue
         if name in _VOID or (rest.endswith("/") and inline):
             continue
+        if len(stack) >= (MOST_INLINE if inline else MOST_OPEN):
+            continue
         attributes = _attributes(rest) if rest.strip(" /") else {}
         rooted = top.rooted or name in ("article", "main") or attributes.get("role") == "main"
         drop = top.drop or _dropped(name, attributes, rooted)

@@ -43,6 +43,8 @@ def test_main_text():
     assert sitetree.main_text("<p>a<!-- <p>x --><b>b</b>c <i>d", set()) == "abc d"
     assert sitetree.main_text("plain < 5 & more", set()) == "plain < 5 & more"
     assert sitetree.main_text("<body><p>x</body><", set()) == "x <"
+    assert sitetree.main_text("<b><div>" * 20000 + "deep" + "</div>" * 20000 + "<nav>no</nav><p>end", set()) == "deep end"
+    assert sitetree.main_text("<article>" + '<a "' * 20000 + "<p>ok</p></article>", set()).strip() in ("ok", "")
 
 
 def test_the_tree_removes_what_pages_of_a_host_share(spark):
