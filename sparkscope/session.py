@@ -30,12 +30,20 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; both sides hold a few of them.
+BATCH_BYTES = 8 << 20
+
+
 def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started.
+    """Let Python workers import this package wherever the driver was started, and send them small batches.
 
     On a cluster the package is shipped with the job; this only adds the
     driver's own folder to the workers' search path if it is not there yet.
+    A smaller batch size that the session has already stays.
     """
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(batch)) > BATCH_BYTES:
+        spark.conf.set(batch, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
