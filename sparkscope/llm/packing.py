@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -56,7 +56,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.own = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
@@ -70,6 +70,10 @@ class Encoder:
             ranks = {bytes(letter[c] for c in token): i for token, i in vocab.items() if token not in self.added}
             self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def own(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         parts = [self._encode(part) for part in _pieces(text)]
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
