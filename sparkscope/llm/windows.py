@@ -2,11 +2,15 @@
 
 For each hash function, the minimum of every run of ``width`` shingles is a
 node of the Cartesian tree over the shingles' hashes, and the widest run with
-that minimum is its compact window. Documents whose windows share a minimum
-are linked to the first and to the previous document of that minimum (first
-inside a task, so a passage that a third of all rows share is one row a task
-in the shuffle), links of a pair that come from enough hash functions are
-joined with the words of both sides, and the words decide.
+that minimum is its compact window. All documents of a minimum are linked to
+each other. A minimum of more than SMALL_GROUP documents is crowded: they are
+linked to its first and to the previous document only (inside a task at once,
+so a passage that a third of all rows share is one row a task in the shuffle),
+and its runs get finer keys in a further pass, in which crowded shingles come
+last in the hash order. Runs of crowded shingles alone are keyed by all their
+words, so that the first document of a key stands for the others. Links of a
+pair that come from enough hash functions are joined with the words of both
+sides, and the words decide.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 PASSAGE_WORDS, HASHES, AGREE = 51, 4, 2
 #: Windows that a task groups at once before they are shuffled.
 BUFFER_WINDOWS = 1 << 20
+#: Documents of a minimum that are all linked to each other, passes over the texts (the last keys what is still crowded by its words), bits of the set of crowded minima.
+SMALL_GROUP, PASSES, CROWD_BITS = 16, 4, 1 << 24
+#: Low bits of a key that stands for the words of a whole run, and the hash functions it counts for.
+_EXACT, _EXACT_MASK = 7, 0xFF
 _SEEDS = mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -84,15 +92,79 @@ def matched_spans(own: np.ndarray, other: np.ndarray, shingle: int, width: int,
     return [(int(run[0]), int(run[-1]) + width - 1 + shingle) for run in np.split(good, cuts)]
 
 
-def _grouped(keys: np.ndarray, docs: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """(rows first of their key, (rows, rows they are linked to)): to the first and to the previous row of a key."""
-    order = np.lexsort((spans, docs, keys))
-    k, d = keys[order], docs[order]
-    head = np.r_[True, k[1:] != k[:-1]]
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
-    later = np.flatnonzero(~head & (d != d[lead]))
-    near = np.flatnonzero(~head & (d != np.r_[d[:1], d[:-1]]) & (np.arange(len(k)) - 1 != lead))
-    return order[head], (order[np.r_[later, near]], order[np.r_[lead[later], near - 1]])
+def _packed(keys: np.ndarray, docs: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each key and document, in order, from the least start to the greatest end of its places."""
+    order = np.lexsort((docs, keys))
+    k, d, s = keys[order], docs[order], spans[order]
+    start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+    return k[start], d[start], np.minimum.reduceat(s >> 32, start) << 32 | np.maximum.reduceat(s & 0xFFFFFFFF, start)
+
+
+def _grouped(keys: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each row, first row and crowdedness of each group, linked rows, rows they are linked to) of packed rows.
+
+    Rows of a crowded group (too many, or one of the given keys) or of an exact
+    key are linked to the first and to the previous row, others to all.
+    """
+    head = np.r_[True, keys[1:] != keys[:-1]]
+    start, group = np.flatnonzero(head), np.cumsum(head) - 1
+    full = (np.diff(np.r_[start, len(keys)]) > SMALL_GROUP) | np.isin(keys[start], crowded)
+    star = full[group] | ((keys & np.uint64(7)) == _EXACT)
+    place = np.arange(len(keys)) - start[group]
+    later = np.flatnonzero(star & (place > 0))
+    near = later[place[later] > 1]
+    rows, to = [later, near], [start[group[later]], near - 1]
+    for lag in range(1, SMALL_GROUP):
+        x = np.flatnonzero(~star & (place >= lag))
+        if not len(x):
+            break
+        rows.append(x)
+        to.append(x - lag)
+    return group, start, full, np.concatenate(rows), np.concatenate(to)
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """The hash functions that a key's link counts for."""
+    f = (keys & np.uint64(7)).astype(np.int64)
+    return np.where(f == _EXACT, _EXACT_MASK, np.int64(1) << f)
+
+
+def _crowd_set(keys: DataFrame) -> np.ndarray | None:
+    """Bit set of CROWD_BITS for a table of keys; None if it is empty. Another shingle's bit only changes the order of hashes."""
+    place = F.shiftrightunsigned(F.col("key"), 20).bitwiseAND(CROWD_BITS - 1) + 1
+    sets = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    if not sets:
+        return None
+    out = np.zeros(CROWD_BITS // 8, np.uint8)
+    for row in sets:
+        at = (row.bucket - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def _among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = (keys >> np.uint64(20)) & np.uint64(CROWD_BITS - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _finer(values: np.ndarray, f: int, width: int, crowd: np.ndarray, newest: np.ndarray, last_pass: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, first, last, starts of runs to key by their words) for the runs that a newly crowded minimum may have had."""
+    key = (values & ~np.uint64(7)) | np.uint64(f)
+    fresh_ = _among(newest, key)
+    none = np.empty(0, np.int64)
+    if not fresh_.any():
+        return none.astype(np.uint64), none, none, none
+    often = _among(crowd, key)
+    center, first, last = compact_windows(values >> np.uint64(1) | often.astype(np.uint64) << np.uint64(63), width)
+    total = np.concatenate([[0], np.cumsum(fresh_)])
+    touched = total[last + 1] > total[first]
+    center, first, last = center[touched], first[touched], last[touched]
+    whole = often[center] | last_pass
+    edge = np.zeros(len(values) + 1, np.int64)
+    np.add.at(edge, first[whole], 1)
+    np.add.at(edge, last[whole] - width + 2, -1)
+    new = total[width:] > total[:-width]  # runs without a newly crowded shingle keep their minimum
+    return key[center[~whole]], first[~whole], last[~whole], np.flatnonzero((np.cumsum(edge)[: len(new)] > 0) & new)
 
 
 def repeated_passages(
@@ -117,50 +189,105 @@ def repeated_passages(
     width = passage_words - shingle + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+    def windows(crowd: np.ndarray | None, newest: np.ndarray | None, last_pass: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            keys, ids, spans = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, (row, to) = _grouped(keys, ids, spans)
-            yield _window_rows(keys[first].view(np.int64), ids[first], spans[first])
+            def flush() -> Iterator[pa.RecordBatch]:
+                nonlocal size
+                keys, ids, spans = _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                group, start, full, row, to = _grouped(keys, np.empty(0, np.uint64))
+                keep = ~full[group]
+                keep[start] = True
+                yield _window_rows(keys[keep].view(np.int64), ids[keep], spans[keep])
+                if full.any():
+                    yield _crowd_rows(keys[start[full]].view(np.int64))
+                inside = full[group[row]]
+                row, to = row[inside], to[inside]
+                if len(row):
+                    yield _link_rows(ids[row], spans[row], ids[to], spans[to], _bits(keys[row]))
+                held.clear()
+                size = 0
+
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_rows(batch, "text"), strict=True):
+                    words = word_hashes(text)
+                    if len(words) < passage_words:
+                        continue
+                    base = shingle_hashes(words, shingle)
+                    whole = []
+                    for f in range(hashes):
+                        values = mix64(base * _SEEDS[f])
+                        if crowd is None:
+                            center, first, last = compact_windows(values, width)
+                            key = (values[center] & ~np.uint64(7)) | np.uint64(f)
+                        else:
+                            key, first, last, runs = _finer(values, f, width, crowd, newest, last_pass)
+                            whole.append(runs)
+                        held.append((key, np.full(len(key), doc_id, np.int64), first << 32 | last))
+                        size += len(key)
+                    runs = np.unique(np.concatenate(whole)) if whole else ()
+                    if len(runs):
+                        key = shingle_hashes(words, passage_words)[runs] | np.uint64(_EXACT)
+                        held.append((key, np.full(len(key), doc_id, np.int64), runs << 32 | (runs + width - 1)))
+                        size += len(key)
+                    if size >= BUFFER_WINDOWS:
+                        yield from flush()
+            if size:
+                yield from flush()
+
+        return run
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links and crowded keys from rows sorted by key."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush(keys: np.ndarray, ids: np.ndarray, spans: np.ndarray, real: np.ndarray) -> Iterator[pa.RecordBatch]:
+            crowded = np.unique(keys[~real])
+            keys, ids, spans = _packed(keys[real], ids[real], spans[real])
+            if not len(keys):
+                return
+            _, start, full, row, to = _grouped(keys, crowded)
             if len(row):
-                yield _link_rows(ids[row], spans[row], ids[to], spans[to], np.int64(1) << (keys[row] & np.uint64(7)).astype(np.int64))
-            held.clear()
-            size = 0
+                yield _link_rows(ids[row], spans[row], ids[to], spans[to], _bits(keys[row]))
+            full &= (keys[start] & np.uint64(7)) != _EXACT
+            if full.any():
+                yield _crowd_rows(keys[start[full]].view(np.int64))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_rows(batch, "text"), strict=True):
-                words = word_hashes(text)
-                if len(words) < passage_words:
-                    continue
-                base = shingle_hashes(words, shingle)
-                for f in range(hashes):
-                    values = mix64(base * _SEEDS[f])
-                    center, first, last = compact_windows(values, width)
-                    key = (values[center] & ~np.uint64(7)) | np.uint64(f)
-                    held.append((key, np.full(len(key), doc_id, np.int64), first << 32 | last))
-                    size += len(key)
-                if size >= BUFFER_WINDOWS:
-                    yield from flush()
+            linked = pa.compute.is_valid(batch.column("link"))
+            if pa.compute.any(linked).as_py():
+                yield batch.filter(linked)
+                batch = batch.filter(pa.compute.invert(linked))
+            if not batch.num_rows:
+                continue
+            doc, span = (batch.column(c).fill_null(0).to_numpy() for c in ("doc", "span"))
+            held.append((batch.column("key").to_numpy().view(np.uint64), doc, span, batch.column("doc").is_valid().to_numpy(zero_copy_only=False)))
+            keys = held[-1][0]
+            if keys[0] == keys[-1]:
+                continue
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(parts[0] != keys[-1])[-1]) + 1
+            yield from flush(*(x[:cut] for x in parts))
+            held[:] = [tuple(x[cut:] for x in parts)]
         if held:
-            yield from flush()
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     schema = "key long, doc long, span long, link struct<odoc:long,ospan:long,mask:long>"
-    found = rows.mapInArrow(windows, schema)
     same = Window.partitionBy("key").orderBy("doc", "span")
-    linked = found.select(
-        "doc", "span", "link", F.pow(F.lit(2), F.col("key").bitwiseAND(7)).cast("long").alias("bit"),
-        F.first(F.struct(F.col("doc").alias("d"), F.col("span").alias("s"))).over(same).alias("lead"),
-        F.lag(F.struct(F.col("doc").alias("d"), F.col("span").alias("s"))).over(same).alias("near"),
-    )
-    own = F.array(F.col("link"))
-    to = F.array_distinct(F.array(*(F.struct(F.col(c).d.alias("odoc"), F.col(c).s.alias("ospan"), F.col("bit").alias("mask")) for c in ("lead", "near"))))
-    links = linked.where("link is not null or near is not null").select(
-        "doc", "span", F.explode(F.when(F.col("link").isNotNull(), own).otherwise(F.filter(to, lambda x: x.odoc.isNotNull()))).alias("to")
-    )
+    links = crowd = newest = None
+    for n in range(PASSES):
+        found = rows.mapInArrow(windows(crowd, newest, n == PASSES - 1), schema)
+        shared = found.select("*", F.lag("key").over(same).alias("before"), F.lead("key").over(same).alias("after"))
+        linked = materialise(shared.where("link is not null or before is not null or after is not null").select(found.columns).mapInArrow(link, schema))
+        now = linked.where("link is not null").select("doc", "span", "link")
+        links = now if links is None else links.unionByName(now)
+        newest = _crowd_set(linked.where("link is null").select("key"))
+        if newest is None:
+            break
+        crowd = newest if crowd is None else crowd | newest
+    links = links.select("doc", "span", F.col("link").alias("to"))
     low, high = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND((1 << 32) - 1))
     pairs = (
         links.where("doc != to.odoc")
@@ -205,6 +332,12 @@ def _window_rows(keys: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(spans), pa.nulls(len(keys), _LINK)], ["key", "doc", "span", "link"])
 
 
+def _crowd_rows(keys: np.ndarray) -> pa.RecordBatch:
+    """Rows without a document, which mark crowded keys."""
+    none = pa.nulls(len(keys), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(keys), none, none, pa.nulls(len(keys), _LINK)], ["key", "doc", "span", "link"])
+
+
 def _link_rows(ids: np.ndarray, spans: np.ndarray, oids: np.ndarray, ospans: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
     """A task's own links, one row for each pair of documents, under a key of their own."""
     order = np.lexsort((oids, ids))

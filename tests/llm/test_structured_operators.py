@@ -281,3 +281,19 @@ def test_query_matches_its_oracle(spark, name):
     got, truth = registry.QUERIES[name](spark, SF).toPandas(), db.execute(registry.ORACLES[name]).df()
     plain = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f.notna(), None).itertuples(index=False, name=None)))
     assert sorted(got.columns) == sorted(truth.columns) and plain(got) == plain(truth)
+
+
+def test_passages_around_a_frequent_line(spark):
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    line, texts, truth = fresh(40), [], set()
+    own = [fresh(11) for _ in range(20)]
+    for i in range(400):  # the documents of a pair are 200 apart, and the line is in all
+        before, after = fresh(60), fresh(60)
+        tail = own[i % 200 // 10] if i % 10 == 3 else fresh(11)
+        texts.append(" ".join([*before, *line, *tail, *after]))
+        if i >= 200 and i % 10 == 3:
+            truth.add((i, 60, 111, i - 200))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in windows.repeated_passages(docs).collect()}
+    assert found == truth
