@@ -297,3 +297,17 @@ def test_passages_around_a_frequent_line(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in windows.repeated_passages(docs).collect()}
     assert found == truth
+
+
+def test_a_passage_twice_in_one_document(spark):
+    rng = np.random.default_rng(22)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, truth = [], set()
+    for i in range(20):
+        passage = fresh(51)
+        rows.append((i, " ".join([*fresh(20), *passage, *fresh(20)])))
+        rows.append((100 + i, " ".join([*fresh(30), *passage, *fresh(900), *passage, *fresh(9)])))
+        truth |= {(100 + i, 30, 81, i), (100 + i, 981, 1032, i)}
+    docs = spark.createDataFrame([*rows[::2], *rows[1::2]], "doc_id long, text string").repartitionByRange(2, "doc_id")  # sources in one task, copies in the other
+    found = {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in windows.repeated_passages(docs).collect()}
+    assert found == truth
