@@ -4,7 +4,8 @@
 2. A first graph comes from sign-of-projection buckets.
 3. Rounds of local joins compare the neighbours of each point with each other
    and keep the best ``neighbours`` of every list, until no new link appears.
-   Every pair found at the threshold or above is kept as a link for good.
+   Of all compared pairs at the threshold or above, links that join the same
+   points are kept for good, whether or not they are among the best.
 4. Points whose lists may be saturated, which are those in a component of
    links, have their lists enlarged to the component. Its core, the points near
    its mean direction, is linked throughout and only summed; the others are
@@ -65,8 +66,8 @@ def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
     return rows.mapInArrow(run, "vec_id long, vec binary")
 
 
-def _best(index: np.ndarray, cosines: np.ndarray, neighbours: int, explore: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of a group that are among the best of either end."""
+def _best(index: np.ndarray, cosines: np.ndarray, neighbours: int, explore: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a group that are among the best of either end, and links that join it as all its links at the threshold or above do."""
     n = len(index)
     np.fill_diagonal(cosines, -2)
     k = min(neighbours, n - 1)
@@ -76,6 +77,25 @@ def _best(index: np.ndarray, cosines: np.ndarray, neighbours: int, explore: floa
     c = cosines[i, j]
     good = c >= explore
     yield np.minimum(index[i], index[j])[good], np.maximum(index[i], index[j])[good], c[good]
+    i, j = _joining(cosines >= threshold)
+    yield np.minimum(index[i], index[j]), np.maximum(index[i], index[j]), cosines[i, j]
+
+
+def _joining(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of a group's links: one link fewer than points in each component, however many there are."""
+    rest, ends, starts = linked.any(axis=1), [], []
+    while rest.any():
+        front = np.array([int(np.argmax(rest))])
+        rest[front] = False
+        while len(front):
+            reached = linked[front] & rest
+            new = np.flatnonzero(reached.any(axis=0))
+            starts.append(front[np.argmax(reached[:, new], axis=0)])
+            ends.append(new)
+            rest[new] = False
+            front = new
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends])
 
 
 def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -83,7 +103,7 @@ def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["a", "b", "cosine"])
 
 
-def _bucket_pairs(points: DataFrame, n: int, width: int, wave: int) -> DataFrame:
+def _bucket_pairs(points: DataFrame, n: int, width: int, wave: int, threshold: float) -> DataFrame:
     """Close pairs within the buckets of one wave of tables; crowded buckets are dealt into parts by a hash."""
     bits = max(4, math.ceil(math.log2(max(2, n / 8))))
     planes = np.random.default_rng(1000 + wave).standard_normal((width, TABLES * bits))
@@ -108,7 +128,7 @@ def _bucket_pairs(points: DataFrame, n: int, width: int, wave: int) -> DataFrame
             for at in range(0, len(order), BLOCK):
                 chosen = order[at : at + BLOCK]
                 if len(chosen) > 1:
-                    parts += _best(rep[chosen], unit[chosen] @ unit[chosen].T, NEIGHBOURS, EXPLORE)
+                    parts += _best(rep[chosen], unit[chosen] @ unit[chosen].T, NEIGHBOURS, EXPLORE, threshold)
             if len(parts) >= 512:
                 yield _pairs(parts)
                 parts = []
@@ -132,7 +152,7 @@ def _graph(pairs: DataFrame) -> DataFrame:
     return both.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= NEIGHBOURS).drop("rank")
 
 
-def _local_joins(graph: DataFrame, points: DataFrame) -> DataFrame:
+def _local_joins(graph: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
     """Pairs of neighbours of the same point, compared."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +160,7 @@ def _local_joins(graph: DataFrame, points: DataFrame) -> DataFrame:
         for group in key_runs(batches, "center"):
             if group.num_rows > 1:
                 unit = _matrix(group.column("vec"))
-                parts += _best(group.column("other").to_numpy(), unit @ unit.T, NEIGHBOURS, EXPLORE)
+                parts += _best(group.column("other").to_numpy(), unit @ unit.T, NEIGHBOURS, EXPLORE, threshold)
             if len(parts) >= 512:
                 yield _pairs(parts)
                 parts = []
@@ -255,12 +275,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     n, width = size["n"], (size["w"] or 0) // 8
     links = counts = parts = None
     for wave in range(WAVES if n > 1 else 0):
-        pairs = _bucket_pairs(points, n, width, wave)
+        pairs = _bucket_pairs(points, n, width, wave, threshold)
         found = materialise(pairs.distinct() if links is None else pairs.union(links).distinct())
         links = found
         before = links.where(F.col("cosine") >= threshold).select("a", "b").distinct().count()
         for _ in range(ROUNDS):
-            fresh = _local_joins(_graph(links), points)
+            fresh = _local_joins(_graph(links), points, threshold)
             links = materialise(links.union(fresh).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
             now = links.where(F.col("cosine") >= threshold).count()
             if now <= before * 1.001:

@@ -311,3 +311,19 @@ def test_a_passage_twice_in_one_document(spark):
     docs = spark.createDataFrame([*rows[::2], *rows[1::2]], "doc_id long, text string").repartitionByRange(2, "doc_id")  # sources in one task, copies in the other
     found = {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in windows.repeated_passages(docs).collect()}
     assert found == truth
+
+
+def test_links_between_two_tight_groups_of_vectors(spark):
+    rng = np.random.default_rng(31)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    vectors = [*unit(rng.standard_normal((2000, 64)))]
+    for _ in range(12):  # pairs of groups of 20 at 0.965, members closer to their own group than to the other
+        a, b = unit(rng.standard_normal((2, 64)))
+        b = unit(b - (a @ b) * a)
+        for middle in (a, 0.965 * a + np.sqrt(1 - 0.965**2) * b):
+            vectors += [*unit(middle + 0.0003 * rng.standard_normal((20, 64)))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in nndescent.near_duplicate_vectors(table).collect()}
+    cosines = np.array(vectors) @ np.array(vectors).T
+    assert {i: r.n_links for i, r in rows.items()} == dict(enumerate(((cosines >= 0.95).sum(axis=1) - 1).tolist()))
+    assert len({rows[i].component_id for i in range(2000, len(vectors))}) == 12
