@@ -2,20 +2,24 @@
 
 For each hash function, the minimum of every run of ``width`` shingles is a
 node of the Cartesian tree over the shingles' hashes, and the widest run with
-that minimum is its compact window. All documents of a minimum are linked to
-each other. A minimum of more than SMALL_GROUP documents is crowded: they are
-linked to its first and to the previous document only (inside a task at once,
-so a passage that a third of all rows share is one row a task in the shuffle),
-and its runs get finer keys in a further pass, in which crowded shingles come
-last in the hash order. Runs of crowded shingles alone are keyed by all their
-words, so that the first document of a key stands for the others. Links of a
-pair that come from enough hash functions are joined with the words of both
-sides, and the words decide.
+that minimum is its compact window: an interval of run starts that share a
+signature. Windows of a minimum are grouped. Equal windows (inside a task at
+once, so a passage that a third of all rows share is one row a task) are linked
+to the smallest document. Different windows of a minimum meet in an interval
+join, aligned at the minimum's shingle, and runs of equal width whose starts
+lie in both intervals are compared word by word.
+
+A group of too many pairs is crowded. All its windows are compared with its
+STARS first ones; then each run is keyed by its rarest shingles, as many as a
+similar run cannot lack all of (a prefix filter, so nothing is lost), and the
+windows of each such key are a group of the next level. No document, passage or
+partner is left out, whatever the size of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +27,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscope.llm.kernels import binary_rows, located_words, mix64, shingle_hashes, word_hashes
+from sparkscope.llm.kernels import binary_rows, key_runs, located_words, mix64, rolled, shingle_hashes, word_hashes
 from sparkscope.llm.membership import fresh, possible, split
 from sparkscope.session import materialise, workers_see_package
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Shortest passage in words, hash functions (at most 8), and those that must agree before words are compared.
-PASSAGE_WORDS, HASHES, AGREE = 51, 4, 2
-#: Windows that a task groups at once before they are shuffled.
-BUFFER_WINDOWS = 1 << 20
-#: Documents of a minimum that are all linked to each other, passes over the texts (the last keys what is still crowded by its words), bits of the set of crowded minima.
-SMALL_GROUP, PASSES, CROWD_BITS = 16, 4, 1 << 24
-#: Low bits of a key that stands for the words of a whole run, and the hash functions it counts for.
-_EXACT, _EXACT_MASK = 7, 0xFF
+#: Shortest passage in words, and hash functions (at most 8); words are compared as soon as one of them agrees.
+PASSAGE_WORDS, HASHES = 51, 3
+#: Windows that a task groups at once before they are shuffled, and the different ones of a minimum there from which it is dealt out.
+BUFFER_WINDOWS, LOCAL_CROWD = 1 << 20, 64
+#: Pairs of a group that are compared at once, first windows that a crowded group is compared with, its windows in a task, and levels before the rest is compared in blocks.
+GROUP_PAIRS, STARS, DEALT, LEVELS = 64 * 64, 16, 2048, 8
 _SEEDS = mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -74,97 +76,438 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return nodes[wide], first[wide], last[wide]
 
 
-def matched_spans(own: np.ndarray, other: np.ndarray, shingle: int, width: int, similarity: float) -> list[tuple[int, int]]:
-    """Word spans [start, end) of ``own`` made of runs of ``width`` shingles of which enough occur in ``other``.
-
-    Two runs of equal width are similar from width * 2s / (1 + s) common shingles on.
+# A window's place: its center, and how many shingles of it lie before and behind within one run's reach.
+def _place(center: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    return center << 24 | before << 12 | behind
+
+
+def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 24, place >> 12 & 0xFFF, place & 0xFFF
+
+
+def needed(width: int, similarity: float) -> int:
+    """Common shingles from which two runs of ``width`` are similar."""
+    return int(np.ceil(width * 2 * similarity / (1 + similarity) - 1e-9))
+
+
+class Runs:
+    """Windows aligned at their centers, one row of shingles each, and the comparison of their runs."""
+
+    def __init__(self, places: np.ndarray, words: list[bytes], shingle: int, width: int, similarity: float):
+        self.shingle, self.width, self.need = shingle, width, needed(width, similarity)
+        # an edit costs the shingles that span it, so the rest of a similar run can be shifted by so much
+        self.band = max(0, width - self.need - (shingle - 1))
+        _, self.before, self.behind = _parts(places)
+        n, span = len(places), 2 * width - 1
+        values = np.zeros((n, span + shingle - 1), np.uint64)
+        for i, (b, w) in enumerate(zip((width - 1 - self.before).tolist(), words, strict=True)):
+            row = np.frombuffer(w, np.uint32)
+            values[i, b : b + len(row)] = row
+        out = values[:, :span].copy()
+        for k in range(1, shingle):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + values[:, k : k + span]
+        self.shingles = (mix64(out + np.uint64(shingle)) >> np.uint64(32)).astype(np.uint32)
+        column = np.arange(span)
+        self.valid = (column >= (width - 1 - self.before)[:, None]) & (column <= (width - 1 + self.behind)[:, None])
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The interval join: pairs of which runs may start at the same place from the center, or within the band."""
+        first = np.maximum(-self.before[a], -self.before[b] - self.band)
+        last = np.minimum(self.behind[a], self.behind[b] + self.band) - self.width + 1
+        return first <= last
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of rows, which runs of ``a`` (by start) are similar to an equally wide run of ``b``.
+
+        A run counts if it and the other have enough shingles with an equal one
+        at most the band further in the partner, and if its first and last do.
+        """
+        width, band = self.width, self.band
+        x, y = self.shingles[a], self.shingles[b]
+        vx, vy = self.valid[a], self.valid[b]
+        hit, back = np.zeros(x.shape, np.bool_), np.zeros(x.shape, np.bool_)
+        span = x.shape[1]
+        for d in range(-band, band + 1):
+            p, q = slice(max(0, -d), span - max(0, d)), slice(max(0, d), span - max(0, -d))
+            same = (x[:, p] == y[:, q]) & vx[:, p] & vy[:, q]
+            hit[:, p] |= same
+            back[:, q] |= same
+        starts = span - width + 1
+        inside = lambda v: v[:, :starts] & v[:, width - 1 :]
+        enough = lambda h: self._sums(h) >= self.need
+        own = enough(hit) & inside(vx) & inside(hit)
+        other = enough(back) & inside(vy)
+        near = other.copy()
+        for d in range(1, band + 1):
+            near[:, d:] |= other[:, :-d]
+            near[:, :-d] |= other[:, d:]
+        return own & near
+
+    def _sums(self, hit: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(hit), hit.shape[1] + 1), np.int16)
+        np.cumsum(hit, axis=1, out=total[:, 1:], dtype=np.int16)
+        return total[:, self.width :] - total[:, : -self.width]
+
+
+class Found:
+    """Spans of documents that have a source, gathered and handed on as rows."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> None:
+        if len(doc):
+            self.parts.append((doc, start, end, source))
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """Overlapping spans of a document as one, with the smallest source."""
+        if not self.parts:
+            return (np.empty(0, np.int64),) * 4
+        doc, start, end, source = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []
+        order = np.lexsort((start, doc))
+        doc, start, end, source = doc[order], start[order], end[order], source[order]
+        group = np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
+        # the greatest end so far in the document; documents are kept apart by a stride above all ends
+        stride = int(end.max()) + 1
+        reach = np.maximum.accumulate(end + group * stride)
+        head = np.flatnonzero(np.r_[True, (start[1:] + group[1:] * stride > reach[:-1]) | (group[1:] != group[:-1])])
+        return doc[head], start[head], np.maximum.reduceat(end, head), np.minimum.reduceat(source, head)
+
+
+def _compare(runs: Runs, a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray, found: Found, settled: np.ndarray | None = None) -> None:
+    """Compare pairs of rows; spans of ``a`` are found, and runs marked as settled for rows that occur once in it."""
+    joined = runs.overlap(a, b)
+    a, b = a[joined], b[joined]
+    center = place >> 24
+    for at in range(0, len(a), 4096):
+        i, j = a[at : at + 4096], b[at : at + 4096]
+        good = runs.similar(i, j)
+        some = good.any(axis=1)
+        if not some.any():
+            continue
+        i, j, good = i[some], j[some], good[some]
+        if settled is not None:
+            settled[i] |= good
+        first = good.argmax(axis=1)
+        last = good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
+        words = runs.width - 1
+        found.add(doc[i], center[i] - words + first, center[i] + last + runs.shingle, doc[j])
+
+
+def sub_keys(runs: Runs, members: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle): for each run of the members its shingles that fewest stars have, one more than a similar run may lack.
+
+    All members of a group use the same order (how many stars have a shingle,
+    then its value), so two similar runs have one of these in common.
     """
-    a, b = shingle_hashes(own, shingle), shingle_hashes(other, shingle)
-    if len(own) < shingle or len(a) < width or len(b) < width:
-        return []
-    hit = np.isin(a, b)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    need = width * 2 * similarity / (1 + similarity) - 1e-9
-    good = np.flatnonzero((total[width:] - total[:-width] >= need) & hit[: len(a) - width + 1] & hit[width - 1 :])
-    if not len(good):
-        return []
-    cuts = np.flatnonzero(np.diff(good) > width) + 1
-    return [(int(run[0]), int(run[-1]) + width - 1 + shingle) for run in np.split(good, cuts)]
-
-
-def _packed(keys: np.ndarray, docs: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One row for each key and document, in order, from the least start to the greatest end of its places."""
-    order = np.lexsort((docs, keys))
-    k, d, s = keys[order], docs[order], spans[order]
-    start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-    return k[start], d[start], np.minimum.reduceat(s >> 32, start) << 32 | np.maximum.reduceat(s & 0xFFFFFFFF, start)
-
-
-def _grouped(keys: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group of each row, first row and crowdedness of each group, linked rows, rows they are linked to) of packed rows.
-
-    Rows of a crowded group (too many, or one of the given keys) or of an exact
-    key are linked to the first and to the previous row, others to all.
+    values = runs.shingles[members].astype(np.uint64)
+    weight = np.zeros(values.shape, np.uint64)
+    for s in stars.tolist():
+        weight += np.isin(values, runs.shingles[s][runs.valid[s]])
+    order = weight << np.uint64(32) | values
+    order[~runs.valid[members]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    prefix, width = runs.width - runs.need + 1, runs.width
+    rows, picked = [], []
+    for s in range(order.shape[1] - width + 1):
+        whole = np.flatnonzero(runs.valid[members, s] & runs.valid[members, s + width - 1])
+        if len(whole):
+            least = np.partition(order[whole, s : s + width], prefix - 1, axis=1)[:, :prefix]
+            rows.append(np.repeat(members[whole], prefix))
+            picked.append(least.ravel() & np.uint64(0xFFFFFFFF))
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(picked)]), axis=1)
+    return both[0].astype(np.int64), both[1]
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches sorted by ``key``, cut only between keys."""
+    held: list[pa.RecordBatch] = []  # rows of one key, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or (held and held[-1].column(key)[0].as_py() != keys[0]):
+            done = [*held, batch.slice(0, cut)] if cut else held
+            yield _concatenated(done)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _concatenated(held)
+
+
+def _concatenated(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+# What a row of the windows' shuffle is: a window, a finished span (key start, ctx end, place source), a window of a
+# minimum that is crowded in its task, or a sign of such a minimum to the windows of other tasks.
+_WINDOW, _SPAN, _CROWD, _SIGN = 0, 1, 2, 3
+_WINDOWS = "key long, ctx long, doc long, place long, kind byte"
+
+
+def _window_rows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, np.int8), len(key))
+    columns = [pa.array(x.astype(np.int64, copy=False)) for x in (key, ctx, doc, place)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(kinds)], ["key", "ctx", "doc", "place", "kind"])
+
+
+def _span_rows(found: Found) -> Iterator[pa.RecordBatch]:
+    doc, start, end, source = found.take()
+    if len(doc):
+        yield _window_rows(start, end, doc, source, _SPAN)
+
+
+def _equal_windows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, shingle: int, found: Found) -> tuple[np.ndarray, ...]:
+    """Link equal windows to their smallest document and keep those of that document only, in order."""
+    order = np.lexsort((place, doc, ctx, key))
+    key, ctx, doc, place = key[order], ctx[order], doc[order], place[order]
+    head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]) if len(key) else np.empty(0, np.int64)
+    least = np.repeat(doc[head], np.diff(np.r_[head, len(key)]))
+    more = doc > least
+    center, before, behind = _parts(place[more])
+    found.add(doc[more], center - before, center + behind + shingle, least[more])
+    keep = ~more
+    if len(key):
+        keep[1:] &= (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (place[1:] != place[:-1])
+    return key[keep], ctx[keep], doc[keep], place[keep]
+
+
+def _different(key: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each key, its number of different windows) of rows in order."""
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    new = np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]
+    return head, np.add.reduceat(new.astype(np.int64), head)
+
+
+def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: int) -> DataFrame:
+    """Spans of equal windows, and the windows whose minimum has different ones, of (doc_id, text) rows."""
+    width = passage_words - shingle + 1
+
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = Found()
+            key, ctx, doc, place = _equal_windows(*(np.concatenate(x) for x in zip(*held, strict=True)), shingle, found)
+            head, many = _different(key, ctx)
+            full = many > LOCAL_CROWD
+            kind = np.where(np.repeat(full, np.diff(np.r_[head, len(key)])), _CROWD, _WINDOW)
+            yield _window_rows(key, ctx, doc, place, kind)
+            signs = key[head[full]]
+            yield _window_rows(signs, np.zeros_like(signs), np.zeros_like(signs), np.zeros_like(signs), _SIGN)
+            yield from _span_rows(found)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_rows(batch, "text"), strict=True):
+                words = word_hashes(text)
+                if len(words) < passage_words:
+                    continue
+                base = shingle_hashes(words, shingle)
+                short, n = words.astype(np.uint32), len(base)
+                for f in range(hashes):
+                    values = mix64(base * _SEEDS[f])
+                    center, first, last = compact_windows(values, width)
+                    before, behind = np.minimum(center - first, width - 1), np.minimum(last - center, width - 1)
+                    ctx = rolled(short, center - before, center + behind + shingle) ^ before
+                    key = ((values[center] & ~np.uint64(7)) | np.uint64(f)).view(np.int64)
+                    held.append((key, ctx, np.full(len(center), doc_id, np.int64), _place(center, before, behind)))
+                    size += len(center)
+                if size >= BUFFER_WINDOWS:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "key"):
+            kind = batch.column("kind").to_numpy()
+            yield batch.filter(pa.array(kind == _SPAN))
+            key, ctx, doc, place = (batch.column(c).to_numpy() for c in ("key", "ctx", "doc", "place"))
+            window = (kind == _WINDOW) | (kind == _CROWD)
+            crowded = np.unique(key[(kind == _SIGN) | (kind == _CROWD)])
+            found = Found()
+            key, ctx, doc, place = _equal_windows(key[window], ctx[window], doc[window], place[window], shingle, found)
+            head, many = _different(key, ctx)
+            several = np.repeat((many > 1) | np.isin(key[head], crowded), np.diff(np.r_[head, len(key)]))
+            yield _window_rows(key[several], ctx[several], doc[several], place[several], _WINDOW)
+            yield from _span_rows(found)
+
+    # windows of a crowded minimum are dealt out by all their words, spans by their document
+    deal = F.when(F.col("kind") == _CROWD, F.xxhash64("key", "ctx")).when(F.col("kind") == _SPAN, F.xxhash64("doc", "key")).otherwise(F.col("key"))
+    dealt = rows.mapInArrow(windows, _WINDOWS).withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("key")
+    return dealt.mapInArrow(group, _WINDOWS)
+
+
+def _window_words(rows: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+    """(key, doc, place, words) of windows (key, ctx, doc, place); only texts that have one are moved, as hashes of words."""
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [word_hashes(t).astype(np.uint32).tobytes() for t in binary_rows(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "words"])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, docs, places, out = [], [], [], []
+            for doc, blob, listed in zip(batch.column("doc").to_pylist(), batch.column("words"), batch.column("listed"), strict=True):
+                own = np.frombuffer(blob.as_py(), np.uint32)
+                key, ctx, place = (listed.values.field(i).to_numpy() for i in range(3))
+                center, before, behind = _parts(place)
+                start, end = center - before, center + behind + shingle
+                # of rows that repeat an id, a window is cut from those that have it
+                fits = np.flatnonzero(end <= len(own))
+                fits = fits[(rolled(own, start[fits], end[fits]) ^ before[fits]) == ctx[fits]]
+                keys.append(key[fits])
+                docs.append(np.full(len(fits), doc, np.int64))
+                places.append(place[fits])
+                out += [own[a:b].tobytes() for a, b in zip(start[fits].tolist(), end[fits].tolist(), strict=True)]
+            columns = [pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (keys, docs, places)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["key", "doc", "place", "words"])
+
+    listed = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place")).alias("listed"))
+    blobs = possible(rows, "doc_id", windows.select("doc")).mapInArrow(words, "id long, words binary")
+    joined = listed.join(blobs, F.col("doc") == F.col("id")).select("doc", "words", "listed")
+    return joined.mapInArrow(cut, "key long, doc long, place long, words binary")
+
+
+class _Shape:
+    """The parameters of a comparison, as tasks need them."""
+
+    def __init__(self, shingle: int, width: int, similarity: float):
+        self.shingle, self.width, self.similarity = shingle, width, similarity
+
+    def runs(self, batch: pa.RecordBatch) -> Runs:
+        return Runs(batch.column("place").to_numpy(), batch.column("words").to_pylist(), self.shingle, self.width, self.similarity)
+
+    def spans(self, groups: DataFrame, key: str, sided: bool = False) -> DataFrame:
+        """Spans from rows whose groups are small enough to be compared throughout."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _whole_groups(batches, key):
+                found = Found()
+                for at, to in _slices(batch.column(key).to_numpy()):
+                    part = batch.slice(at, to - at)
+                    keys, doc, place, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in (key, "doc", "place", "asks"))
+                    sizes = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]))
+                    others = part.column("answers").to_numpy(zero_copy_only=False) if sided else None
+                    _compare_groups(self.runs(part), sizes, doc, place, asks, others, found)
+                yield from _span_rows(found)
+
+        columns = [key, "doc", "place", "words", "asks", *(["answers"] if sided else [])]
+        return groups.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, _WINDOWS)
+
+
+def _slices(keys: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Cuts between keys after about so many rows."""
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    at = 0
+    while at < len(keys):
+        later = heads[heads >= at + rows]
+        to = int(later[0]) if len(later) else len(keys)
+        yield at, to
+        at = to
+
+
+def _compare_groups(runs: Runs, sizes: np.ndarray, doc: np.ndarray, place: np.ndarray, asks: np.ndarray, answers: np.ndarray | None, found: Found) -> None:
+    """Compare the asking rows of each of several groups with its (answering) rows of smaller documents."""
+    start, many = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    asking = np.flatnonzero(asks)
+    for part in np.array_split(asking, max(1, int(many[asking].sum()) >> 18)):
+        n = many[part]
+        a = np.repeat(part, n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[part], n)
+        chosen = doc[a] > doc[b]
+        if answers is not None:
+            chosen &= answers[b]
+        _compare(runs, a[chosen], b[chosen], doc, place, found)
+
+
+def _next_level(crowded: DataFrame, shape: _Shape) -> DataFrame:
+    """Spans of crowded groups' rows against their first ones, and the keys of the runs for the next level.
+
+    Rows are (kind, sub, key, doc, place, asks): spans as elsewhere (sub start,
+    key end, place source), and for each row but the stars its keys.
     """
-    head = np.r_[True, keys[1:] != keys[:-1]]
-    start, group = np.flatnonzero(head), np.cumsum(head) - 1
-    full = (np.diff(np.r_[start, len(keys)]) > SMALL_GROUP) | np.isin(keys[start], crowded)
-    star = full[group] | ((keys & np.uint64(7)) == _EXACT)
-    place = np.arange(len(keys)) - start[group]
-    later = np.flatnonzero(star & (place > 0))
-    near = later[place[later] > 1]
-    rows, to = [later, near], [start[group[later]], near - 1]
-    for lag in range(1, SMALL_GROUP):
-        x = np.flatnonzero(~star & (place >= lag))
-        if not len(x):
+    first = Window.partitionBy("key").orderBy("doc", "place")
+    stars = crowded.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= STARS)
+    columns = ["key", "doc", "place", "words", "asks"]
+    salts = F.ceil(F.col("n") / DEALT).cast("int")
+    star_rows = stars.select(*columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("star"))
+    rows = crowded.select(*columns, F.pmod(F.xxhash64("doc", "place"), salts).cast("int").alias("salt"), F.lit(False).alias("star"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, "task"):
+            star, doc, place, asks, key = (group.column(c).to_numpy(zero_copy_only=False) for c in ("star", "doc", "place", "asks", "key"))
+            center, member = np.flatnonzero(star), np.flatnonzero(~star)
+            runs, found = shape.runs(group), Found()
+            settled = np.zeros((len(doc), shape.width), np.bool_)
+            for s in center.tolist():
+                later = member[asks[member] & (doc[member] > doc[s])]
+                _compare(runs, later, np.full(len(later), s), doc, place, found, settled)
+            for s in center.tolist():  # what has been compared with all is done
+                member = member[(doc[member] != doc[s]) | (place[member] != place[s])]
+            yield from (_level_rows(b.column("key"), b.column("ctx"), b.column("doc"), b.column("place"), None, _SPAN) for b in _span_rows(found))
+            for at in range(0, len(member), 512):
+                part = member[at : at + 512]
+                row, shingle = sub_keys(runs, part, center)
+                starts = runs.valid[:, : shape.width] & runs.valid[:, shape.width - 1 :]
+                open_ = asks & (starts & ~settled).any(axis=1)
+                sub = mix64(key[row].astype(np.uint64) * np.uint64(31) + shingle).view(np.int64)
+                yield _level_rows(*(pa.array(x) for x in (sub, key[row], doc[row], place[row])), pa.array(open_[row]), _WINDOW)
+
+    dealt = rows.unionByName(star_rows).withColumn("task", F.xxhash64("key", "salt"))
+    return dealt.drop("salt").repartition("task").sortWithinPartitions("task").mapInArrow(run, "sub long, key long, doc long, place long, asks boolean, kind byte")
+
+
+def _level_rows(sub: pa.Array, key: pa.Array, doc: pa.Array, place: pa.Array, asks: pa.Array | None, kind: int) -> pa.RecordBatch:
+    asks = pa.nulls(len(sub), pa.bool_()) if asks is None else asks
+    return pa.RecordBatch.from_arrays([sub, key, doc, place, asks, pa.array(np.full(len(sub), kind, np.int8))], ["sub", "key", "doc", "place", "asks", "kind"])
+
+
+def _blocks(crowded: DataFrame, shape: _Shape) -> DataFrame:
+    """All pairs of what is still crowded after the last level, in blocks of bounded size."""
+    parts = F.ceil(F.col("n") / DEALT).cast("int")
+    own = F.pmod(F.xxhash64("doc", "place"), parts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    sides = [
+        crowded.where("asks").select("key", "doc", "place", "words", own.alias("x"), every.alias("y"), F.lit(True).alias("asks"), F.lit(False).alias("answers")),
+        crowded.select("key", "doc", "place", "words", every.alias("x"), own.alias("y"), F.lit(False).alias("asks"), F.lit(True).alias("answers")),
+    ]
+    return shape.spans(reduce(DataFrame.unionByName, sides).withColumn("task", F.xxhash64("key", "x", "y")), "task", sided=True)
+
+
+def _similar_spans(rows: DataFrame, shape: _Shape) -> list[DataFrame]:
+    """Spans from (key, doc, place, words): small groups are compared, crowded ones go down a level."""
+    spans = []
+    rows = rows.withColumn("asks", F.lit(True))
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"))
+        full = materialise(sizes.where(F.col("n") * F.col("m") > GROUP_PAIRS).select(F.col("key").alias("full"), "n"))
+        if full.isEmpty():
+            spans.append(materialise(shape.spans(rows, "key")))
             break
-        rows.append(x)
-        to.append(x - lag)
-    return group, start, full, np.concatenate(rows), np.concatenate(to)
-
-
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """The hash functions that a key's link counts for."""
-    f = (keys & np.uint64(7)).astype(np.int64)
-    return np.where(f == _EXACT, _EXACT_MASK, np.int64(1) << f)
-
-
-def _crowd_set(keys: DataFrame) -> np.ndarray | None:
-    """Bit set of CROWD_BITS for a table of keys; None if it is empty. Another shingle's bit only changes the order of hashes."""
-    place = F.shiftrightunsigned(F.col("key"), 20).bitwiseAND(CROWD_BITS - 1) + 1
-    sets = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    if not sets:
-        return None
-    out = np.zeros(CROWD_BITS // 8, np.uint8)
-    for row in sets:
-        at = (row.bucket - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(row.bits), np.uint8)
-    return out
-
-
-def _among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys >> np.uint64(20)) & np.uint64(CROWD_BITS - 1)
-    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def _finer(values: np.ndarray, f: int, width: int, crowd: np.ndarray, newest: np.ndarray, last_pass: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, first, last, starts of runs to key by their words) for the runs that a newly crowded minimum may have had."""
-    key = (values & ~np.uint64(7)) | np.uint64(f)
-    fresh_ = _among(newest, key)
-    none = np.empty(0, np.int64)
-    if not fresh_.any():
-        return none.astype(np.uint64), none, none, none
-    often = _among(crowd, key)
-    center, first, last = compact_windows(values >> np.uint64(1) | often.astype(np.uint64) << np.uint64(63), width)
-    total = np.concatenate([[0], np.cumsum(fresh_)])
-    touched = total[last + 1] > total[first]
-    center, first, last = center[touched], first[touched], last[touched]
-    whole = often[center] | last_pass
-    edge = np.zeros(len(values) + 1, np.int64)
-    np.add.at(edge, first[whole], 1)
-    np.add.at(edge, last[whole] - width + 2, -1)
-    new = total[width:] > total[:-width]  # runs without a newly crowded shingle keep their minimum
-    return key[center[~whole]], first[~whole], last[~whole], np.flatnonzero((np.cumsum(edge)[: len(new)] > 0) & new)
+        marked = rows.join(full, F.col("key") == F.col("full"), "left")
+        spans.append(materialise(shape.spans(marked.where("full is null"), "key")))
+        crowded = materialise(marked.where("full is not null").drop("full").dropDuplicates(["key", "doc", "place"]))
+        if level == LEVELS:
+            spans.append(materialise(_blocks(crowded, shape)))
+            break
+        below = materialise(_next_level(crowded, shape))
+        spans.append(below.where(F.col("kind") == _SPAN).select(F.col("sub").alias("key"), F.col("key").alias("ctx"), "doc", "place", "kind"))
+        subs = below.where(F.col("kind") == _WINDOW)
+        shared = subs.groupBy("sub").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("asks").alias("asked")).where("low != high and asked")
+        left = subs.join(shared.select(F.col("sub").alias("s")), F.col("sub") == F.col("s"), "left_semi").withColumnRenamed("key", "k")
+        words = crowded.select("key", F.col("doc").alias("d"), F.col("place").alias("p"), "words")
+        joined = left.join(words, (F.col("k") == F.col("key")) & (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")))
+        rows = materialise(joined.select(F.col("sub").alias("key"), "doc", "place", "words", "asks"))
+    return spans
 
 
 def repeated_passages(
@@ -175,183 +518,23 @@ def repeated_passages(
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     hashes: int = HASHES,
-    agree: int = AGREE,
 ) -> DataFrame:
     """(doc_id, start_word, end_word, source_id): passages that a document with a smaller id has too.
 
     Words are numbered from 0 and spans are [start, end); overlapping spans of
     a document are merged, with the smallest source. Null, empty and short
-    texts have no passages. Rows that repeat an id are one document: their
-    passages are not repeats of each other. Extra columns are ignored.
+    texts have no passages and rows without an id are left out. Rows that
+    repeat an id are one document: their passages are not repeats of each
+    other. Extra columns are ignored.
     """
     spark = docs.sparkSession
     workers_see_package(spark)
-    width = passage_words - shingle + 1
+    shape = _Shape(shingle, passage_words - shingle + 1, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-
-    def windows(crowd: np.ndarray | None, newest: np.ndarray | None, last_pass: bool):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                nonlocal size
-                keys, ids, spans = _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                group, start, full, row, to = _grouped(keys, np.empty(0, np.uint64))
-                keep = ~full[group]
-                keep[start] = True
-                yield _window_rows(keys[keep].view(np.int64), ids[keep], spans[keep])
-                if full.any():
-                    yield _crowd_rows(keys[start[full]].view(np.int64))
-                inside = full[group[row]]
-                row, to = row[inside], to[inside]
-                if len(row):
-                    yield _link_rows(ids[row], spans[row], ids[to], spans[to], _bits(keys[row]))
-                held.clear()
-                size = 0
-
-            for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_rows(batch, "text"), strict=True):
-                    words = word_hashes(text)
-                    if len(words) < passage_words:
-                        continue
-                    base = shingle_hashes(words, shingle)
-                    whole = []
-                    for f in range(hashes):
-                        values = mix64(base * _SEEDS[f])
-                        if crowd is None:
-                            center, first, last = compact_windows(values, width)
-                            key = (values[center] & ~np.uint64(7)) | np.uint64(f)
-                        else:
-                            key, first, last, runs = _finer(values, f, width, crowd, newest, last_pass)
-                            whole.append(runs)
-                        held.append((key, np.full(len(key), doc_id, np.int64), first << 32 | last))
-                        size += len(key)
-                    runs = np.unique(np.concatenate(whole)) if whole else ()
-                    if len(runs):
-                        key = shingle_hashes(words, passage_words)[runs] | np.uint64(_EXACT)
-                        held.append((key, np.full(len(key), doc_id, np.int64), runs << 32 | (runs + width - 1)))
-                        size += len(key)
-                    if size >= BUFFER_WINDOWS:
-                        yield from flush()
-            if size:
-                yield from flush()
-
-        return run
-
-    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links and crowded keys from rows sorted by key."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush(keys: np.ndarray, ids: np.ndarray, spans: np.ndarray, real: np.ndarray) -> Iterator[pa.RecordBatch]:
-            crowded = np.unique(keys[~real])
-            keys, ids, spans = _packed(keys[real], ids[real], spans[real])
-            if not len(keys):
-                return
-            _, start, full, row, to = _grouped(keys, crowded)
-            if len(row):
-                yield _link_rows(ids[row], spans[row], ids[to], spans[to], _bits(keys[row]))
-            full &= (keys[start] & np.uint64(7)) != _EXACT
-            if full.any():
-                yield _crowd_rows(keys[start[full]].view(np.int64))
-
-        for batch in batches:
-            linked = pa.compute.is_valid(batch.column("link"))
-            if pa.compute.any(linked).as_py():
-                yield batch.filter(linked)
-                batch = batch.filter(pa.compute.invert(linked))
-            if not batch.num_rows:
-                continue
-            doc, span = (batch.column(c).fill_null(0).to_numpy() for c in ("doc", "span"))
-            held.append((batch.column("key").to_numpy().view(np.uint64), doc, span, batch.column("doc").is_valid().to_numpy(zero_copy_only=False)))
-            keys = held[-1][0]
-            if keys[0] == keys[-1]:
-                continue
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.flatnonzero(parts[0] != keys[-1])[-1]) + 1
-            yield from flush(*(x[:cut] for x in parts))
-            held[:] = [tuple(x[cut:] for x in parts)]
-        if held:
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    schema = "key long, doc long, span long, link struct<odoc:long,ospan:long,mask:long>"
-    same = Window.partitionBy("key").orderBy("doc", "span")
-    links = crowd = newest = None
-    for n in range(PASSES):
-        found = rows.mapInArrow(windows(crowd, newest, n == PASSES - 1), schema)
-        shared = found.select("*", F.lag("key").over(same).alias("before"), F.lead("key").over(same).alias("after"))
-        linked = materialise(shared.where("link is not null or before is not null or after is not null").select(found.columns).mapInArrow(link, schema))
-        now = linked.where("link is not null").select("doc", "span", "link")
-        links = now if links is None else links.unionByName(now)
-        newest = _crowd_set(linked.where("link is null").select("key"))
-        if newest is None:
-            break
-        crowd = newest if crowd is None else crowd | newest
-    links = links.select("doc", "span", F.col("link").alias("to"))
-    low, high = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND((1 << 32) - 1))
-    pairs = (
-        links.where("doc != to.odoc")
-        .groupBy(F.greatest("doc", "to.odoc").alias("doc"), F.least("doc", "to.odoc").alias("odoc"))
-        .agg(
-            F.bit_or("to.mask").alias("mask"),
-            F.min(low(F.when(F.col("doc") > F.col("to.odoc"), F.col("span")).otherwise(F.col("to.ospan")))).alias("a"),
-            F.max(high(F.when(F.col("doc") > F.col("to.odoc"), F.col("span")).otherwise(F.col("to.ospan")))).alias("b"),
-            F.min(low(F.when(F.col("doc") > F.col("to.odoc"), F.col("to.ospan")).otherwise(F.col("span")))).alias("oa"),
-            F.max(high(F.when(F.col("doc") > F.col("to.odoc"), F.col("to.ospan")).otherwise(F.col("span")))).alias("ob"),
-        )
-        .where(F.bit_count("mask") >= agree)
-    )
-    pairs = materialise(pairs)
-
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [word_hashes(t).astype(np.uint32).tobytes() for t in binary_rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "words"])
-
-    wanted = possible(rows, "doc_id", pairs.select("doc").union(pairs.select("odoc")))
-    blobs = wanted.mapInArrow(words, "id long, words binary")
-    cut = lambda c, a, b: F.substring(c, F.col(a).cast("int") * 4 + 1, ((F.col(b) - F.col(a)).cast("int") + shingle) * 4)
-    first = pairs.join(blobs, pairs.doc == blobs.id).select("doc", "odoc", "a", "oa", "ob", cut("words", "a", "b").alias("w"))
-    both = first.join(blobs, first.odoc == blobs.id).select("doc", "odoc", "a", "w", cut("words", "oa", "ob").alias("ow"))
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc", "odoc", "a", "w", "ow"))
-            for doc, odoc, a, w, ow in zip(*columns, strict=True):
-                own, other = (np.frombuffer(x, np.uint32).astype(np.uint64) for x in (w, ow))
-                out += [(doc, odoc, a + s, a + e) for s, e in matched_spans(own, other, shingle, width, similarity)]
-            parts = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in parts], ["doc_id", "source_id", "start_word", "end_word"])
-
-    spans = both.mapInArrow(verify, "doc_id long, source_id long, start_word long, end_word long")
-    return _merged(spans)
-
-
-def _window_rows(keys: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(spans), pa.nulls(len(keys), _LINK)], ["key", "doc", "span", "link"])
-
-
-def _crowd_rows(keys: np.ndarray) -> pa.RecordBatch:
-    """Rows without a document, which mark crowded keys."""
-    none = pa.nulls(len(keys), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(keys), none, none, pa.nulls(len(keys), _LINK)], ["key", "doc", "span", "link"])
-
-
-def _link_rows(ids: np.ndarray, spans: np.ndarray, oids: np.ndarray, ospans: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """A task's own links, one row for each pair of documents, under a key of their own."""
-    order = np.lexsort((oids, ids))
-    d, o = ids[order], oids[order]
-    start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (o[1:] != o[:-1])])
-    over = lambda f, x: f.reduceat(x[order], start)
-    pack = lambda x: over(np.minimum, x >> 32) << 32 | over(np.maximum, x & 0xFFFFFFFF)
-    d, o = d[start], o[start]
-    keys = mix64(d.astype(np.uint64) * np.uint64(31) + o.astype(np.uint64)).view(np.int64)
-    link = pa.StructArray.from_arrays([pa.array(o), pa.array(pack(ospans)), pa.array(over(np.bitwise_or, bits))], fields=list(_LINK))
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(d), pa.array(pack(spans)), link], ["key", "doc", "span", "link"])
-
-
-_LINK = pa.struct([("odoc", pa.int64()), ("ospan", pa.int64()), ("mask", pa.int64())])
+    shared = materialise(shared_windows(rows, passage_words, shingle, hashes))
+    words = materialise(_window_words(rows, shared.where(F.col("kind") == _WINDOW), shingle))
+    spans = reduce(DataFrame.unionByName, [shared.where(F.col("kind") == _SPAN), *_similar_spans(words, shape)])
+    return _merged(spans.select(F.col("doc").alias("doc_id"), F.col("key").alias("start_word"), F.col("ctx").alias("end_word"), F.col("place").alias("source_id")))
 
 
 def _merged(spans: DataFrame) -> DataFrame:

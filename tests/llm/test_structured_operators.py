@@ -327,3 +327,76 @@ def test_links_between_two_tight_groups_of_vectors(spark):
     cosines = np.array(vectors) @ np.array(vectors).T
     assert {i: r.n_links for i, r in rows.items()} == dict(enumerate(((cosines >= 0.95).sum(axis=1) - 1).tolist()))
     assert len({rows[i].component_id for i in range(2000, len(vectors))}) == 12
+
+
+def _passages_by_brute_force(docs, width=47, need=42):
+    """Spans by definition: runs of a document of which enough shingles are in an equally wide run of a smaller document, and the other way round."""
+    grams = {i: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for i, w in docs.items()}
+    found = {i: set() for i in docs}
+    for i, a in grams.items():
+        for j, b in grams.items():
+            if j >= i or not set(a) & set(b):
+                continue
+            for s in range(len(a) - width + 1):
+                run = a[s : s + width]
+                for t in range(len(b) - width + 1):
+                    other = b[t : t + width]
+                    if run[0] in other and run[-1] in other and len(set(run) & set(other)) >= need:
+                        found[i] |= set(range(s, s + width + 4))
+                        break
+    return found
+
+
+@pytest.mark.parametrize("limits", [{}, {"GROUP_PAIRS": 16, "STARS": 2, "DEALT": 8}, {"GROUP_PAIRS": 16, "STARS": 2, "DEALT": 4, "LEVELS": 1, "LOCAL_CROWD": 2}])
+def test_passages_against_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(windows, name, value)
+    rng = np.random.default_rng(23)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase, long, docs = fresh(44), fresh(70), {}
+    for i in range(30):
+        docs[i] = [*fresh(int(rng.integers(0, 20))), *phrase, *fresh(12)]
+    for i in range(30, 45):  # the words behind the phrase too, exactly or with one edit
+        tail = docs[i - 30][-12:]
+        near = [*phrase, *tail]
+        if i % 3 == 1:
+            near[int(rng.integers(0, len(near)))] = "changed"
+        elif i % 3 == 2:
+            near.insert(int(rng.integers(0, len(near))), "more")
+        docs[i] = [*fresh(5), *near, *fresh(5)]
+    for i in range(45, 60):  # copies of a longer passage, each with an edit of its own
+        near = [*long]
+        near[int(rng.integers(0, len(near)))] = f"own{i}"
+        docs[i] = [*fresh(8), *near, *fresh(8)]
+    truth = _passages_by_brute_force(docs)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3, "doc_id")
+    got = {i: set() for i in docs}
+    for r in windows.repeated_passages(table).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    wanted = sum(map(len, truth.values()))
+    assert wanted > 1000 and sum(len(got[i] - truth[i]) for i in docs) <= 0.002 * wanted
+    assert sum(len(got[i] & truth[i]) for i in docs) >= 0.98 * wanted
+    for i in range(30, 45, 3):  # exact copies are always found
+        assert truth[i] <= got[i]
+
+
+def test_exact_pairs_in_a_crowd(spark):
+    rng = np.random.default_rng(24)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase, rows, truth = fresh(44), [], set()
+    for i in range(2000):
+        rows.append((i, " ".join([*fresh(9), *phrase, *fresh(9)])))
+    for i in range(100):
+        rows[1900 + i] = (1900 + i, rows[i * 19][1])
+        truth.add((1900 + i, 0, 62, i * 19))
+    boiler = fresh(40)
+    for i in range(3000, 4200):
+        at = 60 + i % 7
+        rows.append((i, " ".join([*fresh(at), *boiler, *fresh(60)])))
+        if i >= 4100:
+            own = rows[2000 + (i - 4100) * 11]
+            passage = own[1].split()[60 + own[0] % 7 - 8 : 60 + own[0] % 7 + 48]
+            rows[-1] = (i, " ".join([*fresh(30), *passage, *fresh(30)]))
+            truth.add((i, 30, 86, own[0]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in windows.repeated_passages(docs).collect()} == truth
