@@ -12,7 +12,7 @@ from sparkscope.session import table
 
 
 def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitetree.extract_pages(table(spark, sf_dir, "pages"))
+    return sitetree.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

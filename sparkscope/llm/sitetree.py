@@ -3,10 +3,11 @@
 The DOMs of a host's pages are merged by the style path of their nodes. A node
 is important if its presentation (the sequence of its children's styles) or
 its content (its text) varies between pages; what most pages repeat is site
-furniture. Names that say what a branch is (tags, classes, roles) fix its
-importance beforehand, so the tree decides about the branches they leave open.
-Pages are parsed twice rather than moved: only node statistics and the list of
-unimportant branches of each host are shuffled.
+furniture. Names (tags, classes, roles) are a prior: importance is the tree's
+evidence weighed with it, and branches of low importance go. Where a host has
+too few pages the prior decides alone. Names are no veto: a branch that holds
+most of a page's text, or its article, is judged as if it had none. Pages are
+parsed twice rather than moved: only hashes of nodes are shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,88 +28,143 @@ from sparkscope.session import materialise, workers_see_package
 
 #: Pages that must share a node before the tree judges it, importance below which it goes, and the paper's attenuation.
 MIN_PAGES, MIN_IMPORTANCE, GAMMA = 4, 0.3, 0.9
+#: Prior importance of furniture, of what names say nothing about, and of article and main; how far entropy alone can go.
+FURNITURE, OPEN, CONTENT, LEAST, MOST = 0.01, 0.5, 0.99, 0.03, 0.95
+#: Nodes that are sent to all tasks at once (8 bytes each); more are joined with the pages.
+BROADCAST_NODES = 1 << 20
 
-#: Open elements at which further inline and other elements are taken as part of their parent, as browsers do.
-MOST_INLINE, MOST_OPEN = 256, 1024
-
-# Elements without content, without text, block elements, and names of site furniture.
+# Elements without content, without text, inline elements, and names of site furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe template xmp".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_DROP_TAGS = frozenset("head nav footer aside form menu dialog button select option datalist svg math canvas audio video object script style title textarea noscript iframe template".split())
-_DROP_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disclaimer disqus "
-    "footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promotion promoted recommended recommendations "
-    "related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar widget widgets".split()
+_NEVER = frozenset("head menu button select option datalist svg math canvas audio video object".split())
+_STRONG = frozenset("nav footer".split())
+_WEAK = frozenset("aside form dialog".split())
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs byline-share card comment comments commentlist consent cookie cookies "
+    "copyright disclaimer disqus footer gdpr login menu menubar menus modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo "
+    "promos promotion promoted recommended recommendations related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe "
+    "subscription teaser teasers toolbar widget widgets".split()
 )
 _OUTER_NAMES = frozenset("header masthead topbar".split())
-_DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+_QUALIFIERS = frozenset(
+    "area bar bottom box block buttons container content element form global group icons inner item items left link links list main outer page panel primary region right secondary "
+    "section site slot text top unit wrap wrapper".split()
+)
+_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
 _SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_PEERS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_P_LIMITS = ("td", "th", "button", "object")
 _TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol li dl dt dd figure figcaption table thead tbody tfoot tr td th caption".split())
 
-_MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))|([^\s\"'<>/=]+)")
+# a tag without quotes ends in the same match; at a quote its attributes are read one by one
+_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+)(>)?|<[!?/][^>]*+(?:>|\Z)", re.S)
+_NAME = re.compile(r"[\s/]*([^\s/>=]?[^\s/>=]*)\s*(=?)\s*")
+_BARE = re.compile(r"[^\s>]*")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     name: str
-    path: str
-    drop: bool
+    node: int
     rooted: bool  # inside article or main
-    fixed: bool  # its names or tags settle that it is content
-    children: list[str] = field(default_factory=list)
+    fixed: bool  # an article, or its text elements
 
 
 @dataclass
 class Page:
-    """Blocks (path, text, drop, rooted, fixed) in page order and the child styles of each open container."""
-
-    blocks: list[tuple[str, str, bool, bool, bool]] = field(default_factory=list)
-    styles: list[tuple[str, str]] = field(default_factory=list)
-
-
-def _attributes(text: str) -> dict[str, str]:
+    """Nodes in page order (key, parent, prior and kind), child styles, and blocks (node, text) in page order."""
+
+    key: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    prior: list[float] = field(default_factory=list)
+    firm: list[int] = field(default_factory=list)  # of furniture: 0 names may err, 1 unless it holds an article, 2 whatever it holds
+    root: list[bool] = field(default_factory=list)  # article and main
+    styles: list[list[str]] = field(default_factory=list)
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+
+    def add(self, key: int, parent: int, prior: float, firm: int, root: bool) -> int:
+        self.key.append(key)
+        self.parent.append(parent)
+        self.prior.append(prior)
+        self.firm.append(firm)
+        self.root.append(root)
+        self.styles.append([])
+        return len(self.key) - 1
+
+
+def _attributes(text: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int]:
+    """A tag's attributes and where it ends. A quoted value may have any length; a quote that never closes is part of a bare value."""
     out: dict[str, str] = {}
-    for name, a, b, c, bare in _ATTRIBUTE.findall(text):
-        out.setdefault((name or bare).lower(), a or b or c)
-    return out
-
-
-def _dropped(tag: str, attributes: dict[str, str], rooted: bool) -> bool:
-    if tag in _DROP_TAGS or (tag == "header" and not rooted):
+    n = len(text)
+    while at < n:
+        m = _NAME.match(text, at)
+        at = m.end()
+        value = ""
+        if m[2]:
+            quote = text[at : at + 1]
+            if quote in last and at < last[quote]:
+                end = text.index(quote, at + 1)
+                value, at = text[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(text, at)
+                value, at = bare[0], bare.end()
+        if m[1]:
+            out.setdefault(m[1].lower(), value)
+        if at < n and text[at] == ">":
+            return out, at + 1
+    return out, n
+
+
+def _is_furniture(name: str, rooted: bool) -> bool:
+    """A class or id that as a whole names furniture: one of its words does, and the others only qualify it."""
+    words = _NAMES if rooted else _NAMES | _OUTER_NAMES
+    lower = name.lower()
+    if lower in words:
         return True
+    parts = [p.lower() for p in _NAME_PART.findall(name)]
+    return any(p in words for p in parts) and all(p in words or p in _QUALIFIERS or p.isdigit() for p in parts)
+
+
+def _prior(tag: str, attributes: dict[str, str], rooted: bool) -> tuple[float, int]:
+    """(prior importance of an element by its own names, how firm it is)"""
+    if tag in _NEVER:
+        return FURNITURE, 2
+    if tag in _STRONG:
+        return FURNITURE, 1
+    if tag in _WEAK or (tag == "header" and not rooted):
+        return FURNITURE, 0
     if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _DROP_ROLES:
-        return True
-    if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
+        return OPEN, 0
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
+        return FURNITURE, 2
     if tag in ("html", "body", "main"):
-        return False
+        return OPEN, 0
+    if attributes.get("role", "").lower() in _ROLES:
+        return FURNITURE, 0
     for value in (attributes.get("class", ""), attributes.get("id", "")):
-        for name in value.split():
-            parts = [p.lower() for p in _NAME_PART.findall(name)]
-            if any(p in _DROP_NAMES or (not rooted and p in _OUTER_NAMES) for p in parts):
-                return True
-    return False
+        if any(_is_furniture(name, rooted) for name in value.split()):
+            return FURNITURE, 0
+    return OPEN, 0
 
 
-def parse(text: str | None) -> Page:
+def parse(text: str | None, host: str = "") -> Page:
     """A lenient, linear pass over a page; unclosed and stray tags are tolerated as browsers do."""
     page = Page()
+    page.add(xxhash.xxh64_intdigest(host), -1, OPEN, 0, False)
     if not text:
         return page
-    stack = [_Open("", "", False, False, False)]
+    stack = [_Open("", 0, False, False)]
+    where: dict[str, list[int]] = {}  # places in the stack of each name
+    blocks = [0]  # places of what is not inline
     words: list[str] = []
+    last = {q: text.rfind(q) for q in "\"'"}
     at, n = 0, len(text)
 
     def end_block() -> None:
@@ -115,14 +172,17 @@ def parse(text: str | None) -> Page:
             content = " ".join(entities.unescape("".join(words)).split())
             words.clear()
             if content:
-                top = next(o for o in reversed(stack) if o.name not in _INLINE)
-                page.blocks.append((top.path, content, stack[-1].drop, stack[-1].rooted, top.fixed))
+                page.blocks.append((stack[-1].node, content))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            done = stack.pop()
-            if done.children and not done.drop and not done.fixed:
-                page.styles.append((done.path, ",".join(done.children)))
+            where[stack.pop().name].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+
+    def place(name: str) -> int:
+        found = where.get(name)
+        return found[-1] if found else 0
 
     while at < n:
         m = _MARKUP.search(text, at)
@@ -132,16 +192,22 @@ def parse(text: str | None) -> Page:
         if m.start() > at:
             words.append(text[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if not name:
             continue
-        name = name.lower()
-        if m[1] or m[4]:  # an end tag
-            inline = name in _INLINE
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+        name, rest = name.lower(), m[3]
+        attributes: dict[str, str] = {}
+        if not m[4]:
+            attributes, at = _attributes(text, m.end(2), last)
+            rest = "/" if text[at - 2 : at] == "/>" else ""
+        elif "=" in rest or (rest and not rest.isspace() and rest.strip() != "/"):
+            attributes, _ = _attributes(text, m.end(2), last)
+        inline = name in _INLINE
+        if m[1]:  # an end tag
+            depth = place(name)
             if inline:
-                if depth and all(o.name in _INLINE for o in stack[depth:]):
-                    if stack[depth].drop != stack[depth - 1].drop:
+                if depth > blocks[-1]:
+                    if stack[depth].node != stack[depth - 1].node:
                         end_block()
                     close(depth)
                 continue
@@ -149,137 +215,215 @@ def parse(text: str | None) -> Page:
             if depth:
                 close(depth)
             continue
-        inline = name in _INLINE
         if not inline:
             end_block()
             if name in _CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in ("p", "td", "th", "button", "object")), 0)
-                if depth and stack[depth].name == "p":
+                depth = place("p")
+                if depth and depth > max(map(place, _P_LIMITS)):
                     close(depth)
             elif name in _SELF_CLOSING:
-                limit = _SELF_CLOSING[name]
-                peers = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in peers or stack[i].name in limit), 0)
-                if depth and stack[depth].name in peers:
+                depth = max(map(place, _PEERS.get(name, (name,))))
+                if depth and depth > max(map(place, _SELF_CLOSING[name])):
                     close(depth)
-        rest = (m[3] if m[2] else m[6]) or ""
         top = stack[-1]
         if name in _RAW:
             ended = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(text, at)
             at = ended.end() if ended else n
             continue
-        if name in _VOID or (rest.endswith("/") and inline):
+        if name in _VOID or (inline and rest.endswith("/")):
             continue
-        if len(stack) >= (MOST_INLINE if inline else MOST_OPEN):
-            continue
-        attributes = _attributes(rest) if rest.strip(" /") else {}
-        rooted = top.rooted or name in ("article", "main") or attributes.get("role") == "main"
-        drop = top.drop or _dropped(name, attributes, rooted)
-        if inline:
-            if drop and not top.drop:
+        root = name in ("article", "main") or attributes.get("role") == "main"
+        prior, firm = _prior(name, attributes, top.rooted or root)
+        node, fixed = top.node, top.fixed
+        if not inline or prior == FURNITURE:
+            if inline:
                 end_block()
-            path, fixed = top.path, top.fixed
-        else:
             style = name + "".join("." + c for c in sorted(attributes.get("class", "").split()))
-            path = f"{top.path}/{style}"
-            fixed = rooted and (name in ("article", "main") or (top.fixed and name in _TEXT_TAGS))
-            if not top.children or top.children[-1] != style:
-                top.children.append(style)
-        stack.append(_Open(name, path, drop, rooted, fixed))
+            fixed = root or (top.fixed and name in _TEXT_TAGS)
+            own = CONTENT if fixed and prior == OPEN else prior
+            node = page.add(xxhash.xxh64_intdigest(style, page.key[top.node]), top.node, own, firm, root and prior == OPEN)
+            children = page.styles[top.node]
+            if not children or children[-1] != style:
+                children.append(style)
+        if not inline:
+            blocks.append(len(stack))
+        where.setdefault(name, []).append(len(stack))
+        stack.append(_Open(name, node, top.rooted or root, fixed))
     end_block()
-    close(1)
     return page
 
 
-def candidates(page: Page) -> list[tuple[str, str, bool, bool, bool]]:
-    """Blocks that names do not rule out: those inside article or main if there are any, else all."""
-    open_ = [b for b in page.blocks if not b[2]]
-    rooted = [b for b in open_ if b[3]]
-    return rooted or open_
+def importance(evidence: float, prior: float) -> float:
+    """The tree's evidence (0 to 1, 0.5 for none) weighed with the prior, as odds are."""
+    evidence = min(max(evidence, LEAST), MOST)
+    return evidence * prior / (evidence * prior + (1 - evidence) * (1 - prior))
+
+
+def judged(page: Page) -> list[float]:
+    """Prior importance of each node, given what the page holds.
+
+    Furniture that holds most of the text counts as open if it holds an article
+    or, where names may err, if the page has none. If articles hold most of the
+    other text, what stands outside them counts as furniture.
+    """
+    n = len(page.key)
+    size, articles = [0] * n, [0] * n
+    for node, text in page.blocks:
+        size[node] += len(text)
+    for i in range(n - 1, 0, -1):  # parents come before their children
+        size[page.parent[i]] += size[i]
+        articles[page.parent[i]] += articles[i] + page.root[i]
+    prior = list(page.prior)
+    for i in range(1, n):
+        if prior[i] == FURNITURE and 2 * size[i] > size[0] and (articles[i] if page.firm[i] == 1 else not page.firm[i] and (articles[i] or not articles[0])):
+            prior[i] = OPEN
+    inside, kept = [False] * n, [True] * n
+    for i in range(1, n):
+        inside[i] = inside[page.parent[i]] or page.root[i]
+        kept[i] = kept[page.parent[i]] and prior[i] != FURNITURE
+    total = sum(len(text) for node, text in page.blocks if kept[node])
+    own = sum(len(text) for node, text in page.blocks if kept[node] and inside[node])
+    if own and 2 * own >= total:
+        for i in range(1, n):
+            if not inside[i] and not articles[i]:
+                prior[i] = FURNITURE
+    return prior
+
+
+def decided(page: Page, evidence: dict[int, float], min_importance: float = MIN_IMPORTANCE) -> list[bool]:
+    """Whether each node stays: no node on its way from the root is below the least importance.
+
+    If the tree's evidence leaves nothing of a page, the priors decide alone.
+    """
+    prior = judged(page)
+
+    def stays(known: dict[int, float]) -> list[bool]:
+        out = [True] * len(prior)
+        for i in range(1, len(prior)):
+            out[i] = out[page.parent[i]] and importance(known.get(page.key[i], 0.5), prior[i]) >= min_importance
+        return out
+
+    kept = stays(evidence)
+    return kept if any(kept[node] for node, _ in page.blocks) else stays({})
 
 
-def main_text(text: str | None, unimportant: set[int]) -> str:
-    return " ".join(b[1] for b in candidates(parse(text)) if b[4] or not _ruled_out(b[0], unimportant))
+def main_text(text: str | None, evidence: dict[int, float], host: str = "", min_importance: float = MIN_IMPORTANCE) -> str:
+    page = parse(text, host)
+    kept = decided(page, evidence, min_importance)
+    return " ".join(content for node, content in page.blocks if kept[node])
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "replace")), "big", signed=True)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
 
 
-def _ruled_out(path: str, unimportant: set[int]) -> bool:
-    if not unimportant:
-        return False
-    cut = len(path)
-    while cut > 0:
-        if _hash(path[:cut]) in unimportant:
-            return True
-        cut = path.rfind("/", 0, cut)
-    return False
+def _node_rows(text: str | None, host: str) -> list[tuple[int, int, int, int]]:
+    """(node, kind, value, page) of all branches of a page: kind 0 is a block's text, 1 a node's child styles; equal pages have the same page value."""
+    page = parse(text, host)
+    own = _hash("\n".join(content for _, content in page.blocks))
+    rows = {(page.key[node], 0, _hash(content)) for node, content in page.blocks}
+    rows |= {(key, 1, _hash(",".join(s))) for key, s in zip(page.key, page.styles, strict=True) if s}
+    return [(*r, own) for r in rows]
 
 
-def _node_rows(text: str | None) -> set[tuple[int, int, int]]:
-    """(node, kind, value) of a page's open nodes: kind 0 is a block's text, 1 a container's child styles."""
-    page = parse(text)
-    rows = {(_hash(b[0]), 0, _hash(b[1])) for b in candidates(page) if not b[4]}
-    nodes = {n for n, _, _ in rows}
-    return rows | {(node, 1, _hash(s)) for p, s in page.styles if (node := _hash(p)) in nodes}
+def _signed(values: Iterable[int]) -> pa.Array:
+    return pa.array(np.array(list(values), np.uint64).view(np.int64))
 
 
-def unimportant_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, gamma: float = GAMMA) -> DataFrame:
-    """(host, nodes array<long>): style-tree nodes of each host below the least importance.
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, gamma: float = GAMMA) -> DataFrame:
+    """(node, pages, evidence): importance of the nodes of all hosts that ``min_pages`` different pages share, names apart.
 
     Content importance is 1 minus the mean of log_m(pages with this text) over a
     node's occurrences, presentation importance the entropy of its child styles
-    to the base m, for m pages of the node; they are weighted gamma and 1 - gamma.
+    to the base m, for m occurrences; they are weighted gamma and 1 - gamma.
+    Nodes that hold no text of their own have presentation only.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(split_url(u)[0], *r) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True) for r in _node_rows(h)]
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "node", "kind", "value"])
-
-    values = pages.select("url", "html").mapInArrow(run, "host string, node long, kind int, value long").groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
-    # a text's pages weigh n / m each; m is taken from the content rows, of which a page has at least one per node
-    shares = values.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("common"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("s"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("styled"),
+            rows = [r for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True) for r in _node_rows(h, split_url(u)[0])]
+            node, kind, value, page = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([_signed(node), pa.array(kind, pa.int8()), _signed(value), _signed(page)], ["node", "kind", "value", "page"])
+
+    found = pages.select("url", "html").mapInArrow(run, "node long, kind byte, value long, page long").distinct()
+    values = found.groupBy("node", "kind", "value").agg(F.count("*").alias("n"))
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    shares = values.groupBy("node").agg(
+        of(0, F.col("n")).alias("m"), of(0, F.col("n") * F.log("n")).alias("common"), of(1, F.col("n")).alias("s"), of(1, F.col("n") * F.log("n")).alias("styled")
     )
     content = 1 - F.col("common") / F.col("m") / F.log("m")
     style = F.when(F.col("s") > 1, (F.log("s") - F.col("styled") / F.col("s")) / F.log("s")).otherwise(0.0)
-    low = shares.where(F.col("m") >= min_pages).where(gamma * content + (1 - gamma) * style < min_importance)
-    return low.groupBy("host").agg(F.collect_set("node").alias("nodes"))
-
-
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **limits: float) -> DataFrame:
-    """(page_id, url, text, n_chars): the main text of each page.
+    judged_ = shares.where(F.col("m") >= min_pages).select("node", F.col("m").alias("pages"), (gamma * content + (1 - gamma) * style).alias("evidence"))
+    return judged_
+
+
+def extract_pages(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    min_pages: int = MIN_PAGES,
+    min_importance: float = MIN_IMPORTANCE,
+    gamma: float = GAMMA,
+    broadcast_nodes: int = BROADCAST_NODES,
+) -> DataFrame:
+    """(page_id, url, text, n_chars, n_branches, n_removed): the main text of each page, its branches and those removed.
 
     Null and empty html give an empty text; null URLs share the empty host;
-    repeated rows are extracted alike and count as pages of their own in the
-    tree; extra columns are ignored.
+    repeated rows are extracted alike and equal pages count once in the tree;
+    extra columns are ignored.
     """
     workers_see_package(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    low = materialise(unimportant_branches(rows, **limits))
-
-    def hosts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # of the tree, tasks need the nodes whose evidence can turn the prior's verdict: an open node's if it is low, furniture's if it is high
+    turning = (F.col("evidence") < _turning(OPEN, min_importance)) | (F.col("evidence") >= _turning(FURNITURE, min_importance))
+    low = materialise(style_tree(rows, min_pages, gamma).where(turning).select("node", "evidence"))
+    schema = "page_id long, url string, text string, n_chars long, n_branches long, n_removed long"
+
+    def extracted(batch: pa.RecordBatch, evidence: Iterable[dict[int, float]]) -> pa.RecordBatch:
+        out = []
+        for url, html, known in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), evidence, strict=True):
+            page = parse(html, split_url(url)[0])
+            kept = decided(page, known, min_importance)
+            text = " ".join(content for node, content in page.blocks if kept[node])
+            out.append((text, len(text), len(kept) - 1, sum(not k and kept[p] for k, p in zip(kept[1:], page.parent[1:], strict=True))))
+        columns = zip(*out, strict=True) if out else [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *arrays], ["page_id", "url", "text", "n_chars", "n_branches", "n_removed"])
+
+    if low.count() <= broadcast_nodes:
+        table = low.toArrow()
+        known = dict(zip(table["node"].to_numpy().view(np.uint64).tolist(), table["evidence"].to_pylist(), strict=True))
+        sent = pages.sparkSession.sparkContext.broadcast(known)
+
+        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            evidence = sent.value
+            for batch in batches:
+                yield extracted(batch, [evidence] * batch.num_rows)
+
+        return rows.mapInArrow(whole, schema)
+
+    def nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host = pa.array([split_url(u)[0] for u in batch.column("url").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, host], [*batch.schema.names, "page_host"])
+            parsed = [{*parse(h, split_url(u)[0]).key} for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            own = np.repeat(batch.column("row").to_numpy(), [len(p) for p in parsed])
+            yield pa.RecordBatch.from_arrays([pa.array(own), _signed(k for p in parsed for k in p)], ["own", "key"])
 
-    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            nodes = batch.column("nodes").to_pylist() if "nodes" in names else [None] * batch.num_rows
-            texts = [main_text(h, set(u or ())) for h, u in zip(batch.column("html").to_pylist(), nodes, strict=True)]
-            out = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, ["page_id", "url", "text", "n_chars"])
-
-    schema = "page_id long, url string, text string, n_chars long"
-    if low.isEmpty():
-        return rows.mapInArrow(extract, schema)
-    joined = rows.mapInArrow(hosts, "page_id long, url string, html string, page_host string").join(low, F.col("page_host") == F.col("host"), "left")
-    return joined.select("page_id", "url", "html", "nodes").mapInArrow(extract, schema)
+            maps = ({e["node"] % (1 << 64): e["evidence"] for e in found or ()} for found in batch.column("found").to_pylist())
+            yield extracted(batch, maps)
+
+    # a page's nodes are looked up one by one, so neither a host's pages nor its nodes meet in one place
+    numbered = rows.withColumn("row", F.xxhash64("url", "html"))
+    looked = numbered.mapInArrow(nodes, "own long, key long").distinct().join(low, F.col("key") == F.col("node"))
+    lists = looked.groupBy("own").agg(F.collect_list(F.struct("node", "evidence")).alias("found"))
+    return numbered.join(lists, F.col("row") == F.col("own"), "left").select("page_id", "url", "html", "found").mapInArrow(listed, schema)
+
+
+def _turning(prior: float, least: float) -> float:
+    """Evidence from which a node of this prior has the least importance; above 1 if none is enough."""
+    odds = least / (1 - least) * (1 - prior) / prior
+    turn = odds / (1 + odds)
+    return turn if turn <= MOST else 2.0
