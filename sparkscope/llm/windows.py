@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PASSAGE_WORDS, HASHES = 51, 3
 #: Windows that a task groups at once before they are shuffled, and the different ones of a minimum there from which it is dealt out.
 BUFFER_WINDOWS, LOCAL_CROWD = 1 << 20, 64
+#: Rows of a batch that a task hands on.
+OUT_ROWS = 1 << 14
 #: Pairs of a group that are compared at once, first windows that a crowded group is compared with, its windows in a task, and levels before the rest is compared in blocks.
 GROUP_PAIRS, STARS, DEALT, LEVELS = 64 * 64, 16, 2048, 8
 _SEEDS = mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
@@ -93,7 +95,9 @@ def needed(width: int, similarity: float) -> int:
 class Runs:
     """Windows aligned at their centers, one row of shingles each, and the comparison of their runs."""
 
-    def __init__(self, places: np.ndarray, words: list[bytes], shingle: int, width: int, similarity: float):
+    def __init__(self, places: np.ndarray, words: list[bytes], also: list[bytes | None], shingle: int, width: int, similarity: float):
+        self.also = {i: np.frombuffer(x, np.int64) for i, x in enumerate(also) if x}
+        self.center = places >> 24
         self.shingle, self.width, self.need = shingle, width, needed(width, similarity)
         # an edit costs the shingles that span it, so the rest of a similar run can be shifted by so much
         self.band = max(0, width - self.need - (shingle - 1))
@@ -110,6 +114,13 @@ class Runs:
         column = np.arange(span)
         self.valid = (column >= (width - 1 - self.before)[:, None]) & (column <= (width - 1 + self.behind)[:, None])
 
+    def report(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, source: np.ndarray, found: Found) -> None:
+        """Spans from the centers of rows, and from the other places of the same window in the document."""
+        found.add(doc, self.center[rows] + start, self.center[rows] + end, source)
+        for n in [n for n, row in enumerate(rows.tolist()) if row in self.also] if self.also else ():
+            centers = self.also[int(rows[n])]
+            found.add(*(np.broadcast_to(x, len(centers)) for x in (doc[n], centers + start[n], centers + end[n], source[n])))
+
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The interval join: pairs of which runs may start at the same place from the center, or within the band."""
         first = np.maximum(-self.before[a], -self.before[b] - self.band)
@@ -175,11 +186,10 @@ class Found:
         return doc[head], start[head], np.maximum.reduceat(end, head), np.minimum.reduceat(source, head)
 
 
-def _compare(runs: Runs, a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray, found: Found, settled: np.ndarray | None = None) -> None:
+def _compare(runs: Runs, a: np.ndarray, b: np.ndarray, doc: np.ndarray, found: Found, settled: np.ndarray | None = None) -> None:
     """Compare pairs of rows; spans of ``a`` are found, and runs marked as settled for rows that occur once in it."""
     joined = runs.overlap(a, b)
     a, b = a[joined], b[joined]
-    center = place >> 24
     for at in range(0, len(a), 4096):
         i, j = a[at : at + 4096], b[at : at + 4096]
         good = runs.similar(i, j)
@@ -191,8 +201,7 @@ def _compare(runs: Runs, a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: n
             settled[i] |= good
         first = good.argmax(axis=1)
         last = good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
-        words = runs.width - 1
-        found.add(doc[i], center[i] - words + first, center[i] + last + runs.shingle, doc[j])
+        runs.report(i, first - (runs.width - 1), last + runs.shingle, doc[i], doc[j], found)
 
 
 def sub_keys(runs: Runs, members: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +247,23 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Re
         yield _concatenated(held)
 
 
+class _Held:
+    """Small batches gathered into one."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if batch.num_rows:
+            self.parts.append(batch)
+            self.rows += batch.num_rows
+
+    def take(self) -> pa.RecordBatch:
+        parts, self.parts, self.rows = self.parts, [], 0
+        return _concatenated(parts)
+
+
 def _concatenated(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
@@ -245,43 +271,49 @@ def _concatenated(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 # What a row of the windows' shuffle is: a window, a finished span (key start, ctx end, place source), a window of a
 # minimum that is crowded in its task, or a sign of such a minimum to the windows of other tasks.
 _WINDOW, _SPAN, _CROWD, _SIGN = 0, 1, 2, 3
-_WINDOWS = "key long, ctx long, doc long, place long, kind byte"
+_WINDOWS = "key long, ctx long, doc long, place long, kind byte, also binary"
 
 
-def _window_rows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
+def _window_rows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray | int, also: np.ndarray | None = None) -> pa.RecordBatch:
+    more = pa.nulls(len(key), pa.binary()) if also is None else pa.array(also.tolist(), pa.binary())
     kinds = np.broadcast_to(np.asarray(kind, np.int8), len(key))
     columns = [pa.array(x.astype(np.int64, copy=False)) for x in (key, ctx, doc, place)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(kinds)], ["key", "ctx", "doc", "place", "kind"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(kinds), more], ["key", "ctx", "doc", "place", "kind", "also"])
 
 
 def _span_rows(found: Found) -> Iterator[pa.RecordBatch]:
     doc, start, end, source = found.take()
-    if len(doc):
-        yield _window_rows(start, end, doc, source, _SPAN)
+    for at in range(0, len(doc), OUT_ROWS):
+        part = slice(at, at + OUT_ROWS)
+        yield _window_rows(start[part], end[part], doc[part], source[part], _SPAN)
 
 
-def _equal_windows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, shingle: int, found: Found) -> tuple[np.ndarray, ...]:
-    """Link equal windows to their smallest document and keep those of that document only, in order."""
+def _equal_windows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, also: np.ndarray, shingle: int, found: Found) -> tuple[np.ndarray, ...]:
+    """Link equal windows to their smallest document and keep the first of that document, with the centers of its others, in order."""
     order = np.lexsort((place, doc, ctx, key))
-    key, ctx, doc, place = key[order], ctx[order], doc[order], place[order]
-    head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]) if len(key) else np.empty(0, np.int64)
+    key, ctx, doc, place, also = key[order], ctx[order], doc[order], place[order], also[order]
+    if not len(key):
+        return key, ctx, doc, place, also
+    head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
     least = np.repeat(doc[head], np.diff(np.r_[head, len(key)]))
     more = doc > least
-    center, before, behind = _parts(place[more])
-    found.add(doc[more], center - before, center + behind + shingle, least[more])
-    keep = ~more
-    if len(key):
-        keep[1:] &= (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (place[1:] != place[:-1])
-    return key[keep], ctx[keep], doc[keep], place[keep]
+    center, before, behind = _parts(place)
+    found.add(doc[more], (center - before)[more], (center + behind)[more] + shingle, least[more])
+    for i in np.flatnonzero(more & (also != None)).tolist():  # noqa: E711 - of an array
+        centers = np.frombuffer(also[i], np.int64)
+        found.add(np.full(len(centers), doc[i]), centers - before[i], centers + behind[i] + shingle, np.full(len(centers), least[i]))
+    own = np.add.reduceat((~more).astype(np.int64), head)
+    for h, n in zip(head[own > 1].tolist(), own[own > 1].tolist(), strict=True):
+        centers = np.concatenate([center[h + 1 : h + n], *(np.frombuffer(x, np.int64) for x in also[h : h + n] if x)])
+        centers = np.unique(centers[centers != center[h]])
+        also[h] = centers.tobytes() or None
+    return key[head], ctx[head], doc[head], place[head], also[head]
 
 
-def _different(key: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each key, its number of different windows) of rows in order."""
-    if not len(key):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    new = np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]
-    return head, np.add.reduceat(new.astype(np.int64), head)
+def _different(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of rows) of each key of rows in order."""
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return head, np.diff(np.r_[head, len(key)])
 
 
 def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: int) -> DataFrame:
@@ -294,11 +326,13 @@ def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: in
 
         def flush() -> Iterator[pa.RecordBatch]:
             found = Found()
-            key, ctx, doc, place = _equal_windows(*(np.concatenate(x) for x in zip(*held, strict=True)), shingle, found)
-            head, many = _different(key, ctx)
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            key, ctx, doc, place, also = _equal_windows(*columns, np.full(len(columns[0]), None, object), shingle, found)
+            head, many = _different(key)
             full = many > LOCAL_CROWD
-            kind = np.where(np.repeat(full, np.diff(np.r_[head, len(key)])), _CROWD, _WINDOW)
-            yield _window_rows(key, ctx, doc, place, kind)
+            kind = np.where(np.repeat(full, many), _CROWD, _WINDOW)
+            for at in range(0, len(key), OUT_ROWS):
+                yield _window_rows(*(x[at : at + OUT_ROWS] for x in (key, ctx, doc, place, kind, also)))
             signs = key[head[full]]
             yield _window_rows(signs, np.zeros_like(signs), np.zeros_like(signs), np.zeros_like(signs), _SIGN)
             yield from _span_rows(found)
@@ -333,10 +367,11 @@ def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: in
             window = (kind == _WINDOW) | (kind == _CROWD)
             crowded = np.unique(key[(kind == _SIGN) | (kind == _CROWD)])
             found = Found()
-            key, ctx, doc, place = _equal_windows(key[window], ctx[window], doc[window], place[window], shingle, found)
-            head, many = _different(key, ctx)
-            several = np.repeat((many > 1) | np.isin(key[head], crowded), np.diff(np.r_[head, len(key)]))
-            yield _window_rows(key[several], ctx[several], doc[several], place[several], _WINDOW)
+            also = np.array([*batch.column("also").to_pylist(), None], object)[:-1]
+            key, ctx, doc, place, also = _equal_windows(key[window], ctx[window], doc[window], place[window], also[window], shingle, found)
+            head, many = _different(key)
+            several = np.repeat((many > 1) | np.isin(key[head], crowded), many)
+            yield _window_rows(key[several], ctx[several], doc[several], place[several], _WINDOW, also[several])
             yield from _span_rows(found)
 
     # windows of a crowded minimum are dealt out by all their words, spans by their document
@@ -346,7 +381,7 @@ def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: in
 
 
 def _window_words(rows: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
-    """(key, doc, place, words) of windows (key, ctx, doc, place); only texts that have one are moved, as hashes of words."""
+    """(key, doc, place, words, also) of windows (key, ctx, doc, place, also); only texts that have one are moved, as hashes of words."""
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,27 +389,30 @@ def _window_words(rows: DataFrame, windows: DataFrame, shingle: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "words"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
-            keys, docs, places, out = [], [], [], []
             for doc, blob, listed in zip(batch.column("doc").to_pylist(), batch.column("words"), batch.column("listed"), strict=True):
                 own = np.frombuffer(blob.as_py(), np.uint32)
                 key, ctx, place = (listed.values.field(i).to_numpy() for i in range(3))
+                also = listed.values.field(3)
                 center, before, behind = _parts(place)
                 start, end = center - before, center + behind + shingle
                 # of rows that repeat an id, a window is cut from those that have it
                 fits = np.flatnonzero(end <= len(own))
                 fits = fits[(rolled(own, start[fits], end[fits]) ^ before[fits]) == ctx[fits]]
-                keys.append(key[fits])
-                docs.append(np.full(len(fits), doc, np.int64))
-                places.append(place[fits])
-                out += [own[a:b].tobytes() for a, b in zip(start[fits].tolist(), end[fits].tolist(), strict=True)]
-            columns = [pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (keys, docs, places)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["key", "doc", "place", "words"])
-
-    listed = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place")).alias("listed"))
+                for part in np.array_split(fits, len(fits) // OUT_ROWS + 1):
+                    out = [own[a:b].tobytes() for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)]
+                    columns = [pa.array(key[part]), pa.array(np.full(len(part), doc, np.int64)), pa.array(place[part]), pa.array(out, pa.binary()), also.take(pa.array(part))]
+                    held.add(pa.RecordBatch.from_arrays(columns, ["key", "doc", "place", "words", "also"]))
+                    if held.rows >= OUT_ROWS:
+                        yield held.take()
+            if held.rows:
+                yield held.take()
+
+    listed = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "place", "also")).alias("listed"))
     blobs = possible(rows, "doc_id", windows.select("doc")).mapInArrow(words, "id long, words binary")
     joined = listed.join(blobs, F.col("doc") == F.col("id")).select("doc", "words", "listed")
-    return joined.mapInArrow(cut, "key long, doc long, place long, words binary")
+    return joined.mapInArrow(cut, "key long, doc long, place long, words binary, also binary")
 
 
 class _Shape:
@@ -384,7 +422,7 @@ class _Shape:
         self.shingle, self.width, self.similarity = shingle, width, similarity
 
     def runs(self, batch: pa.RecordBatch) -> Runs:
-        return Runs(batch.column("place").to_numpy(), batch.column("words").to_pylist(), self.shingle, self.width, self.similarity)
+        return Runs(batch.column("place").to_numpy(), batch.column("words").to_pylist(), batch.column("also").to_pylist(), self.shingle, self.width, self.similarity)
 
     def spans(self, groups: DataFrame, key: str, sided: bool = False) -> DataFrame:
         """Spans from rows whose groups are small enough to be compared throughout."""
@@ -394,13 +432,13 @@ class _Shape:
                 found = Found()
                 for at, to in _slices(batch.column(key).to_numpy()):
                     part = batch.slice(at, to - at)
-                    keys, doc, place, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in (key, "doc", "place", "asks"))
+                    keys, doc, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in (key, "doc", "asks"))
                     sizes = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]))
                     others = part.column("answers").to_numpy(zero_copy_only=False) if sided else None
-                    _compare_groups(self.runs(part), sizes, doc, place, asks, others, found)
+                    _compare_groups(self.runs(part), sizes, doc, asks, others, found)
                 yield from _span_rows(found)
 
-        columns = [key, "doc", "place", "words", "asks", *(["answers"] if sided else [])]
+        columns = [key, "doc", "place", "words", "also", "asks", *(["answers"] if sided else [])]
         return groups.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, _WINDOWS)
 
 
@@ -415,7 +453,7 @@ def _slices(keys: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _compare_groups(runs: Runs, sizes: np.ndarray, doc: np.ndarray, place: np.ndarray, asks: np.ndarray, answers: np.ndarray | None, found: Found) -> None:
+def _compare_groups(runs: Runs, sizes: np.ndarray, doc: np.ndarray, asks: np.ndarray, answers: np.ndarray | None, found: Found) -> None:
     """Compare the asking rows of each of several groups with its (answering) rows of smaller documents."""
     start, many = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
     asking = np.flatnonzero(asks)
@@ -426,7 +464,7 @@ def _compare_groups(runs: Runs, sizes: np.ndarray, doc: np.ndarray, place: np.nd
         chosen = doc[a] > doc[b]
         if answers is not None:
             chosen &= answers[b]
-        _compare(runs, a[chosen], b[chosen], doc, place, found)
+        _compare(runs, a[chosen], b[chosen], doc, found)
 
 
 def _next_level(crowded: DataFrame, shape: _Shape) -> DataFrame:
@@ -437,7 +475,7 @@ def _next_level(crowded: DataFrame, shape: _Shape) -> DataFrame:
     """
     first = Window.partitionBy("key").orderBy("doc", "place")
     stars = crowded.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= STARS)
-    columns = ["key", "doc", "place", "words", "asks"]
+    columns = ["key", "doc", "place", "words", "also", "asks"]
     salts = F.ceil(F.col("n") / DEALT).cast("int")
     star_rows = stars.select(*columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("star"))
     rows = crowded.select(*columns, F.pmod(F.xxhash64("doc", "place"), salts).cast("int").alias("salt"), F.lit(False).alias("star"))
@@ -450,7 +488,7 @@ def _next_level(crowded: DataFrame, shape: _Shape) -> DataFrame:
             settled = np.zeros((len(doc), shape.width), np.bool_)
             for s in center.tolist():
                 later = member[asks[member] & (doc[member] > doc[s])]
-                _compare(runs, later, np.full(len(later), s), doc, place, found, settled)
+                _compare(runs, later, np.full(len(later), s), doc, found, settled)
             for s in center.tolist():  # what has been compared with all is done
                 member = member[(doc[member] != doc[s]) | (place[member] != place[s])]
             yield from (_level_rows(b.column("key"), b.column("ctx"), b.column("doc"), b.column("place"), None, _SPAN) for b in _span_rows(found))
@@ -477,8 +515,8 @@ def _blocks(crowded: DataFrame, shape: _Shape) -> DataFrame:
     own = F.pmod(F.xxhash64("doc", "place"), parts).cast("int")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
     sides = [
-        crowded.where("asks").select("key", "doc", "place", "words", own.alias("x"), every.alias("y"), F.lit(True).alias("asks"), F.lit(False).alias("answers")),
-        crowded.select("key", "doc", "place", "words", every.alias("x"), own.alias("y"), F.lit(False).alias("asks"), F.lit(True).alias("answers")),
+        crowded.where("asks").select("key", "doc", "place", "words", "also", own.alias("x"), every.alias("y"), F.lit(True).alias("asks"), F.lit(False).alias("answers")),
+        crowded.select("key", "doc", "place", "words", "also", every.alias("x"), own.alias("y"), F.lit(False).alias("asks"), F.lit(True).alias("answers")),
     ]
     return shape.spans(reduce(DataFrame.unionByName, sides).withColumn("task", F.xxhash64("key", "x", "y")), "task", sided=True)
 
@@ -504,9 +542,9 @@ def _similar_spans(rows: DataFrame, shape: _Shape) -> list[DataFrame]:
         subs = below.where(F.col("kind") == _WINDOW)
         shared = subs.groupBy("sub").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("asks").alias("asked")).where("low != high and asked")
         left = subs.join(shared.select(F.col("sub").alias("s")), F.col("sub") == F.col("s"), "left_semi").withColumnRenamed("key", "k")
-        words = crowded.select("key", F.col("doc").alias("d"), F.col("place").alias("p"), "words")
+        words = crowded.select("key", F.col("doc").alias("d"), F.col("place").alias("p"), "words", "also")
         joined = left.join(words, (F.col("k") == F.col("key")) & (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")))
-        rows = materialise(joined.select(F.col("sub").alias("key"), "doc", "place", "words", "asks"))
+        rows = materialise(joined.select(F.col("sub").alias("key"), "doc", "place", "words", "also", "asks"))
     return spans
 
 
@@ -533,7 +571,8 @@ def repeated_passages(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     shared = materialise(shared_windows(rows, passage_words, shingle, hashes))
     words = materialise(_window_words(rows, shared.where(F.col("kind") == _WINDOW), shingle))
-    spans = reduce(DataFrame.unionByName, [shared.where(F.col("kind") == _SPAN), *_similar_spans(words, shape)])
+    parts = [shared.where(F.col("kind") == _SPAN), *_similar_spans(words, shape)]
+    spans = reduce(DataFrame.unionByName, [part.select("doc", "key", "ctx", "place") for part in parts])
     return _merged(spans.select(F.col("doc").alias("doc_id"), F.col("key").alias("start_word"), F.col("ctx").alias("end_word"), F.col("place").alias("source_id")))
 
 

@@ -1,6 +1,7 @@
 """Pages, URLs, vectors, passages and the pipeline against brute force."""
 
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -37,25 +38,64 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
 
 
 def test_main_text():
-    text = sitetree.main_text(PAGE.format(n=3), set())
+    text = sitetree.main_text(PAGE.format(n=3), {})
     assert text == "Ti&tle 3 First para 3. Line Second <x> text end Last"
-    assert sitetree.main_text(None, set()) == sitetree.main_text("", set()) == ""
-    assert sitetree.main_text("<p>a<!-- <p>x --><b>b</b>c <i>d", set()) == "abc d"
-    assert sitetree.main_text("plain < 5 & more", set()) == "plain < 5 & more"
-    assert sitetree.main_text("<body><p>x</body><", set()) == "x <"
-    assert sitetree.main_text("<b><div>" * 20000 + "deep" + "</div>" * 20000 + "<nav>no</nav><p>end", set()) == "deep end"
-    assert sitetree.main_text("<article>" + '<a "' * 20000 + "<p>ok</p></article>", set()).strip() in ("ok", "")
-
-
-def test_the_tree_removes_what_pages_of_a_host_share(spark):
-    body = "<html><body><div class=x1>Everywhere the same words</div><div class=x2><p>Story {n} of its own</p></div><div class=x3>Menu {m}</div></body></html>"
-    rows = [(i, f"http://h.example/{i}", body.format(n=i, m=i % 2)) for i in range(12)]
-    rows += [(100, "http://other.example/", body.format(n=100, m=1)), (101, None, None), (102, "http://h.example/z", "")]
+    assert sitetree.main_text(None, {}) == sitetree.main_text("", {}) == ""
+    assert sitetree.main_text("<p>a<!-- <p>x --><b>b</b>c <i>d", {}) == "abc d"
+    assert sitetree.main_text("plain < 5 & more", {}) == "plain < 5 & more"
+    assert sitetree.main_text("<body><p>x</body><", {}) == "x <"
+    assert sitetree.main_text("<b><div>" * 20000 + "deep" + "</div>" * 20000 + "<nav>no</nav><p>end", {}) == "deep end"
+    assert sitetree.main_text("<article>" + '<a "' * 20000 + "<p>ok</p></article>", {}) == "ok"
+    story = "The body of a story that says more than all else on the page."
+    for page in (
+        f'<div class="layout has-sidebar"><div><p>{story}</div></div>',
+        f'<article class="post social-science notice-board"><p>{story}</article>',
+        f'<div id="main-search-results-page"><p>{story}</div>',
+        f'<article class=card>other story</article><div><p>{story}</div>',
+        f'<form><div class=sidebar>side</div><main>{story}</main></form>',
+        f'<div class=sidebar><article>{story}</article><nav>menu</nav></div>',
+        f'<p data-x="{"y>" * 5000}leaked">{story}',
+        "<div>" * 3000 + f"<nav>menu</nav>{story}" + "</div>" * 3000,
+    ):
+        assert sitetree.main_text(page, {}) == story
+    assert sitetree.main_text("<nav>Menu</nav><footer>Imprint</footer><p>x", {}) == "x"
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.process_time()
+    for piece in ('<a "', "<b><div>", '<a x="', '<a ">" ', "<a x='\"", "<!--", "<li>", "<p>", "</div>", "<a b=", "<", "&"):
+        sitetree.main_text(piece * 30000, {})
+    assert time.process_time() - began < 30
+
+
+def _site(rng, host, n):
+    """Pages whose class names say nothing and differ by host: a menu, a line that all share, the story, related stories of few texts."""
+    name = [f"c{x}" for x in rng.integers(0, 10**6, 4)]
+    few = [" ".join(f"r{x}" for x in rng.integers(0, 99, 8)) for _ in range(3)]
+    for i in range(n):
+        story = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 30))
+        yield f"http://{host}/{i}", story, (
+            f"<html><body><div class={name[0]}><ul><li>Home<li>About us</ul></div><div class='{name[1]}'>All rights reserved</div>"
+            f"<div class={name[2]}><p>{story}</p></div><div class={name[3]}><p>{few[i % 3]}</p></div></body></html>"
+        )
+
+
+@pytest.mark.parametrize("nodes", [sitetree.BROADCAST_NODES, 0])
+def test_the_tree_removes_what_pages_of_a_host_share(spark, nodes):
+    rng = np.random.default_rng(41)
+    made = [x for h in range(4) for x in _site(rng, f"h{h}.example", 40)]
+    rows = [(i, url, html) for i, (url, _, html) in enumerate(made)]
+    lone = next(_site(rng, "lone.example", 1))
+    rows += [(1000, lone[0], lone[2]), (1001, None, None), (1002, "http://h0.example/z", "")]
+    # copies of one page are one page, so the host has too few to judge by
+    rows += [(2000 + i, f"http://copies.example/{i}", f"<div class=q><div class=body><p>{made[0][1]}</p></div></div>") for i in range(30)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
-    found = {r.page_id: r for r in sitetree.extract_pages(pages).collect()}
-    assert found[3].text == "Story 3 of its own"  # two texts on 12 pages are furniture as well
-    assert found[100].text == "Everywhere the same words Story 100 of its own Menu 1"
-    assert (found[101].text, found[101].n_chars, found[102].text) == ("", 0, "")
+    found = {r.page_id: r for r in sitetree.extract_pages(pages, broadcast_nodes=nodes).collect()}
+    assert {i: found[i].text for i in range(len(made))} == {i: story for i, (_, story, _) in enumerate(made)}
+    assert all(found[i].n_removed == 4 for i in range(len(made)))  # the parts of the menu, the line, and the related stories
+    assert "Home About us All rights reserved " + lone[1] in found[1000].text
+    assert all(found[2000 + i].text == made[0][1] for i in range(30))
+    assert (found[1001].text, found[1001].n_chars, found[1002].text) == ("", 0, "")
     assert sitetree.extract_pages(pages.where("false")).count() == 0
 
 
@@ -341,7 +381,7 @@ def _passages_by_brute_force(docs, width=47, need=42):
                 run = a[s : s + width]
                 for t in range(len(b) - width + 1):
                     other = b[t : t + width]
-                    if run[0] in other and run[-1] in other and len(set(run) & set(other)) >= need:
+                    if run[0] in other and run[-1] in other and sum(x in other for x in run) >= need and sum(x in run for x in other) >= need:
                         found[i] |= set(range(s, s + width + 4))
                         break
     return found
@@ -368,6 +408,9 @@ def test_passages_against_brute_force(spark, monkeypatch, limits):
         near = [*long]
         near[int(rng.integers(0, len(near)))] = f"own{i}"
         docs[i] = [*fresh(8), *near, *fresh(8)]
+    line = fresh(20)
+    docs[60], docs[61] = [*line * 8, *fresh(5)], [*fresh(9), *line * 5, *fresh(60), *line * 4]  # lines that repeat inside documents
+    docs[62] = [*fresh(3), *line[:19], "other", *line * 3, *fresh(3)]
     truth = _passages_by_brute_force(docs)
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3, "doc_id")
     got = {i: set() for i in docs}
