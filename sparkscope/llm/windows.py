@@ -9,17 +9,13 @@ to the smallest document. Different windows of a minimum meet in an interval
 join, aligned at the minimum's shingle, and runs of equal width whose starts
 lie in both intervals are compared word by word.
 
-A group of too many pairs is crowded. All its windows are compared with its
-STARS first ones; then each run is keyed by its rarest shingles, as many as a
-similar run cannot lack all of (a prefix filter, so nothing is lost), and the
-windows of each such key are a group of the next level. No document, passage or
-partner is left out, whatever the size of a group.
+Groups of any size are compared by ``crowds``: no document, passage or partner
+is left out in a crowded one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +23,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscope.llm.kernels import binary_rows, key_runs, located_words, mix64, rolled, shingle_hashes, word_hashes
+from sparkscope.llm import crowds
+from sparkscope.llm.crowds import OUT_ROWS, Held, whole_groups
+from sparkscope.llm.kernels import binary_rows, located_words, mix64, rolled, shingle_hashes, word_hashes
 from sparkscope.llm.membership import fresh, possible, split
 from sparkscope.session import materialise, workers_see_package
 
@@ -36,10 +34,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 PASSAGE_WORDS, HASHES = 51, 3
 #: Windows that a task groups at once before they are shuffled, and the different ones of a minimum there from which it is dealt out.
 BUFFER_WINDOWS, LOCAL_CROWD = 1 << 20, 64
-#: Rows of a batch that a task hands on.
-OUT_ROWS = 1 << 14
-#: Pairs of a group that are compared at once, first windows that a crowded group is compared with, its windows in a task, and levels before the rest is compared in blocks.
-GROUP_PAIRS, STARS, DEALT, LEVELS = 64 * 64, 16, 2048, 8
 _SEEDS = mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -92,7 +86,7 @@ def needed(width: int, similarity: float) -> int:
     return int(np.ceil(width * 2 * similarity / (1 + similarity) - 1e-9))
 
 
-class Runs:
+class Runs(crowds.Loaded):
     """Windows aligned at their centers, one row of shingles each, and the comparison of their runs."""
 
     def __init__(self, places: np.ndarray, words: list[bytes], also: list[bytes | None], shingle: int, width: int, similarity: float):
@@ -114,7 +108,7 @@ class Runs:
         column = np.arange(span)
         self.valid = (column >= (width - 1 - self.before)[:, None]) & (column <= (width - 1 + self.behind)[:, None])
 
-    def report(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, source: np.ndarray, found: Found) -> None:
+    def report(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, source: np.ndarray, found: Spans) -> None:
         """Spans from the centers of rows, and from the other places of the same window in the document."""
         found.add(doc, self.center[rows] + start, self.center[rows] + end, source)
         for n in [n for n, row in enumerate(rows.tolist()) if row in self.also] if self.also else ():
@@ -154,28 +148,59 @@ class Runs:
             near[:, :-d] |= other[:, d:]
         return own & near
 
+    def compare(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, found: crowds.Found, settled: np.ndarray | None = None) -> None:
+        joined = self.overlap(a, b)
+        a, b = a[joined], b[joined]
+        for at in range(0, len(a), 4096):
+            i, j = a[at : at + 4096], b[at : at + 4096]
+            good = self.similar(i, j)
+            some = good.any(axis=1)
+            if not some.any():
+                continue
+            i, j, good = i[some], j[some], good[some]
+            if settled is not None:
+                settled[i] |= good
+            first = good.argmax(axis=1)
+            last = good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
+            self.report(i, first - (self.width - 1), last + self.shingle, doc[i], doc[j], found)
+
+    def parts(self) -> np.ndarray:
+        return self.valid[:, : self.width] & self.valid[:, self.width - 1 :]
+
+    def prefixes(self, members: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run the shingles that fewest stars have, one more than a similar run may lack."""
+        values = self.shingles[members].astype(np.uint64)
+        known, many = np.unique(np.concatenate([np.zeros(1, np.uint32), *(np.unique(self.shingles[s][self.valid[s]]) for s in stars.tolist())]), return_counts=True)
+        place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        weight = np.where(known[place] == values, many[place], 0).astype(np.uint64)
+        order = weight << np.uint64(32) | values
+        order[~self.valid[members]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        prefix, runs = self.width - self.need + 1, self.parts()[members]
+        rows, picked = [], []
+        for s in range(self.width):
+            whole = np.flatnonzero(runs[:, s])
+            if len(whole):
+                least = np.partition(order[whole, s : s + self.width], prefix - 1, axis=1)[:, :prefix]
+                rows.append(np.repeat(members[whole], prefix))
+                picked.append(least.ravel() & np.uint64(0xFFFFFFFF))
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(picked)]), axis=1)
+        return both[0].astype(np.int64), both[1]
+
     def _sums(self, hit: np.ndarray) -> np.ndarray:
         total = np.zeros((len(hit), hit.shape[1] + 1), np.int16)
         np.cumsum(hit, axis=1, out=total[:, 1:], dtype=np.int16)
         return total[:, self.width :] - total[:, : -self.width]
 
 
-class Found:
-    """Spans of documents that have a source, gathered and handed on as rows."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> None:
-        if len(doc):
-            self.parts.append((doc, start, end, source))
+class Spans(crowds.Found):
+    """Spans of documents; overlapping ones of a document are handed on as one, with the smallest source."""
 
     def take(self) -> tuple[np.ndarray, ...]:
-        """Overlapping spans of a document as one, with the smallest source."""
-        if not self.parts:
-            return (np.empty(0, np.int64),) * 4
-        doc, start, end, source = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts = []
+        doc, start, end, source = super().take()
+        if not len(doc):
+            return doc, start, end, source
         order = np.lexsort((start, doc))
         doc, start, end, source = doc[order], start[order], end[order], source[order]
         group = np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
@@ -186,88 +211,6 @@ class Found:
         return doc[head], start[head], np.maximum.reduceat(end, head), np.minimum.reduceat(source, head)
 
 
-def _compare(runs: Runs, a: np.ndarray, b: np.ndarray, doc: np.ndarray, found: Found, settled: np.ndarray | None = None) -> None:
-    """Compare pairs of rows; spans of ``a`` are found, and runs marked as settled for rows that occur once in it."""
-    joined = runs.overlap(a, b)
-    a, b = a[joined], b[joined]
-    for at in range(0, len(a), 4096):
-        i, j = a[at : at + 4096], b[at : at + 4096]
-        good = runs.similar(i, j)
-        some = good.any(axis=1)
-        if not some.any():
-            continue
-        i, j, good = i[some], j[some], good[some]
-        if settled is not None:
-            settled[i] |= good
-        first = good.argmax(axis=1)
-        last = good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
-        runs.report(i, first - (runs.width - 1), last + runs.shingle, doc[i], doc[j], found)
-
-
-def sub_keys(runs: Runs, members: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle): for each run of the members its shingles that fewest stars have, one more than a similar run may lack.
-
-    All members of a group use the same order (how many stars have a shingle,
-    then its value), so two similar runs have one of these in common.
-    """
-    values = runs.shingles[members].astype(np.uint64)
-    weight = np.zeros(values.shape, np.uint64)
-    for s in stars.tolist():
-        weight += np.isin(values, runs.shingles[s][runs.valid[s]])
-    order = weight << np.uint64(32) | values
-    order[~runs.valid[members]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    prefix, width = runs.width - runs.need + 1, runs.width
-    rows, picked = [], []
-    for s in range(order.shape[1] - width + 1):
-        whole = np.flatnonzero(runs.valid[members, s] & runs.valid[members, s + width - 1])
-        if len(whole):
-            least = np.partition(order[whole, s : s + width], prefix - 1, axis=1)[:, :prefix]
-            rows.append(np.repeat(members[whole], prefix))
-            picked.append(least.ravel() & np.uint64(0xFFFFFFFF))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(picked)]), axis=1)
-    return both[0].astype(np.int64), both[1]
-
-
-def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """The rows of batches sorted by ``key``, cut only between keys."""
-    held: list[pa.RecordBatch] = []  # rows of one key, which may go on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut or (held and held[-1].column(key)[0].as_py() != keys[0]):
-            done = [*held, batch.slice(0, cut)] if cut else held
-            yield _concatenated(done)
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield _concatenated(held)
-
-
-class _Held:
-    """Small batches gathered into one."""
-
-    def __init__(self) -> None:
-        self.parts: list[pa.RecordBatch] = []
-        self.rows = 0
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        if batch.num_rows:
-            self.parts.append(batch)
-            self.rows += batch.num_rows
-
-    def take(self) -> pa.RecordBatch:
-        parts, self.parts, self.rows = self.parts, [], 0
-        return _concatenated(parts)
-
-
-def _concatenated(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 # What a row of the windows' shuffle is: a window, a finished span (key start, ctx end, place source), a window of a
 # minimum that is crowded in its task, or a sign of such a minimum to the windows of other tasks.
 _WINDOW, _SPAN, _CROWD, _SIGN = 0, 1, 2, 3
@@ -281,14 +224,14 @@ def _window_rows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.nd
     return pa.RecordBatch.from_arrays([*columns, pa.array(kinds), more], ["key", "ctx", "doc", "place", "kind", "also"])
 
 
-def _span_rows(found: Found) -> Iterator[pa.RecordBatch]:
+def _span_rows(found: crowds.Found) -> Iterator[pa.RecordBatch]:
     doc, start, end, source = found.take()
     for at in range(0, len(doc), OUT_ROWS):
         part = slice(at, at + OUT_ROWS)
         yield _window_rows(start[part], end[part], doc[part], source[part], _SPAN)
 
 
-def _equal_windows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, also: np.ndarray, shingle: int, found: Found) -> tuple[np.ndarray, ...]:
+def _equal_windows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, also: np.ndarray, shingle: int, found: Spans) -> tuple[np.ndarray, ...]:
     """Link equal windows to their smallest document and keep the first of that document, with the centers of its others, in order."""
     order = np.lexsort((place, doc, ctx, key))
     key, ctx, doc, place, also = key[order], ctx[order], doc[order], place[order], also[order]
@@ -325,7 +268,7 @@ def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: in
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = Found()
+            found = Spans()
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             key, ctx, doc, place, also = _equal_windows(*columns, np.full(len(columns[0]), None, object), shingle, found)
             head, many = _different(key)
@@ -360,13 +303,13 @@ def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: in
             yield from flush()
 
     def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches, "key"):
+        for batch in whole_groups(batches, "key"):
             kind = batch.column("kind").to_numpy()
             yield batch.filter(pa.array(kind == _SPAN))
             key, ctx, doc, place = (batch.column(c).to_numpy() for c in ("key", "ctx", "doc", "place"))
             window = (kind == _WINDOW) | (kind == _CROWD)
             crowded = np.unique(key[(kind == _SIGN) | (kind == _CROWD)])
-            found = Found()
+            found = Spans()
             also = np.array([*batch.column("also").to_pylist(), None], object)[:-1]
             key, ctx, doc, place, also = _equal_windows(key[window], ctx[window], doc[window], place[window], also[window], shingle, found)
             head, many = _different(key)
@@ -389,7 +332,7 @@ def _window_words(rows: DataFrame, windows: DataFrame, shingle: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "words"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
+        held = Held()
         for batch in batches:
             for doc, blob, listed in zip(batch.column("doc").to_pylist(), batch.column("words"), batch.column("listed"), strict=True):
                 own = np.frombuffer(blob.as_py(), np.uint32)
@@ -415,137 +358,18 @@ def _window_words(rows: DataFrame, windows: DataFrame, shingle: int) -> DataFram
     return joined.mapInArrow(cut, "key long, doc long, place long, words binary, also binary")
 
 
-class _Shape:
-    """The parameters of a comparison, as tasks need them."""
+class Passages(crowds.Comparison):
+    payload = ("words", "also")
 
     def __init__(self, shingle: int, width: int, similarity: float):
         self.shingle, self.width, self.similarity = shingle, width, similarity
 
-    def runs(self, batch: pa.RecordBatch) -> Runs:
-        return Runs(batch.column("place").to_numpy(), batch.column("words").to_pylist(), batch.column("also").to_pylist(), self.shingle, self.width, self.similarity)
-
-    def spans(self, groups: DataFrame, key: str, sided: bool = False) -> DataFrame:
-        """Spans from rows whose groups are small enough to be compared throughout."""
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _whole_groups(batches, key):
-                found = Found()
-                for at, to in _slices(batch.column(key).to_numpy()):
-                    part = batch.slice(at, to - at)
-                    keys, doc, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in (key, "doc", "asks"))
-                    sizes = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]))
-                    others = part.column("answers").to_numpy(zero_copy_only=False) if sided else None
-                    _compare_groups(self.runs(part), sizes, doc, asks, others, found)
-                yield from _span_rows(found)
-
-        columns = [key, "doc", "place", "words", "also", "asks", *(["answers"] if sided else [])]
-        return groups.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, _WINDOWS)
-
-
-def _slices(keys: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
-    """Cuts between keys after about so many rows."""
-    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    at = 0
-    while at < len(keys):
-        later = heads[heads >= at + rows]
-        to = int(later[0]) if len(later) else len(keys)
-        yield at, to
-        at = to
-
-
-def _compare_groups(runs: Runs, sizes: np.ndarray, doc: np.ndarray, asks: np.ndarray, answers: np.ndarray | None, found: Found) -> None:
-    """Compare the asking rows of each of several groups with its (answering) rows of smaller documents."""
-    start, many = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
-    asking = np.flatnonzero(asks)
-    for part in np.array_split(asking, max(1, int(many[asking].sum()) >> 18)):
-        n = many[part]
-        a = np.repeat(part, n)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[part], n)
-        chosen = doc[a] > doc[b]
-        if answers is not None:
-            chosen &= answers[b]
-        _compare(runs, a[chosen], b[chosen], doc, found)
-
-
-def _next_level(crowded: DataFrame, shape: _Shape) -> DataFrame:
-    """Spans of crowded groups' rows against their first ones, and the keys of the runs for the next level.
-
-    Rows are (kind, sub, key, doc, place, asks): spans as elsewhere (sub start,
-    key end, place source), and for each row but the stars its keys.
-    """
-    first = Window.partitionBy("key").orderBy("doc", "place")
-    stars = crowded.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= STARS)
-    columns = ["key", "doc", "place", "words", "also", "asks"]
-    salts = F.ceil(F.col("n") / DEALT).cast("int")
-    star_rows = stars.select(*columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("star"))
-    rows = crowded.select(*columns, F.pmod(F.xxhash64("doc", "place"), salts).cast("int").alias("salt"), F.lit(False).alias("star"))
+    def load(self, batch: pa.RecordBatch) -> Runs:
+        place, words, also = (batch.column(c) for c in ("place", "words", "also"))
+        return Runs(place.to_numpy(), words.to_pylist(), also.to_pylist(), self.shingle, self.width, self.similarity)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_runs(batches, "task"):
-            star, doc, place, asks, key = (group.column(c).to_numpy(zero_copy_only=False) for c in ("star", "doc", "place", "asks", "key"))
-            center, member = np.flatnonzero(star), np.flatnonzero(~star)
-            runs, found = shape.runs(group), Found()
-            settled = np.zeros((len(doc), shape.width), np.bool_)
-            for s in center.tolist():
-                later = member[asks[member] & (doc[member] > doc[s])]
-                _compare(runs, later, np.full(len(later), s), doc, found, settled)
-            for s in center.tolist():  # what has been compared with all is done
-                member = member[(doc[member] != doc[s]) | (place[member] != place[s])]
-            yield from (_level_rows(b.column("key"), b.column("ctx"), b.column("doc"), b.column("place"), None, _SPAN) for b in _span_rows(found))
-            for at in range(0, len(member), 512):
-                part = member[at : at + 512]
-                row, shingle = sub_keys(runs, part, center)
-                starts = runs.valid[:, : shape.width] & runs.valid[:, shape.width - 1 :]
-                open_ = asks & (starts & ~settled).any(axis=1)
-                sub = mix64(key[row].astype(np.uint64) * np.uint64(31) + shingle).view(np.int64)
-                yield _level_rows(*(pa.array(x) for x in (sub, key[row], doc[row], place[row])), pa.array(open_[row]), _WINDOW)
-
-    dealt = rows.unionByName(star_rows).withColumn("task", F.xxhash64("key", "salt"))
-    return dealt.drop("salt").repartition("task").sortWithinPartitions("task").mapInArrow(run, "sub long, key long, doc long, place long, asks boolean, kind byte")
-
-
-def _level_rows(sub: pa.Array, key: pa.Array, doc: pa.Array, place: pa.Array, asks: pa.Array | None, kind: int) -> pa.RecordBatch:
-    asks = pa.nulls(len(sub), pa.bool_()) if asks is None else asks
-    return pa.RecordBatch.from_arrays([sub, key, doc, place, asks, pa.array(np.full(len(sub), kind, np.int8))], ["sub", "key", "doc", "place", "asks", "kind"])
-
-
-def _blocks(crowded: DataFrame, shape: _Shape) -> DataFrame:
-    """All pairs of what is still crowded after the last level, in blocks of bounded size."""
-    parts = F.ceil(F.col("n") / DEALT).cast("int")
-    own = F.pmod(F.xxhash64("doc", "place"), parts).cast("int")
-    every = F.explode(F.sequence(F.lit(0), parts - 1))
-    sides = [
-        crowded.where("asks").select("key", "doc", "place", "words", "also", own.alias("x"), every.alias("y"), F.lit(True).alias("asks"), F.lit(False).alias("answers")),
-        crowded.select("key", "doc", "place", "words", "also", every.alias("x"), own.alias("y"), F.lit(False).alias("asks"), F.lit(True).alias("answers")),
-    ]
-    return shape.spans(reduce(DataFrame.unionByName, sides).withColumn("task", F.xxhash64("key", "x", "y")), "task", sided=True)
-
-
-def _similar_spans(rows: DataFrame, shape: _Shape) -> list[DataFrame]:
-    """Spans from (key, doc, place, words): small groups are compared, crowded ones go down a level."""
-    spans = []
-    rows = rows.withColumn("asks", F.lit(True))
-    for level in range(LEVELS + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"))
-        full = materialise(sizes.where(F.col("n") * F.col("m") > GROUP_PAIRS).select(F.col("key").alias("full"), "n"))
-        if full.isEmpty():
-            spans.append(materialise(shape.spans(rows, "key")))
-            break
-        marked = rows.join(full, F.col("key") == F.col("full"), "left")
-        spans.append(materialise(shape.spans(marked.where("full is null"), "key")))
-        crowded = materialise(marked.where("full is not null").drop("full").dropDuplicates(["key", "doc", "place"]))
-        if level == LEVELS:
-            spans.append(materialise(_blocks(crowded, shape)))
-            break
-        below = materialise(_next_level(crowded, shape))
-        spans.append(below.where(F.col("kind") == _SPAN).select(F.col("sub").alias("key"), F.col("key").alias("ctx"), "doc", "place", "kind"))
-        subs = below.where(F.col("kind") == _WINDOW)
-        shared = subs.groupBy("sub").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("asks").alias("asked")).where("low != high and asked")
-        left = subs.join(shared.select(F.col("sub").alias("s")), F.col("sub") == F.col("s"), "left_semi").withColumnRenamed("key", "k")
-        words = crowded.select("key", F.col("doc").alias("d"), F.col("place").alias("p"), "words", "also")
-        joined = left.join(words, (F.col("k") == F.col("key")) & (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")))
-        rows = materialise(joined.select(F.col("sub").alias("key"), "doc", "place", "words", "also", "asks"))
-    return spans
+    def found(self) -> Spans:
+        return Spans()
 
 
 def repeated_passages(
@@ -567,13 +391,12 @@ def repeated_passages(
     """
     spark = docs.sparkSession
     workers_see_package(spark)
-    shape = _Shape(shingle, passage_words - shingle + 1, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     shared = materialise(shared_windows(rows, passage_words, shingle, hashes))
-    words = materialise(_window_words(rows, shared.where(F.col("kind") == _WINDOW), shingle))
-    parts = [shared.where(F.col("kind") == _SPAN), *_similar_spans(words, shape)]
-    spans = reduce(DataFrame.unionByName, [part.select("doc", "key", "ctx", "place") for part in parts])
-    return _merged(spans.select(F.col("doc").alias("doc_id"), F.col("key").alias("start_word"), F.col("ctx").alias("end_word"), F.col("place").alias("source_id")))
+    windows = materialise(_window_words(rows, shared.where(F.col("kind") == _WINDOW), shingle))
+    near = crowds.similar(windows, Passages(shingle, passage_words - shingle + 1, similarity))
+    equal = shared.where(F.col("kind") == _SPAN).select("doc", F.col("key").alias("start"), F.col("ctx").alias("end"), F.col("place").alias("source"))
+    return _merged(equal.unionByName(near).toDF("doc_id", "start_word", "end_word", "source_id"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.llm import components, kernels, membership, nndescent, registry, sitetree, urls, windows
+from sparkscope.llm import components, crowds, kernels, membership, nndescent, registry, sitetree, urls, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -369,6 +369,35 @@ def test_links_between_two_tight_groups_of_vectors(spark):
     assert len({rows[i].component_id for i in range(2000, len(vectors))}) == 12
 
 
+def test_rare_pairs_of_vectors(spark, caplog):
+    rng = np.random.default_rng(33)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    vectors = unit(rng.standard_normal((20000, 48)))
+    off = rng.standard_normal((200, 48))
+    off = unit(off - (off * vectors[:200]).sum(axis=1, keepdims=True) * vectors[:200])
+    cosine = rng.uniform(0.9501, 0.97, (200, 1))
+    vectors[10000:10200] = cosine * vectors[:200] + np.sqrt(1 - cosine**2) * off
+    vectors[:2000] *= 3
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    with caplog.at_level("INFO", nndescent.__name__):
+        linked = {r.vec_id: r.component_id for r in nndescent.near_duplicate_vectors(table).where("n_links > 0").collect()}
+    assert all(linked[i] == i % 10000 for i in linked) and len(linked) >= 2 * 196
+    said = [r.args for r in caplog.records if r.name == nndescent.__name__][-1]
+    assert said[4] >= 0.99 and said[5] >= 0.99 and said[6] >= 150  # planted pairs, audited points and their number
+
+
+def test_threshold_ties_and_a_failing_audit(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (1, [0.95, (1 - 0.95**2) ** 0.5]), (2, [0.9499, (1 - 0.9499**2) ** 0.5]), (3, [0.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = np.array([r[1] for r in rows])
+    near = (exact @ exact.T) / np.outer(*[np.linalg.norm(exact, axis=1)] * 2) >= 0.95
+    assert {r.vec_id: r.n_links for r in nndescent.near_duplicate_vectors(table).collect()} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    monkeypatch.setattr(nndescent, "_audit", lambda *a: (0.5, 9))
+    monkeypatch.setattr(nndescent, "WAVES", 2)
+    with pytest.raises(RuntimeError, match="0.5000"):
+        nndescent.near_duplicate_vectors(table)
+
+
 def _passages_by_brute_force(docs, width=47, need=42):
     """Spans by definition: runs of a document of which enough shingles are in an equally wide run of a smaller document, and the other way round."""
     grams = {i: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for i, w in docs.items()}
@@ -387,10 +416,10 @@ def _passages_by_brute_force(docs, width=47, need=42):
     return found
 
 
-@pytest.mark.parametrize("limits", [{}, {"GROUP_PAIRS": 16, "STARS": 2, "DEALT": 8}, {"GROUP_PAIRS": 16, "STARS": 2, "DEALT": 4, "LEVELS": 1, "LOCAL_CROWD": 2}])
+@pytest.mark.parametrize("limits", [{}, {"GROUP_PAIRS": 64, "STARS": 3, "DEALT": 8, "LEVELS": 2, "LOCAL_CROWD": 2}])
 def test_passages_against_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
-        monkeypatch.setattr(windows, name, value)
+        monkeypatch.setattr(windows if hasattr(windows, name) else crowds, name, value)
     rng = np.random.default_rng(23)
     fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
     phrase, long, docs = fresh(44), fresh(70), {}
