@@ -10,8 +10,11 @@
    links, have their lists enlarged to the component. Its core, the points near
    its mean direction, is linked throughout and only summed; the others are
    compared with all in blocks of bounded size. Links are counted, not listed.
-5. A bounded sample is compared with all points to audit recall; more buckets
-   and rounds follow while it is too low.
+5. Recall is audited twice: a bounded sample of points of different components
+   and of points without links is compared with all, and pairs planted at the
+   threshold's angle are looked up in the wave's tables, which tells how many
+   lone pairs they can miss whatever the data hold. The number of tables grows
+   with that of points; more waves follow while recall is too low.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from sparkscope.llm.kernels import key_runs
 from sparkscope.session import materialise, workers_see_package
 
 THRESHOLD = 0.95
-#: Length of neighbour lists, least cosine of a neighbour, bucket tables of a wave, rows of a bucket, rows of a block whose links are counted.
-NEIGHBOURS, EXPLORE, TABLES, BLOCK, COUNT_BLOCK = 12, 0.8, 16, 1024, 128
-#: Points of the audit, recall it wants, and the most descent rounds and waves of tables.
-AUDIT_ROWS, AUDIT_RECALL, ROUNDS, WAVES = 512, 0.99, 8, 3
+#: Length of neighbour lists, least cosine of a neighbour, rows a bucket should have and may have, rows of a block whose links are counted.
+NEIGHBOURS, EXPLORE, BUCKET, BLOCK, COUNT_BLOCK = 12, 0.8, 64, 1024, 128
+#: Points of each kind in the audit, planted pairs, recall that is wanted, share of lone pairs a wave's tables may miss, and the most descent rounds and waves.
+AUDIT_ROWS, PLANTED, AUDIT_RECALL, MISSED, ROUNDS, WAVES = 256, 2000, 0.99, 0.004, 8, 6
 
 _log = logging.getLogger(__name__)
 _PAIR = "a long, b long, cosine double"
@@ -103,19 +106,42 @@ def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["a", "b", "cosine"])
 
 
-def _bucket_pairs(points: DataFrame, n: int, width: int, wave: int, threshold: float) -> DataFrame:
+class Tables:
+    """Sign-of-projection tables of one wave: as many as it takes that few pairs at the threshold share no bucket."""
+
+    def __init__(self, n: int, width: int, wave: int, threshold: float):
+        self.bits = max(2, math.ceil(math.log2(max(4, n / BUCKET))))
+        together = (1 - math.acos(threshold) / math.pi) ** self.bits
+        self.count = max(4, math.ceil(math.log(MISSED) / math.log1p(-together)))
+        self.planes = np.random.default_rng(1000 + wave).standard_normal((width, self.count * self.bits))
+        self.weights = 1 << np.arange(self.bits, dtype=np.int64)
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        """(rows, tables): bucket numbers, different for each table."""
+        signs = (unit @ self.planes > 0).reshape(len(unit), self.count, self.bits)
+        return signs @ self.weights + (np.arange(self.count, dtype=np.int64) << self.bits)
+
+    def planted_recall(self, sample: np.ndarray, threshold: float, missed: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """(share of pairs planted at the threshold that share a bucket in this wave or an earlier one, those that never do)"""
+        rng = np.random.default_rng(7)
+        left = sample[rng.integers(0, len(sample), PLANTED)]
+        off = rng.standard_normal(left.shape)
+        off -= (off * left).sum(axis=1, keepdims=True) * left
+        right = threshold * left + math.sqrt(1 - threshold**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+        apart = (self.keys(left) != self.keys(right)).all(axis=1)
+        apart = apart if missed is None else apart & missed
+        return 1 - float(apart.mean()), apart
+
+
+def _bucket_pairs(points: DataFrame, tables: Tables, threshold: float) -> DataFrame:
     """Close pairs within the buckets of one wave of tables; crowded buckets are dealt into parts by a hash."""
-    bits = max(4, math.ceil(math.log2(max(2, n / 8))))
-    planes = np.random.default_rng(1000 + wave).standard_normal((width, TABLES * bits))
-    weights = 1 << np.arange(bits, dtype=np.int64)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                signs = (_matrix(part.column("vec")) @ planes > 0).reshape(part.num_rows, TABLES, bits)
-                keys = signs @ weights + (np.arange(TABLES, dtype=np.int64) << bits)
-                index = pa.array(np.repeat(np.arange(part.num_rows), TABLES))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys = tables.keys(_matrix(part.column("vec")))
+                index = pa.array(np.repeat(np.arange(part.num_rows), tables.count))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("rep").take(index), part.column("vec").take(index)], ["bucket", "rep", "vec"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,25 +265,36 @@ def _link_counts(points: DataFrame, parts: DataFrame, threshold: float) -> DataF
     return inside.unionByName(compared).groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def _audit(points: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of a sample's true links that were found."""
-    sample = points.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_ROWS).toArrow()
+def _audit(points: DataFrame, parts: DataFrame, counts: DataFrame, threshold: float) -> tuple[float, int]:
+    """(share of the sampled points with true links all of whose links were found, number of such points).
+
+    One point a component, so that large groups do not hide small ones, and as
+    many points without links.
+    """
+    known = points.join(parts, F.col("rep") == F.col("node"), "left").join(counts.withColumnRenamed("rep", "c"), F.col("rep") == F.col("c"), "left")
+    first = known.where("component is not null").groupBy("component").agg(F.min_by(F.struct("rep", "vec", "linked"), F.xxhash64("rep")).alias("p")).select("p.*")
+    alone = known.where("component is null").select("rep", "vec", F.lit(0).cast("long").alias("linked"))
+    chosen = [df.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_ROWS).toArrow() for df in (first, alone)]
+    sample = pa.concat_tables(chosen).combine_chunks()
     if not sample.num_rows:
-        return 1.0
-    ids, unit = sample["rep"].to_numpy(), _matrix(sample["vec"].combine_chunks())
+        return 1.0, 0
+    ids, linked = sample["rep"].to_numpy(), np.nan_to_num(sample["linked"].to_numpy().astype(np.float64))
+    unit = _matrix(sample["vec"].combine_chunks())
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                linked = (unit @ _matrix(part.column("vec")).T >= threshold) & (ids[:, None] != part.column("rep").to_numpy()[None, :])
-                total += linked @ part.column("n").to_numpy()
+                near = (unit @ _matrix(part.column("vec")).T >= threshold) & (ids[:, None] != part.column("rep").to_numpy()[None, :])
+                total += near @ part.column("n").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "links"])
 
-    truth = points.select("rep", "n", "vec").mapInArrow(brute, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    row = truth.join(counts, F.col("id") == F.col("rep"), "left").agg(F.sum("links"), F.sum(F.least(F.col("links"), F.coalesce("linked", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    sums = points.select("rep", "n", "vec").mapInArrow(brute, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")).toArrow()
+    truth = dict(zip(sums["id"].to_pylist(), sums["links"].to_pylist(), strict=True))
+    links = np.array([truth.get(i, 0) for i in ids.tolist()])
+    has = links > 0
+    return (float((linked[has] >= links[has]).mean()) if has.any() else 1.0), int(has.sum())
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -266,16 +303,20 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Null, zero, empty and non-finite vectors have no links and are their own
     component; shorter vectors count as padded by zeros; equal vectors are
     linked; repeated ids keep a row each; an empty table gives an empty table;
-    extra columns are ignored.
+    extra columns are ignored. Raises if the audited recall stays below
+    AUDIT_RECALL.
     """
     workers_see_package(vectors.sparkSession)
     rows = materialise(packed_vectors(vectors, id_col, vector_col))
     points = materialise(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     size = points.agg(F.count("*").alias("n"), F.max(F.length("vec")).alias("w")).first()
     n, width = size["n"], (size["w"] or 0) // 8
-    links = counts = parts = None
+    links = counts = parts = apart = None
+    unit = _matrix(points.select("vec").limit(AUDIT_ROWS).toArrow()["vec"].combine_chunks()) if n > 1 else None
     for wave in range(WAVES if n > 1 else 0):
-        pairs = _bucket_pairs(points, n, width, wave, threshold)
+        tables = Tables(n, width, wave, threshold)
+        planted, apart = tables.planted_recall(unit, threshold, apart)
+        pairs = _bucket_pairs(points, tables, threshold)
         found = materialise(pairs.distinct() if links is None else pairs.union(links).distinct())
         links = found
         before = links.where(F.col("cosine") >= threshold).select("a", "b").distinct().count()
@@ -288,10 +329,13 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             before = now
         parts = connected_components(links.where(F.col("cosine") >= threshold).select("a", "b"))
         counts = materialise(_link_counts(points, parts, threshold))
-        recall = _audit(points, counts, threshold)
-        _log.info("wave %d: %d points, audited recall %.4f", wave, n, recall)
-        if recall >= AUDIT_RECALL:
+        recall, seen = _audit(points, parts, counts, threshold)
+        _log.info("wave %d: %d points, %d tables of %d bits, recall %.4f of planted pairs, %.4f of %d audited points", wave, n, tables.count, tables.bits, planted, recall, seen)
+        if min(recall, planted) >= AUDIT_RECALL:
             break
+    else:
+        if n > 1:
+            raise RuntimeError(f"recall {recall:.4f} of audited points and {planted:.4f} of planted pairs after {WAVES} waves")
     if parts is None:
         spark = vectors.sparkSession
         parts, counts = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "rep long, linked long")

@@ -13,13 +13,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkscope.llm import crowds
 from sparkscope.llm.components import connected_components
 from sparkscope.llm.kernels import binary_rows, fingerprint64, key_runs, mix64, shingle_hashes, word_hashes
 from sparkscope.llm.membership import possible
@@ -233,9 +235,37 @@ def hamming_links(points: DataFrame, radius: int = 2, sample_rows: int = SAMPLE_
         return pa.table({"a": rep[linked], "b": rep[root[linked]]})
 
     routed = points.select("fp", "rep").mapInArrow(route, "leaf long, fp long, rep long")
+    if n > len(sample) * leaf_rows // 16:  # more leaves would be wanted than the sample can shape
+        routed = _split_leaves(materialise(routed), radius, 4 * leaf_rows)
     return routed.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
+def _split_leaves(routed: DataFrame, radius: int, most: int) -> DataFrame:
+    """(leaf, fp, rep) with leaves of more than ``most`` rows split, again and again, by a vantage point of their own.
+
+    The split is the median of the leaf's distances, from a histogram; a leaf
+    whose rows all have the same distance to the point stays as it is.
+    """
+    done = []
+    while True:
+        sizes = routed.groupBy("leaf").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("pivot"))
+        full = materialise(sizes.where(F.col("n") > most).select(F.col("leaf").alias("full"), "n", "pivot"))
+        if full.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, routed])
+        marked = routed.join(full, F.col("leaf") == F.col("full"), "left")
+        done.append(marked.where("full is null").select("leaf", "fp", "rep"))
+        far = marked.where("full is not null").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))))
+        below = Window.partitionBy("leaf").orderBy("d")
+        steps = far.groupBy("leaf", "n", "d").count().withColumn("up", F.sum("count").over(below)).withColumn("band", F.sum("count").over(below.rangeBetween(-radius + 1, 0)))
+        # both sides have to be smaller than the leaf: not all inside, and something below the outer side's band
+        cuts = steps.where((F.col("up") < F.col("n")) & (F.col("up") > F.col("band"))).groupBy("leaf").agg(F.min_by("d", F.abs(2 * F.col("up") - F.col("n"))).alias("cut"))
+        cut = far.join(materialise(cuts.withColumnRenamed("leaf", "of")), F.col("leaf") == F.col("of"), "left")
+        done.append(materialise(cut.where("cut is null").select("leaf", "fp", "rep")))
+        sides = F.array(F.when(F.col("d") <= F.col("cut"), F.lit(0)), F.when(F.col("d") > F.col("cut") - radius, F.lit(1)))
+        parts = cut.where("cut is not null").select("leaf", "fp", "rep", F.explode(F.array_compact(sides)).alias("side"))
+        routed = materialise(parts.select(F.xxhash64("leaf", "side").alias("leaf"), "fp", "rep"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp long, component_id): one row per document.
 
@@ -259,10 +289,8 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Min-wise samples of a text's shingles, shingles in each, and the size up to which all members of a sample's group are compared.
-SAMPLES, SAMPLE_SHINGLES, SMALL_GROUP, NEIGHBOURS = 10, 3, 32, 8
-#: Members of a sample's group that one task handles; larger groups are dealt out.
-CROWDED = 4096
+#: Min-wise samples of a text's shingles, shingles in each, and the size up to which a sample's group is paired at once; larger ones are a crowd.
+SAMPLES, SAMPLE_SHINGLES, SMALL_GROUP = 10, 3, 32
 _SEEDS = mix64(np.arange(101, 101 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -301,28 +329,17 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _group_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) to compare from (key, doc_id): all of a small group, else each with the next few and the first.
-
-    Groups of more than CROWDED members are dealt out by a hash, so no task
-    holds a hot one; different samples deal and order differently.
-    """
-    crowded = members.groupBy("key").count().where(F.col("count") > CROWDED).select(F.col("key").alias("full"), F.ceil(F.col("count") / CROWDED).alias("parts"))
-    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")))
-    dealt = members.join(crowded, F.col("key") == F.col("full"), "left").select(F.xxhash64("key", part).alias("task"), F.xxhash64("doc_id", "key").alias("o"), "doc_id")
+    """All pairs (a, b) of the groups of (key, doc_id), which have SMALL_GROUP members at most."""
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         size = 0
-        for group in key_runs(batches, "task"):
+        for group in key_runs(batches, "key"):
             n = group.num_rows
             if n < 2:
                 continue
             ids = group.column("doc_id").to_numpy()
-            if n <= SMALL_GROUP:
-                i, j = np.triu_indices(n, 1)
-            else:
-                i = np.concatenate([np.arange(n - d) for d in range(1, NEIGHBOURS + 1)] + [np.zeros(n - 1, np.int64)])
-                j = np.concatenate([np.arange(d, n) for d in range(1, NEIGHBOURS + 1)] + [np.arange(1, n)])
+            i, j = np.triu_indices(n, 1)
             found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
             size += len(i)
             if size > 1 << 18:
@@ -331,7 +348,7 @@ def _group_pairs(members: DataFrame) -> DataFrame:
         if found:
             yield _pair_rows(found)
 
-    return dealt.repartition("task").sortWithinPartitions("task", "o").mapInArrow(pair, "a long, b long").distinct()
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long").distinct()
 
 
 def _pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -339,39 +356,104 @@ def _pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of document ids whose shingle sets have at least the given Jaccard similarity, compared in full."""
+class Sets(crowds.Loaded):
+    """Sorted sets of shingles, compared by Jaccard similarity."""
+
+    def __init__(self, blobs: list[bytes], similarity: float):
+        self.sets = [np.frombuffer(b, np.uint32) for b in blobs]
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.similarity = similarity
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        out = (low > 0) & (low >= self.similarity * high - 1e-9)
+        order = np.flatnonzero(out)
+        order = order[np.argsort(b[order], kind="stable")]
+        for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else ():
+            other = self.sets[b[part[0]]]
+            for at in range(0, len(part), 256):
+                some = part[at : at + 256]
+                values = np.concatenate([self.sets[i] for i in a[some].tolist()])
+                place = np.minimum(np.searchsorted(other, values), len(other) - 1)
+                sizes = self.sizes[a[some]]
+                common = np.add.reduceat((other[place] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+                out[some] = common >= self.similarity * (sizes + len(other) - common) - 1e-9
+        return out
+
+    def compare(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, found: crowds.Found, settled: np.ndarray | None = None) -> None:
+        good = self.similar(a, b)
+        a, b = a[good], b[good]
+        found.add(doc[a], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), doc[b])
+        if settled is not None:
+            settled[a] = True
+
+    def parts(self) -> np.ndarray:
+        return np.ones((len(self.sets), 1), np.bool_)
+
+    def prefixes(self, members: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each set the shingles that fewest stars have, one more than a similar set may lack."""
+        known, many = np.unique(np.concatenate([np.zeros(1, np.uint32), *(self.sets[s] for s in stars.tolist())]), return_counts=True)
+        rows, elements = [], []
+        for m in members.tolist():
+            own = self.sets[m]
+            if not len(own):
+                continue
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            weight = np.where(known[place] == own, many[place], 0).astype(np.uint64)
+            k = len(own) - int(np.ceil(self.similarity * len(own) - 1e-9)) + 1
+            least = np.partition(weight << np.uint64(32) | own, k - 1)[:k]
+            rows.append(np.full(k, m, np.int64))
+            elements.append(least & np.uint64(0xFFFFFFFF))
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.concatenate(rows), np.concatenate(elements)
+
+
+class ShingleSets(crowds.Comparison):
+    payload = ("words",)
+    one_sided = False
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def load(self, batch: pa.RecordBatch) -> Sets:
+        return Sets(batch.column("words").to_pylist(), self.similarity)
+
+
+def _shingle_blobs(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, words): sorted 32-bit hashes of the shingles of the documents that may have one of the ids."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [np.unique(shingle_set(t, shingle).astype(np.uint32)).tobytes() for t in binary_rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "words"])
+
+    return possible(docs, "doc_id", ids).mapInArrow(sets, "id long, words binary")
+
+
+def similar_pairs(pairs: DataFrame, blobs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of document ids whose shingle sets have at least the given Jaccard similarity, compared in full."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                low, high = sorted((len(p), len(q)))
-                common = len(np.intersect1d(p, q, assume_unique=True)) if low >= similarity * high else 0
-                keep.append(common >= similarity * (low + high - common) - 1e-9 and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = batch.num_rows
+            both = Sets([*batch.column("x").to_pylist(), *batch.column("y").to_pylist()], similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(both.similar(np.arange(n), np.arange(n, 2 * n)), pa.bool_()))
 
-    wanted = possible(docs, "doc_id", pairs.select("a").union(pairs.select("b")))
-    blobs = wanted.mapInArrow(sets, "id long, shingles binary")
-    first = pairs.join(blobs, F.col("a") == F.col("id")).select("a", "b", F.col("shingles").alias("x"))
-    both = first.join(blobs, F.col("b") == F.col("id")).select("a", "b", "x", F.col("shingles").alias("y"))
-    return both.mapInArrow(compare, "a long, b long")
+    first = pairs.join(blobs, F.col("a") == F.col("id")).select("a", "b", F.col("words").alias("x"))
+    joined = first.join(blobs, F.col("b") == F.col("id")).select("a", "b", "x", F.col("words").alias("y"))
+    return joined.mapInArrow(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, component_id): groups of near-duplicates for a corpus filter, one row per document.
 
     Documents are linked if their fingerprints differ in at most ``radius``
-    bits (vantage-point trees), or if they share the SimHash sample of one of
-    SAMPLES min-wise samples and their shingle sets have at least
-    ``similarity``. A change of one word in a short text moves more than a few
-    bits of its fingerprint, which is why samples are looked up as well.
+    bits (vantage-point trees), or if they share one of SAMPLES min-wise
+    samples and their shingle sets have at least ``similarity``. A change of
+    one word in a short text moves more than a few bits of its fingerprint,
+    which is why samples are looked up as well. Groups of a sample of any size
+    are compared in full (``crowds``).
     Wordless texts are one group; null ids are dropped; extra columns are
     ignored.
     """
@@ -381,8 +463,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = materialise(sketched.groupBy("digest").agg(F.min_by(F.struct("doc_id", "fp", "keys"), "doc_id").alias("r")).select("digest", "r.*"))
     points = same.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     equal = same.select("doc_id", "fp").join(points, "fp").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pairs = materialise(_group_pairs(same.select(F.explode("keys").alias("key"), "doc_id")))
-    near = similar_pairs(rows, pairs, shingle, similarity)
+    keys = same.select(F.explode("keys").alias("key"), "doc_id")
+    full = materialise(keys.groupBy("key").count().where(F.col("count") > SMALL_GROUP).select(F.col("key").alias("full")))
+    marked = keys.join(full, F.col("key") == F.col("full"), "left")
+    pairs = materialise(_group_pairs(marked.where("full is null").select("key", "doc_id")))
+    crowd = materialise(marked.where("full is not null").select("key", F.col("doc_id").alias("doc")))
+    blobs = materialise(_shingle_blobs(rows, pairs.select("a").union(pairs.select("b")).union(crowd.select("doc")), shingle))
+    near = similar_pairs(pairs, blobs, similarity)
+    if not crowd.isEmpty():
+        crowded = crowd.join(blobs, F.col("doc") == F.col("id")).select("key", "doc", F.lit(0).cast("long").alias("place"), "words")
+        near = near.union(crowds.similar(materialise(crowded), ShingleSets(similarity)).select("doc", "source"))
     links = materialise(hamming_links(materialise(points), radius).union(equal).union(near))
     parts = connected_components(links)
     groups = same.join(parts, same.doc_id == parts.node, "left").select(F.col("digest").alias("d"), F.coalesce("component", "doc_id").alias("component_id"))
