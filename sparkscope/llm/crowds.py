@@ -24,7 +24,9 @@ from sparkscope.llm.kernels import key_runs, mix64
 from sparkscope.session import materialise
 
 #: Pairs of a group that are compared at once, first rows that a crowded group is compared with, its rows in a task, and levels before the rest is compared in blocks.
-GROUP_PAIRS, STARS, DEALT, LEVELS = 64 * 64, 16, 2048, 8
+GROUP_PAIRS, STARS, DEALT, LEVELS = 64 * 64, 16, 2048, 3
+#: By how much the keys of a group's rows have to lessen its pairs; else they are compared in blocks.
+THINNED = 4
 #: Rows of a batch that a task hands on, and rows that are loaded at once.
 OUT_ROWS, LOAD_ROWS = 1 << 14, 4096
 FOUND = "doc long, start long, end long, source long"
@@ -242,7 +244,7 @@ def similar(rows: DataFrame, kind: Comparison) -> DataFrame:
         shared = subs.groupBy("sub").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("sn"), F.count_if("asks").alias("sm"), F.first("k").alias("k"))
         shared = materialise(shared.where("low != high and sm > 0").select(F.col("sub").alias("s"), F.col("k").alias("sk"), (F.col("sn") * F.col("sm")).alias("pairs")))
         # groups that their keys do not thin out are compared in blocks at once
-        dense = shared.groupBy("sk").agg(F.sum("pairs").alias("pairs")).join(full, F.col("sk") == F.col("full")).where(F.col("pairs") >= F.col("n") * F.col("m")).select(F.col("sk").alias("dense"))
+        dense = shared.groupBy("sk").agg(F.sum("pairs").alias("pairs")).join(full, F.col("sk") == F.col("full")).where(F.col("pairs") * THINNED >= F.col("n") * F.col("m")).select(F.col("sk").alias("dense"))
         dense = materialise(dense)
         if not dense.isEmpty():
             found.append(materialise(_blocks(crowded.join(dense, F.col("key") == F.col("dense"), "left_semi"), kind)))
