@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        current = materialise(_small_star(_large_star(current)))
+        current = materialise(_small_star(_large_star(current)), replaces=current)
         following = _state(current)
         if following == state:
             break

@@ -137,7 +137,13 @@ def _slices(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _throughout(groups: DataFrame, key: str, kind: Comparison, sided: bool = False) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, wide: bool) -> DataFrame:
+    """Rows by key, sorted; ``wide`` in all shuffle partitions, as few bytes can mean many comparisons."""
+    parts = [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if wide else []
+    return rows.repartition(*parts, key).sortWithinPartitions(key)
+
+
+def _throughout(groups: DataFrame, key: str, kind: Comparison, sided: bool = False, wide: bool = False) -> DataFrame:
     """Similar pairs of groups that are small enough to be compared throughout; of two sides, asking rows with answering ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +168,13 @@ def _throughout(groups: DataFrame, key: str, kind: Comparison, sided: bool = Fal
             yield from found.rows()
 
     columns = [key, "doc", "place", *kind.payload, "asks", *(["answers"] if sided else [])]
-    return groups.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, FOUND)
+    return _dealt(groups.select(columns), key, wide).mapInArrow(run, FOUND)
 
 
 _LEVEL = "sub long, key long, doc long, place long, asks boolean, start long, end long, source long"
 
 
-def _next_level(crowded: DataFrame, kind: Comparison) -> DataFrame:
+def _next_level(crowded: DataFrame, kind: Comparison, wide: bool) -> DataFrame:
     """Pairs of crowded groups' rows with their first ones (source is given), and the keys of all other rows (sub is given)."""
     first = Window.partitionBy("key").orderBy("doc", "place")
     stars = crowded.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= STARS)
@@ -203,7 +209,7 @@ def _next_level(crowded: DataFrame, kind: Comparison) -> DataFrame:
                     yield _level_rows(*(pa.array(x) for x in (sub[to : to + OUT_ROWS], key[r], doc[r], place[r], open_[r])), *none)
 
     dealt = rows.unionByName(star_rows).withColumn("task", F.xxhash64("key", "salt"))
-    return dealt.drop("salt").repartition("task").sortWithinPartitions("task").mapInArrow(run, _LEVEL)
+    return _dealt(dealt.drop("salt"), "task", wide).mapInArrow(run, _LEVEL)
 
 
 def _level_rows(*columns: pa.Array) -> pa.RecordBatch:
@@ -230,15 +236,15 @@ def similar(rows: DataFrame, kind: Comparison) -> DataFrame:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"))
         full = materialise(sizes.where(F.col("n") * F.col("m") > GROUP_PAIRS).select(F.col("key").alias("full"), "n", "m"))
         if full.isEmpty():
-            found.append(materialise(_throughout(rows, "key", kind)))
+            found.append(materialise(_throughout(rows, "key", kind, wide=not level)))
             break
         marked = rows.join(full, F.col("key") == F.col("full"), "left")
-        found.append(materialise(_throughout(marked.where("full is null"), "key", kind)))
+        found.append(materialise(_throughout(marked.where("full is null"), "key", kind, wide=not level)))
         crowded = materialise(marked.where("full is not null").drop("full", "m").dropDuplicates(["key", "doc", "place"]))
         if level == LEVELS:
             found.append(materialise(_blocks(crowded, kind)))
             break
-        below = materialise(_next_level(crowded, kind))
+        below = materialise(_next_level(crowded, kind, wide=not level))
         found.append(below.where("source is not null").select("doc", "start", "end", "source"))
         subs = below.where("sub is not null").select("sub", F.col("key").alias("k"), "doc", "place", "asks")
         shared = subs.groupBy("sub").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("sn"), F.count_if("asks").alias("sm"), F.first("k").alias("k"))

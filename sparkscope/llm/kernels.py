@@ -93,12 +93,16 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out + np.uint64(width))
 
 
-def rolled(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes (as int64) of the runs words[start:end], from one pass over prefix sums."""
-    up, down = _Powers.of(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix64(words.astype(np.uint64) + np.uint64(_ODD)) * up[:-1], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)).view(np.int64)
+class Rolled:
+    """Hashes (as int64) of any runs of a sequence of 32-bit words, from one pass of prefix sums."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = _Powers.of(len(words) + 1)
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mix64(words.astype(np.uint64) + np.uint64(_ODD)) * up[:-1], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64)).view(np.int64)
 
 
 def binary_rows(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:

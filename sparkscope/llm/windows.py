@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.llm import crowds
 from sparkscope.llm.crowds import OUT_ROWS, Held, whole_groups
-from sparkscope.llm.kernels import binary_rows, located_words, mix64, rolled, shingle_hashes, word_hashes
+from sparkscope.llm.kernels import Rolled, binary_rows, located_words, mix64, shingle_hashes, word_hashes
 from sparkscope.llm.membership import fresh, possible, split
 from sparkscope.session import materialise, workers_see_package
 
@@ -286,12 +286,12 @@ def shared_windows(rows: DataFrame, passage_words: int, shingle: int, hashes: in
                 if len(words) < passage_words:
                     continue
                 base = shingle_hashes(words, shingle)
-                short, n = words.astype(np.uint32), len(base)
+                rolled = Rolled(words.astype(np.uint32))
                 for f in range(hashes):
-                    values = mix64(base * _SEEDS[f])
+                    values = base * _SEEDS[f]  # shingle hashes are mixed already, so their products order them anew
                     center, first, last = compact_windows(values, width)
                     before, behind = np.minimum(center - first, width - 1), np.minimum(last - center, width - 1)
-                    ctx = rolled(short, center - before, center + behind + shingle) ^ before
+                    ctx = rolled.of(center - before, center + behind + shingle) ^ before
                     key = ((values[center] & ~np.uint64(7)) | np.uint64(f)).view(np.int64)
                     held.append((key, ctx, np.full(len(center), doc_id, np.int64), _place(center, before, behind)))
                     size += len(center)
@@ -342,7 +342,7 @@ def _window_words(rows: DataFrame, windows: DataFrame, shingle: int) -> DataFram
                 start, end = center - before, center + behind + shingle
                 # of rows that repeat an id, a window is cut from those that have it
                 fits = np.flatnonzero(end <= len(own))
-                fits = fits[(rolled(own, start[fits], end[fits]) ^ before[fits]) == ctx[fits]]
+                fits = fits[(Rolled(own).of(start[fits], end[fits]) ^ before[fits]) == ctx[fits]]
                 for part in np.array_split(fits, len(fits) // OUT_ROWS + 1):
                     out = [own[a:b].tobytes() for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)]
                     columns = [pa.array(key[part]), pa.array(np.full(len(part), doc, np.int64)), pa.array(place[part]), pa.array(out, pa.binary()), also.take(pa.array(part))]
