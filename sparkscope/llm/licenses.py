@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
@@ -15,64 +16,158 @@ from sparkscope.session import workers_see_package
 
 # Base phrases and their labels.
 PHRASES: dict[str, str] = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Opening or characteristic passages of well-known licence texts, by label.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+# Characteristic passages of well-known licence texts, by label.
+PASSAGES: dict[str, tuple[str, ...]] = {
     "mit": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
-        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
-        "released under the mit license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ),
     "apache": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     ),
     "gpl": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-        "as published by the free software foundation either version 3 of the license or at your option any later version",
-        "this work is licensed under the gnu general public license version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "GNU Lesser General Public License",
+    ),
+    "agpl": (
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version",
+        "GNU Affero General Public License",
+    ),
+    "gfdl": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+        "GNU Free Documentation License",
     ),
     "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution",
+        "licensed under a BSD style license",
     ),
     "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies",
     ),
     "mpl": (
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
-        "with this file you can obtain one at https mozilla org mpl 2 0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+        "Mozilla Public License",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
+        "Eclipse Public License",
+    ),
+    "cddl": ("Common Development and Distribution License",),
+    "eupl": ("Licensed under the EUPL", "European Union Public Licence"),
+    "artistic": ("under the terms of the Artistic License", "The intent of this document is to state the conditions under which a Package may be copied"),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ),
+    "unlicense": ("This is free and unencumbered software released into the public domain",),
+    "wtfpl": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",),
+    "cc0": ("CC0 1.0 Universal", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1", "SIL Open Font License"),
+    "psf": ("Python Software Foundation License",),
+    "postgresql": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, "
+        "and without a written agreement is hereby granted",
     ),
-    "cc-by": ("this work is licensed under the creative commons attribution 4 0 international license",),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "ms-pl": ("Microsoft Public License",),
+    "odbl": ("made available under the Open Database License", "Open Data Commons Open Database License"),
 }
-#: Shortest match in words that takes part in a chain, the widest hole in a chain, and the template share that earns its label.
-MIN_MATCH, MAX_GAP, MIN_COVER = 3, 8, 0.6
+# Identifiers of the SPDX list and the labels they stand for.
+SPDX: dict[str, str] = {
+    "MIT": "mit", "Apache-2.0": "apache", "GPL-2.0": "gpl", "GPL-3.0": "gpl", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "GFDL-1.3": "gfdl",
+    "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "ISC": "isc", "MPL-2.0": "mpl", "EPL-1.0": "epl", "EPL-2.0": "epl", "CDDL-1.0": "cddl", "EUPL-1.2": "eupl",
+    "Artistic-2.0": "artistic", "Zlib": "zlib", "BSL-1.0": "boost", "Unlicense": "unlicense", "WTFPL": "wtfpl", "CC0-1.0": "cc0", "OFL-1.1": "ofl",
+    "PSF-2.0": "psf", "PostgreSQL": "postgresql", "MS-PL": "ms-pl", "ODbL-1.0": "odbl",
+}
+# The parts of Creative Commons licences in their spellings, the combinations and the versions.
+_CC_PARTS = {
+    "by": ("Attribution",), "nc": ("NonCommercial", "Non-Commercial"), "sa": ("ShareAlike", "Share Alike"), "nd": ("NoDerivatives", "NoDerivs"),
+}
+_CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
+_CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+
+def _templates() -> dict[str, tuple[str, ...]]:
+    """All template texts by label: passages, SPDX tags, and Creative Commons names by their parts and versions."""
+    out = {label: list(texts) for label, texts in PASSAGES.items()}
+    for name, label in SPDX.items():
+        out.setdefault(label, []).append(f"SPDX-License-Identifier: {name}")
+    for kind in _CC_KINDS:
+        names = [" ".join(x) for x in itertools.product(*(_CC_PARTS[p] for p in kind.split("-")))]
+        texts = out.setdefault(f"cc-{kind}", [])
+        for version in _CC_VERSIONS:
+            texts += [f"CC {kind} {version}", *(f"Creative Commons {n} {version}" for n in names)]
+    return {label: tuple(texts) for label, texts in out.items()}
+
+
+TEMPLATES: dict[str, tuple[str, ...]] = _templates()
+#: Shortest match in words that takes part in a chain, the widest hole in a chain, and the template share and words that earn its label; a shorter template has to be whole.
+MIN_MATCH, MAX_GAP, MIN_COVER, MIN_WORDS = 3, 8, 0.6, 8
 
 
 class SuffixAutomaton:
-    """Suffix automaton of several word sequences; knows for each state where its strings end in them."""
+    """Suffix automaton of several word sequences; knows for each state where its strings end in them.
+
+    Ends are kept once, in the order of a walk through the tree of suffix
+    links, in which those of a state are one slice.
+    """
 
     def __init__(self, sequences: Sequence[Sequence[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.ends: list[set[tuple[int, int]]] = [set()]
+        own: dict[int, list[tuple[int, int]]] = {}
         for s, words in enumerate(sequences):
             last = 0
             for i, w in enumerate(words):
                 last = self._extend(last, w)
-                self.ends[last].add((s, i + 1))
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
-                self.ends[self.link[state]] |= self.ends[state]
+                own.setdefault(last, []).append((s, i + 1))
+        children: list[list[int]] = [[] for _ in self.link]
+        for state in range(1, len(self.link)):
+            children[self.link[state]].append(state)
+        self._ends: list[tuple[int, int]] = []
+        self._first, self._last = [0] * len(self.link), [0] * len(self.link)
+        stack = [(0, False)]
+        while stack:
+            state, left = stack.pop()
+            if left:
+                self._last[state] = len(self._ends)
+                continue
+            self._first[state] = len(self._ends)
+            self._ends += own.get(state, ())
+            stack.append((state, True))
+            stack += [(c, False) for c in children[state]]
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, end) of all places of a state's strings."""
+        return self._ends[self._first[state] : self._last[state]]
 
     def _new(self, length: int, arcs: dict[int, int], link: int) -> int:
         self.next.append(arcs)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
@@ -112,8 +207,8 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, phrases: Mapping[str, str], templates: Mapping[str, Sequence[str]], min_match: int, max_gap: int, min_cover: float):
-        self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
+    def __init__(self, phrases: Mapping[str, str], templates: Mapping[str, Sequence[str]], min_match: int, max_gap: int, min_cover: float, min_words: int = MIN_WORDS):
+        self.min_match, self.max_gap, self.min_cover, self.min_words = min_match, max_gap, min_cover, min_words
         texts = [(p, label) for p, label in phrases.items()] + [(t, label) for label, many in templates.items() for t in many]
         hashed = [word_hashes(t.encode()).tolist() for t, _ in texts]
         known = sorted({h for seq in hashed for h in seq})
@@ -126,9 +221,10 @@ class Scanner:
         m = self.machine
         #: phrases among a state's strings: (length, phrase)
         self.finished = [
-            [(end, s) for s, end in ends if s < self.bases and end == self.sizes[s] and at and m.length[m.link[at]] < end <= m.length[at]]
-            for at, ends in enumerate(m.ends)
+            [(end, s) for s, end in m.ends(at) if s < self.bases and end == self.sizes[s] and m.length[m.link[at]] < end <= m.length[at]] if at else []
+            for at in range(len(m.link))
         ]
+        self.places: dict[int, dict[int, list[int]]] = {}
         self.shortest = min([min_match, *self.sizes[: self.bases]])
 
     def scan(self, text: bytes | None) -> dict:
@@ -146,12 +242,13 @@ class Scanner:
         spans = self._chains(matches)
         starts = [at for at, _ in base]
         base_labels = sorted({self.labels[s] for _, s in base})
-        labels = sorted({*base_labels, *(s["label"] for s in spans if s["cover"] >= self.min_cover)})
+        earned = [s for s in spans if s.pop("earned")]
+        labels = sorted({*base_labels, *(s["label"] for s in earned)})
         return {
             "n_words": len(hashes), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(base_labels), "labels": ",".join(labels),
             "score": 1.0 if base else max((s["cover"] for s in spans), default=0.0),
-            "spans": [s for s in spans if s["cover"] >= self.min_cover],
+            "spans": earned,
         }
 
     def _run(self, ids: list[int], offset: int, base: list, matches: list) -> None:
@@ -176,11 +273,16 @@ class Scanner:
 
         def close(s: int) -> None:
             start, end, _, covered = open_.pop(s)
-            done.append({"label": self.labels[s], "start": start, "end": end, "cover": min(1.0, covered / self.sizes[s])})
+            size = self.sizes[s]
+            earned = covered >= self.min_cover * size and covered >= min(size, self.min_words)
+            done.append({"label": self.labels[s], "start": start, "end": end, "cover": min(1.0, covered / size), "earned": earned})
 
         for end, state, length in matches:
-            for s in {s for s, _ in self.machine.ends[state]}:
-                ends = sorted(e for t, e in self.machine.ends[state] if t == s)
+            if state not in self.places:
+                places = self.places.setdefault(state, {})
+                for s, e in sorted(self.machine.ends(state)):
+                    places.setdefault(s, []).append(e)
+            for s, ends in self.places[state].items():
                 chain = open_.get(s)
                 if chain is not None:
                     # the first place in the template past the chain's end keeps both orders
@@ -197,8 +299,8 @@ class Scanner:
 
 
 @lru_cache(maxsize=4)
-def _scanner(phrases: tuple, templates: tuple, min_match: int, max_gap: int, min_cover: float) -> Scanner:
-    return Scanner(dict(phrases), dict(templates), min_match, max_gap, min_cover)
+def _scanner(phrases: tuple, templates: tuple, min_match: int, max_gap: int, min_cover: float, min_words: int) -> Scanner:
+    return Scanner(dict(phrases), dict(templates), min_match, max_gap, min_cover, min_words)
 
 
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())])
@@ -217,6 +319,7 @@ def scan_licenses(
     min_match: int = MIN_MATCH,
     max_gap: int = MAX_GAP,
     min_cover: float = MIN_COVER,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """One row per document: word and phrase counts, labels, score and covered template spans; no shuffle.
 
@@ -225,7 +328,7 @@ def scan_licenses(
     columns are ignored.
     """
     workers_see_package(docs.sparkSession)
-    key = (tuple(phrases.items()), tuple((k, tuple(v)) for k, v in templates.items()), min_match, max_gap, min_cover)
+    key = (tuple(phrases.items()), tuple((k, tuple(v)) for k, v in templates.items()), min_match, max_gap, min_cover, min_words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(*key)
