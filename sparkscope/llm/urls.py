@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -19,10 +19,18 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-# Terms that reject alone, and terms of which several distinct ones reject.
-STRICT: tuple[str, ...] = ("adult", "casino", "porn", "spam", "viagra", "xxx")
-SOFT: tuple[str, ...] = ("ads", "bet", "bets", "bonus", "cheap", "deal", "farm", "free", "pills", "track", "win")
-SOFT_LIMIT = 2
+#: Points from which a URL is rejected; a term of so many points is strict and rejects alone, others are soft.
+LIMIT = 100
+# The terms of the production filter by their points.
+VOCABULARY: dict[str, int] = {
+    term: points
+    for points, terms in (
+        (100, "adult bdsm camgirl camgirls casino casinos cialis erotic escort escorts fetish hardcore hentai milf nude nudes phishing porn porno pornstar sex sexcam sexcams spam viagra warez xrated xxx"),
+        (50, "ads babes bet bets betting bonus cams cheap crack cracked deal diet farm free gamble gambling hacked jackpot keygen loan loans nulled payday pharmacy pills poker replica slot slots torrent torrents track win"),
+        (34, "bitcoin click clickbait coupon coupons credit crypto dating discount forex hot money offer offers popunder prize promo redirect rich sale seo singles traffic weightloss winner"),
+    )
+    for term in terms.split()
+}
 
 _A_TO_Z = {i: i + 32 for i in range(65, 91)}
 
@@ -39,7 +47,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Rules:
-    """Longest rule that fits a host (or a subdomain of it) and starts the path."""
+    """Longest rule that fits a host (or a subdomain of it) and starts the path; of equally long ones that of the longer host, then the first."""
 
     def __init__(self, rules: Sequence[tuple[str, str, str]] = RULES):
         self.by_host: dict[str, list[tuple[str, str]]] = {}
@@ -58,30 +66,26 @@ class Rules:
 
 
 class Vocabulary:
-    """Strict and soft terms with word boundaries on both sides, found in one pass."""
+    """Weighted terms with word boundaries on both sides, found in one pass."""
 
-    def __init__(self, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT):
-        self.machine = ahocorasick.Automaton()
-        for kind, terms in (("soft", soft), ("strict", strict)):
-            for term in terms:
-                self.machine.add_word(term, (term, kind))
+    def __init__(self, terms: Mapping[str, int] = VOCABULARY, limit: int = LIMIT):
+        self.machine, self.limit = ahocorasick.Automaton(), limit
+        self.terms = {t: p for t, p in terms.items() if t}
+        for term in self.terms:
+            self.machine.add_word(term, term)
         self.machine.make_automaton()
-        self.empty = not (strict or soft)
-
-    def count(self, text: str) -> tuple[int, int]:
-        """(strict hits, distinct soft terms) of a lower-cased text."""
-        strict, soft = 0, set()
-        if self.empty:
-            return 0, 0
-        for end, (term, kind) in self.machine.iter(text):
+
+    def count(self, text: str) -> tuple[int, int, int]:
+        """(hits of strict terms, distinct soft terms, points of the distinct terms) of a lower-cased text."""
+        strict, seen = 0, set()
+        for end, term in self.machine.iter(text) if self.terms else ():
             before, after = end - len(term), end + 1
             if (before >= 0 and _inside(text[before])) or (after < len(text) and _inside(text[after])):
                 continue
-            if kind == "strict":
-                strict += 1
-            else:
-                soft.add(term)
-        return strict, len(soft)
+            strict += self.terms[term] >= self.limit
+            seen.add(term)
+        points = [self.terms[t] for t in seen]
+        return strict, sum(p < self.limit for p in points), sum(points)
 
 
 def _inside(c: str) -> bool:
@@ -93,48 +97,46 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
-    soft_limit: int = SOFT_LIMIT,
+    vocabulary: Mapping[str, int] = VOCABULARY,
+    limit: int = LIMIT,
 ) -> DataFrame:
-    """(page_id, host, path, rule, verdict, n_strict, n_soft): one row per page, no shuffle.
+    """(page_id, host, path, rule, verdict, n_strict, n_soft, points): one row per page, no shuffle.
 
-    A rule that fits decides; otherwise one strict term or ``soft_limit``
-    distinct soft terms anywhere in the lower-cased URL block it. Null URLs and
+    A rule that fits decides; otherwise a URL is blocked whose distinct terms
+    have ``limit`` points together: one strict term, or several distinct soft
+    ones, with no letter or digit on either side. Null URLs and
     URLs without ``://`` have an empty host and path and are judged by their
     text alone; repeated rows are judged alike; extra columns are ignored.
     """
     workers_see_package(pages.sparkSession)
-    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
-    names = ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"]
+    rules, vocabulary = tuple(rules), dict(vocabulary)
+    names = ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "points"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = Rules(rules), Vocabulary(strict, soft)
+        table, words = Rules(rules), Vocabulary(vocabulary, limit)
         for batch in batches:
             rows = []
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
                 rule, verdict = table.find(host, path)
-                hard, mild = words.count((url or "").translate(_A_TO_Z))
-                rows.append((host, path, rule, verdict or ("block" if hard or mild >= soft_limit else "allow"), hard, mild))
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
+                hard, mild, points = words.count((url or "").translate(_A_TO_Z))
+                rows.append((host, path, rule, verdict or ("block" if points >= limit else "allow"), hard, mild, points))
+            kinds = [pa.string()] * 4 + [pa.int64()] * 3
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *arrays], names)
 
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    return picked.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, n_strict long, n_soft long")
+    return picked.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, n_strict long, n_soft long, points long")
 
 
-def oracle(rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = SOFT_LIMIT) -> str:
+def oracle(rules: Sequence[tuple[str, str, str]] = RULES, vocabulary: Mapping[str, int] = VOCABULARY, limit: int = LIMIT) -> str:
     """DuckDB SQL for the query: the same judgement from regular expressions."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     fits = " UNION ALL ".join(
         f"SELECT page_id, '{h}{p}' AS rule, '{v}' AS verdict FROM parts WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, v in rules
     )
-    # neighbouring hits may share a boundary character, so each term is tested on its own
-    hit = "CAST(regexp_matches(text, '(^|[^a-z0-9]){}($|[^a-z0-9])') AS INT)"
-    n_soft = " + ".join(hit.format(t) for t in soft)
-    n_strict = " + ".join(f"len(regexp_extract_all(regexp_replace(text, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){t}($|[^a-z0-9])'))" for t in strict)
+    terms = ", ".join(f"('{t}', {p})" for t, p in vocabulary.items())
+    # words of a URL are what stands between characters other than letters and digits, so a term is a hit where it is a word
     return f"""
     WITH parts AS (
       SELECT page_id, {lower.format("coalesce(url, '')")} AS text,
@@ -143,7 +145,12 @@ def oracle(rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str]
       FROM pages),
     fits AS ({fits}),
     best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id),
-    counted AS (SELECT page_id, host, path, CAST({n_strict} AS BIGINT) AS n_strict, CAST({n_soft} AS BIGINT) AS n_soft FROM parts)
-    SELECT c.page_id, host, path, rule,
-      coalesce(b.verdict, CASE WHEN n_strict > 0 OR n_soft >= {soft_limit} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
-    FROM counted c LEFT JOIN best b USING (page_id)"""
+    vocabulary(term, points) AS (VALUES {terms}),
+    words AS (SELECT page_id, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS word FROM parts),
+    hits AS (SELECT page_id, term, points, count(*) AS n FROM words JOIN vocabulary ON word = term GROUP BY ALL),
+    counts AS (
+      SELECT page_id, sum(CASE WHEN points >= {limit} THEN n ELSE 0 END) AS n_strict, sum(CASE WHEN points < {limit} THEN 1 ELSE 0 END) AS n_soft, sum(points) AS points
+      FROM hits GROUP BY page_id)
+    SELECT p.page_id, host, path, rule, coalesce(b.verdict, CASE WHEN coalesce(points, 0) >= {limit} THEN 'block' ELSE 'allow' END) AS verdict,
+      CAST(coalesce(n_strict, 0) AS BIGINT) AS n_strict, CAST(coalesce(n_soft, 0) AS BIGINT) AS n_soft, CAST(coalesce(points, 0) AS BIGINT) AS points
+    FROM parts p LEFT JOIN best b USING (page_id) LEFT JOIN counts c USING (page_id)"""
