@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from sparkscope.llm.kernels import binary_rows, word_hashes
 from sparkscope.session import workers_see_package
 
 MIN_MATCH, MIN_COVER = 5, 0.8
-#: Words of benchmark text that are sent to the tasks at once.
-BLOCK_WORDS = 1 << 21
+#: Words of benchmark text that are sent to the tasks at once, and seeds of a document that are compared at once.
+BLOCK_WORDS, SEEDS = 1 << 21, 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -73,17 +74,19 @@ def tile(pattern: np.ndarray, diagonals: Iterable[tuple[int, int, int]], min_mat
 
 
 class Benchmark:
-    """A block of benchmark items, indexed by the hashes of their runs."""
+    """A block of benchmark items (id, word hashes), indexed by the hashes of their runs."""
 
-    def __init__(self, items: list[tuple[int, bytes]], min_match: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], min_match: int):
         self.min_match = min_match
-        hashed = [(i, word_hashes(t)) for i, t in items]
-        self.items = [(i, w) for i, w in hashed if len(w)]
+        self.items = [(i, w) for i, w in items if len(w)]
         by_width: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, (_, words) in enumerate(self.items):
             width = min(min_match, len(words))
             h = rolling_hashes(words, width)
             by_width.setdefault(width, []).append((h, np.full(len(h), n), np.arange(len(h))))
+        self.flat = np.concatenate([np.empty(0, np.uint64), *(w for _, w in self.items)])
+        sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.offset = np.cumsum(sizes) - sizes
         self.seeds = {}
         for width, parts in by_width.items():
             h, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -92,46 +95,54 @@ class Benchmark:
 
     def tilings(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item id, words, covered words, tiles) of the items that share a seed with a document."""
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for width, (seeds, items, places) in self.seeds.items():
-            h = rolling_hashes(words, width)
-            if not len(h):
-                continue
-            low = np.searchsorted(seeds, h)
-            here = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == h)
-            if not len(here):
-                continue
-            low, high = low[here], np.searchsorted(seeds, h[here], side="right")
-            many = high - low
-            text = np.repeat(here, many)
-            seed = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            item, place = items[seed], places[seed]
-            order = np.argsort(item, kind="stable")
-            cuts = np.flatnonzero(np.diff(item[order])) + 1
-            for part in np.split(order, cuts):
-                found.setdefault(int(item[part[0]]), []).append((place[part], text[part]))
+        found: dict[int, list[np.ndarray]] = {}
+        for width, seeds in self.seeds.items():
+            runs = self._runs(words, width, *seeds)
+            if len(runs):
+                for part in np.split(runs, np.flatnonzero(np.diff(runs[:, 0])) + 1):
+                    found.setdefault(int(part[0, 0]), []).append(part)
         for n in sorted(found):
             item_id, pattern = self.items[n]
             width = min(self.min_match, len(pattern))
-            place, text = (np.concatenate(x) for x in zip(*found[n], strict=True))
-            covered, tiles = tile(pattern, self._maximal(pattern, words, place, text, width), width)
+            matches = np.concatenate(found[n])
+            covered, tiles = tile(pattern, zip(matches[:, 2].tolist(), (matches[:, 1] + matches[:, 2]).tolist(), (matches[:, 3] + width - 1).tolist(), strict=True), width)
             yield item_id, len(pattern), covered, tiles
 
-    @staticmethod
-    def _maximal(pattern: np.ndarray, words: np.ndarray, place: np.ndarray, text: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-        """Maximal matches from seeds: seeds that follow each other on a diagonal are one match; words are compared."""
-        same = np.ones(len(place), np.bool_)
-        for i in range(width):
-            same &= pattern[place + i] == words[text + i]
-        place, text = place[same], text[same]
-        if not len(place):
-            return []
-        order = np.lexsort((place, text - place))
-        place, text = place[order], text[order]
-        fresh = np.r_[True, (np.diff(place) != 1) | (np.diff(text - place) != 0)]
-        first = np.flatnonzero(fresh)
-        count = np.diff(np.r_[first, len(place)])
-        return list(zip(place[first].tolist(), text[first].tolist(), (count + width - 1).tolist(), strict=True))
+    def _runs(self, words: np.ndarray, width: int, seeds: np.ndarray, items: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """(item, diagonal, place, seeds) of maximal runs of seeds along a diagonal; words are compared, SEEDS of them at once."""
+        runs = np.empty((0, 4), np.int64)
+        h = rolling_hashes(words, width)
+        low = np.searchsorted(seeds, h)
+        here = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == h) if len(h) else low
+        if not len(here):
+            return runs
+        low = low[here]
+        many = np.searchsorted(seeds, h[here], side="right") - low
+        block = (np.cumsum(many) - 1) // SEEDS
+        parts = []
+        for at in np.split(np.arange(len(here)), np.flatnonzero(np.diff(block)) + 1):
+            text = np.repeat(here[at], many[at])
+            seed = np.repeat(low[at] - np.cumsum(many[at]) + many[at], many[at]) + np.arange(len(text))
+            item, place = items[seed], places[seed]
+            same = np.ones(len(text), np.bool_)
+            for i in range(width):
+                same &= self.flat[self.offset[item] + place + i] == words[text + i]
+            parts.append(_joined(np.stack([item, text - place, place, np.ones_like(place)], axis=1)[same]))
+            if sum(map(len, parts)) > 4 * SEEDS:
+                parts = [_joined(np.concatenate(parts))]
+        return _joined(np.concatenate(parts))
+
+
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Runs (item, diagonal, place, seeds) that follow each other as one, in order."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    end = runs[:, 2] + runs[:, 3]
+    head = np.flatnonzero(np.r_[True, (runs[1:, 0] != runs[:-1, 0]) | (runs[1:, 1] != runs[:-1, 1]) | (runs[1:, 2] != end[:-1])])
+    out = runs[head]
+    out[:, 3] = np.add.reduceat(runs[:, 3], head)
+    return out
 
 
 def contaminations(
@@ -147,7 +158,9 @@ def contaminations(
 
     Items shorter than ``min_match`` words need a run of all their words. Null,
     empty and wordless texts on either side match nothing; repeated documents
-    and items give a row each; extra columns are ignored.
+    and items give a row each; extra columns are ignored. Seeds of a text with
+    many repeats are joined to runs as they are found, so memory follows the
+    runs, not the pairs of places.
     """
     spark = docs.sparkSession
     workers_see_package(spark)
@@ -158,7 +171,7 @@ def contaminations(
         block = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(block.value, min_match)
+            index = _index(block, min_match)
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_rows(batch, "text"), strict=True):
@@ -174,6 +187,17 @@ def contaminations(
     return reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("covered_words") / F.col("n_item_words"))
 
 
+_last: list = []  # a block's items and their index
+
+
+def _index(block: Broadcast, min_match: int) -> Benchmark:
+    """The index of a block; a worker keeps its last one for its next task."""
+    items = block.value
+    if not _last or _last[0] is not items or _last[1].min_match != min_match:
+        _last[:] = [items, Benchmark([(i, word_hashes(t)) for i, t in items], min_match)]
+    return _last[1]
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
     """The stated query set in blocks of at most ``block_words`` words (one item at least)."""
     held, size = [], 0
