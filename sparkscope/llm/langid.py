@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,19 +149,19 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``train_rows`` labelled rows outside the held-out fold, chosen by a hash of the id.
+    """Train on at most ``train_rows`` labelled ids outside the held-out fold, chosen by a hash of the id, one row each.
 
     The driver sees subword histograms of at most BUCKETS entries a row, never texts.
     """
     workers_see_package(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1))
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
-    n = labelled.count()
+    n = labelled.agg(F.approx_count_distinct("doc_id").alias("n")).first()["n"]  # an id's rows share their place in the hash space
     if not n:
         return train([])
     # a share of the hash space leaves little more than train_rows to sort, however many rows are labelled
     share = labelled.where(F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 1.2 * train_rows / n) * (1 << 30)))
-    last = share.select(order.alias("o")).orderBy("o").limit(train_rows).agg(F.max("o").alias("o")).first()["o"]
+    last = share.select(order.alias("o")).distinct().orderBy("o").limit(train_rows).agg(F.max("o").alias("o")).first()["o"]
     if last is None:
         return train([])
     labelled = share
@@ -176,6 +176,8 @@ def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("lang"), pa.array(index, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int64()))], ["o", "lang", "i", "c"])
 
     chosen = labelled.where(order <= last).select(order.alias("o"), "lang", F.col("text").cast("string").alias("text"))
+    # however often an id repeats, one of its rows trains; each task's share is cut before it is shuffled
+    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy("lang", F.xxhash64("text")))).where("rank = 1").drop("rank")
     rows = chosen.mapInArrow(run, "o long, lang string, i array<int>, c array<long>").toArrow()
     rows = rows.sort_by([("o", "ascending"), ("lang", "ascending")]).slice(0, train_rows)
     kept = []
