@@ -273,7 +273,7 @@ def _audit(points: DataFrame, parts: DataFrame, counts: DataFrame, threshold: fl
     """
     known = points.join(parts, F.col("rep") == F.col("node"), "left").join(counts.withColumnRenamed("rep", "c"), F.col("rep") == F.col("c"), "left")
     first = known.where("component is not null").groupBy("component").agg(F.min_by(F.struct("rep", "vec", "linked"), F.xxhash64("rep")).alias("p")).select("p.*")
-    alone = known.where("component is null").select("rep", "vec", F.lit(0).cast("long").alias("linked"))
+    alone = known.where("component is null").select("rep", "vec", F.lit(None).cast("long").alias("linked"))
     chosen = [df.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_ROWS).toArrow() for df in (first, alone)]
     sample = pa.concat_tables(chosen).combine_chunks()
     if not sample.num_rows:
@@ -317,12 +317,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         tables = Tables(n, width, wave, threshold)
         planted, apart = tables.planted_recall(unit, threshold, apart)
         pairs = _bucket_pairs(points, tables, threshold)
-        found = materialise(pairs.distinct() if links is None else pairs.union(links).distinct())
+        found = materialise(pairs.distinct() if links is None else pairs.union(links).distinct(), replaces=links)
         links = found
         before = links.where(F.col("cosine") >= threshold).select("a", "b").distinct().count()
         for _ in range(ROUNDS):
             fresh = _local_joins(_graph(links), points, threshold)
-            links = materialise(links.union(fresh).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+            links = materialise(links.union(fresh).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), replaces=links)
             now = links.where(F.col("cosine") >= threshold).count()
             if now <= before * 1.001:
                 break

@@ -25,11 +25,20 @@ def test_urls_match_the_oracle(spark, tmp_path):
     both = pages.select("page_id", "url").union(spark.read.parquet(f"{SF}/pages.parquet").select(F.col("page_id") + 1000, "url"))
     frame = both.toPandas()
     db.register("pages", frame)
-    names = ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"]
+    names = ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "points"]
     truth = sorted(db.execute(f"SELECT {', '.join(names)} FROM ({urls.oracle()})").fetchall(), key=lambda r: r[0])
     assert sorted((tuple(r[n] for n in names) for r in urls.judge_urls(both).collect()), key=lambda r: r[0]) == truth
 
 
+def test_url_rules_ties_and_a_vocabulary(spark):
+    rules = [("b.org", "/x", "block"), ("org", "/xyz", "allow"), ("org", "/xyz", "block")]
+    pages = spark.createDataFrame([(1, "x://a.b.org/xyz"), (2, "x://c.org/xyz"), (3, "x://k.net/wood-oak"), (4, "x://k.net/oak"), (5, "x://k.net/elm/oak_pine")], "page_id long, url string")
+    rows = {r.page_id: r for r in urls.judge_urls(pages, rules=rules, vocabulary={"wood": 100, "oak": 40, "elm": 40, "pine": 20}).collect()}
+    assert (rows[1].rule, rows[1].verdict) == ("b.org/x", "block")  # as long as the other, of the longer host
+    assert (rows[2].rule, rows[2].verdict) == ("org/xyz", "allow")  # the first of the same
+    assert [(rows[i].verdict, rows[i].n_strict, rows[i].n_soft, rows[i].points) for i in (3, 4, 5)] == [("block", 1, 1, 140), ("allow", 0, 1, 40), ("block", 0, 3, 100)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><a href=x>Logo</a></header>
 <nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies</div><aside>side</aside>
 <article><header><h1>Ti&amp;tle {n}</h1></header><p>Fir<b>st</b> para&nbsp;{n}.<br>Line<p>Se&#99;ond &lt;x&gt;
