@@ -51,39 +51,53 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only if unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only if it is unset and all runs on one machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sparkscope-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="sparkscope-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage like checkpoint(), survives lost executors, and keeps the
-    table columnar. The files are removed when the driver ends.
+    table columnar. The files are removed when the driver ends, or once a table
+    that ``replaces`` this one is written: a loop's state needs one table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
+    _written[path] = spark
+    if replaces is not None and (old := getattr(replaces, "_sparkscope_path", None)):
+        _remove(old)
     # nothing needs the shuffle files behind the table any more; Spark drops them once the driver has collected their handles
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._sparkscope_path = path
+    return table_
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(path)
         except Exception:  # noqa: BLE001 - the session may be gone; the shared folder's owner cleans up then
             return
 
