@@ -53,7 +53,7 @@ def function_from_text(texts: DataFrame, id_col: str, text_col: str, blocked: Da
     hits = pattern_hits(texts, id_col, text_col, FUNCTION_PHRASES)
     plain = (F.col("base") <= 3) & ~F.col("value").contains("_") & ((F.col("value") == F.lower("value")) | (F.col("value") == F.upper("value")))
     good = hits.where(plausible_function(F.col("value")) & ~plain)
-    good = good.join(F.broadcast(blocked.select(F.lower("name").alias("b"))), F.lower("value") == F.col("b"), "left_anti")
+    good = good.join(blocked.select(F.lower("name").alias("b")), F.lower("value") == F.col("b"), "left_anti")
     text = texts.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text"))
     file = F.concat(F.lit(r"(^|\W)"), F.lower("value"), F.lit(r"\.(c|h|cc|cpp|cxx|hpp|hh)\b"))
     named = good.join(text, F.col(id_col) == F.col("_id")).where(~F.regexp_like("_text", file))

@@ -98,7 +98,7 @@ def subject_function(said: DataFrame, blocked: DataFrame) -> DataFrame:
     ways = (r"^([a-zA-Z_]\w+)\s*:", r"(?i)\b(?:fix|patch|resolve|address)\b.*?\bin\s+([a-zA-Z_]\w+)\s*$", r"\b([a-zA-Z_]\w+)\(\)")
     others = [keyed.select("id", F.lit(i).alias("way"), F.regexp_extract("subject", p, 1).alias("value")).where("value != ''") for i, p in enumerate(ways, 1)]
     rows = reduce(DataFrame.unionByName, [phrase, *others]).where(plausible_function(F.col("value")))
-    rows = rows.join(F.broadcast(blocked.select(F.lower("name").alias("b"))), F.lower("value") == F.col("b"), "left_anti").join(keyed.select("id", "cve_id", "place"), "id")
+    rows = rows.join(blocked.select(F.lower("name").alias("b")), F.lower("value") == F.col("b"), "left_anti").join(keyed.select("id", "cve_id", "place"), "id")
     return first_wins(rows.select("cve_id", "value", "place", "way"), ["cve_id"], ["place", "way"]).select("cve_id", "value")
 
 

@@ -100,28 +100,37 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").distinct().join(edges.select(F.col("callee").alias("name")), "name", "left_anti")
 
 
+#: Levels after which the nodes seen so far are written as one table.
+COMPACT = 8
+
+
 def reverse_paths(edges: DataFrame, sinks: DataFrame, public: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(sink, node, depth, path): public nodes that reach a sink, with the least shortest path, read from the sink outward.
 
     Level-synchronous: one equi join, one anti join and one min per level, all
     keyed by node; paths stop at public nodes (but for the sink itself). A
     level's table is written once, so lost executors cost no earlier level.
+    Only the last level's paths are moved; of earlier ones (sink, node) is
+    kept, in one table again every COMPACT levels. Raises if paths go on beyond
+    ``max_depth``.
     """
     callers = edges.select(F.col("callee").alias("_callee"), F.col("caller").alias("next")).distinct()
     stops = public.select(F.col("name").alias("node")).distinct().withColumn("stop", F.lit(True))
     start = sinks.select(F.col("name").alias("sink"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
     frontier = materialise(start.join(stops, "node", "left").select("sink", "node", "path", F.coalesce("stop", F.lit(False)).alias("stop")))
-    visited = frontier
-    for depth in range(max_depth):
+    found, seen = frontier.where("stop"), frontier.select("sink", "node")
+    for depth in range(max_depth + 1):
         alive = frontier if depth == 0 else frontier.where("not stop")
         step = alive.join(callers, F.col("node") == F.col("_callee")).select("sink", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         least = step.groupBy("sink", "node").agg(F.min("path").alias("path"))
-        fresh = least.join(visited.select("sink", "node"), ["sink", "node"], "left_anti").join(stops, "node", "left")
+        fresh = least.join(seen, ["sink", "node"], "left_anti").join(stops, "node", "left")
         frontier = materialise(fresh.select("sink", "node", "path", F.coalesce("stop", F.lit(False)).alias("stop")))
         if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    return visited.where("stop").select("sink", "node", (F.size("path") - 1).alias("depth"), "path")
+            return found.select("sink", "node", (F.size("path") - 1).alias("depth"), "path")
+        found, seen = found.unionByName(frontier.where("stop")), seen.unionByName(frontier.select("sink", "node"))
+        if depth % COMPACT == COMPACT - 1:
+            found, seen = materialise(found), materialise(seen)
+    raise RuntimeError(f"paths go on beyond {max_depth} levels")
 
 
 def is_data_pointer(kind: Column) -> Column:

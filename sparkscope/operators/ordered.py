@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkscope.session import materialise
+
 
 def top_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The first ``k`` rows of each partition (of the whole table without one).
@@ -63,22 +65,38 @@ def fallback_if_empty(preferred: DataFrame, otherwise: DataFrame) -> DataFrame:
     return preferred.unionByName(rest)
 
 
-def prune_containing(df: DataFrame, columns: Sequence[str], names: DataFrame, name: str = "name") -> DataFrame:
+#: Characters of a table of names up to which it is sent to all tasks and each row is tested against it.
+RULE_CHARS = 1 << 16
+
+
+def prune_containing(df: DataFrame, columns: Sequence[str], names: DataFrame, name: str = "name", rule_chars: int = RULE_CHARS) -> DataFrame:
     """Rows none of whose ``columns`` contains a name, ignoring case.
 
-    The names are a rule table; they are folded into one array, so each row is
-    tested once and nothing is joined row by row.
+    A small rule table is folded into one array, so each row is tested once. A
+    larger one is joined by the first characters of its names with the runs of
+    characters of each row.
     """
-    listed = names.select(F.lower(known(F.col(name))).alias("_n")).where("_n is not null").agg(F.collect_set("_n").alias("_names"))
+    listed = names.select(F.lower(known(F.col(name))).alias("_n")).where("_n is not null").distinct()
     text = F.concat_ws("\n", *(F.lower(c) for c in columns))
-    hit = F.exists("_names", lambda n: text.contains(n))
-    return df.crossJoin(F.broadcast(listed)).where(~hit).drop("_names")
+    size = listed.agg(F.sum(F.length("_n"))).first()[0] or 0
+    if size <= rule_chars:
+        all_ = listed.agg(F.collect_set("_n").alias("_names"))
+        hit = F.exists("_names", lambda n: text.contains(n))
+        return df.crossJoin(F.broadcast(all_)).where(~hit).drop("_names")
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    starts = F.sequence(F.lit(1), F.length("_t"))
+    runs = lambda n: F.transform(starts, lambda i: F.substring("_t", i, F.lit(n)))
+    seen = rows.select("_row", text.alias("_t")).where("_t != ''").select("_row", "_t", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("_g"))
+    hits = seen.join(listed.select("_n", F.substring("_n", 1, 3).alias("_k")), F.col("_g") == F.col("_k")).where(F.contains("_t", "_n"))
+    return rows.join(hits.select("_row"), "_row", "left_anti").select(*df.columns)
 
 
 def keep_anchored(df: DataFrame, tokens: Column, anchors: DataFrame, anchor: str = "token") -> DataFrame:
-    """Rows that share a token with the anchors: a semi join on exploded tokens of rows with an id."""
-    listed = anchors.select(F.col(anchor).alias("_a")).where("_a is not null").agg(F.collect_set("_a").alias("_anchors"))
-    return df.crossJoin(F.broadcast(listed)).where(F.arrays_overlap(tokens, F.col("_anchors"))).drop("_anchors")
+    """Rows that share a token with the anchors: a semi join on the exploded tokens of rows with an id."""
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    listed = anchors.select(F.col(anchor).alias("_a"))
+    hits = rows.select("_row", F.explode(F.array_distinct(tokens)).alias("_t")).join(listed, F.col("_t") == F.col("_a"), "left_semi")
+    return rows.join(hits.select("_row"), "_row", "left_semi").select(*df.columns)
 
 
 def carry_forward(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column, reset: Column | None = None) -> Column:
@@ -96,8 +114,15 @@ def segments(df: DataFrame, partition: Sequence[str], order: Sequence[str], star
     return df.withColumn(name, F.sum(starts.cast("long")).over(window))
 
 
-def group_scores(branches: DataFrame, keys: Sequence[str], score: str, reason: str, order: Sequence[str]) -> DataFrame:
-    """Sum of scores and reasons in order, for rows united from several scoring branches."""
+def group_scores(branches: DataFrame, keys: Sequence[str], score: str, reason: str, order: Sequence[str], k: int | None = None) -> DataFrame:
+    """Sum of scores and reasons in order, for rows united from several scoring branches.
+
+    With ``k`` only for the keys of the greatest sums, then the least keys:
+    sums are ranked before any reason is gathered, so no other key's are.
+    """
+    if k is not None:
+        best = top_k(branches.groupBy(*keys).agg(F.sum(score).alias("_sum")), [], [F.desc("_sum"), *keys], k)
+        branches = branches.join(best.select(*keys), list(keys), "left_semi")
     listed = F.array_sort(F.collect_list(F.struct(*order, reason)))
     return branches.groupBy(*keys).agg(F.sum(score).cast("long").alias("score"), F.transform(listed, lambda x: x[reason]).alias("reasons"))
 
@@ -106,7 +131,8 @@ def block_join(points: DataFrame, blocks: DataFrame, on: Sequence[str], at: str,
     """Each point with the first block ``[start, end)`` that holds it, by equi join on (keys, bucket of positions).
 
     A block is repeated for the buckets it touches, so a key with many blocks
-    is spread and no row is compared with all blocks of its key.
+    is spread and no row is compared with all blocks of its key. Points are
+    told apart by all their columns: repeated ones give one row.
     """
     left = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
     touched = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))

@@ -77,7 +77,7 @@ def stage_evidence(files: DataFrame, blocks: DataFrame, apis: DataFrame, wrapper
     from sparkscope.functions.patterns import matches
 
     called = files.select("path", F.explode(matches(F.col("text"), r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1)).alias("m")).select("path", F.col("m.pos").alias("pos"), F.col("m.value").alias("api"))
-    wanted = called.join(F.broadcast(apis.select(F.col("name").alias("api")).distinct()), "api", "left_semi")
+    wanted = called.join(apis.select(F.col("name").alias("api")), "api", "left_semi")
     inside = wanted.join(blocks, "path").where((F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end")))
     held = inside.groupBy("path", "pos", "api").agg(F.min_by(F.struct("name", "body"), "start").alias("b")).select("path", "api", "b.*").distinct()
     score = block_score(F.col("name"), F.col("body"), F.col("path"), wrapper, config, support)

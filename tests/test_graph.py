@@ -125,6 +125,14 @@ def test_reverse_paths_are_those_of_a_queue(spark, seed):
     assert {r.node: r.path for r in got.collect()} == plain_paths(pairs, "n0", public)
 
 
+def test_long_reverse_paths_are_whole_or_raise(spark):
+    chain = spark.createDataFrame([(f"c{i + 1}", f"c{i}") for i in range(20)], "caller string, callee string")
+    ends = [spark.createDataFrame([(n,)], "name string") for n in ("c0", "c20")]
+    assert [(r.node, r.depth) for r in graph.reverse_paths(chain, *ends).collect()] == [("c20", 20)]
+    with pytest.raises(RuntimeError, match="10 levels"):
+        graph.reverse_paths(chain, *ends, max_depth=10)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_pointer_fixpoint_against_a_plain_model(spark, seed):
     rng = random.Random(seed)

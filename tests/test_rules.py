@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from sparkscope import session
 from sparkscope.functions import names
 from sparkscope.operators import advisory, evidence, excerpt, ordered, rules, seeds, validate
 
@@ -143,6 +145,40 @@ def test_ordered(spark):
     assert {(r.p, r.name) for r in ordered.block_join(points, blocks, ["k"], "p", "s", "e", ["s"], 4).collect()} == {(7, "one"), (12, "two")}
 
 
+def test_names_and_anchors_by_join(spark):
+    texts = [("Alpha beta", 1), ("gamma", 2), ("gamma", 2), ("", 3), (None, 4), ("xab", 5), ("delta Éa", 6)]
+    df = spark.createDataFrame(texts, "t string, n int")
+    names_ = spark.createDataFrame([("PHA B",), ("ab",), ("m",), (None,), (" ",), ("éa",)], "name string")
+    truth = sorted([t for t in texts if not any(n in (t[0] or "").lower() for n in ("pha b", "ab", "m", "éa"))], key=str)
+    for limit in (ordered.RULE_CHARS, 0):  # sent to all tasks, or joined
+        assert sorted(map(tuple, ordered.prune_containing(df, ["t"], names_, rule_chars=limit).collect()), key=str) == truth
+    anchors = spark.createDataFrame([("beta",), ("gamma",), (None,)], "token string")
+    assert sorted(map(tuple, ordered.keep_anchored(df, F.split("t", " "), anchors).collect())) == [("Alpha beta", 1), ("gamma", 2), ("gamma", 2)]
+    scores = spark.createDataFrame([("a", 1, "x", 0), ("a", 2, "y", 1), ("b", 5, "z", 0), ("c", 3, "w", 0)], "k string, s int, r string, o int")
+    assert {(r.k, r.score, *r.reasons) for r in ordered.group_scores(scores, ["k"], "s", "r", ["o"], k=2).collect()} == {("b", 5, "z"), ("a", 3, "x", "y")}
+    assert ordered.group_scores(scores, ["k"], "s", "r", ["o"]).count() == 3
+
+
+def test_excerpts_inside_a_row(spark):
+    texts = spark.createDataFrame([(1, "plain words\nif (x) foo();\n\nreturn y;\nzzz"), (2, ""), (3, None)], "k int, t string")
+    got = excerpt.text_excerpt(texts, ["k"], "t", excerpt.line_score, 26).collect()
+    assert [(r.k, r.n_lines, r.excerpt) for r in got] == [(1, 2, "if (x) foo();\n    // ...\nreturn y;")]
+
+
+def test_a_replaced_table_is_removed_and_a_shared_folder_is_needed(spark):
+    first = session.materialise(spark.range(3))
+    second = session.materialise(first.withColumn("x", F.lit(1)), replaces=first)
+    assert second.count() == 3 and first._sparkscope_path not in session._written and second._sparkscope_path in session._written
+
+    class Context:
+        master = "spark://somewhere"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+        getConf = lambda self: type("C", (), {"get": lambda self, key: None})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(type("Spark", (), {"sparkContext": Context()}))
+
+
 def test_scalar_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     text = F.lit
