@@ -110,3 +110,51 @@ SHAPED_CODE = """int f(const uint8_t *data, size_t size) {
   num_rows = limit;
   parse_it(container.data(), container.size());
 }"""
+
+_FEED, _LOOP = "int f() {\n  feed_it(x);\n}", "int f() {\n  for (;;) feed_it(x);\n}"
+_STATE = {"roles": [("ctx", "state")], "error_calls": 1}
+_STAGE = {"entry": "entry", "deferred_transform": True, "transform_calls": ["png_quantize"]}
+_BUILT = "int f() {\n  std::vector<uint8_t> container;\n  container.push_back(1);\n  feed_it(container.data());\n}"
+#: For each rule: a plan, a text that breaks the rule, and one that keeps it.
+RULE_CASES = (
+    ("MISSING_REPEATED_RECORDS_LOOP", {"operators": ["repeated-records"]}, _FEED, _LOOP),
+    ("RAW_BUFFER_SEMANTIC_ARGS", {"primary": "semantic-arguments"}, "int f() {\n  feed_it(data, size);\n}", "int f() {\n  feed_it(args.data(), args.size());\n}"),
+    ("MISSING_TRIGGER_CONTROL_SELECTOR", {"trigger_controls": ["mode"]}, _FEED, "int f() {\n  feed_it(data[0] % 4);\n}"),
+    ("ENTROPY_OVER_SPREAD", {"policies": ["stabilize"]}, "int f() {\n" + "  x += data[1];\n" * 9 + "  feed_it(x);\n}", "int f() {\n  x += data[1];\n  feed_it(x);\n}"),
+    ("BROAD_SETUP_MODE_SWITCH", {"profiles": 1}, "int f() {\n  int state = 0;\n  a = COLOR_RGB;\n  b = MODE_A;\n  c = TYPE_B;\n  feed_it(a);\n}", "int f() {\n  int state = 0;\n  a = COLOR_RGB;\n  feed_it(a);\n}"),
+    ("MISSING_SETUP_REQUIREMENT", {"setup_requirements": ["initialise decoder before use"]}, _FEED, "int f() {\n  decoder_t d;\n  feed_it(&d);\n}"),
+    ("NULL_HELPER_CALL", {"support_words": ["header"]}, "int f() {\n  set_header(NULL, 4);\n  feed_it(x);\n}", "int f() {\n  set_header(ctx, 4);\n  feed_it(x);\n}"),
+    ("WEAK_SUPPORT_OBJECT_SOFT", {"entry": "parse_it", "support": [("table", ["rows", "cols"])]}, "int f() {\n  table t;\n  parse_it(t);\n}", "int f() {\n  table t;\n  t.rows = t.cols = 2;\n  parse_it(t);\n}"),
+    ("WEAK_SUPPORT_OBJECT", {"support": [("table", ["rows", "cols"])]}, "int f() {\n  table t;\n  feed_it(t);\n}", "int f() {\n  table t;\n  t.rows = t.cols = 2;\n  feed_it(t);\n}"),
+    ("NULL_CALLBACK_SETUP_SOFT", {**_STATE, "entry": "parse_it"}, "int f() {\n  ctx_create(NULL, NULL);\n  parse_it(ctx);\n}", "int f() {\n  ctx_create(on_error, on_warning);\n  parse_it(ctx);\n}"),
+    ("NULL_CALLBACK_SETUP", _STATE, "int f() {\n  ctx_create(NULL, NULL);\n  feed_it(ctx);\n}", "int f() {\n  ctx_create(on_error, on_warning);\n  feed_it(ctx);\n}"),
+    ("MISSING_OBJECT_LIFECYCLE", {"milestones": ["object-lifecycle"]}, _FEED, "int f() {\n  object_init(x);\n  feed_it(x);\n}"),
+    ("MISSING_CONTAINER_SHAPING", {"milestones": ["container-parse"], "primary": "structured-format"}, _FEED, _BUILT),
+    ("MISSING_INCREMENTAL_FEED", {"milestones": ["incremental-feed"]}, _FEED, _LOOP),
+    ("MISSING_TRANSFORM_CONFIG", {"milestones": ["transform-gating"]}, _FEED, "int f() {\n  set_transform(x);\n  feed_it(x);\n}"),
+    ("MISSING_DEFERRED_TRANSFORM", {"deferred_transform": True}, _FEED, "int f() {\n  set_transform(x);\n  feed_it(x);\n}"),
+    ("EMPTY_TRANSFORM_CALLBACK", {**_STAGE, "placement": ["cb_b"]}, "void cb_b(int x) { }\nint f() {\n  entry(1);\n}", "void cb_b(int x) { png_quantize(x); }\nint f() {\n  entry(1);\n}"),
+    ("EARLY_TRANSFORM_CALL", {**_STAGE, "placement": ["cb_a"]}, "void cb_a(int x) { png_quantize(x); }\nint f() {\n  png_quantize(1);\n  entry(1);\n}", "void cb_a(int x) { png_quantize(x); }\nint f() {\n  entry(1);\n}"),
+    ("DEAD_SUPPORT_STATE", {**_STAGE, "support_words": ["palette"]}, "int f() {\n  palette[0] = 1;\n  entry(1);\n}", "int f() {\n  palette[0] = 1;\n  entry(palette);\n}"),
+    ("WEAK_WORK_UNIT_EVIDENCE", {"milestones": ["work-unit"]}, _FEED, _LOOP),
+    ("TRAILING_APPEND_HIGH_VALUE", {"regions": [("header", "field", "high")]}, "int f() {\n  buffer.append(data, size);\n  feed_it(x);\n}", _FEED),
+    ("TRAILING_APPEND_WORK_UNIT", {"regions": [("decoded-work-unit", "field", "low")]}, "int f() {\n  buffer.append(data, size);\n  feed_it(x);\n}", _FEED),
+    ("CONSTANT_SUPPORT_TABLE", {"regions": [("codes", "table", "low")], "support_words": ["codes"]}, "int f() {\n  codes[0] = 7;\n  feed_it(codes);\n}", "int f() {\n  codes[0] = data[1];\n  feed_it(codes);\n}"),
+    ("ENTROPY_TOO_BROAD", {"stabilized": 1, "primary": "structured-format"}, "int f() {\n" + "  x += data[1];\n" * 15 + "  feed_it(x);\n}", "int f() {\n  x += data[1];\n  feed_it(x);\n}"),
+    ("WEAK_INVARIANT_EVIDENCE", {"invariants": ["length equals payload"]}, _FEED, "int f() {\n  int length = 4;\n  feed_it(length);\n}"),
+)
+
+# Recorded answers of advisory services, and a patch they lead to.
+NVD = {"vulnerabilities": [{"cve": {
+    "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "An overflow in the doContent function in xmlparse.c"}],
+    "metrics": {"cvssMetricV2": [{"cvssData": {"baseScore": 5.0, "vectorString": "v2"}}], "cvssMetricV30": [{"cvssData": {"baseScore": 7.5, "vectorString": "v3"}}]},
+    "references": [
+        {"url": "https://github.com/o/r/commit/abcdef1234", "tags": ["Patch"]}, {"url": "https://github.com/o/r/commit/abcdef1234", "tags": []},
+        {"url": "https://bugzilla.org/1", "tags": []}, {"url": "https://github.com/o/r/pull/7", "tags": ["Patch"]},
+    ],
+    "weaknesses": [{"description": [{"value": "CWE-787"}, {"value": "NVD-x"}]}, {"description": [{"value": "CWE-787"}]}],
+}}]}
+OSV = {
+    "summary": "s", "details": "d", "affected": [{"ranges": [{"repo": "https://github.com/o/r.git", "events": [{"introduced": "0"}, {"fixed": "abcdef1234"}]}]}],
+    "references": [{"type": "FIX", "url": "https://github.com/mirror/r/commit/abcdef1234/"}, {"type": "WEB", "url": "https://github.com/o/r/commit/1234567"}],
+}

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscope import fixtures
-from sparkscope.functions import names
+from sparkscope.functions import classify, names
 from sparkscope.operators import advisory, contract, derive, evidence, facts, graph, lifecycle, retrieval, seeds, validate
 from sparkscope.plans import assemble, models
-from sparkscope.sources import build_log, headers, ir
+from sparkscope.sources import advisories, build_log, headers, ir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -280,3 +281,154 @@ def seed_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 def condition_values(spark: SparkSession, sf: str) -> DataFrame:
     frame = spark.createDataFrame([("Z_FINISH) && x",), ("a[3] || b",), ("f(x));",)], "text string")
     return frame.withColumn("value", names.condition_value(F.col("text")))
+
+
+@rows("rule, broken, kept", *((rule, 1, 0) for rule, *_ in fixtures.RULE_CASES))
+def validation_rule_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each rule fires on a text that breaks it, and on one that keeps it."""
+    fields = [x.split()[0] for x in validate.PLAN.split(", ")]
+    cases = [
+        (rule, kind, code, *({"entry": "feed_it", **plan}.get(f) for f in fields))
+        for rule, plan, broken, kept in fixtures.RULE_CASES
+        for kind, code in (("broken", broken), ("kept", kept))
+    ]
+    found = validate.validate(spark.createDataFrame(cases, f"wanted string, kind string, code string, {validate.PLAN}"), ["wanted", "kind"]).where("rule = wanted")
+    fired = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    return found.groupBy(F.col("wanted").alias("rule")).agg(fired("broken"), fired("kept"))
+
+
+def _answers(spark: SparkSession, *answers: tuple) -> DataFrame:
+    return spark.createDataFrame([(c, j if isinstance(j, str) else json.dumps(j)) for c, j in answers], "cve_id string, json string")
+
+
+def _united(spark: SparkSession) -> DataFrame:
+    nvd = advisories.nvd(_answers(spark, ("a", fixtures.NVD), ("b", "broken"), ("c", {"vulnerabilities": []})))
+    github = advisories.github(_answers(spark, ("a", [{"summary": "gs", "severity": "high"}]), ("b", [])))
+    return advisories.united(nvd, advisories.osv(_answers(spark, ("a", fixtures.OSV))), github)
+
+
+@rows("cve_id, description, vector, cwe, n_refs", ("a", "An overflow in the doContent function in xmlparse.c", "v3", "CWE-787", 3))
+def advisory_records(spark: SparkSession, sf: str) -> DataFrame:
+    found = advisories.nvd(_answers(spark, ("a", fixtures.NVD), ("b", "broken"), ("c", {"vulnerabilities": []})))
+    return found.select("cve_id", "description", F.col("cvss_vector").alias("vector"), F.array_join("cwe_ids", ",").alias("cwe"), F.size("refs").cast("long").alias("n_refs"))
+
+
+@rows("cve_id, repo, commit", ("a", "https://github.com/o/r.git", "abcdef1234"))
+def advisory_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    return advisories.osv(_answers(spark, ("a", fixtures.OSV))).select("cve_id", F.explode("fixes").alias("f")).select("cve_id", F.col("f.repo").alias("repo"), F.col("f.commit").alias("commit"))
+
+
+@rows("cve_id, severity", ("a", "high"))
+def advisory_severity(spark: SparkSession, sf: str) -> DataFrame:
+    return advisories.github(_answers(spark, ("a", [{"summary": "gs", "severity": "high"}]), ("b", []))).select("cve_id", "severity")
+
+
+@rows("url, kind", ("https://github.com/o/r/commit/abcdef1234", "commit"), ("https://github.com/o/r/commit/1234567", "commit"), ("https://github.com/o/r/pull/7", "pull"))
+def advisory_patch_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return advisories.patch_urls(_united(spark))
+
+
+@rows("patch_no, text", (0, "first"), (1, "second"))
+def advisory_patches(spark: SparkSession, sf: str) -> DataFrame:
+    recorded = spark.createDataFrame([("https://github.com/o/r/pull/7", "second"), ("https://github.com/o/r/commit/1234567", "first"), ("https://github.com/o/r/commit/abcdef1234", "")], "url string, text string")
+    return advisories.fix_patches(advisories.patch_urls(_united(spark)), recorded)
+
+
+@rows("message", ("one\nbody",))
+def commit_messages(spark: SparkSession, sf: str) -> DataFrame:
+    text = "From 0123456789012345678901234567890123456789 x\nSubject: [PATCH] one\nbody\n---\n file | 2\n"
+    return derive.commit_messages(spark.createDataFrame([("a", 0, text)], "cve_id string, patch_no int, text string")).select("message")
+
+
+@rows("hash", ("1234567aaaaaa",))
+def earliest_fix(spark: SparkSession, sf: str) -> DataFrame:
+    commits = spark.createDataFrame([("abcdef1234567", 5), ("1234567aaaaaa", 3), ("fffffffffffff", 1)], "hash string, time int")
+    fixes = spark.createDataFrame([("git@github.com:o/r.git", "abcdef1"), ("https://github.com/o/r", "1234567"), ("https://github.com/x/y", "fffffff")], "repo string, commit string")
+    return derive.earliest_fix(commits, fixes, F.lit("https://github.com/O/r/")).select("hash")
+
+
+@rows("id, rules", (1, "use_real_objects,vary_constants"), (2, "rewrite"))
+def repair_rules(spark: SparkSession, sf: str) -> DataFrame:
+    said = spark.createDataFrame([(1, "keeps palette constant"), (1, "null placeholders"), (2, "odd")], "id int, text string")
+    return derive.repair_rules(said, ["id"]).select("id", F.array_join("rules", ",").alias("rules"))
+
+
+@rows("library, flag", ("tiff", "-lz"), ("tiff", "-ljpeg"))
+def extra_libraries(spark: SparkSession, sf: str) -> DataFrame:
+    undefined = [("tiff", "inflateInit_"), ("tiff", "gzread"), ("tiff", "jpeg_start"), ("zlib", "deflateInit_"), ("png16", "png_x")]
+    return build_log.extra_libraries(spark.createDataFrame(undefined, "library string, symbol string")).select("library", "flag")
+
+
+@rows("path", ("/p/libfo.so",))
+def library_to_link(spark: SparkSession, sf: str) -> DataFrame:
+    return build_log.find_library(spark.createDataFrame([("/p/sub/.libs/libfoo.a",), ("/p/libfoo_util.so",), ("/p/libfo.so",)], "path string"), "/p")
+
+
+@rows("text, code", ("```python\nx = 1\n```", "x = 1"), ('{"code": "int x;"}', "int x;"), ("int y;", "int y;"))
+def unwrapped_texts(spark: SparkSession, sf: str) -> DataFrame:
+    frame = spark.createDataFrame([("```python\nx = 1\n```",), ('{"code": "int x;"}',), ("int y;",)], "text string")
+    return frame.withColumn("code", names.unwrapped_code(names.without_fence(F.col("text"))))
+
+
+@rows("k, name", ("a", "*a"), ("a", "b"), ("b", "mode"), ("c", "mode"))
+def chosen_roles(spark: SparkSession, sf: str) -> DataFrame:
+    side = lambda *r: spark.createDataFrame(list(r), "k string, name string, role string")
+    signature = side(("a", "*a", "size"), ("a", "b", "size"), ("b", "x", "value"), ("c", "mode", "control"))
+    context = side(("a", "a", "state"), ("a", "b", "control"), ("b", "mode", "control"), ("c", "x", "value"))
+    return lifecycle.choose_roles(signature, context, spark.createDataFrame([(k, "mode") for k in "abc"], "k string, name string"), ["k"]).select("k", "name")
+
+
+def _roles(spark: SparkSession) -> DataFrame:
+    given = [("n", "size"), ("m", "size"), ("t", "support-buffer"), ("u", "support-buffer"), ("s", "state")]
+    return spark.createDataFrame([("k", i, n, r) for i, (n, r) in enumerate(given)], "k string, ord int, name string, role string")
+
+
+@rows("name, role", ("n", "control"), ("m", "size"), ("t", "support-buffer"), ("u", "support-buffer"), ("s", "state"), ("z", "value"))
+def merged_roles(spark: SparkSession, sf: str) -> DataFrame:
+    given = spark.createDataFrame([("k", "N", "control"), ("k", "z", "value")], "k string, name string, role string")
+    return assemble.merge_roles(_roles(spark), given, ["k"])
+
+
+@rows("controller, dependent", ("n", "t"), ("n", "u"), ("m", "t"))
+def signature_relations(spark: SparkSession, sf: str) -> DataFrame:
+    return assemble.signature_relations(_roles(spark), ["k"], 3)
+
+
+@rows("controller, dependent", ("s", "n"), ("s", "m"))
+def setup_state_relations(spark: SparkSession, sf: str) -> DataFrame:
+    return assemble.setup_state_relations(_roles(spark), ["k"])
+
+
+def _items(spark: SparkSession) -> DataFrame:
+    given = [("setup_call", 0, "pngInit", None), ("setup_call", 1, "set_palette", None), ("milestone", 0, "m", "container-parse"), ("predicate", 0, "head->x", None)]
+    return spark.createDataFrame([("k", *x) for x in given], "k string, field string, ord int, text string, kind string")
+
+
+@rows("text", ("pngInit",), ("m",), ("head->x",))
+def pruned_items(spark: SparkSession, sf: str) -> DataFrame:
+    return assemble.prune_dropped(_items(spark), spark.createDataFrame([("k", "Palette")], "k string, name string"), ["k"], F.col("text"))
+
+
+@rows("text", ("set_palette",))
+def anchored_items(spark: SparkSession, sf: str) -> DataFrame:
+    return assemble.anchored_items(_items(spark), spark.createDataFrame([("k", "palette"), ("k", "init")], "k string, token string"), ["k"], F.col("text"), ("init",))
+
+
+@rows("name", ("png_a",), ("png_b",))
+def selected_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return assemble.selected_signatures(_names(spark, "png_a", "png_b", "pnx_c", "zip"), _names(spark, "png_a"), _names(spark, "q"), 1)
+
+
+@rows("entry, sink, hops, score", ("api", "ansi", "api,ansi", 12))
+def plan_records(spark: SparkSession, sf: str) -> DataFrame:
+    path = spark.createDataFrame([("ansi", "api", ["api", "ansi"], 12)], "fn string, entry string, hops array<string>, score int")
+    plan = assemble.plan_record(models.analyse(_scan(spark)).where("fn = 'ansi'"), path)
+    of = lambda key: F.get_json_object("plan", f"$.{key}")
+    hops = F.array_join(F.from_json(of("call_path"), "array<string>"), ",")
+    return plan.select(of("entry_function").alias("entry"), of("sink_function").alias("sink"), hops.alias("hops"), of("path_score").cast("long").alias("score"))
+
+
+@rows("name, kind, role", ("num_rows", "int", "size"), ("mode", "int", "control"), ("info_ptr", "void", "state"), ("out", "char **", "output-buffer"))
+def signature_roles(spark: SparkSession, sf: str) -> DataFrame:
+    frame = spark.createDataFrame([("num_rows", "int"), ("mode", "int"), ("info_ptr", "void"), ("out", "char **")], "name string, kind string")
+    return frame.withColumn("role", classify.signature_role(F.col("name"), F.col("kind")))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions import classify, names
 from sparkscope.functions.patterns import Pattern, best_match, pattern_hits
-from sparkscope.operators import advisory, evidence, excerpt, graph, ordered, rules, seeds
+from sparkscope.operators import advisory, derive, evidence, excerpt, graph, ordered, retrieval, rules, seeds
+from sparkscope.plans import assemble
 from sparkscope.session import materialise, table
+from sparkscope.sources import build_log, headers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,7 +167,7 @@ def group_sum_reasons(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     hits = F.array_compact(F.array(*(F.when(F.expr(when), F.struct(F.lit(i).alias("branch"), F.lit(p).alias("points"), F.lit(why).alias("reason"))) for i, (_, when, p, why) in enumerate(BRANCHES))))
     rows = orders.select(F.col("o_custkey").alias("target"), "o_orderkey", F.explode(hits).alias("h")).select("target", "o_orderkey", "h.*")
-    scored = ordered.group_scores(rows, ["target"], "points", "reason", ["branch", "o_orderkey"])
+    scored = ordered.group_scores(rows, ["target"], "points", "reason", ["branch", "o_orderkey"], k=10)
     return ordered.top_k(scored, [], [F.desc("score"), "target"], 10).withColumn("reasons", F.array_join("reasons", "; "))
 
 
@@ -269,8 +271,9 @@ SELECT owner, field, count(*) AS reads, CASE WHEN regexp_matches(lower(field), '
 FROM pairs WHERE lower(owner) NOT IN ('the', 'of') GROUP BY owner, field ORDER BY reads DESC, owner, field LIMIT 12""")
 def field_frequency(spark: SparkSession, sf: str) -> DataFrame:
     pattern = F.lit(r"([A-Za-z]+)(->|\.)[ \n]?([A-Za-z]+)")
-    pairs = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("owner"), F.regexp_extract_all("text", pattern, F.lit(3)).alias("field"))
-    rows = table(spark, sf, "documents").select(F.explode(pairs).alias("p")).select("p.owner", "p.field").where("lower(owner) not in ('the', 'of')")
+    # one pass over the text; the parts are taken from the short matches
+    found = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("m"))
+    rows = found.select(F.regexp_extract("m", r"^[A-Za-z]+", 0).alias("owner"), F.regexp_extract("m", r"[A-Za-z]+$", 0).alias("field")).where("lower(owner) not in ('the', 'of')")
     counts = rows.groupBy("owner", "field").agg(F.count("*").alias("reads")).withColumn("kind", classify.field_kind(F.col("field")))
     return ordered.top_k(counts, [], [F.desc("reads"), "owner", "field"], 12)
 
@@ -279,9 +282,11 @@ def field_frequency(spark: SparkSession, sf: str) -> DataFrame:
 kept AS (SELECT doc_id, line_no, last_value(CASE WHEN length(line) < 24 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS heading, line FROM lines)
 SELECT doc_id, heading, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM kept GROUP BY doc_id, heading""")
 def state_line_window(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    heading = ordered.carry_forward(lines, ["doc_id"], ["line_no"], F.when(F.length("line") < 24, F.col("line")))
-    return lines.withColumn("heading", heading).groupBy("doc_id", "heading").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    # only what a line gives is moved: its length, and its words if it is short
+    given = F.transform(F.split("text", "\n"), lambda line: F.struct(F.length(line).alias("size"), F.when(F.length(line) < 24, line).alias("short")))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(given).alias("line_no", "line")).select("doc_id", "line_no", "line.*")
+    heading = ordered.carry_forward(lines, ["doc_id"], ["line_no"], F.col("short"))
+    return lines.withColumn("heading", heading).groupBy("doc_id", "heading").agg(F.count("*").alias("n_lines"), F.sum("size").alias("n_chars"))
 
 
 @query("""WITH blocks AS (SELECT user_id, event_id AS block, epoch_ms(ts) // 1000 AS start, epoch_ms(ts) // 1000 + 3600 * (1 + event_id % 5) AS stop FROM events WHERE event_type = 'signup'),
@@ -414,6 +419,78 @@ walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, CAST(400 AS BIGINT) AS
 kept AS (SELECT doc_id, line_no, CASE WHEN line_no > lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) + 1 THEN '    // ...' || chr(10) || line ELSE line END AS line FROM walk WHERE line_no IS NOT NULL)
 SELECT d.doc_id, count(k.line_no) AS n_lines, coalesce(string_agg(k.line, chr(10) ORDER BY k.line_no), '') AS excerpt FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id""")
 def smart_excerpt(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    scored = lines.withColumn("score", F.size(F.regexp_extract_all("line", F.lit("[.,;]"), F.lit(0))).cast("long"))
-    return excerpt.greedy_excerpt(scored, ["doc_id"], "line_no", "line", "score", 400)
+    return excerpt.text_excerpt(table(spark, sf, "documents"), ["doc_id"], "text", lambda line: F.regexp_count(line, F.lit("[.,;]")).cast("long"), 400)
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS head,
+ regexp_matches(coalesce(text, ''), '(?i)(^|[^A-Za-z0-9_])(license|the|mit)($|[^A-Za-z0-9_])') AS said, coalesce(lang, '?') || ' ' || coalesce(source, '?') AS parameter FROM documents""")
+def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array(F.lit("license"), F.lit("the"), F.lit("mit"))
+    parameter = names.parameter_text(F.struct(F.col("lang").alias("type"), F.col("source").alias("name")))
+    return table(spark, sf, "documents").select("doc_id", names.cap_text(F.col("text"), 80, "...").alias("head"), names.mentions_word(F.col("text"), words).alias("said"), parameter.alias("parameter"))
+
+
+CLASSES = "CASE o_orderkey % 5 WHEN 0 THEN '190' WHEN 1 THEN 'cwe-125, CWE-190' WHEN 2 THEN 'CWE-787' WHEN 3 THEN 'CWE-125 125' END"
+
+
+@query(rf"""WITH entries AS (SELECT o_orderkey AS id, {CLASSES} AS cwe FROM orders),
+ classes AS (SELECT DISTINCT id, CASE WHEN regexp_full_match(c, '\d+') THEN 'CWE-' || c ELSE c END AS cwe FROM (SELECT id, unnest(regexp_split_to_array(upper(coalesce(cwe, '')), '[, ]+')) AS c FROM entries))
+ SELECT id, cwe, rule FROM classes JOIN (VALUES ('CWE-190', 'wide'), ('CWE-125', 'read'), ('CWE-125', 'bound')) r(cwe, rule) USING (cwe)""")
+def weakness_rules(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(CLASSES).alias("cwe"))
+    rules_ = spark.createDataFrame([("CWE-190", "wide"), ("CWE-125", "read"), ("CWE-125", "bound")], "cwe string, rule string")
+    return derive.class_rules(entries, rules_)
+
+
+MARKERS = "CASE event_id % 7 WHEN 0 THEN 'configure' WHEN 1 THEN 'CMakeLists.txt' WHEN 2 THEN 'Makefile' WHEN 3 THEN 'meson.build' WHEN 4 THEN 'configure.ac' ELSE 'README' END"
+
+
+@query(f"""WITH marked AS (SELECT user_id AS root, list({MARKERS}) AS files FROM events GROUP BY user_id), n AS (SELECT root,
+ list_contains(files, 'configure') AS configure, list_contains(files, 'CMakeLists.txt') AS lists, list_contains(files, 'Makefile') AS makefile, list_contains(files, 'meson.build') AS meson, list_contains(files, 'configure.ac') AS input FROM marked)
+SELECT root, CASE WHEN configure AND input THEN 'autotools' WHEN lists THEN 'cmake' WHEN makefile THEN 'make' WHEN meson THEN 'meson' WHEN configure OR input THEN 'autotools' ELSE 'unknown' END AS system FROM n""")
+def build_systems(spark: SparkSession, sf: str) -> DataFrame:
+    listing = table(spark, sf, "events").select(F.col("user_id").alias("root"), F.expr(MARKERS).alias("file"))
+    return build_log.build_system(listing, spark.createDataFrame([("cmake",)], "name string"))
+
+
+LISTING = """'/s/' || CASE WHEN p_partkey % 11 = 0 THEN 'build' WHEN p_partkey % 13 = 0 THEN 'tests' ELSE 'd' || CAST(p_size AS STRING) END || '/' ||
+ CASE p_partkey % 5 WHEN 0 THEN 'x.h' WHEN 1 THEN 'lib' || lower(substr(p_name, 1, 3)) || CAST(p_size AS STRING) || '.so.1' WHEN 2 THEN 'libq' || CAST(p_size AS STRING) || '.a' WHEN 3 THEN 'f' || CAST(p_partkey AS STRING) || '.c' ELSE 'notes.txt' END"""
+DUCK_LISTING = LISTING.replace("AS STRING", "AS VARCHAR")
+
+
+def file_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing of files made of part names and sizes."""
+    return table(spark, sf, "part").select(F.expr(LISTING).alias("path"))
+
+
+@query(rf"""WITH files AS (SELECT {DUCK_LISTING} AS path FROM part), parts AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]+)$', 1) AS base FROM files WHERE NOT contains(path, '/tests/')),
+ found AS (SELECT 'include' AS kind, folder AS value FROM parts WHERE ends_with(base, '.h')
+  UNION SELECT 'library_dir', folder FROM parts WHERE regexp_full_match(base, 'lib.+\.(a|so(\..*)?)') UNION SELECT 'library', split_part(regexp_replace(base, '^lib', ''), '.', 1) FROM parts WHERE regexp_full_match(base, 'lib.+\.(a|so(\..*)?)'))
+SELECT kind, value FROM found QUALIFY row_number() OVER (PARTITION BY kind ORDER BY value) <= 20""")
+def listed_search_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return build_log.search_paths(file_listing(spark, sf), 20)
+
+
+@query(rf"""WITH files AS (SELECT {DUCK_LISTING} AS path FROM part), wanted AS (SELECT DISTINCT path FROM files WHERE ends_with(path, '7.c'))
+SELECT path FROM wanted UNION ALL SELECT path FROM (SELECT path FROM files WHERE regexp_matches(path, '\.(c|h)$') AND NOT contains(path, '/build/') AND path NOT IN (SELECT path FROM wanted) ORDER BY path LIMIT 50)""")
+def listed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    files = file_listing(spark, sf)
+    return retrieval.source_files(files, files.where("path like '%7.c'"), 50)
+
+
+@query(r"""WITH symbols AS (SELECT 'lib' || l_suppkey AS library, CASE l_partkey % 3 WHEN 0 THEN '__p' WHEN 1 THEN 'part_' ELSE 'p.' END || l_partkey AS name FROM lineitem),
+ large AS (SELECT 'lib' || s_suppkey AS library FROM supplier ORDER BY CAST(s_acctbal * 100 AS BIGINT) DESC, 'lib' || s_suppkey LIMIT 5)
+SELECT DISTINCT name FROM symbols WHERE library IN (SELECT library FROM large) AND NOT regexp_matches(name, '^__|^_Z|\.') ORDER BY name LIMIT 200""")
+def largest_libraries_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    libraries = table(spark, sf, "supplier").select(F.concat(F.lit("lib"), "s_suppkey").alias("library"), F.expr("cast(s_acctbal * 100 as bigint)").alias("size"))
+    name = F.concat(F.expr("CASE l_partkey % 3 WHEN 0 THEN '__p' WHEN 1 THEN 'part_' ELSE 'p.' END"), F.col("l_partkey").cast("string"))
+    symbols = table(spark, sf, "lineitem").select(F.concat(F.lit("lib"), "l_suppkey").alias("library"), name.alias("name"))
+    return headers.symbol_listing(libraries, symbols)
+
+
+@query("""WITH ranked AS (SELECT o_orderkey AS path_id, 'c' || o_custkey AS entry, o_orderkey % 97 AS score FROM orders), exported AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_nationkey < 5),
+ kept AS (SELECT r.* FROM ranked r JOIN exported ON entry = name) SELECT path_id, entry, score FROM kept QUALIFY score = max(score) OVER () ORDER BY path_id LIMIT 1""")
+def best_exported_path(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path_id"), F.concat(F.lit("c"), "o_custkey").alias("entry"), (F.col("o_orderkey") % 97).alias("score"))
+    exported = table(spark, sf, "customer").where("c_nationkey < 5").select(F.concat(F.lit("c"), "c_custkey").alias("name"))
+    return assemble.choose_path(ranked, exported, spark.createDataFrame([(-1,)], "path_id long")).select("path_id", "entry", "score")
