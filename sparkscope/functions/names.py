@@ -45,6 +45,12 @@ def contains_any(c: Column, *parts: str) -> Column:
     return out
 
 
+def pieces(c: Column, signs: str) -> Column:
+    """The text as an array of the given single characters and the runs between them, in order."""
+    set_ = "".join("\\" + s for s in signs)
+    return F.regexp_extract_all(c, F.lit(f"[{set_}]|[^{set_}]+"), F.lit(0))
+
+
 def split_top_level(c: Column) -> Column:
     """Comma-separated parts outside ``()<>[]{}``, trimmed, without empty ones; an unmatched closer is ignored."""
     state = F.struct(F.lit(0).alias("d"), F.lit("").alias("b"), F.array().cast("array<string>").alias("o"))
@@ -58,21 +64,21 @@ def split_top_level(c: Column) -> Column:
             F.when(cut, F.concat(s["o"], F.array(s["b"]))).otherwise(s["o"]).alias("o"),
         )
 
-    parts = F.aggregate(F.split(_text(c), ""), state, step, lambda s: F.concat(s["o"], F.array(s["b"])))
+    parts = F.aggregate(pieces(_text(c), "()<>[]{},"), state, step, lambda s: F.concat(s["o"], F.array(s["b"])))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def matching_close(c: Column, open_index: Column, opener: str, closer: str) -> Column:
     """0-based index of the closer that matches the opener at ``open_index``, or -1."""
-    chars = F.split(F.substr(_text(c), open_index + 1), "")
+    parts = pieces(F.substr(_text(c), open_index + 1), opener + closer)
     init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
 
     def step(s: Column, ch: Column) -> Column:
         d = s["d"] + F.when(ch == opener, 1).when(ch == closer, -1).otherwise(0)
         found = (s["at"] < 0) & (ch == closer) & (d == 0)
-        return F.struct(d.alias("d"), (s["i"] + 1).alias("i"), F.when(found, s["i"]).otherwise(s["at"]).alias("at"))
+        return F.struct(d.alias("d"), (s["i"] + F.length(ch)).alias("i"), F.when(found, s["i"]).otherwise(s["at"]).alias("at"))
 
-    at = F.aggregate(chars, init, step, lambda s: s["at"])
+    at = F.aggregate(parts, init, step, lambda s: s["at"])
     return F.when(at >= 0, at + open_index).otherwise(-1)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkscope.functions.names import split_top_level
+from sparkscope.functions.names import pieces, split_top_level
 from sparkscope.operators.ordered import carry_forward
 
 # The line patterns of the IR dialect that is read.
@@ -47,9 +47,18 @@ class ProgramFacts:
 
 
 def read_ir_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(file, line_no, text) of all ``.ll`` files below a folder; whole files, so that lines keep their order."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ll").text(root, wholetext=True)
-    return lines_of(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    """(file, line_no, text) of all ``.ll`` files below a folder, however large; files are read in splits.
+
+    Lines are numbered by their place in their split, after the lines of the
+    splits before it, which a table with a row per split counts.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ll").option("lineSep", "\n").text(root)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    sizes = lines.groupBy(F.col("file").alias("f"), F.col("split").alias("s")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("f", "s", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    joined = lines.join(starts, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    return joined.select("file", (F.col("id") + F.col("shift")).cast("int").alias("line_no"), "text")
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -79,7 +88,7 @@ def join_signature_lines(lines: DataFrame) -> DataFrame:
 
 def balanced(text: Column) -> Column:
     """What stands between the first ``(`` and its closer (or the end)."""
-    chars = F.split(F.substr(text, F.locate("(", text)), "")
+    parts = pieces(F.substr(text, F.locate("(", text)), "()")
     init = F.struct(F.lit(0).alias("d"), F.lit("").alias("b"), F.lit(False).alias("e"))
 
     def step(s: Column, ch: Column) -> Column:
@@ -87,7 +96,7 @@ def balanced(text: Column) -> Column:
         ended = s["e"] | ((ch == ")") & (d == 0))
         return F.struct(d.alias("d"), F.when(ended | (s["d"] == 0), s["b"]).otherwise(F.concat(s["b"], ch)).alias("b"), ended.alias("e"))
 
-    return F.when(text.contains("("), F.aggregate(chars, init, step, lambda s: s["b"])).otherwise("")
+    return F.when(text.contains("("), F.aggregate(parts, init, step, lambda s: s["b"])).otherwise("")
 
 
 def parameters(text: Column) -> Column:

@@ -184,6 +184,16 @@ def test_ir_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("define void @no() {")
     lines = ir.read_ir_lines(spark, str(tmp_path))
     assert [r.line_no for r in lines.orderBy("line_no").collect()] == [1, 2, 3]
+    (tmp_path / "long").mkdir()
+    text = [f"; line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "long" / "b.ll").write_text("\n".join(text))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # a file in many splits
+    try:
+        many = ir.read_ir_lines(spark, str(tmp_path / "long"))
+        assert many.rdd.getNumPartitions() > 4 and [r.text for r in many.orderBy("line_no").collect()] == text
+        assert [r.line_no for r in many.orderBy("line_no").collect()] == list(range(1, 3001))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert edges(graph.call_edges(ir.parse_ir(lines))) == {("f", "g", "direct")}
 
 
