@@ -219,13 +219,15 @@ class Scanner:
         self.bases = len(phrases)
         self.machine = SuffixAutomaton([[ids[h] for h in seq] for seq in hashed])
         m = self.machine
-        #: phrases among a state's strings: (length, phrase)
+        #: sequences that count only as a whole, wherever they stand: phrases and short templates
+        self.whole = [s < self.bases or size < min_words for s, size in enumerate(self.sizes)]
+        #: those among a state's strings: (length, sequence)
         self.finished = [
-            [(end, s) for s, end in m.ends(at) if s < self.bases and end == self.sizes[s] and m.length[m.link[at]] < end <= m.length[at]] if at else []
+            [(end, s) for s, end in m.ends(at) if self.whole[s] and end == self.sizes[s] and m.length[m.link[at]] < end <= m.length[at]] if at else []
             for at in range(len(m.link))
         ]
         self.places: dict[int, dict[int, list[int]]] = {}
-        self.shortest = min([min_match, *self.sizes[: self.bases]])
+        self.shortest = min([min_match, *(size for size, whole in zip(self.sizes, self.whole, strict=True) if whole)])
 
     def scan(self, text: bytes | None) -> dict:
         hashes = word_hashes(text)
@@ -233,13 +235,15 @@ class Scanner:
         ids = np.where(self.known[place] == hashes, place + 1, 0) if len(self.known) and len(hashes) else np.zeros(len(hashes), np.int64)
         live = np.flatnonzero(ids)
         base: list[tuple[int, int]] = []
+        short: list[tuple[int, int]] = []
         matches: list[tuple[int, int, int]] = []
         if len(live):
             breaks = np.flatnonzero(np.diff(live) > 1)
             for a, b in zip(live[np.r_[0, breaks + 1]].tolist(), live[np.r_[breaks, len(live) - 1]].tolist(), strict=True):
                 if b - a + 1 >= self.shortest:
-                    self._run(ids[a : b + 1].tolist(), a, base, matches)
-        spans = self._chains(matches)
+                    self._run(ids[a : b + 1].tolist(), a, base, short, matches)
+        whole = [{"label": self.labels[s], "start": at, "end": at + self.sizes[s], "cover": 1.0, "earned": True} for at, s in short]
+        spans = sorted([*whole, *self._chains(matches)], key=lambda d: (d["start"], d["end"], d["label"]))
         starts = [at for at, _ in base]
         base_labels = sorted({self.labels[s] for _, s in base})
         earned = [s for s in spans if s.pop("earned")]
@@ -251,14 +255,14 @@ class Scanner:
             "spans": earned,
         }
 
-    def _run(self, ids: list[int], offset: int, base: list, matches: list) -> None:
+    def _run(self, ids: list[int], offset: int, base: list, short: list, matches: list) -> None:
         held = (0, 0, 0)
         for i, (state, length) in enumerate(self.machine.statistics(ids), offset + 1):
             at = state
             while at > 0:
                 for size, s in self.finished[at]:
                     if size <= length:
-                        base.append((i - size, s))
+                        (base if s < self.bases else short).append((i - size, s))
                 at = self.machine.link[at]
             if held[2] >= self.min_match and length <= held[2]:
                 matches.append(held)
@@ -283,6 +287,8 @@ class Scanner:
                 for s, e in sorted(self.machine.ends(state)):
                     places.setdefault(s, []).append(e)
             for s, ends in self.places[state].items():
+                if self.whole[s]:
+                    continue
                 chain = open_.get(s)
                 if chain is not None:
                     # the first place in the template past the chain's end keeps both orders
@@ -295,7 +301,7 @@ class Scanner:
                 open_[s] = [end - length, end, ends[0], length]
         for s in list(open_):
             close(s)
-        return sorted(done, key=lambda d: (d["start"], d["end"], d["label"]))
+        return done
 
 
 @lru_cache(maxsize=4)

@@ -223,7 +223,13 @@ def test_near_copies_in_a_template_crowd(spark):
         own[185 + i % 12] = "changed"  # 195 of 205 shingles in common
         texts.append(" ".join(own))
         truth[300 + i] = i * 9
-    # fingerprints of texts that share so much may differ by two bits, which is not what this tests
+    # texts that share so much may have the same fingerprint by chance, and are linked then as well
+    same = defaultdict(list)
+    for i, t in enumerate(texts):
+        same[simhash.simhash(t.encode(), 5)].append(i)
+    for many in same.values():
+        groups = {truth[i] for i in many}
+        truth = {i: min(groups) if r in groups else r for i, r in truth.items()}
     assert {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, texts), radius=0).collect()} == truth
 
 
