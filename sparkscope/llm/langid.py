@@ -171,19 +171,19 @@ def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             index, count = [], []
             for text in binary_rows(batch, "text"):
                 h = subwords((text or b"").decode("utf-8", "replace"))
-                index.append(np.flatnonzero(h).astype(np.int32))
-                count.append(h[index[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("lang"), pa.array(index, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int64()))], ["o", "lang", "i", "c"])
+                index.append(np.flatnonzero(h).astype(np.int16))
+                count.append(np.minimum(h[index[-1]], np.iinfo(np.int32).max).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("lang"), pa.array(index, pa.list_(pa.int16())), pa.array(count, pa.list_(pa.int32()))], ["o", "lang", "i", "c"])
 
     chosen = labelled.where(order <= last).select(order.alias("o"), "lang", F.col("text").cast("string").alias("text"))
     # however often an id repeats, one of its rows trains; each task's share is cut before it is shuffled
     chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy("lang", F.xxhash64("text")))).where("rank = 1").drop("rank")
-    rows = chosen.mapInArrow(run, "o long, lang string, i array<int>, c array<long>").toArrow()
-    rows = rows.sort_by([("o", "ascending"), ("lang", "ascending")]).slice(0, train_rows)
+    rows = chosen.mapInArrow(run, "o long, lang string, i array<short>, c array<int>").toArrow()
+    langs, indexes, counts = rows["lang"].to_pylist(), rows["i"], rows["c"]
     kept = []
-    for lang, i, c in zip(rows["lang"].to_pylist(), rows["i"], rows["c"], strict=True):
-        if len(i.values):
-            kept.append((lang, i.values.to_numpy(), c.values.to_numpy().astype(np.float64)))
+    for n in np.argsort(rows["o"].to_numpy(), kind="stable")[:train_rows].tolist():
+        if len(indexes[n].values):  # views of the table, not copies
+            kept.append((langs[n], indexes[n].values.to_numpy(), counts[n].values.to_numpy()))
     return train(kept)
 
 
