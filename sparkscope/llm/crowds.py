@@ -27,6 +27,8 @@ from sparkscope.session import materialise
 GROUP_PAIRS, STARS, DEALT, LEVELS = 64 * 64, 16, 2048, 3
 #: By how much the keys of a group's rows have to lessen its pairs; else they are compared in blocks.
 THINNED = 4
+#: Pairs of all crowded groups up to which blocks cost less than a further level.
+BLOCK_PAIRS = 1 << 22
 #: Rows of a batch that a task hands on, and rows that are loaded at once.
 OUT_ROWS, LOAD_ROWS = 1 << 14, 4096
 FOUND = "doc long, start long, end long, source long"
@@ -235,13 +237,14 @@ def similar(rows: DataFrame, kind: Comparison) -> DataFrame:
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"))
         full = materialise(sizes.where(F.col("n") * F.col("m") > GROUP_PAIRS).select(F.col("key").alias("full"), "n", "m"))
-        if full.isEmpty():
+        load = full.agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+        if load is None:
             found.append(materialise(_throughout(rows, "key", kind, wide=not level)))
             break
         marked = rows.join(full, F.col("key") == F.col("full"), "left")
         found.append(materialise(_throughout(marked.where("full is null"), "key", kind, wide=not level)))
         crowded = materialise(marked.where("full is not null").drop("full", "m").dropDuplicates(["key", "doc", "place"]))
-        if level == LEVELS:
+        if level == LEVELS or load <= BLOCK_PAIRS:
             found.append(materialise(_blocks(crowded, kind)))
             break
         below = materialise(_next_level(crowded, kind, wide=not level))
@@ -253,7 +256,10 @@ def similar(rows: DataFrame, kind: Comparison) -> DataFrame:
         dense = shared.groupBy("sk").agg(F.sum("pairs").alias("pairs")).join(full, F.col("sk") == F.col("full")).where(F.col("pairs") * THINNED >= F.col("n") * F.col("m")).select(F.col("sk").alias("dense"))
         dense = materialise(dense)
         if not dense.isEmpty():
-            found.append(materialise(_blocks(crowded.join(dense, F.col("key") == F.col("dense"), "left_semi"), kind)))
+            # without the stars, which are done, and with what they have settled
+            open_ = subs.join(dense, F.col("k") == F.col("dense"), "left_semi").groupBy("k", F.col("doc").alias("d"), F.col("place").alias("p")).agg(F.max("asks").alias("open"))
+            left_ = crowded.join(open_, (F.col("key") == F.col("k")) & (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")))
+            found.append(materialise(_blocks(left_.withColumn("asks", F.col("open")), kind)))
         left = subs.join(shared.join(dense, F.col("sk") == F.col("dense"), "left_anti").select("s"), F.col("sub") == F.col("s"), "left_semi")
         payload = crowded.select("key", F.col("doc").alias("d"), F.col("place").alias("p"), *kind.payload)
         joined = left.join(payload, (F.col("k") == F.col("key")) & (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")))

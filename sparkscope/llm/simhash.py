@@ -357,7 +357,7 @@ def _pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 class Sets(crowds.Loaded):
-    """Sorted sets of shingles, compared by Jaccard similarity."""
+    """Sorted sets of shingles, compared by Jaccard similarity; similar ones are joined, not listed pair by pair."""
 
     def __init__(self, blobs: list[bytes], similarity: float):
         self.sets = [np.frombuffer(b, np.uint32) for b in blobs]
@@ -383,9 +383,16 @@ class Sets(crowds.Loaded):
     def compare(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, found: crowds.Found, settled: np.ndarray | None = None) -> None:
         good = self.similar(a, b)
         a, b = a[good], b[good]
-        found.add(doc[a], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), doc[b])
         if settled is not None:
             settled[a] = True
+        # what is similar to the same is joined anyway: a link for each document but the first of a component
+        rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(rows))
+        forest.union(place[: len(a)], place[len(a) :])
+        root = forest.roots()
+        more = np.flatnonzero(root != np.arange(len(rows)))
+        none = np.zeros(len(more), np.int64)
+        found.add(doc[rows[more]], none, none, doc[rows[root[more]]])
 
     def parts(self) -> np.ndarray:
         return np.ones((len(self.sets), 1), np.bool_)

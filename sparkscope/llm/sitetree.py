@@ -27,7 +27,7 @@ from sparkscope.llm.urls import split_url
 from sparkscope.session import materialise, workers_see_package
 
 #: Pages that must share a node before the tree judges it, importance below which it goes, and the paper's attenuation.
-MIN_PAGES, MIN_IMPORTANCE, GAMMA = 4, 0.3, 0.9
+MIN_PAGES, MIN_IMPORTANCE, GAMMA = 4, 0.5, 0.9
 #: Prior importance of furniture, of what names say nothing about, and of article and main; how far entropy alone can go.
 FURNITURE, OPEN, CONTENT, LEAST, MOST = 0.01, 0.5, 0.99, 0.03, 0.95
 #: Nodes that are sent to all tasks at once (8 bytes each); more are joined with the pages.
