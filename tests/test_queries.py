@@ -26,7 +26,7 @@ def db():
 def as_rows(frame):
     """Rows in order; numbers stay numbers, so 1 and '1' differ."""
     frame = frame[sorted(frame.columns)].astype(object)
-    plain = lambda v: v.item() if hasattr(v, "item") and getattr(v, "ndim", 0) == 0 else v
+    plain = lambda v: v.tolist() if hasattr(v, "tolist") else v
     return sorted((tuple(map(plain, r)) for r in frame.where(frame.notna(), None).itertuples(index=False, name=None)), key=repr)
 
 
