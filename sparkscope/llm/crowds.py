@@ -177,7 +177,7 @@ _LEVEL = "sub long, key long, doc long, place long, asks boolean, start long, en
 
 
 def _next_level(crowded: DataFrame, kind: Comparison, wide: bool) -> DataFrame:
-    """Pairs of crowded groups' rows with their first ones (source is given), and the keys of all other rows (sub is given)."""
+    """Pairs of crowded groups' rows with their first ones (source is given), whether the other rows still ask, and their keys (sub is given)."""
     first = Window.partitionBy("key").orderBy("doc", "place")
     stars = crowded.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= STARS)
     columns = ["key", "doc", "place", *kind.payload, "asks"]
@@ -202,6 +202,8 @@ def _next_level(crowded: DataFrame, kind: Comparison, wide: bool) -> DataFrame:
                 none = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
                 yield _level_rows(none[0], none[1], batch.column("doc"), none[2], none[3], *(batch.column(c) for c in ("start", "end", "source")))
             open_ = asks & (parts & ~settled).any(axis=1)
+            none = [pa.nulls(len(member), pa.int64())] * 4
+            yield _level_rows(none[0], *(pa.array(x[member]) for x in (key, doc, place, open_)), *none[1:])
             for at in range(0, len(member), 512):
                 row, element = loaded.prefixes(member[at : at + 512], center)
                 sub = mix64(key[row].astype(np.uint64) * np.uint64(31) + element).view(np.int64)
@@ -257,7 +259,8 @@ def similar(rows: DataFrame, kind: Comparison) -> DataFrame:
         dense = materialise(dense)
         if not dense.isEmpty():
             # without the stars, which are done, and with what they have settled
-            open_ = subs.join(dense, F.col("k") == F.col("dense"), "left_semi").groupBy("k", F.col("doc").alias("d"), F.col("place").alias("p")).agg(F.max("asks").alias("open"))
+            states = below.where("sub is null and source is null").select(F.col("key").alias("k"), F.col("doc").alias("d"), F.col("place").alias("p"), F.col("asks").alias("open"))
+            open_ = states.join(dense, F.col("k") == F.col("dense"), "left_semi")
             left_ = crowded.join(open_, (F.col("key") == F.col("k")) & (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")))
             found.append(materialise(_blocks(left_.withColumn("asks", F.col("open")), kind)))
         left = subs.join(shared.join(dense, F.col("sk") == F.col("dense"), "left_anti").select("s"), F.col("sub") == F.col("s"), "left_semi")
