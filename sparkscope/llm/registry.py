@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.llm import langid, licenses, nndescent, packing, simhash, sitetree, tiling, tokencount, urls, windows
+from sparkscope.llm import hardnegatives, langid, licenses, nndescent, packing, simhash, sitetree, tiling, tokencount, urls, windows
 from sparkscope.session import table
 
 
@@ -55,6 +55,12 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hardnegatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), label=label, anchor=F.col("vec_id") % 50 == 0)
+    return found.drop("anchor_label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_site_style_tree, op2_nn_descent, op3_string_tiling, op4_license_automaton, op5_trie_token_counts, op6_cost_balanced_packing,
-        op7_simhash_vp_tree, op8_language_id, op9_compact_windows, op10_url_vocabulary, pipeline,
+        op7_simhash_vp_tree, op8_language_id, op9_compact_windows, op10_url_vocabulary, op11_hard_negatives, pipeline,
     )
 }
 
@@ -85,4 +91,14 @@ reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM
 groups AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN groups USING (vec_id) LEFT JOIN counts ON a = v.vec_id"""
 
-ORACLES: dict[str, str] = {"op1_site_style_tree": PAGES_SQL, "op2_nn_descent": VECTORS_SQL, "op10_url_vocabulary": urls.oracle()}
+#: All anchors against all rows; quadratic, for small tables.
+NEGATIVES_SQL = """
+WITH x AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM x a JOIN x b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLES: dict[str, str] = {"op1_site_style_tree": PAGES_SQL, "op2_nn_descent": VECTORS_SQL, "op10_url_vocabulary": urls.oracle(), "op11_hard_negatives": NEGATIVES_SQL}
