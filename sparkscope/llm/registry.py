@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.llm import hardnegatives, langid, licenses, nndescent, packing, simhash, sitetree, tiling, tokencount, urls, windows
+from sparkscope.llm import hardnegatives, langid, licenses, nndescent, packing, simhash, sitetree, tiling, tokencount, urls, warc, windows
 from sparkscope.session import table
 
 
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("anchor_label")
 
 
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_index(warc.write_archive(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_site_style_tree, op2_nn_descent, op3_string_tiling, op4_license_automaton, op5_trie_token_counts, op6_cost_balanced_packing,
-        op7_simhash_vp_tree, op8_language_id, op9_compact_windows, op10_url_vocabulary, op11_hard_negatives, pipeline,
+        op7_simhash_vp_tree, op8_language_id, op9_compact_windows, op10_url_vocabulary, op11_hard_negatives, op12_warc_archive, pipeline,
     )
 }
 
@@ -101,4 +105,11 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
 
-ORACLES: dict[str, str] = {"op1_site_style_tree": PAGES_SQL, "op2_nn_descent": VECTORS_SQL, "op10_url_vocabulary": urls.oracle(), "op11_hard_negatives": NEGATIVES_SQL}
+#: Base 32 as in RFC 4648: five hexadecimal digits are four of its digits.
+_BASE32 = " || ".join(f"substr('{warc.BASE32}', CAST((part[{i}] >> {shift}) & 31 AS INTEGER) + 1, 1)" for i in range(1, 9) for shift in (15, 10, 5, 0))
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, list_transform(range(8), lambda i: CAST('0x' || substr(sha1(payload), CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS part, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d"""
+
+ORACLES: dict[str, str] = {"op1_site_style_tree": PAGES_SQL, "op2_nn_descent": VECTORS_SQL, "op10_url_vocabulary": urls.oracle(), "op11_hard_negatives": NEGATIVES_SQL, "op12_warc_archive": WARC_SQL}
