@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.llm import hardnegatives, langid, licenses, nndescent, packing, simhash, sitetree, tiling, tokencount, urls, warc, windows
+from sparkscope.llm import hardnegatives, langid, licenses, nndescent, packing, simhash, sitetree, tiling, tokencount, urls, warc, whitening, windows
 from sparkscope.session import table
 
 
@@ -65,6 +65,10 @@ def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(warc.write_archive(table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_site_style_tree, op2_nn_descent, op3_string_tiling, op4_license_automaton, op5_trie_token_counts, op6_cost_balanced_packing,
-        op7_simhash_vp_tree, op8_language_id, op9_compact_windows, op10_url_vocabulary, op11_hard_negatives, op12_warc_archive, pipeline,
+        op7_simhash_vp_tree, op8_language_id, op9_compact_windows, op10_url_vocabulary, op11_hard_negatives, op12_warc_archive, op13_whitening, pipeline,
     )
 }
 
