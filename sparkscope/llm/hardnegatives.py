@@ -41,7 +41,6 @@ POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 _SHARD = "block long, chunk int, ids binary, labels binary, x binary"
 _TILE = "ablock long, block long, chunk int, tile binary, aids binary, alabels binary, ids binary, labels binary, windows binary"
 _WINDOW = ("anchor_id", "anchor_label", "positive_id", "positive_score")
-_EXACT, _LONG = 1 << 53, 1 << 63  # float64 holds all integers up to the first
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, label: Column) -> DataFrame:
@@ -103,14 +102,11 @@ def _shards(rows: DataFrame, block: Column, width: int, chunk: int) -> DataFrame
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as int64, exactly: in floating point where that is exact, else in integers. Raises where a score may not fit."""
+    """a @ b.T as int64, exactly. Raises where a hundred times a whole score may not fit; below that floating point is exact and faster."""
     largest = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
-    most = largest(a) * largest(b) * a.shape[1]
-    if most < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if 100 * CHUNKS * most >= _LONG:
+    if 100 * CHUNKS * largest(a) * largest(b) * a.shape[1] >= 1 << 63:
         raise OverflowError("scores of these vectors do not fit into 64 bits")
-    return a @ b.T
+    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
 
 
 def _partial_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +206,8 @@ def mine_hard_negatives(
     empty one scores 0. A row that repeats id and label counts once (the least
     vector); rows with one id and different labels count each, but are never
     each other's partners. An anchor without positives, or a window without
-    rows, gives no rows, an empty table none at all. Scores beyond 64 bits
-    raise. Further columns, whatever their names, are not read.
+    rows, gives no rows, an empty table none at all. Entries so large
+    that scores may leave 64 bits raise. Further columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     workers_see_package(spark)
