@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.names import pieces, split_top_level
-from sparkscope.operators.ordered import carry_forward
+from sparkscope.operators.segmented import SEGMENT, Lines, run_segments
+from sparkscope.session import materialise
 
 # The line patterns of the IR dialect that is read.
 DEFINE = r"^define\s+.*?@([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
@@ -66,24 +69,115 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def join_signature_lines(lines: DataFrame) -> DataFrame:
-    """Put signatures that run over several lines on their first one: definitions up to ``{``, declarations up to ``)``."""
-    by_file = Window.partitionBy("file").orderBy("line_no")
-    upto = by_file.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    text = F.col("text")
-    opens = F.when(text.rlike(DEFINE) & ~text.contains("{"), F.lit("{")).when(text.rlike(DECLARE) & ~F.rtrim(text).endswith(")") & ~text.contains(")"), F.lit(")"))
-    marked = lines.withColumn("_mark", opens)
-    for name, closer in (("_def", "{"), ("_dec", ")")):
-        start = F.last(F.when(F.col("_mark") == closer, F.col("line_no")), True).over(upto)
-        closed = F.coalesce(F.sum(text.contains(closer).cast("int")).over(before), F.lit(0))
-        marked = marked.withColumn(name, start).withColumn(name + "_n", closed)
-        marked = marked.withColumn(name + "_at", F.last(F.when(F.col("_mark") == closer, F.col(name + "_n")), True).over(upto))
-        marked = marked.withColumn(name, F.when(F.col(name + "_n") == F.col(name + "_at"), F.col(name)))
-    head = F.coalesce("_def", "_dec", "line_no")
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p["text"]).otherwise(F.trim(p["text"]))), " ")
-    return marked.withColumn("_head", head).groupBy("file", F.col("_head").alias("line_no")).agg(joined.alias("text"))
+class SignatureMachine:
+    """Reads IR lines in order: signatures over several lines are put on their first one, and each line gets the definition it stands in.
+
+    A definition is read up to ``{``, a declaration up to ``)`` before any
+    comment; lines on the way belong to it whatever they hold. Its states are
+    four: outside a signature, in a definition's, in a declaration's, and in a
+    declaration's after a comment began, which nothing ends.
+    """
+
+    OUTSIDE, DEFINING, DECLARING, COMMENTED = range(4)
+    schema = "line_no long, head long, text string, fn string, defined boolean, owner string, open boolean"
+    start = (OUTSIDE, None, None)
+
+    def __init__(self) -> None:
+        self.define, self.declare = (re.compile(p, re.ASCII) for p in (DEFINE, DECLARE))
+
+    def _inside(self, mode: int, text: str) -> int:
+        """The state after a line of a signature."""
+        if mode == self.DEFINING:
+            return self.OUTSIDE if "{" in text else mode
+        if mode == self.COMMENTED:
+            return mode
+        before, comment, _ = text.partition("//")
+        return self.OUTSIDE if ")" in before else self.COMMENTED if comment else mode
+
+    def _outside(self, text: str) -> tuple[int, str | None, bool | None]:
+        """(state, function, whether it is defined) after a line outside of signatures."""
+        if text.startswith("define") and (found := self.define.match(text)):
+            return self._inside(self.DEFINING, text), found[1], True
+        if text.startswith("declare") and (found := self.declare.match(text)):
+            whole = text.rstrip().endswith(")")
+            return self.OUTSIDE if whole else self._inside(self.DECLARING, text), found[1], False
+        return self.OUTSIDE, None, None
+
+    def summary(self, lines: Lines) -> tuple:
+        """For each state before: (state after, first line of its signature or None for the one before, (whether the owner changes, owner))."""
+        plain: list[tuple[int, int]] = []  # after each line of the run from outside: its state, and the last line that changed the owner
+        end = self._run(self.OUTSIDE, lines, plain, ())
+        return (end, *(self._run(mode, lines, [], plain, end) for mode in (self.DEFINING, self.DECLARING, self.COMMENTED)))
+
+    def _run(self, mode: int, lines: Lines, trace: list[tuple[int, int]], plain: list[tuple[int, int]], end: tuple = ()) -> tuple:
+        head, owner, changed = None, (False, None), -1
+        for i, (line_no, text) in enumerate(lines):
+            if mode:
+                mode = self._inside(mode, text)
+                if plain and not mode and not plain[i][0]:
+                    # from here on this run is the plain one; the owner is that run's if it changes later on
+                    return (end[0], end[1], end[2] if plain[-1][1] > i else owner)
+            elif text.startswith("de"):
+                mode, fn, defined = self._outside(text)
+                head = line_no if mode else head
+                if defined:
+                    owner, changed = (True, fn), i
+            elif text.strip() == "}":
+                owner, changed = (True, None), i
+            trace.append((mode, changed))
+        return mode, head, owner
+
+    def compose(self, first: tuple, second: tuple) -> tuple:
+        out = []
+        for mode, head, owner in first:
+            mode, later, last = second[mode]
+            out.append((mode, head if later is None else later, last if last[0] else owner))
+        return tuple(out)
+
+    def after(self, state: tuple, summary: tuple) -> tuple:
+        mode, head, owner = summary[state[0]]
+        return mode, state[1] if head is None else head, owner[1] if owner[0] else state[2]
+
+    def rows(self, state: tuple, lines: Lines) -> Iterator[tuple]:
+        """A row for each line outside of signatures and for each signature, or for the part of it that is in these lines (``open``)."""
+        mode, head, owner = state
+        first, pieces, said = (lines[0][0] if lines else None), [], (None, None)
+        started = not mode
+        for line_no, text in lines:
+            if mode:
+                pieces.append(text.strip())
+                mode = self._inside(mode, text)
+                if not mode:
+                    yield first, head, " ".join(pieces), *said, owner, not started
+                    pieces = []
+                continue
+            mode, fn, defined = self._outside(text)
+            if defined:
+                owner = fn
+            elif text.strip() == "}":
+                owner = None
+            if mode:
+                head = first = line_no
+                pieces, said, started = [text], (fn, defined), True
+            else:
+                yield line_no, line_no, text, fn, defined, owner, False
+        if mode and pieces:
+            yield first, head, " ".join(pieces), *said, owner, True
+
+
+def signature_rows(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(file, line_no, text, fn, defined, owner): lines with signatures joined on their first line.
+
+    Files are read in segments, however long they are. Only signatures that
+    cross a segment's end are gathered by their first line; one that is never
+    closed takes the rest of its file, as it does for a reader in order.
+    """
+    rows = materialise(run_segments(lines, SignatureMachine(), segment))
+    part = F.struct("line_no", "text", "fn", "defined", "owner")
+    parts = rows.where("open").groupBy("file", "head").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    first = F.element_at("p", 1)
+    crossed = parts.select("file", F.col("head").alias("line_no"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"), *(first[c].alias(c) for c in ("fn", "defined", "owner")))
+    return rows.where("not open").select("file", F.col("head").alias("line_no"), "text", "fn", "defined", "owner").unionByName(crossed)
 
 
 def balanced(text: Column) -> Column:
@@ -128,12 +222,8 @@ def _all(text: str, pattern: str, *groups: str) -> Column:
 
 def parse_ir(lines: DataFrame) -> ProgramFacts:
     """All tables of IR lines (file, line_no, text). Order is (file, line_no, place in the line)."""
-    joined = join_signature_lines(lines)
     text = F.col("text")
-    defined, declared = F.regexp_extract(text, DEFINE, 1), F.regexp_extract(text, DECLARE, 1)
-    signature = F.when(defined != "", defined).when(declared != "", declared)
-    rows = joined.withColumn("fn", signature).withColumn("defined", F.when(signature.isNotNull(), defined != ""))
-    rows = rows.withColumn("owner", carry_forward(rows, ["file"], ["line_no"], F.when(F.col("defined"), F.col("fn")), F.trim(text) == "}"))
+    rows = materialise(signature_rows(lines).withColumn("line_no", F.col("line_no").cast("int")))
 
     places = F.struct("file", "line_no")
     signatures = rows.where("fn is not null").select(F.col("fn").alias("name"), "defined", "file", F.col("line_no").alias("line"), parameters(balanced(text)).alias("params"), places.alias("at"))
