@@ -39,24 +39,65 @@ def cap_fanout(edges: DataFrame, keys: Sequence[str], target: str, cap: int = MA
     return pairs.join(few, list(keys), "left_semi")
 
 
+#: Rounds or levels after which what is known so far is written as one table.
+COMPACT = 8
+#: Rounds that follow single copies before shortcuts are made: most pointers are settled by then.
+PLAIN_ROUNDS = 3
+
+
 def pointer_fixpoint(seeds: DataFrame, flows: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Least fixpoint of (owner, ptr, target) under flows (owner, dst, src) within an owner.
 
-    Semi-naive: each round joins only the rows new in the last one. A pass
-    limit of ten would stop on long chains in an order-dependent way; this
-    goes on until nothing is new.
+    Semi-naive: each round joins the rows that were new in the last one. From
+    round PLAIN_ROUNDS on, copies along which a pointer has one source, or one
+    destination, are also followed by shortcuts: each round joins the last
+    round's shortcuts with themselves, so that they span 1, 2, 4, ... copies,
+    and what is known moves over the new ones at once. A chain or a ring is
+    settled after the logarithm of its length; only paths on which pointers
+    with several sources alternate with pointers with several destinations need
+    a round for each. Shortcuts join points that reach each other, so cycles
+    need no care. A pass limit of ten, as a reader of lines may have, would
+    make the result depend on their order.
     """
-    flows = flows.select(F.col("owner").alias("f_owner"), "dst", "src").distinct()
+    edges = materialise(flows.select("owner", "src", "dst").where("src != dst").distinct())
     known = delta = materialise(seeds.select("owner", "ptr", "target").distinct())
-    for _ in range(max_rounds):
-        step = delta.join(flows, (F.col("owner") == F.col("f_owner")) & (F.col("ptr") == F.col("src"))).select("owner", F.col("dst").alias("ptr"), "target")
-        delta = materialise(step.distinct().join(known, ["owner", "ptr", "target"], "left_anti"))
+    jumps, steps = None, edges.select(F.col("owner").alias("f_owner"), "src", "dst")
+    longest = 0
+    for done in range(max_rounds):
+        moved = _moved(delta, steps)
+        if done == PLAIN_ROUNDS:
+            jumps = materialise(_single_steps(edges))
+            longest = jumps.count().bit_length()
+        elif jumps is not None and done <= PLAIN_ROUNDS + longest and not jumps.isEmpty():
+            jumps = materialise(_doubled(jumps))
+            new = jumps.select(F.col("owner").alias("f_owner"), F.when(F.col("back"), F.col("far")).otherwise(F.col("node")).alias("src"), F.when(F.col("back"), F.col("node")).otherwise(F.col("far")).alias("dst"))
+            moved, steps = moved.unionByName(_moved(known, new)), steps.unionByName(new)
+        delta = materialise(moved.distinct().join(known, ["owner", "ptr", "target"], "left_anti"))
         if delta.isEmpty():
             return known
         known = known.unionByName(delta)
+        if done % COMPACT == COMPACT - 1:
+            known = materialise(known)
     raise RuntimeError(f"pointer targets have not settled in {max_rounds} rounds")
 
 
+def _moved(held: DataFrame, steps: DataFrame) -> DataFrame:
+    return held.join(steps, (F.col("owner") == F.col("f_owner")) & (F.col("ptr") == F.col("src"))).select("owner", F.col("dst").alias("ptr"), "target")
+
+
+def _single_steps(edges: DataFrame) -> DataFrame:
+    """(owner, node, far, back): the source of each pointer that has one, and the destination of each that has one."""
+    side = lambda node, far, back: edges.groupBy("owner", F.col(node).alias("node")).agg(F.min(far).alias("far"), F.count("*").alias("n")).where("n = 1").select("owner", "node", "far", F.lit(back).alias("back"))
+    return side("dst", "src", True).unionByName(side("src", "dst", False))
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Steps of twice the length; a ring's steps to their own start are dropped."""
+    on = jumps.select(F.col("owner").alias("o"), F.col("node").alias("via"), F.col("far").alias("further"), F.col("back").alias("b"))
+    joined = jumps.join(on, (F.col("owner") == F.col("o")) & (F.col("far") == F.col("via")) & (F.col("back") == F.col("b")))
+    return joined.where("node != further").select("owner", "node", F.col("further").alias("far"), "back")
+
+
 def pointer_targets(facts: ProgramFacts) -> DataFrame:
     """(owner, ptr, target): what each pointer may hold, over stores, loads, struct fields and dispatch tables."""
     fn = facts.functions.select(F.col("name").alias("f"))
@@ -100,39 +141,63 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").distinct().join(edges.select(F.col("callee").alias("name")), "name", "left_anti")
 
 
-#: Levels after which the nodes seen so far are written as one table.
-COMPACT = 8
-
-
 def reverse_paths(edges: DataFrame, sinks: DataFrame, public: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(sink, node, depth, path): public nodes that reach a sink, with the least shortest path, read from the sink outward.
 
     Level-synchronous: one equi join, one anti join and one min per level, all
-    keyed by node; paths stop at public nodes (but for the sink itself). A
-    level's table is written once, so lost executors cost no earlier level.
-    Only the last level's paths are moved; of earlier ones (sink, node) is
-    kept, in one table again every COMPACT levels. Raises if paths go on beyond
-    ``max_depth``.
+    keyed by node; paths stop at public nodes (but for the sink itself). No
+    path is moved on the way: a node keeps one parent link and a rank that
+    orders the least paths of its level. The least parent is that of the least
+    rank, and nodes sorted by (parent's rank, name) are in order of their own
+    paths. Paths are put together at the end, for public nodes alone. A level's
+    table is written once, so lost executors cost no earlier level, and tables
+    are united every COMPACT levels. Raises if paths go on beyond ``max_depth``.
     """
-    callers = edges.select(F.col("callee").alias("_callee"), F.col("caller").alias("next")).distinct()
-    stops = public.select(F.col("name").alias("node")).distinct().withColumn("stop", F.lit(True))
-    start = sinks.select(F.col("name").alias("sink"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
-    frontier = materialise(start.join(stops, "node", "left").select("sink", "node", "path", F.coalesce("stop", F.lit(False)).alias("stop")))
-    found, seen = frontier.where("stop"), frontier.select("sink", "node")
-    for depth in range(max_depth + 1):
-        alive = frontier if depth == 0 else frontier.where("not stop")
-        step = alive.join(callers, F.col("node") == F.col("_callee")).select("sink", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        least = step.groupBy("sink", "node").agg(F.min("path").alias("path"))
-        fresh = least.join(seen, ["sink", "node"], "left_anti").join(stops, "node", "left")
-        frontier = materialise(fresh.select("sink", "node", "path", F.coalesce("stop", F.lit(False)).alias("stop")))
+    callers = materialise(edges.select(F.col("callee").alias("_callee"), F.col("caller").alias("next")).where("_callee is not null and next is not null").distinct())
+    stops = materialise(public.select(F.col("name").alias("node")).distinct().withColumn("stop", F.lit(True)))
+    columns = ["sink", "node", "parent", "rank", "depth", "stop"]
+    stopped = F.coalesce("stop", F.lit(False)).alias("stop")
+    start = sinks.select(F.col("name").alias("sink"), F.col("name").alias("node")).distinct().withColumns({"parent": F.lit(None).cast("string"), "rank": F.lit(0).cast("long"), "depth": F.lit(0)})
+    links = frontier = materialise(start.join(stops, "node", "left").select(*columns[:-1], stopped))
+    for depth in range(1, max_depth + 2):
+        alive = frontier if depth == 1 else frontier.where("not stop")
+        step = alive.join(callers, F.col("node") == F.col("_callee")).select("sink", F.col("next").alias("node"), F.col("node").alias("parent"), "rank")
+        least = step.groupBy("sink", "node").agg(F.min_by("parent", "rank").alias("parent"), F.min("rank").alias("above"))
+        fresh = least.join(links.select("sink", "node"), ["sink", "node"], "left_anti").orderBy("above", "node")
+        ranked = fresh.select("sink", "node", "parent", F.monotonically_increasing_id().alias("rank"), F.lit(depth).alias("depth"))
+        frontier = materialise(ranked.join(stops, "node", "left").select(*columns[:-1], stopped))
         if frontier.isEmpty():
-            return found.select("sink", "node", (F.size("path") - 1).alias("depth"), "path")
-        found, seen = found.unionByName(frontier.where("stop")), seen.unionByName(frontier.select("sink", "node"))
-        if depth % COMPACT == COMPACT - 1:
-            found, seen = materialise(found), materialise(seen)
+            return _paths(links)
+        links = links.unionByName(frontier)
+        if depth % COMPACT == 0:
+            links = materialise(links)
     raise RuntimeError(f"paths go on beyond {max_depth} levels")
 
 
+def _paths(links: DataFrame) -> DataFrame:
+    """The paths of stops: each is halved until its pieces are nodes, by links over 1, 2, 4, ... levels.
+
+    A piece is (node it starts at, levels before it, its length); only the
+    pieces of stops are made, and their nodes are gathered once.
+    """
+    found = links.where("stop").select("sink", "node", "depth", F.col("node").alias("at"), F.lit(0).alias("before"), (F.col("depth") + 1).alias("length"))
+    steps = [links.where("parent is not null").select(F.col("sink").alias("s"), F.col("node").alias("n"), F.col("parent").alias("far"))]
+    most = links.where("stop").agg(F.max("depth")).first()[0] or 0
+    while 1 << len(steps) <= most:
+        last = steps[-1]
+        on = last.select(F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("far").alias("further"))
+        steps.append(materialise(last.join(on, (F.col("s") == F.col("s2")) & (F.col("far") == F.col("n2"))).select("s", "n", F.col("further").alias("far"))))
+    for k in reversed(range(len(steps))):
+        size = 1 << k
+        long = F.col("length") > size
+        cut = found.join(steps[k], long & (F.col("sink") == F.col("s")) & (F.col("at") == F.col("n")), "left")
+        near = F.struct("at", "before", F.least("length", F.lit(size)).alias("length"))
+        rest = F.when(long, F.struct(F.col("far").alias("at"), (F.col("before") + size).alias("before"), (F.col("length") - size).alias("length")))
+        found = cut.select("sink", "node", "depth", F.explode(F.array_compact(F.array(near, rest))).alias("p")).select("sink", "node", "depth", "p.*")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("before")).alias("place"), "at")))
+    return found.groupBy("sink", "node", "depth").agg(F.transform(listed, lambda x: x["at"]).alias("path"))
+
+
 def is_data_pointer(kind: Column) -> Column:
     """Whether an IR or C type text counts as a data pointer; plain scalars count as well, since starts match without ``*``."""
     low = F.lower(F.trim(kind))
