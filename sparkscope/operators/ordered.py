@@ -67,36 +67,75 @@ def fallback_if_empty(preferred: DataFrame, otherwise: DataFrame) -> DataFrame:
 
 #: Characters of a table of names up to which it is sent to all tasks and each row is tested against it.
 RULE_CHARS = 1 << 16
+#: Characters of the parts by which a larger table's names are looked up; shorter names are looked up whole.
+GRAM = 6
+
+
+def _told(names: DataFrame, column: str, limit: int) -> DataFrame | None:
+    """The names as one row with an array ``_names``, if they have ``limit`` characters at most; names are counted before they are gathered."""
+    size = names.agg(F.sum(F.length(column) + 1)).first()[0] or 0
+    return names.agg(F.collect_set(column).alias("_names")) if size <= limit else None
 
 
 def prune_containing(df: DataFrame, columns: Sequence[str], names: DataFrame, name: str = "name", rule_chars: int = RULE_CHARS) -> DataFrame:
     """Rows none of whose ``columns`` contains a name, ignoring case.
 
-    A small rule table is folded into one array, so each row is tested once. A
-    larger one is joined by the first characters of its names with the runs of
-    characters of each row.
+    A small rule table is folded into one array, so each row is tested once;
+    beyond ``rule_chars`` characters names are looked up by ``containing``.
     """
     listed = names.select(F.lower(known(F.col(name))).alias("_n")).where("_n is not null").distinct()
     text = F.concat_ws("\n", *(F.lower(c) for c in columns))
-    size = listed.agg(F.sum(F.length("_n"))).first()[0] or 0
-    if size <= rule_chars:
-        all_ = listed.agg(F.collect_set("_n").alias("_names"))
+    if (all_ := _told(listed, "_n", rule_chars)) is not None:
         hit = F.exists("_names", lambda n: text.contains(n))
         return df.crossJoin(F.broadcast(all_)).where(~hit).drop("_names")
     rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
-    starts = F.sequence(F.lit(1), F.length("_t"))
-    runs = lambda n: F.transform(starts, lambda i: F.substring("_t", i, F.lit(n)))
-    seen = rows.select("_row", text.alias("_t")).where("_t != ''").select("_row", "_t", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("_g"))
-    hits = seen.join(listed.select("_n", F.substring("_n", 1, 3).alias("_k")), F.col("_g") == F.col("_k")).where(F.contains("_t", "_n"))
-    return rows.join(hits.select("_row"), "_row", "left_anti").select(*df.columns)
+    hits = containing(rows.select("_row", text.alias("_t")), "_row", "_t", listed, "_n")
+    return rows.join(hits.select("_row").distinct(), "_row", "left_anti").select(*df.columns)
 
 
-def keep_anchored(df: DataFrame, tokens: Column, anchors: DataFrame, anchor: str = "token") -> DataFrame:
-    """Rows that share a token with the anchors: a semi join on the exploded tokens of rows with an id."""
-    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
-    listed = anchors.select(F.col(anchor).alias("_a"))
-    hits = rows.select("_row", F.explode(F.array_distinct(tokens)).alias("_t")).join(listed, F.col("_t") == F.col("_a"), "left_semi")
-    return rows.join(hits.select("_row"), "_row", "left_semi").select(*df.columns)
+def containing(rows: DataFrame, id_col: str, text_col: str, names: DataFrame, name: str) -> DataFrame:
+    """(id, name): which texts contain which of very many names, case as given; a repeated id or name counts once.
+
+    Each name is indexed by the rarest of its parts of GRAM characters, counted
+    over the texts first: names that begin alike, or that share a frequent
+    part, do not share a key, and a name with a part that no text has is out at
+    once. Texts are not moved with their parts: what a key finds are (id,
+    name) pairs, and each pair is held against the text once more. Null or
+    empty texts and names give no rows.
+    """
+    listed = names.select(F.col(name).alias("_name")).where("_name != ''").distinct()
+    texts = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text != ''")
+    size = F.least(F.length("_name"), F.lit(GRAM))
+    parts = listed.select("_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("_name") - size + 1), lambda i: F.substring("_name", i, size))).alias("_gram")).distinct()
+    lengths = [r[0] for r in parts.select(F.length("_gram").alias("l")).distinct().collect()]  # GRAM numbers at most
+    if not lengths:
+        return texts.select(F.col("_id").alias(id_col), F.lit("").alias(name)).where("false")
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring("_text", i, F.lit(n)))
+        return F.when(F.length("_text") >= n, each).otherwise(F.array().cast("array<string>"))
+
+    grams = texts.select("_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("_gram"))
+    seen = materialise(grams.join(parts.select("_gram").distinct(), "_gram", "left_semi"))
+    often = parts.join(seen.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram", "left")
+    rarest = often.groupBy("_name").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_absent")).where("_absent = 0").select("_name", "_gram")
+    pairs = seen.join(rarest, "_gram").select("_id", "_name").distinct()
+    return pairs.join(texts, "_id").where(F.contains("_text", "_name")).select(F.col("_id").alias(id_col), F.col("_name").alias(name)).distinct()
+
+
+def keep_anchored(df: DataFrame, tokens: Column, anchors: DataFrame, anchor: str = "token", key: Sequence[str] = (), rule_chars: int = RULE_CHARS) -> DataFrame:
+    """Rows that share a token with the anchors.
+
+    A small list of anchors is one array that each row is held against. A
+    larger one is joined with the rows' tokens; rows are then known by ``key``,
+    columns that tell rows apart, or are written once to be numbered.
+    """
+    listed = anchors.select(F.col(anchor).alias("_a")).where("_a is not null").distinct()
+    if (all_ := _told(listed, "_a", rule_chars)) is not None:
+        return df.crossJoin(F.broadcast(all_)).where(F.coalesce(F.arrays_overlap(tokens, "_names"), F.lit(False))).drop("_names")
+    rows, key = (df, list(key)) if key else (materialise(df.withColumn("_row", F.monotonically_increasing_id())), ["_row"])
+    hits = rows.select(*key, F.explode(F.array_distinct(tokens)).alias("_t")).join(listed, F.col("_t") == F.col("_a"), "left_semi")
+    return rows.join(hits.select(*key), key, "left_semi").select(*df.columns)
 
 
 def carry_forward(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column, reset: Column | None = None) -> Column:
@@ -127,15 +166,68 @@ def group_scores(branches: DataFrame, keys: Sequence[str], score: str, reason: s
     return branches.groupBy(*keys).agg(F.sum(score).cast("long").alias("score"), F.transform(listed, lambda x: x[reason]).alias("reasons"))
 
 
-def block_join(points: DataFrame, blocks: DataFrame, on: Sequence[str], at: str, start: str, end: str, order: Sequence[str], bucket: int) -> DataFrame:
-    """Each point with the first block ``[start, end)`` that holds it, by equi join on (keys, bucket of positions).
+def dyadic_cover(start: Column, end: Column, levels: int = 62) -> Column:
+    """[start, end) as an array of (level, place): blocks [place * 2^level, (place + 1) * 2^level) that cover it once.
+
+    At each level at most one block is left over on either side, so there are
+    at most twice as many as the width has binary digits, wherever it lies.
+    """
+    def sides(k: Column) -> Column:
+        at = lambda c: F.call_function("shiftright", c, k)
+        low, high = -at(-start.cast("long")), at(end.cast("long"))
+        block = lambda place: F.struct(k.alias("level"), place.alias("place"))
+        return F.array_compact(F.array(F.when((low < high) & (low % 2 != 0), block(low)), F.when((low < high) & (high % 2 != 0), block(high - 1))))
+
+    # a side that is taken at one level is the next level's boundary, which rounding up and down gives without carrying it on
+    width = F.greatest(F.lit(0), F.ceil(F.log2((end - start).cast("double") + 1)).cast("int") + 1)
+    return F.when(end > start, F.flatten(F.transform(F.sequence(F.lit(0), F.least(width, F.lit(levels))), sides))).otherwise(F.array().cast("array<struct<level:int,place:bigint>>"))
+
+
+def block_join(points: DataFrame, blocks: DataFrame, on: Sequence[str], at: str, start: str, end: str, order: Sequence[str]) -> DataFrame:
+    """Each point with the first block ``[start, end)`` that holds it; positions are integers, points that none holds are left out.
+
+    An equi join on (keys, level, place) of the dyadic blocks that cover a
+    block: a block is repeated twice for each binary digit of its width at
+    most, a point once for each level that occurs, whatever the widths are.
+    Repeated points are joined once and each gets its row.
+    """
+    covered = blocks.withColumn("_d", F.explode(dyadic_cover(F.col(start), F.col(end)))).select("*", "_d.level", "_d.place").drop("_d").withColumnsRenamed({"level": "_level", "place": "_place"})
+    levels = sorted(r[0] for r in covered.select("_level").distinct().collect())  # 63 numbers at most
+    probes = F.array(*(F.struct(F.lit(k).alias("_level"), F.shiftright(F.col(at).cast("long"), k).alias("_place")) for k in levels)) if levels else F.array().cast("array<struct<_level:int,_place:bigint>>")
+    once = points.groupBy(*points.columns).agg(F.count("*").alias("_times"))
+    left = once.withColumn("_p", F.explode(probes)).select(*points.columns, "_times", "_p.*")
+    found = first_wins(left.join(covered, [*on, "_level", "_place"]).drop("_level", "_place"), [*points.columns, "_times"], order)
+    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_i", "_times")
+
+
+#: Positions of a bucket of an as-of join.
+ASOF_BUCKET = 1 << 16
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, right_at: str, order: Sequence[str] = (), bucket: int = ASOF_BUCKET) -> DataFrame:
+    """Each left row with the last right row of its keys at or before its position; left rows without one keep nulls.
 
-    A block is repeated for the buckets it touches, so a key with many blocks
-    is spread and no row is compared with all blocks of its key. Points are
-    told apart by all their columns: repeated ones give one row.
+    Positions are integers. Both sides are merged within buckets of positions,
+    so a key with very many rows is spread: a row whose bucket has no earlier
+    right row takes the last of the bucket before, of which each (key, bucket)
+    hands on one row. Of right rows at one position the last by ``order`` (then
+    by all their columns) counts. A null key or position matches nothing.
     """
-    left = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
-    touched = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))
-    right = blocks.where(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(touched))
-    joined = left.join(right, [*on, "_bucket"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bucket")
-    return first_wins(joined, points.columns, order)
+    value = [c for c in right.columns if c not in on]
+    cell = F.floor(F.col(at) / bucket).alias("_cell")
+    tie = F.struct(F.col(right_at).cast("long"), *(F.col(c) for c in order), *(F.col(c) for c in value))
+    sound = reduce(Column.__and__, (F.col(c).isNotNull() for c in [*on, right_at]))
+    rights = right.where(sound).select(*on, F.floor(F.col(right_at) / bucket).alias("_cell"), F.col(right_at).cast("long").alias("_at"), F.struct(*(F.col(c).alias(c) for c in value)).alias("_row"), tie.alias("_tie"))
+    # what each bucket hands on, and what the ones before it did
+    last = rights.groupBy(*on, "_cell").agg(F.max_by("_row", "_tie").alias("_last"))
+    cells = left.select(*on, cell).distinct().join(last, [*on, "_cell"], "full")
+    earlier = Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(*on, "_cell", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    lefts = left.select(*on, cell, F.col(at).cast("long").alias("_at"), F.struct(*(F.col(c).alias(c) for c in left.columns)).alias("_left"))
+    both = lefts.withColumn("_row", F.lit(None).cast(rights.schema["_row"].dataType)).withColumn("_tie", F.lit(None).cast(rights.schema["_tie"].dataType)).unionByName(rights.withColumn("_left", F.lit(None).cast(lefts.schema["_left"].dataType)))
+    # right rows come first at a position, the one that counts last
+    merged = Window.partitionBy(*on, "_cell").orderBy("_at", F.col("_left").isNotNull(), "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_row", ignorenulls=True).over(merged)).where("_left is not null").drop("_row", "_tie")
+    same = reduce(Column.__and__, (seen[c].eqNullSafe(carried[c]) for c in [*on, "_cell"]))
+    found = seen.join(carried, same, "left").select("_left.*", F.coalesce("_seen", "_carried").alias("_found"))
+    return found.select(*left.columns, *(F.col("_found")[c].alias(c if c not in left.columns else f"{c}_right") for c in value))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkscope.functions import classify, names
+from sparkscope.functions import classify, names, tolerant
 from sparkscope.functions.patterns import Pattern, best_match, pattern_hits
 from sparkscope.operators import advisory, derive, evidence, excerpt, graph, ordered, retrieval, rules, seeds
 from sparkscope.plans import assemble
 from sparkscope.session import materialise, table
-from sparkscope.sources import build_log, headers
+from sparkscope.sources import build_log, headers, ir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -296,7 +296,7 @@ def block_range_join(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
     blocks = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("block"), F.col("at").alias("start"), (F.col("at") + 3600 * (1 + F.col("event_id") % 5)).alias("stop"))
     points = events.where("event_type != 'signup'").select("user_id", "event_id", "at")
-    return ordered.block_join(points, blocks, ["user_id"], "at", "start", "stop", ["start", "block"], bucket=3600).select("user_id", "event_id", "block")
+    return ordered.block_join(points, blocks, ["user_id"], "at", "start", "stop", ["start", "block"]).select("user_id", "event_id", "block")
 
 
 @query("""SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good' END, CASE WHEN l.toxic = 1 THEN 'toxic' END, CASE WHEN trim(b.text) <> '' THEN 'bench:' || length(b.text) END, nullif(trim(d.lang), ''), 'none') AS value,
@@ -332,6 +332,69 @@ def anchor_semi(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.keep_anchored(part.drop("p_size"), names.identifier_tokens(F.col("p_name")), anchors)
 
 
+@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS name FROM conversations)
+SELECT name, count(*) AS n_docs, min(doc_id) AS first_doc FROM names JOIN documents ON contains(lower(text), name) GROUP BY name""")
+def names_in_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Which documents contain which of all longer words of the conversations, anywhere in the text."""
+    words = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("name")).distinct()
+    found = ordered.containing(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", "text", words, "name")
+    return found.groupBy("name").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""WITH uses AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'click'), definitions AS (SELECT user_id, ts AS defined, event_id AS definition, value FROM events WHERE event_type = 'click')
+SELECT u.event_id, d.definition, d.value, epoch_us(u.ts) - epoch_us(d.defined) AS age FROM uses u ASOF LEFT JOIN definitions d ON u.user_id = d.user_id AND u.ts >= d.defined""")
+def known_when_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The last definition at or before each use."""
+    events = table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    uses = events.where("event_type != 'click'").select("event_id", "user_id", "at")
+    definitions = events.where("event_type = 'click'").select("user_id", F.col("at").alias("defined"), F.col("event_id").alias("definition"), "value")
+    found = ordered.asof_join(uses, definitions, ["user_id"], "at", "defined", bucket=6 * 3600 * 1_000_000)
+    return found.select("event_id", "definition", "value", (F.col("at") - F.col("defined")).alias("age"))
+
+
+@query("""WITH said AS (SELECT event_id, event_type, user_id % 7 AS y, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) % 5 AS k FROM events)
+SELECT CASE WHEN event_id % 11 = 0 THEN 'nothing' WHEN event_id % 11 = 1 THEN '{"cut": {"off": ' || y ELSE '{"a":"' || event_type || '","b":{"k":' || k || ',"list":[{"p":1,"q":null}],"y":' || y || '}}' END AS item, count(*) AS n, min(event_id) AS first_id FROM said GROUP BY ALL""")
+def canonical_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects wrapped in prose, with keys in changing order at each depth: one row for each that differs."""
+    k = F.get_json_object("props", "$.k").cast("long") % 5
+    y, kind = F.col("user_id") % 7, F.col("event_type")
+    one = F.concat(F.lit('Answer: {"b": {"y": '), y, F.lit(', "list": [{"q": null, "p": 1}], "k": '), k, F.lit('}, "a": "'), kind, F.lit('"}\nthat is all'))
+    two = F.concat(F.lit(' {"a":"'), kind, F.lit('", "b":{"k": '), k, F.lit(',"y":'), y, F.lit(', "list":[{"p":1,"q":null}]}} '), F.lit("```"))
+    bad = F.when(F.col("event_id") % 11 == 0, F.lit("nothing")).when(F.col("event_id") % 11 == 1, F.concat(F.lit('{"cut": {"off": '), y))
+    text = F.coalesce(bad, F.when(F.col("event_id") % 2 == 0, one).otherwise(two))
+    return table(spark, sf, "events").select(tolerant.canonical_text(text).alias("item"), "event_id").groupBy("item").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+#: Documents as IR files: of seven words the first two make a definition over two lines, the last its end, the others calls.
+IR_WORDS = """words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) - 1 AS i FROM documents)"""
+
+
+def document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "word"))
+    place, word = F.col("i") % 7, F.col("word")
+    text = (
+        F.when(place == 0, F.concat(F.lit("define void @"), word, F.lit("(i32 %a,"))).when(place == 1, F.lit("    i32 %b) {"))
+        .when(place == 6, F.lit("}")).otherwise(F.concat(F.lit("  call void @"), word, F.lit("(i32 %a, i32 7)")))
+    )
+    return words.select("file", (F.col("i") + 1).alias("line_no"), text.alias("text"))
+
+
+@query(f"""WITH {IR_WORDS}, owners AS (SELECT doc_id, i // 7 AS part, word AS caller FROM words WHERE i % 7 = 0)
+SELECT caller, word AS callee, 'direct' AS kind FROM words JOIN owners USING (doc_id) WHERE part = i // 7 AND i % 7 IN (2, 3, 4, 5) GROUP BY ALL""")
+def document_call_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Call edges of whole documents read as IR files, in segments."""
+    return graph.call_edges(ir.parse_ir(document_lines(spark, sf)))
+
+
+@query(f"""WITH {IR_WORDS}, heads AS (SELECT word AS name, doc_id, i, EXISTS (SELECT 1 FROM words w WHERE w.doc_id = h.doc_id AND w.i = h.i + 1) AS whole FROM words h WHERE i % 7 = 0)
+SELECT name, CAST(doc_id AS VARCHAR) AS file, CAST(i + 1 AS BIGINT) AS line, CASE WHEN whole THEN 'i32 a, i32 b' ELSE 'i32 a' END AS params FROM heads QUALIFY row_number() OVER (PARTITION BY name ORDER BY CAST(doc_id AS VARCHAR) DESC, i DESC) = 1""")
+def document_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The last definition of each name in documents read as IR files; one that its document breaks off has one parameter."""
+    functions = ir.parse_ir(document_lines(spark, sf)).functions
+    params = F.array_join(F.transform("params", lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
+    return functions.select("name", "file", F.col("line").cast("long").alias("line"), params.alias("params"))
+
+
 @query("""WITH turns AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS opens FROM conversations),
 seg AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sub FROM turns),
 scored AS (SELECT conv_id, CAST(sub AS BIGINT) AS sub, CAST(sum(CASE WHEN role = 'user' AND contains(lower(text), 'the') THEN 4 ELSE 0 END) + sum(CASE WHEN length(text) BETWEEN 1 AND 600 THEN 3 WHEN length(text) > 2000 THEN -3 ELSE 0 END) AS BIGINT) AS score FROM seg GROUP BY conv_id, sub)

@@ -142,7 +142,7 @@ def test_ordered(spark):
     assert ordered.fallback_if_empty(df.where("false"), df).count() == 3 and ordered.fallback_if_empty(df.limit(1), df).count() == 1
     blocks = spark.createDataFrame([("a", 0, 10, "one"), ("a", 5, 20, "two")], "k string, s int, e int, name string")
     points = spark.createDataFrame([("a", 7), ("a", 12), ("a", 20)], "k string, p int")
-    assert {(r.p, r.name) for r in ordered.block_join(points, blocks, ["k"], "p", "s", "e", ["s"], 4).collect()} == {(7, "one"), (12, "two")}
+    assert {(r.p, r.name) for r in ordered.block_join(points, blocks, ["k"], "p", "s", "e", ["s"]).collect()} == {(7, "one"), (12, "two")}
 
 
 def test_names_and_anchors_by_join(spark):
