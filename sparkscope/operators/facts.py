@@ -1,6 +1,6 @@
 """Facts of C functions: one scan in Arrow batches, then tables by Spark expressions.
 
-``scan_functions`` is the only step that runs Python: it finds each function's
+``scan_functions`` is the only step that runs Python, once: it finds each function's
 definition, blanks comments and literals and cuts balanced spans. All tables
 below are projections of its columns, so a query that needs one table computes
 just that one. ``ord`` columns keep the order of the text.
@@ -18,7 +18,7 @@ from sparkscope.functions import ctext
 from sparkscope.functions.classify import call_phase, field_kind, parameter_role
 from sparkscope.functions.names import condition_value, contains_any, identifier_tokens, is_null_like
 from sparkscope.operators.ordered import top_k
-from sparkscope.session import workers_see_package
+from sparkscope.session import materialise, workers_see_package
 
 # Calls that say nothing about a function's needs.
 SKIPPED_CALLS = tuple(
@@ -42,7 +42,11 @@ SCANNED = "path string, fn string, source string, plain string, params array<str
 
 
 def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Scan (path, text) for the functions wanted (path, fn); one row each, ``source`` empty if the file lacks it."""
+    """Scan (path, text) for the functions wanted (path, fn); one row each, ``source`` empty if the file lacks it.
+
+    The scan is written once: the tables of facts, of which a model joins many,
+    read its columns instead of scanning the sources again.
+    """
     workers_see_package(files.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +61,7 @@ def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True) if rows else [[]] * len(_COLUMNS), _COLUMNS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("fn"), *arrays], ["path", "fn", *(n for n, _ in _COLUMNS)])
 
-    return files.select("path", "text").join(wanted.select("path", "fn").distinct(), "path").mapInArrow(run, SCANNED)
+    return materialise(files.select("path", "text").join(wanted.select("path", "fn").distinct(), "path").mapInArrow(run, SCANNED))
 
 
 def blank_noise(text: Column) -> Column:

@@ -184,15 +184,18 @@ SYMBOL_LIBRARIES = (
 )
 
 
+MARKERS = ("configure", "configure.ac", "configure.in", "CMakeLists.txt", "Makefile", "meson.build")
+
+
 def build_system(listing: DataFrame, tools: DataFrame) -> DataFrame:
-    """(root, system) from marker files (root, file) at project roots and the build tools (name) at hand."""
+    """(root, system) from marker files (root, file) at project roots and the build tools (name) at hand; of a root's files only marks are kept."""
     cmake = tools.agg(F.coalesce(F.bool_or(F.col("name") == "cmake"), F.lit(False)).alias("cmake"))
-    has = lambda f: F.array_contains("files", f)
-    input_ = has("configure.ac") | has("configure.in")
-    marked = listing.groupBy("root").agg(F.collect_set("file").alias("files")).crossJoin(F.broadcast(cmake))
+    has = {m: F.col(f"_{i}") for i, m in enumerate(MARKERS)}
+    marked = listing.groupBy("root").agg(*(F.coalesce(F.bool_or(F.col("file") == m), F.lit(False)).alias(f"_{i}") for i, m in enumerate(MARKERS))).crossJoin(F.broadcast(cmake))
+    input_ = has["configure.ac"] | has["configure.in"]
     system = (
-        F.when(has("configure") & (~F.col("cmake") | input_), "autotools").when(has("CMakeLists.txt") & F.col("cmake"), "cmake").when(has("Makefile"), "make")
-        .when(has("meson.build"), "meson").when(has("configure") | input_, "autotools").otherwise("unknown")
+        F.when(has["configure"] & (~F.col("cmake") | input_), "autotools").when(has["CMakeLists.txt"] & F.col("cmake"), "cmake").when(has["Makefile"], "make")
+        .when(has["meson.build"], "meson").when(has["configure"] | input_, "autotools").otherwise("unknown")
     )
     return marked.select("root", system.alias("system"))
 

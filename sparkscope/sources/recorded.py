@@ -5,11 +5,15 @@ with an index that says which ids each file holds. After ``register``,
 
     spark.read.format("recorded_advisories").option("path", folder).load()
 
-gives (cve_id, source, json). There is one partition for each file and source;
-filters on ``cve_id`` and ``source`` are taken over by the reader: files whose
-range cannot meet them are no partitions at all, the others are read up to the
-last id that can match. Folders are reached by pyarrow, so the address may be a
-path or any store that it knows.
+gives (cve_id, source, json), one partition for each file and source. The
+options ``source``, ``from``, ``to`` (inclusive) and ``starts`` narrow what is
+read: files whose range cannot meet them are no partitions at all, the others
+are read up to the last id that can match. With the option ``pushdown`` filters
+on ``cve_id`` and ``source`` do the same. It is an option because Spark 4.1
+keeps one reader for each loaded DataFrame: if one is filtered in two ways
+within one plan, the last filters hold for both. A DataFrame with ``pushdown``
+is for one use; load it again for another. Folders are reached by pyarrow, so
+the address may be a path or any store that it knows.
 """
 
 from __future__ import annotations
@@ -111,15 +115,12 @@ class AnswerFile(InputPartition):
 
 
 class AnswerReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, options: dict[str, str]):
+        self.folder = options["path"]
         self.ranges = {"cve_id": Range(), "source": Range()}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - Spark's name
-        for f in filters:
-            column = self.ranges.get(".".join(getattr(f, "attribute", ())))
-            if column is None or not column.take(f):
-                yield f
+        for option, column, kind in (("source", "source", EqualTo), ("from", "cve_id", GreaterThanOrEqual), ("to", "cve_id", LessThanOrEqual), ("starts", "cve_id", StringStartsWith)):
+            if option in options:
+                self.ranges[column].take(kind((column,), options[option]))
 
     def partitions(self) -> list[AnswerFile]:
         store, root = _store(self.folder)
@@ -153,6 +154,16 @@ class AnswerReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
+class FilteringReader(AnswerReader):
+    """Takes the filters over that it can decide."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - Spark's name
+        for f in filters:
+            column = self.ranges.get(".".join(getattr(f, "attribute", ())))
+            if column is None or not column.take(f):
+                yield f
+
+
 def _lines(stream: pa.NativeFile, size: int = 1 << 20) -> Iterator[bytes]:
     rest = b""
     while chunk := stream.read(size):
@@ -175,16 +186,17 @@ class RecordedAdvisories(DataSource):
     def reader(self, schema) -> AnswerReader:
         if "path" not in self.options:
             raise ValueError("option path is missing: the folder of the recorded answers")
-        return AnswerReader(self.options["path"])
+        return (FilteringReader if self.options.get("pushdown", "false").lower() == "true" else AnswerReader)(self.options)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let it take filters over."""
+    """Make the format known to a session, and let its readers take filters over if they are asked to."""
     workers_see_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordedAdvisories)
 
 
-def read_answers(spark: SparkSession, folder: str) -> DataFrame:
+def read_answers(spark: SparkSession, folder: str, **options: str | bool) -> DataFrame:
+    """Answers of a folder; see the module for options."""
     register(spark)
-    return spark.read.format("recorded_advisories").option("path", folder).load()
+    return spark.read.format("recorded_advisories").options(**options).load(folder)

@@ -1,48 +1,48 @@
-"""Small inline inputs of the program-side queries, which the driver's tables have no counterpart for."""
+"""Templates of the texts that the program side reads: ``<<k>>`` and the like stand for numbers of a table's row."""
 
-IR = """define void @set(%struct.S* %s) {
-  %1 = getelementptr inbounds %struct.S, %struct.S* %s, i32 0, i32 3
-  store void (i8*)* @target_func, void (i8*)** %1, align 8
+IR = """define void @set<<k>>(%struct.S<<k>>* %s) {
+  %1 = getelementptr inbounds %struct.S<<k>>, %struct.S<<k>>* %s, i32 0, i32 <<b>>
+  store void (i8*)* @target<<k>>, void (i8*)** %1, align 8
 }
-define void @other(%struct.S* %s) {
-  %1 = getelementptr inbounds %struct.S, %struct.S* %s, i32 0, i32 5
-  store void (i8*)* @func_b, void (i8*)** %1, align 8
+define void @other<<k>>(%struct.S<<k>>* %s) {
+  %1 = getelementptr inbounds %struct.S<<k>>, %struct.S<<k>>* %s, i32 0, i32 <<c>>
+  store void (i8*)* @func<<k>>, void (i8*)** %1, align 8
 }
-define i32 @parse_doc(%struct.S* %s,
+define i32 @parse_doc<<k>>(%struct.S<<k>>* %s,
     i8* noundef %data, i32 %mode)
 {
-  %2 = getelementptr inbounds %struct.S, %struct.S* %s, i32 0, i32 3
+  %2 = getelementptr inbounds %struct.S<<k>>, %struct.S<<k>>* %s, i32 0, i32 <<a>>
   %3 = load void (i8*)*, void (i8*)** %2, align 8
   call void %3(i8* %data)
-  %4 = call i32 @helper(i8* %data, i32 %mode)
+  %4 = call i32 @helper<<k>>(i8* %data, i32 %mode)
 }
-define void @target_func(i8* %p) {
+define void @target<<k>>(i8* %p) {
 }
-define void @func_b(i8* %p) {
+define void @func<<k>>(i8* %p) {
 }
-declare i32 @helper(i8* %a, i32 %b)
-define void @virt(ptr %o) {
+declare i32 @helper<<k>>(i8* %a, i32 %b)
+define void @virt<<k>>(ptr %o) {
   %v = load ptr, ptr %o
-  %s = getelementptr inbounds ptr, ptr %v, i64 2
+  %s = getelementptr inbounds ptr, ptr %v, i64 <<v>>
   %f = load ptr, ptr %s
   call void %f(ptr %o)
 }
 @_ZTV4Base = constant { [4 x ptr] } { [4 x ptr] [ptr null, ptr @_ZTI4Base, ptr @_ZN4Base3fooEv, ptr @_ZN4Base3barEv] }
 """
 
-SOURCE = r"""#define MAX_MODE 4
-enum { FLAG_A = 1, FLAG_B };
+SOURCE = r"""#define MAX_MODE <<s>>
+enum { FLAG_A = <<k>>, FLAG_B };
 int inflateGetHeader(struct z *strm, struct hdr *head);
 static int inflate(strm, flush)
-    struct z *strm;
+    struct z<<a>> *strm;
     int flush;
 {
     // files.Better than state
     if (strm == Z_NULL || strm->state == Z_NULL) return Z_STREAM_ERROR;
-    if (flush == Z_FINISH) goto fail_end;
-    while (strm->avail_in > 0 && head->extra != Z_NULL) {
+    if (flush == Z_FINISH<<s>>) goto fail_end;
+    while (strm->avail_in > <<a>> && head->extra<<b>> != Z_NULL) {
         switch (state->mode) {
-        case HEAD: updatewindow(strm); break;
+        case HEAD<<b>>: updatewindow<<s>>(strm); break;
         default: break;
         }
         strm->avail_in--;
@@ -58,38 +58,40 @@ int ansi(const char *name, int mode, char **out, size_t len) const {
 """
 
 BUILD_LOG = (
-    '{"argv": ["cc", "-Iinc", "-I", "../sys", "-c", "a.c", "-o", "a.o"], "cwd": "/p/build"}',
-    "broken",
-    '{"argv": ["cc", "-shared", "-o", "libfoo_util.so.1", "a.o", "-lz"], "cwd": "/p/build"}',
-    '{"argv": ["cc", "-shared", "-o", "libfoo.so.1", "a.o", "-lm", "-lafl", "-lz"], "cwd": "/p/build"}',
-    '{"argv": ["cc", "a.o", "-o", "bin/tool", "-pthread"], "cwd": "/p"}',
-    '{"argv": ["cc", "a.o", "-o", "run_tests"], "cwd": "/p"}',
+    '{"argv": ["cc", "-Iinc<<b>>", "-I", "../sys<<a>>", "-c", "a<<k>>.c", "-o", "a<<k>>.o"], "cwd": "/p/build"}',
+    "broken <<k>>",
+    '{"argv": ["cc", "-shared", "-o", "libfoo_util<<k>>.so.1", "a<<k>>.o", "-lz<<b>>"], "cwd": "/p/build"}',
+    '{"argv": ["cc", "-shared", "-o", "libfoo<<k>>.so.1", "a<<k>>.o", "-lm", "-lafl", "-lz<<b>>"], "cwd": "/p/build"}',
+    '{"argv": ["cc", "a<<k>>.o", "-o", "bin/tool<<k>>", "-pthread"], "cwd": "/p"}',
+    '{"argv": ["cc", "a<<k>>.o", "-o", "run_tests"], "cwd": "/p"}',
 )
 
 HEADER = """#define FOO_API __attribute__((visibility("default")))
-/* int hidden(int a); */
-FOO_API int foo_open(const char *path, int flags);
-int foo_plain(void); // int gone(int x);
-int prose(if the file has been opened);
+/* int hidden<<k>>(int a); */
+FOO_API int foo<<k>>_open(const char *path, int flags<<a>>);
+int foo<<k>>_plain(void); // int gone<<k>>(int x);
+int prose<<k>>(if the file has been opened);
 """
 
 SYMBOLS = (
-    ("a.so", "readelf", "  42: 01a000 1234 FUNC GLOBAL DEFAULT 13 foo_read@@V1\n 43: 0 1 FUNC LOCAL DEFAULT 13 loc\n 45: 0 1 FUNC GLOBAL DEFAULT 13 malloc"),
-    ("a.so", "nm", "0 T foo_nm"),
-    ("b.a", "readelf", "nothing"),
-    ("b.a", "nm", "b.a:x.o:\n0 T bar\n0 t local"),
+    ("a<<k>>.so", "readelf", "  42: 01a000 1234 FUNC GLOBAL DEFAULT 13 foo<<s>>_read@@V1\n 43: 0 1 FUNC LOCAL DEFAULT 13 loc\n 45: 0 1 FUNC GLOBAL DEFAULT 13 malloc"),
+    ("a<<k>>.so", "nm", "0 T foo_nm<<s>>"),
+    ("b<<k>>.a", "readelf", "nothing"),
+    ("b<<k>>.a", "nm", "b.a:x.o:\n0 T bar<<s>>\n0 t local"),
 )
 
+CALLBACKS = "static void row_callback<<k>>(int a)\n{\n  png_set_quantize(info_ptr);\n}\nvoid set_read_fn<<k>>(int a) {\n  p->read_fn = a;\n  p->row_fn = 0;\n  png_set_quantize(a);\n}\n"
+
 PATCH = """From 0123456789012345678901234567890123456789 Mon Sep 17
-Subject: [PATCH 1/2] Fix heap overflow CVE-2020-12345
+Subject: [PATCH 1/2] Fix heap overflow CVE-2020-1000<<k>>
 ---
  lib/a.c | 2 +-
 diff --git a/lib/a.c b/lib/a.c
 --- a/lib/a.c
 +++ b/lib/a.c
-@@ -1,2 +1,2 @@ int foo_bar(int x)
--  old = 1 << n;
-+  if (n > 0x100) return;
+@@ -1,2 +1,2 @@ int foo_bar<<k>>(int x)
+-  old = 1 << n<<s>>;
++  if (n<<s>> > 0x100) return;
 From abcdefabcdefabcdefabcdefabcdefabcdefabcd Mon Sep 17
 Subject: [PATCH 2/2] release version bump
 diff --git a/lib/b.h b/lib/b.h
@@ -144,17 +146,14 @@ RULE_CASES = (
     ("WEAK_INVARIANT_EVIDENCE", {"invariants": ["length equals payload"]}, _FEED, "int f() {\n  int length = 4;\n  feed_it(length);\n}"),
 )
 
-# Recorded answers of advisory services, and a patch they lead to.
-NVD = {"vulnerabilities": [{"cve": {
-    "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "An overflow in the doContent function in xmlparse.c"}],
-    "metrics": {"cvssMetricV2": [{"cvssData": {"baseScore": 5.0, "vectorString": "v2"}}], "cvssMetricV30": [{"cvssData": {"baseScore": 7.5, "vectorString": "v3"}}]},
-    "references": [
-        {"url": "https://github.com/o/r/commit/abcdef1234", "tags": ["Patch"]}, {"url": "https://github.com/o/r/commit/abcdef1234", "tags": []},
-        {"url": "https://bugzilla.org/1", "tags": []}, {"url": "https://github.com/o/r/pull/7", "tags": ["Patch"]},
-    ],
-    "weaknesses": [{"description": [{"value": "CWE-787"}, {"value": "NVD-x"}]}, {"description": [{"value": "CWE-787"}]}],
-}}]}
-OSV = {
-    "summary": "s", "details": "d", "affected": [{"ranges": [{"repo": "https://github.com/o/r.git", "events": [{"introduced": "0"}, {"fixed": "abcdef1234"}]}]}],
-    "references": [{"type": "FIX", "url": "https://github.com/mirror/r/commit/abcdef1234/"}, {"type": "WEB", "url": "https://github.com/o/r/commit/1234567"}],
-}
+# Recorded answers of advisory services.
+NVD = (
+    '{"vulnerabilities": [{"cve": {"descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "An overflow in fn<<k>> of release <<s>>"}], "metrics": {<<metrics>>}, "references": ['
+    '{"url": "https://github.com/o/r<<s>>/commit/<<h1>>", "tags": ["Patch"]}, {"url": "https://github.com/o/r<<s>>/commit/<<h1>>", "tags": []}, {"url": "https://bugzilla.org/<<k>>", "tags": []}, '
+    '{"url": "https://github.com/o/r<<s>>/pull/<<k>>", "tags": ["Patch"]}], "weaknesses": [{"description": [{"value": "CWE-<<s>>"}, {"value": "NVD-x"}]}, {"description": [{"value": "CWE-<<a>>"}]}]}}]}'
+)
+OSV = (
+    '{"summary": "s<<k>>", "details": "d", "affected": [{"ranges": [{"repo": "https://github.com/o/r<<s>>.git", "events": [{"introduced": "0"}, {"fixed": "<<h1>>"}]}]}], "references": ['
+    '{"type": "FIX", "url": "https://github.com/mirror/r/commit/<<h1>>/"}, {"type": "WEB", "url": "https://github.com/o/r<<s>>/commit/<<h2>>"}]}'
+)
+GITHUB = '[{"summary": "gs<<k>>", "severity": "rated <<s>>"}]'

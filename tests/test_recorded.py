@@ -1,8 +1,10 @@
 """The recorded-advisory format: rows, filters that are taken over, and which files are opened."""
 
 import random
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscope.sources import recorded
@@ -24,22 +26,28 @@ def test_rows_and_filters(spark, tmp_path):
     given = answers(spark)
     odd = spark.createDataFrame([("CVE-2020-00500", "nvd", None), (None, "nvd", "{}"), ("x", None, "{}"), ('é"\n', "nvd", 'a\nb" ')], recorded.SCHEMA)
     recorded.record_answers(given.unionByName(odd), f"file://{tmp_path}/a", 100)
-    read = recorded.read_answers(spark, f"file://{tmp_path}/a")
+    read = recorded.read_answers(spark, f"file://{tmp_path}/a", pushdown=True)
     kept = given.unionByName(odd.where("cve_id is not null and source is not null").fillna("", ["json"]))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(read) == rows(kept)
     for where in WHERE:
         assert rows(read.where(where)) == rows(kept.where(where)), where
     everything = read.rdd.getNumPartitions()
-    assert everything >= 30 and recorded.read_answers(spark, f"{tmp_path}/a").where(WHERE[1]).rdd.getNumPartitions() == 1
+    assert everything >= 30 and recorded.read_answers(spark, f"{tmp_path}/a", pushdown=True).where(WHERE[1]).rdd.getNumPartitions() == 1
     assert read.where(WHERE[0]).rdd.getNumPartitions() <= 6 and read.where(WHERE[7]).rdd.getNumPartitions() <= 1
+    plain = recorded.read_answers(spark, f"file://{tmp_path}/a")
+    parts = [plain.where(w) for w in WHERE]
+    assert rows(reduce(DataFrame.unionAll, parts)) == sorted(r for w in WHERE for r in rows(kept.where(w)))  # one DataFrame, filtered in many ways
+    narrow = recorded.read_answers(spark, f"file://{tmp_path}/a", source="osv", **{"from": "CVE-2020-00120", "to": "CVE-2020-00131"})
+    assert rows(narrow) == rows(kept.where("source = 'osv' and cve_id between 'CVE-2020-00120' and 'CVE-2020-00131'")) and narrow.rdd.getNumPartitions() <= 2
+    assert rows(recorded.read_answers(spark, f"file://{tmp_path}/a", starts="CVE-2020-0012")) == rows(kept.where("cve_id like 'CVE-2020-0012%'"))
     recorded.record_answers(given.where("false"), f"file://{tmp_path}/none")
     assert recorded.read_answers(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def test_other_files_are_not_opened(spark, tmp_path):
     recorded.record_answers(answers(spark), f"file://{tmp_path}/a", 100)
-    one = recorded.read_answers(spark, f"file://{tmp_path}/a").where("cve_id = 'CVE-2020-00500' and source = 'osv'")
+    one = recorded.read_answers(spark, f"file://{tmp_path}/a", pushdown=True).where("cve_id = 'CVE-2020-00500' and source = 'osv'")
     holding = {Path(p).name for p in (tmp_path / "a/answers").glob("part-*") if '"CVE-2020-00500","source":"osv"' in p.read_text()}
     assert len(holding) == 1
     for p in (tmp_path / "a/answers").glob("part-*"):
