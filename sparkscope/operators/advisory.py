@@ -25,8 +25,14 @@ FUNCTION_PHRASES = (
     Pattern("end_of_clause", r"(?i)\bin\s+([a-zA-Z_]\w{2,})\s*[,.]", 1, 3),
 )
 # Words of a commit subject that speak for a fix or for noise.
-FIX_WORDS = tuple("fix|vuln|overflow|out-of-bound|out of bound|use-after-free|use after free|double-free|double free|null|leak|crash|segfault|cve-|security|deref|shift|negative|race|infinite|recursion|exhaust|sanitize|oob|uaf".split("|"))
-NOISE_WORDS = tuple("tidy|release|version bump|changelog|readme|documentation|doc:|whitespace|spelling|typo|comment:|lint|format|reformat|cosmetic|rename |move |merge branch|merge pull request".split("|"))
+FIX_WORDS = (
+    "fix", "vuln", "overflow", "out-of-bound", "out of bound", "use-after-free", "use after free", "double-free", "double free", "null", "leak", "crash",
+    "segfault", "cve-", "security", "deref", "shift", "negative", "race", "infinite", "recursion", "exhaust", "sanitize", "oob", "uaf",
+)
+NOISE_WORDS = (
+    "tidy", "release", "version bump", "changelog", "readme", "documentation", "doc:", "whitespace", "spelling", "typo", "comment:", "lint", "format",
+    "reformat", "cosmetic", "rename ", "move ", "merge branch", "merge pull request",
+)
 DOC_PATHS = (".md", ".rst", ".txt", "/doc/", "/docs/", "/news", "/changelog", "/readme", ".html", ".pdf", ".bib", ".po", "/man/", ".1", ".3")
 META_PATHS = ("cmakelists", "configure.ac", "configure.in", "makefile", ".am", "license", "authors", ".cmake", ".pc.in", ".spec")
 VERSION_BUMP = (

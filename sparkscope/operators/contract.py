@@ -13,14 +13,18 @@ from sparkscope.operators.ordered import top_k
 SIZE_WORDS = ("max", "size", "len", "length", "count", "capacity", "limit")
 BUFFER_WORDS = ("buf", "buffer", "data", "row", "rows", "extra", "table", "palette", "image", "out", "dst", "src")
 GENERIC_OWNERS = ("state", "strm", "stream", "ctx", "context", "self", "this")
-STREAM_FIELDS = tuple("next_in next_out avail_in avail_out msg adler data_type total_in total_out opaque zalloc zfree reserved length".split())
-MACHINE_FIELDS = tuple("mode wrap flags check state status phase stage step".split())
-ALLOCATORS = tuple("allocate deallocate reallocate malloc calloc realloc free new delete".split())
-INTERMEDIARIES = tuple("in input output buf buffer raw stream reader writer internal priv private impl pending".split())
-CALLBACK_WORDS = tuple(
-    "callback handler hook func fn start end document element characters comment processing instruction warning error fatal cdata entity notation attribute namespace reference declaration "
-    "enddocument startdocument startelement endelement getentity setdocumentlocator".split()
-)
+STREAM_FIELDS = (
+    "next_in", "next_out", "avail_in", "avail_out", "msg", "adler", "data_type", "total_in", "total_out", "opaque", "zalloc", "zfree", "reserved",
+    "length",
+)
+MACHINE_FIELDS = ("mode", "wrap", "flags", "check", "state", "status", "phase", "stage", "step")
+ALLOCATORS = ("allocate", "deallocate", "reallocate", "malloc", "calloc", "realloc", "free", "new", "delete")
+INTERMEDIARIES = ("in", "input", "output", "buf", "buffer", "raw", "stream", "reader", "writer", "internal", "priv", "private", "impl", "pending")
+CALLBACK_WORDS = (
+    "callback", "handler", "hook", "func", "fn", "start", "end", "document", "element", "characters", "comment", "processing", "instruction", "warning",
+    "error", "fatal", "cdata", "entity", "notation", "attribute", "namespace", "reference", "declaration", "enddocument", "startdocument",
+    "startelement", "endelement", "getentity", "setdocumentlocator",
+)
 CALLBACK_PARTS = ("callback", "handler", "enddocument", "startdocument", "startelement", "endelement")
 
 

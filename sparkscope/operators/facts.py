@@ -21,11 +21,15 @@ from sparkscope.operators.ordered import top_k
 from sparkscope.session import materialise, workers_see_package
 
 # Calls that say nothing about a function's needs.
-SKIPPED_CALLS = tuple(
-    "if for while switch return sizeof memcpy memmove memset memcmp malloc calloc realloc free strlen strcpy strncpy strcat strcmp fprintf printf abort assert allocate deallocate reallocate".split()
-)
+SKIPPED_CALLS = (
+    "if", "for", "while", "switch", "return", "sizeof", "memcpy", "memmove", "memset", "memcmp", "malloc", "calloc", "realloc", "free", "strlen",
+    "strcpy", "strncpy", "strcat", "strcmp", "fprintf", "printf", "abort", "assert", "allocate", "deallocate", "reallocate",
+)
 # Owners and fields that are not state, and words that mark plural names.
-NOT_OWNERS = tuple("this file files function functions line lines ret result rv rc res err error status tmp temp val ok".split())
+NOT_OWNERS = (
+    "this", "file", "files", "function", "functions", "line", "lines", "ret", "result", "rv", "rc", "res", "err", "error", "status", "tmp", "temp",
+    "val", "ok",
+)
 NOT_FIELDS = ("returns", "better")
 PLURALS = ("list", "array", "items", "entries", "texts", "records", "chunks", "rows", "cols", "names")
 # Words of names that set up or register state.

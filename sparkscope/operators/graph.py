@@ -27,9 +27,11 @@ NAME_SCORES = (
     (("parse", "process", "decode", "deserialize", "unmarshal", "from_", "load"), 8),
     (("handle", "run", "execute", "dispatch", "invoke", "apply", "transform"), 5),
 )
-CONTAINER_METHODS = tuple(
-    "begin end cbegin cend rbegin rend size empty clear swap at front back push_back pop_back emplace_back insert erase emplace resize reserve capacity".split()
-)
+# Names of container methods.
+CONTAINER_METHODS = (
+    "begin", "end", "cbegin", "cend", "rbegin", "rend", "size", "empty", "clear", "swap", "at", "front", "back", "push_back", "pop_back", "emplace_back",
+    "insert", "erase", "emplace", "resize", "reserve", "capacity",
+)
 
 
 def cap_fanout(edges: DataFrame, keys: Sequence[str], target: str, cap: int = MAX_TARGETS) -> DataFrame:

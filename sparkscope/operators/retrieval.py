@@ -9,7 +9,10 @@ from sparkscope.functions.names import clip_lines, contains_any, identifier_toke
 from sparkscope.operators.ordered import top_k
 
 # Folders and stems of low priority, folders that are skipped, and words of parsed state and of transforms.
-LOW_FOLDERS = tuple("contrib test tests example examples fuzz python ruby java csharp go rust bindings binding wrappers wrapper swig".split())
+LOW_FOLDERS = (
+    "contrib", "test", "tests", "example", "examples", "fuzz", "python", "ruby", "java", "csharp", "go", "rust", "bindings", "binding", "wrappers",
+    "wrapper", "swig",
+)
 LOW_STEMS = ("test", "fuzz", "example", "demo", "bench")
 SKIPPED_FOLDERS = ("oss-fuzz", "__pycache__", "build", "dist", ".git", "node_modules")
 SOURCE = r"(?i)\.(c|cc|cpp|cxx|h|hh|hpp)$"

@@ -13,12 +13,17 @@ from sparkscope.operators.ordered import precedence, top_k
 # Header names that are internal, keywords that are no functions, and words that no C type starts with.
 PRIVATE = r"(?i)(priv|private|internals?|pstream)\.h$|(detail|impl)[/\\]"
 KEYWORDS = ("if", "while", "for", "switch", "return", "sizeof", "typedef", "struct", "enum", "union")
-PROSE = tuple("if the a an is has been previously or and not this that with from to for of when where which file should must can may".split())
+PROSE = (
+    "if", "the", "a", "an", "is", "has", "been", "previously", "or", "and", "not", "this", "that", "with", "from", "to", "for", "of", "when", "where",
+    "which", "file", "should", "must", "can", "may",
+)
 # Symbols of the system and the C library.
-SYSTEM_SYMBOLS = tuple(
-    "_init _fini __cxa_finalize __cxa_atexit _Jv_RegisterClasses _ITM_deregisterTMCloneTable _ITM_registerTMCloneTable _GLOBAL_OFFSET_TABLE_ __gmon_start__ _start main __libc_csu_init __libc_csu_fini "
-    "__libc_start_main _dl_relocate_static_pie __assert_fail __errno_location fopen fclose fread fwrite malloc free calloc realloc printf fprintf sprintf snprintf memcpy memmove memset strlen strcmp strcpy strcat strncmp strncpy strncat".split()
-)
+SYSTEM_SYMBOLS = (
+    "_init", "_fini", "__cxa_finalize", "__cxa_atexit", "_Jv_RegisterClasses", "_ITM_deregisterTMCloneTable", "_ITM_registerTMCloneTable",
+    "_GLOBAL_OFFSET_TABLE_", "__gmon_start__", "_start", "main", "__libc_csu_init", "__libc_csu_fini", "__libc_start_main", "_dl_relocate_static_pie",
+    "__assert_fail", "__errno_location", "fopen", "fclose", "fread", "fwrite", "malloc", "free", "calloc", "realloc", "printf", "fprintf", "sprintf",
+    "snprintf", "memcpy", "memmove", "memset", "strlen", "strcmp", "strcpy", "strcat", "strncmp", "strncpy", "strncat",
+)
 _ID = "[a-zA-Z_][a-zA-Z0-9_]*"
 DECLARATION = rf"\b({_ID})\s*\(([^)]*)\)\s*;"
 WRAPPED = rf"\b(?:[A-Z_][A-Z0-9_]*\s+)?({_ID})\s*\(([^)]*)\)"

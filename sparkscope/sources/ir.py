@@ -29,9 +29,10 @@ FIELD_ADDRESS = (
 SLOT_ADDRESS = r"%([a-zA-Z0-9_.]+)\s*=\s*getelementptr\s+(?:inbounds\s+)?(?:ptr|[^,]+\*+)\s*,\s*(?:ptr|[^,]+\*+)\s+%([a-zA-Z0-9_.]+)\s*,\s*(?:i32|i64)\s+(\d+)\s*$"
 DISPATCH_TABLE = r"^@(_ZTV[a-zA-Z0-9_]+)\s*=.*?(?:constant|global)\s+.*?\{.*?\[.*?\]\s*\[([^\]]+)\]"
 # Parameter attributes that are neither type nor name, and those that end a parameter.
-ATTRIBUTES = tuple(
-    "nocapture readonly writeonly noundef nonnull inreg zeroext signext byval sret noalias nocallback nounwind willreturn memory argmemonly".split()
-)
+ATTRIBUTES = (
+    "nocapture", "readonly", "writeonly", "noundef", "nonnull", "inreg", "zeroext", "signext", "byval", "sret", "noalias", "nocallback", "nounwind",
+    "willreturn", "memory", "argmemonly",
+)
 ENDING_ATTRIBUTES = ("align", "dereferenceable", "dereferenceable_or_null")
 
 
