@@ -195,3 +195,12 @@ def function_body(text: str, name: str) -> tuple[int, int] | None:
 def first_at_or_after(places: list[int], at: int) -> int:
     i = bisect_left(places, at)
     return places[i] if i < len(places) else -1
+
+
+def scan(text: str, fn: str) -> tuple[str, str, list[tuple[str, str]], list[str], list[str], list[tuple[str, str]]]:
+    """(definition, its blanked form, parameters, conditions of if and of while, switches with bodies) of a function of a text."""
+    file = source(text)
+    code = file.excerpt(fn)
+    part = Source(code)
+    params = part.parameters(fn) or file.parameters(fn)
+    return code, part.plain, params, list(part.after_keyword("if")), list(part.after_keyword("while")), list(part.switches())

@@ -57,11 +57,8 @@ def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, fn in zip(batch.column("text").to_pylist(), batch.column("fn").to_pylist(), strict=True):
-                file = ctext.source(text or "")
-                code = file.excerpt(fn or "")
-                part = ctext.Source(code)
-                params = part.parameters(fn or "") or file.parameters(fn or "")
-                rows.append((code, part.plain, [{"name": n, "type": t} for n, t in params], list(part.after_keyword("if")), list(part.after_keyword("while")), [{"variable": v, "body": b} for v, b in part.switches()]))
+                code, plain, params, ifs, whiles, switches = ctext.scan(text or "", fn or "")
+                rows.append((code, plain, [{"name": n, "type": t} for n, t in params], ifs, whiles, [{"variable": v, "body": b} for v, b in switches]))
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True) if rows else [[]] * len(_COLUMNS), _COLUMNS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("fn"), *arrays], ["path", "fn", *(n for n, _ in _COLUMNS)])
 

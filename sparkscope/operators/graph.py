@@ -100,13 +100,21 @@ def _doubled(jumps: DataFrame) -> DataFrame:
     return joined.where("node != further").select("owner", "node", F.col("further").alias("far"), "back")
 
 
-def pointer_targets(facts: ProgramFacts) -> DataFrame:
-    """(owner, ptr, target): what each pointer may hold, over stores, loads, struct fields and dispatch tables."""
+def pointer_targets(facts: ProgramFacts, in_order: bool = False) -> DataFrame:
+    """(owner, ptr, target): what each pointer may hold, over stores, loads, struct fields and dispatch tables.
+
+    The first global that a load names is a target if it is a function, wherever
+    that stands; with ``in_order`` only if it was defined or declared before the
+    load, as a reader of the files in order of their names knows it. What a load
+    reads last is followed as a copy, which takes functions wherever they stand.
+    """
     fn = facts.functions.select(F.col("name").alias("f"))
     flows = facts.flows.select("owner", "dst", "src").distinct()
     direct = flows.join(fn, F.col("src") == F.col("f")).select("owner", "dst", F.col("src").alias("target"))
     stored = facts.flows.where("kind = 'store_fn'").select("owner", "dst", F.col("src").alias("target"))
-    loaded = facts.global_loads.join(fn, F.col("src") == F.col("f")).select("owner", "dst", F.col("src").alias("target"))
+    loads = facts.global_loads.join(facts.functions.select(F.col("name").alias("f"), "first_seen"), F.col("src") == F.col("f"))
+    before = F.struct("first_seen.file", "first_seen.line_no") < F.struct("ord.file", "ord.line_no")
+    loaded = (loads.where(before) if in_order else loads).select("owner", "dst", F.col("src").alias("target"))
     at = facts.fields.select(F.col("owner").alias("g_owner"), F.col("dst").alias("g_dst"), "struct_type", "field_idx", "base")
     held = direct.join(at, (F.col("owner") == F.col("g_owner")) & (F.col("dst") == F.col("g_dst"))).select(
         F.col("struct_type").alias("h_type"), F.col("field_idx").alias("h_idx"), "target"
@@ -128,11 +136,11 @@ def pointer_targets(facts: ProgramFacts) -> DataFrame:
     return settled.unionByName(virtual).distinct()
 
 
-def call_edges(facts: ProgramFacts, max_targets: int = MAX_TARGETS) -> DataFrame:
-    """(caller, callee, kind): direct calls, and indirect ones whose pointer has few enough targets."""
+def call_edges(facts: ProgramFacts, max_targets: int = MAX_TARGETS, in_order: bool = False) -> DataFrame:
+    """(caller, callee, kind): direct calls, and indirect ones whose pointer has few enough targets (``in_order`` as in :func:`pointer_targets`)."""
     direct = facts.call_sites.select("caller", "callee", F.lit("direct").alias("kind"))
     calls = facts.indirect_calls.select("caller", "ptr").distinct()
-    targets = pointer_targets(facts).withColumnRenamed("ptr", "t_ptr")
+    targets = pointer_targets(facts, in_order).withColumnRenamed("ptr", "t_ptr")
     resolved = calls.join(targets, (F.col("caller") == F.col("owner")) & (F.col("ptr") == F.col("t_ptr"))).select("caller", "ptr", F.col("target").alias("callee"))
     few = cap_fanout(resolved, ["caller", "ptr"], "callee", max_targets)
     return direct.unionByName(few.select("caller", "callee", F.lit("indirect").alias("kind"))).distinct()

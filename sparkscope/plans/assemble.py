@@ -24,6 +24,54 @@ def choose_path(ranked: DataFrame, exported: DataFrame, override: DataFrame) ->
     return top_k(judged, [], order, 1).select("path_id", "entry", "score")
 
 
+# Parts of paths of code that is built beside a library and is no entry to it.
+BESIDE_LIBRARY = (
+    "/tests/", "/test/", "/testing/", "/unittest/", "/unittests/", "/examples/", "/example/", "/sample/", "/samples/", "/demo/", "/demos/", "/benchmark/", "/benchmarks/",
+    "/bench/", "/fuzz/", "/fuzzing/", "/fuzzers/", "/perf/", "/perftest/", "/tools/", "/util/", "/utils/", "/utility/", "/contrib/", "/extras/", "/scripts/", "/doc/", "/docs/",
+    "/xmlwf/", "/apps/", "/app/", "/cli/", "/bin/", "/python/", "/perl/", "/ruby/", "/go/", "/rust/",
+)
+
+
+def fallback_entries(sinks: DataFrame, functions: DataFrame, public: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sink, entry, rule): an entry for each sink (name) that no call path leads to, over functions (name, file) and edges (caller, callee).
+
+    Rules, first that holds: ``itself`` the sink is public; ``same_unit`` it has
+    no caller, and its file has public functions: the one of the shortest name;
+    ``same_folder`` a public function of its folder, the first by name;
+    ``most_callees`` the public function that calls the most others;
+    ``first`` the first public one. The last three leave out functions from
+    beside the library, unless there are no others. A function without a known
+    file shares none with another; without public functions there are no rows.
+    Per file and folder one public function is kept before sinks are joined, so
+    no sink is compared with all functions.
+    """
+    file = F.when(F.col("file") != "", F.split_part("file", F.lit(":"), F.lit(1)))
+    placed = functions.groupBy("name").agg(F.min(file).alias("file"))
+    folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).when(F.col("file").isNotNull(), "")
+    listed = public.select("name").where("name is not null").distinct().join(placed, "name", "left").withColumn("folder", folder)
+    low = F.lower(F.translate(F.coalesce("file", F.lit("")), "\\", "/"))
+    beside = F.array_contains(F.transform(F.array(*map(F.lit, BESIDE_LIBRARY)), lambda t: F.contains(low, t)), True)
+    judged = listed.withColumn("library", ~beside)
+    some = judged.agg(F.coalesce(F.bool_or("library"), F.lit(False)).alias("some"))
+    general = judged.crossJoin(F.broadcast(some)).where("library or not some")
+    callees = edges.select("caller", "callee").distinct().groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("n"))
+    ranked = general.join(callees, "name", "left")
+    best = ranked.agg(F.min_by("name", F.when(F.col("n").isNotNull(), F.struct((-F.col("n")).alias("n"), "name"))).alias("most"), F.min("name").alias("first"))
+    unit = listed.where("file is not null").groupBy(F.col("file").alias("u_file")).agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("unit"))
+    near = general.where("folder is not null").groupBy(F.col("folder").alias("n_folder")).agg(F.min("name").alias("near"))
+    called = edges.where("caller is not null").select(F.col("callee").alias("name")).distinct().withColumn("called", F.lit(True))
+    asked = sinks.select("name").where("name is not null").distinct().join(placed, "name", "left").withColumn("folder", folder)
+    asked = asked.join(listed.select("name").withColumn("own", F.lit(True)), "name", "left").join(called, "name", "left")
+    asked = asked.join(unit, F.col("file") == F.col("u_file"), "left").join(near, F.col("folder") == F.col("n_folder"), "left").crossJoin(F.broadcast(best))
+    steps = [
+        ("itself", F.when(F.col("own"), F.col("name"))), ("same_unit", F.when(F.col("called").isNull(), F.col("unit"))),
+        ("same_folder", F.col("near")), ("most_callees", F.col("most")), ("first", F.col("first")),
+    ]
+    entry = F.coalesce(*(e for _, e in steps))
+    rule = F.coalesce(*(F.when(e.isNotNull(), F.lit(n)) for n, e in steps))
+    return asked.select(F.col("name").alias("sink"), entry.alias("entry"), rule.alias("rule")).where("entry is not null")
+
+
 def merge_roles(own: DataFrame, given: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Roles (keys, ord, name, role) with those given (keys, name, role) in their place by name; unmatched given ones follow."""
     extra = given.select(*keys, F.lower("name").alias("_n"), F.col("name").alias("g_name"), F.col("role").alias("g_role"))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkscope.functions import classify, names, tolerant
+from sparkscope.functions import classify, names, spans, tolerant
 from sparkscope.functions.patterns import Pattern, best_match, pattern_hits
 from sparkscope.operators import advisory, derive, evidence, excerpt, graph, ordered, retrieval, rules, seeds
 from sparkscope.plans import assemble
-from sparkscope.session import materialise, table
-from sparkscope.sources import build_log, headers, ir
+from sparkscope.session import materialise, shared_dir, table
+from sparkscope.sources import build_log, headers, ir, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -395,6 +395,54 @@ def document_functions(spark: SparkSession, sf: str) -> DataFrame:
     return functions.select("name", "file", F.col("line").cast("long").alias("line"), params.alias("params"))
 
 
+@query("""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) - 1 AS i FROM documents),
+parts AS (SELECT doc_id, i // 4 AS part, 'int f_' || max(word) FILTER (i % 4 = 0) || '(int ' || max(word) FILTER (i % 4 = 1) || ')' || chr(10) || '{' || chr(10) || '  ' || max(word) FILTER (i % 4 = 2) || '(' || max(word) FILTER (i % 4 = 3) || ');' || chr(10) || '}' || chr(10) AS text,
+  'f_' || max(word) FILTER (i % 4 = 0) AS name FROM words GROUP BY ALL HAVING count(*) = 4)
+SELECT CAST(doc_id AS VARCHAR) AS id, name, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(text) - 1 AS BIGINT) AS size FROM parts""")
+def document_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions in documents written as C text, four words each, by the session's table function."""
+    spans.register(spark)
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    fours = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: (i % 4 == 0) & (i + 3 < F.size("w")))
+    word = lambda i: F.get("w", i)
+    one = lambda i: F.concat(F.lit("int f_"), word(i), F.lit("(int "), word(i + 1), F.lit(")\n{\n  "), word(i + 2), F.lit("("), word(i + 3), F.lit(");\n}\n"))
+    texts = table(spark, sf, "documents").select("doc_id", words.alias("w")).select("doc_id", F.array_join(F.transform(fours, one), "").alias("text"))
+    found = spark.sql("SELECT * FROM function_spans(TABLE(SELECT doc_id AS id, text FROM {texts}))", texts=texts)
+    return found.select("id", "name", "start", (F.col("stop") - F.col("start")).alias("size"))
+
+
+@query("""WITH told AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderkey % 2 AS batch, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END AS urgent FROM orders),
+last AS (SELECT o_custkey, batch, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, arg_max(struct_pack(u := urgent), (o_orderdate, o_orderkey)).u AS urgent FROM told GROUP BY ALL)
+SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, coalesce(b.last_order, a.last_order) AS last_order, coalesce(b.urgent, a.urgent) AS urgent FROM (SELECT * FROM last WHERE batch = 0) a FULL JOIN (SELECT * FROM last WHERE batch = 1) b ON a.o_custkey = b.o_custkey""")
+def upserted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' last orders, upserted in two batches; a null of the second leaves what the first has told."""
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).alias("urgent")
+    told = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("last_order"), "o_orderdate", urgent)
+    folder = f"{shared_dir(spark)}/store-{spark.sql('select uuid()').first()[0]}"
+    for batch in (0, 1):
+        store.upsert(spark, folder, told.where(F.col("last_order") % 2 == batch), ["o_custkey"], ["o_orderdate", "last_order"], fill=True, buckets=16)
+    return store.read(spark, folder).select("o_custkey", "last_order", "urgent")
+
+
+@query("""WITH fn AS (SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 10 > 0 THEN '/src/' || lower(p_type) || CASE WHEN p_size % 7 = 0 THEN '/tests' ELSE '' END || '/' || p_size || '.c' END AS file, p_partkey AS k FROM part),
+pub AS (SELECT name, file, regexp_replace(file, '/[^/]*$', '') AS folder, coalesce(NOT contains(file, '/tests/'), true) AS lib FROM fn WHERE k % 4 = 1), lib AS (SELECT * FROM pub WHERE lib OR NOT (SELECT bool_or(lib) FROM pub)),
+edges AS (SELECT DISTINCT 'f' || l_suppkey AS caller, 'f' || l_partkey AS callee FROM lineitem WHERE l_quantity > 48 AND l_partkey % 3 > 0),
+most AS (SELECT caller AS name FROM edges WHERE caller IN (SELECT name FROM lib) GROUP BY caller ORDER BY count(*) DESC, caller LIMIT 1),
+asked AS (SELECT name, file, regexp_replace(file, '/[^/]*$', '') AS folder FROM fn),
+steps AS (SELECT a.name AS sink, CASE WHEN a.name IN (SELECT name FROM pub) THEN a.name END AS e0,
+  CASE WHEN a.name NOT IN (SELECT callee FROM edges) THEN (SELECT arg_min(p.name, (length(p.name), p.name)) FROM pub p WHERE p.file = a.file) END AS e1,
+  (SELECT min(l.name) FROM lib l WHERE l.folder = a.folder) AS e2, (SELECT name FROM most) AS e3, (SELECT min(name) FROM lib) AS e4 FROM asked a)
+SELECT sink, coalesce(e0, e1, e2, e3, e4) AS entry, CASE WHEN e0 IS NOT NULL THEN 'itself' WHEN e1 IS NOT NULL THEN 'same_unit' WHEN e2 IS NOT NULL THEN 'same_folder' WHEN e3 IS NOT NULL THEN 'most_callees' ELSE 'first' END AS rule FROM steps WHERE coalesce(e0, e1, e2, e3, e4) IS NOT NULL""")
+def fallback_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """An entry for each function as if no call path led to it."""
+    named = F.concat(F.lit("f"), "p_partkey")
+    tests = F.when(F.col("p_size") % 7 == 0, "/tests").otherwise("")
+    file = F.when(F.col("p_partkey") % 10 > 0, F.concat(F.lit("/src/"), F.lower("p_type"), tests, F.lit("/"), "p_size", F.lit(".c")))
+    functions = table(spark, sf, "part").select(named.alias("name"), file.alias("file"), "p_partkey")
+    edges = table(spark, sf, "lineitem").where("l_quantity > 48 and l_partkey % 3 > 0").select(F.concat(F.lit("f"), "l_suppkey").alias("caller"), F.concat(F.lit("f"), "l_partkey").alias("callee"))
+    return assemble.fallback_entries(functions, functions.select("name", "file"), functions.where("p_partkey % 4 = 1"), edges)
+
+
 @query("""WITH turns AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS opens FROM conversations),
 seg AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sub FROM turns),
 scored AS (SELECT conv_id, CAST(sub AS BIGINT) AS sub, CAST(sum(CASE WHEN role = 'user' AND contains(lower(text), 'the') THEN 4 ELSE 0 END) + sum(CASE WHEN length(text) BETWEEN 1 AND 600 THEN 3 WHEN length(text) > 2000 THEN -3 ELSE 0 END) AS BIGINT) AS score FROM seg GROUP BY conv_id, sub)

@@ -40,14 +40,14 @@ ENDING_ATTRIBUTES = ("align", "dereferenceable", "dereferenceable_or_null")
 class ProgramFacts:
     """Tables read from IR lines; ``ord`` orders rows as the text does."""
 
-    functions: DataFrame  # name, defined, file, line, params array<struct<type,name>>
+    functions: DataFrame  # name, defined, file, line, params array<struct<type,name>>, first_seen struct<file,line_no>
     call_sites: DataFrame  # caller, callee, args array<string>, ord
     indirect_calls: DataFrame  # caller, ptr, file, line
     flows: DataFrame  # owner, dst, src, ord, kind
     fields: DataFrame  # owner, dst, struct_type, field_idx, base, ord
     table_entries: DataFrame  # vtable, slot, fn
     table_slots: DataFrame  # owner, dst, base, slot
-    global_loads: DataFrame  # owner, dst, src
+    global_loads: DataFrame  # owner, dst, src, ord
 
 
 def read_ir_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -232,8 +232,9 @@ def parse_ir(lines: DataFrame) -> ProgramFacts:
     seen = signatures.groupBy("name").agg(
         F.max_by(F.struct("defined", "file", "line", "params"), F.when(F.col("defined"), F.col("at"))).alias("d"),
         F.min_by(F.struct("defined", "file", "line", "params"), "at").alias("f"),
+        F.min("at").alias("first_seen"),
     )
-    functions = seen.select("name", F.explode(F.array(F.coalesce("d", "f"))).alias("x")).select("name", "x.*")
+    functions = seen.select("name", F.coalesce("d", "f").alias("x"), "first_seen").select("name", "x.*", "first_seen")
 
     body = rows.where("fn is null and owner is not null").where(F.trim(text) != "}")
 
@@ -263,4 +264,4 @@ def parse_ir(lines: DataFrame) -> ProgramFacts:
     entries = last.select("vtable", F.posexplode(F.split("entries", ",")).alias("slot", "entry")).select(
         "vtable", "slot", F.when((slot_fn != "") & ~slot_fn.rlike("^_ZT[IS]"), slot_fn).alias("fn")
     )
-    return ProgramFacts(functions, call_sites, indirect, stores.unionByName(pointers).unionByName(loads), fields, entries, slots, found(LOAD_GLOBAL, "dst", "src").select("owner", "dst", "src"))
+    return ProgramFacts(functions, call_sites, indirect, stores.unionByName(pointers).unionByName(loads), fields, entries, slots, found(LOAD_GLOBAL, "dst", "src").select("owner", "dst", "src", "ord"))

@@ -52,7 +52,7 @@ def record_answers(answers: DataFrame, folder: str, rows_per_file: int = ROWS_PE
     index.coalesce(1).write.json(f"{folder}/index")
 
 
-def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def store_of(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pyarrow.fs.LocalFileSystem(), folder)
 
 
@@ -123,7 +123,7 @@ class AnswerReader(DataSourceReader):
                 self.ranges[column].take(kind((column,), options[option]))
 
     def partitions(self) -> list[AnswerFile]:
-        store, root = _store(self.folder)
+        store, root = store_of(self.folder)
         listed = store.get_file_info(pyarrow.fs.FileSelector(f"{root}/index"))
         found = []
         for info in sorted(listed, key=lambda i: i.path):
@@ -136,7 +136,7 @@ class AnswerReader(DataSourceReader):
     def read(self, partition: AnswerFile | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks once where there are no partitions
             return
-        store, root = _store(self.folder)
+        store, root = store_of(self.folder)
         ids, rows = self.ranges["cve_id"], []
         with store.open_input_stream(f"{root}/answers/{partition.file}") as stream:
             for line in _lines(stream):
