@@ -5,9 +5,10 @@ is important if its presentation (the sequence of its children's styles) or
 its content (its text) varies between pages; what most pages repeat is site
 furniture. Names (tags, classes, roles) are a prior: importance is the tree's
 evidence weighed with it, and branches of low importance go. Where a host has
-too few pages the prior decides alone. Names are no veto: a branch that holds
-most of a page's text, or its article, is judged as if it had none. Pages are
-parsed twice rather than moved: only hashes of nodes are shuffled.
+too few pages the prior decides alone. Names of menus and wrappers are no veto:
+such a branch that holds most of a page's text, or its article, is judged as if
+it had none. Comments, notices, asides and adverts stay furniture at any size.
+Pages are parsed twice rather than moved: only hashes of nodes are shuffled.
 """
 
 from __future__ import annotations
@@ -48,7 +49,14 @@ _NAMES = frozenset(
     "promos promotion promoted recommended recommendations related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe "
     "subscription teaser teasers toolbar widget widgets".split()
 )
-_OUTER_NAMES = frozenset("header masthead topbar".split())
+_OUTER_NAMES = frozenset("head header masthead topbar".split())
+# Of these names, those whose text is no article's whatever its size and whatever stands in it, and those that wrappers of whole pages have too.
+_CLOSED = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners comment comments commentlist consent cookie cookies disclaimer disqus gdpr newsletter notice "
+    "notices notification notifications popup promo promos promotion promoted recommended recommendations related replies reply respond share sharing social sponsor sponsored sponsors "
+    "subscribe subscription teaser teasers".split()
+)
+_WRAPPERS = frozenset("card head header login masthead modal search widget widgets".split())
 _QUALIFIERS = frozenset(
     "area bar bottom box block buttons container content element form global group icons inner item items left link links list main outer page panel primary region right secondary "
     "section site slot text top unit wrap wrapper".split()
@@ -84,7 +92,7 @@ class Page:
     key: list[int] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     prior: list[float] = field(default_factory=list)
-    firm: list[int] = field(default_factory=list)  # of furniture: 0 names may err, 1 unless it holds an article, 2 whatever it holds
+    firm: list[int] = field(default_factory=list)  # of furniture: 0 may wrap a page, 1 unless it holds an article, 2 whatever it holds
     root: list[bool] = field(default_factory=list)  # article and main
     styles: list[list[str]] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
@@ -122,14 +130,14 @@ def _attributes(text: str, at: int, last: dict[str, int]) -> tuple[dict[str, str
     return out, n
 
 
-def _is_furniture(name: str, rooted: bool) -> bool:
-    """A class or id that as a whole names furniture: one of its words does, and the others only qualify it."""
+def _furniture_words(name: str, rooted: bool) -> list[str]:
+    """The words for which a class or id as a whole names furniture: the others only qualify them."""
     words = _NAMES if rooted else _NAMES | _OUTER_NAMES
     lower = name.lower()
     if lower in words:
-        return True
+        return [lower]
     parts = [p.lower() for p in _NAME_PART.findall(name)]
-    return any(p in words for p in parts) and all(p in words or p in _QUALIFIERS or p.isdigit() for p in parts)
+    return [p for p in parts if p in words] if all(p in words or p in _QUALIFIERS or p.isdigit() for p in parts) else []
 
 
 def _prior(tag: str, attributes: dict[str, str], rooted: bool) -> tuple[float, int]:
@@ -138,19 +146,21 @@ def _prior(tag: str, attributes: dict[str, str], rooted: bool) -> tuple[float, i
         return FURNITURE, 2
     if tag in _STRONG:
         return FURNITURE, 1
+    named = [words for value in (attributes.get("class", ""), attributes.get("id", "")) for name in value.split() if (words := _furniture_words(name, rooted))] if attributes else []
     if tag in _WEAK or (tag == "header" and not rooted):
-        return FURNITURE, 0
+        closed = tag in ("aside", "dialog") or any(w in _CLOSED for words in named for w in words)
+        return FURNITURE, 2 if closed else 0
     if not attributes:
         return OPEN, 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
         return FURNITURE, 2
     if tag in ("html", "body", "main"):
         return OPEN, 0
-    if attributes.get("role", "").lower() in _ROLES:
-        return FURNITURE, 0
-    for value in (attributes.get("class", ""), attributes.get("id", "")):
-        if any(_is_furniture(name, rooted) for name in value.split()):
-            return FURNITURE, 0
+    role = attributes.get("role", "").lower()
+    if role in _ROLES or named:
+        words = [w for part in named for w in part]
+        closed = role in ("alert", "alertdialog", "complementary", "dialog") or any(w in _CLOSED for w in words)
+        return FURNITURE, 2 if closed else 0 if role in ("", "form", "search") and all(w in _WRAPPERS for w in words) else 1
     return OPEN, 0
 
 
@@ -262,20 +272,23 @@ def importance(evidence: float, prior: float) -> float:
 def judged(page: Page) -> list[float]:
     """Prior importance of each node, given what the page holds.
 
-    Furniture that holds most of the text counts as open if it holds an article
-    or, where names may err, if the page has none. If articles hold most of the
-    other text, what stands outside them counts as furniture.
+    Comments, notices, asides, adverts and the like are furniture whatever they
+    hold. Other furniture that holds most of the rest of the text counts as
+    open if it holds an article or, where it may wrap a page, if the page has
+    none. If articles hold most of the other text, what stands outside them
+    counts as furniture.
     """
     n = len(page.key)
     size, articles = [0] * n, [0] * n
     for node, text in page.blocks:
         size[node] += len(text)
     for i in range(n - 1, 0, -1):  # parents come before their children
-        size[page.parent[i]] += size[i]
-        articles[page.parent[i]] += articles[i] + page.root[i]
+        if page.prior[i] != FURNITURE or page.firm[i] < 2:
+            size[page.parent[i]] += size[i]
+            articles[page.parent[i]] += articles[i] + page.root[i]
     prior = list(page.prior)
     for i in range(1, n):
-        if prior[i] == FURNITURE and 2 * size[i] > size[0] and (articles[i] if page.firm[i] == 1 else not page.firm[i] and (articles[i] or not articles[0])):
+        if prior[i] == FURNITURE and page.firm[i] < 2 and 2 * size[i] > size[0] and (articles[i] if page.firm[i] == 1 else not page.firm[i] and (articles[i] or not articles[0])):
             prior[i] = OPEN
     inside, kept = [False] * n, [True] * n
     for i in range(1, n):

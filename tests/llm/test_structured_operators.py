@@ -70,6 +70,22 @@ def test_main_text():
     assert sitetree.main_text("<nav>Menu</nav><footer>Imprint</footer><p>x", {}) == "x"
 
 
+def test_furniture_larger_than_the_story():
+    many = "".join(f"<p>Reader {i} says that this is a long comment about the story.</p>" for i in range(30))
+    articles = "".join(f'<article class="comment-body"><p>Reader {i} says much.</p></article>' for i in range(30))
+    story = "A short story in one line."
+    for furniture in (
+        f'<div id="comments">{many}</div>', f'<section class="comments-area">{articles}</section>', f'<div class="cookie-consent">{many}</div>', f"<aside>{many}</aside>",
+        f"<aside><article>{many}</article></aside>", f'<div class="sidebar">{many}</div>', f'<div role="complementary">{many}</div>', f'<div class="ad-container">{many}</div>',
+        f'<div class="newsletter-box"><form>{many}</form></div>', f'<div class="related-posts-list related">{articles}</div>', '<div class="site-head">Logo</div>', f"<dialog open>{many}</dialog>",
+    ):
+        for page in (f'<div class="story"><p>{story}</div>{furniture}', f"<body>{furniture}<div><p>{story}</p></div></body>", f'<form id="aspnet"><div class="story"><p>{story}</div>{furniture}</form>'):
+            assert sitetree.main_text(page, {}) == story, page[:90]
+    # wrappers of whole pages, and menus' names around the only article
+    assert sitetree.main_text(f'<form><div class="card"><p>{story}</div></form>', {}) == story
+    assert sitetree.main_text(f'<div class="navigation"><main>{story}</main></div>', {}) == story
+
+
 def test_hostile_pages_take_linear_time():
     began = time.process_time()
     for piece in ('<a "', "<b><div>", '<a x="', '<a ">" ', "<a x='\"", "<!--", "<li>", "<p>", "</div>", "<a b=", "<", "&"):
