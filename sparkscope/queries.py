@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions import classify, names, spans, tolerant
 from sparkscope.functions.patterns import Pattern, best_match, pattern_hits
-from sparkscope.operators import advisory, derive, evidence, excerpt, graph, ordered, retrieval, rules, seeds
+from sparkscope.operators import advisory, derive, evidence, excerpt, graph, items, ordered, retrieval, rules, seeds
 from sparkscope.plans import assemble
 from sparkscope.session import materialise, shared_dir, table
-from sparkscope.sources import build_log, headers, ir, store
+from sparkscope.sources import build_log, headers, ir, listing, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,6 +443,71 @@ def fallback_entries(spark: SparkSession, sf: str) -> DataFrame:
     return assemble.fallback_entries(functions, functions.select("name", "file"), functions.where("p_partkey % 4 = 1"), edges)
 
 
+#: Files of a project: one for each part, many of which have one name.
+LISTED = """fn AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') || '_' || p_size % 10 AS stem, lower(p_type) AS folder, ['.c', '.cc', '.cpp', '.cxx'][p_partkey % 4 + 1] AS ending FROM part), files AS (SELECT DISTINCT '/r/' || folder || '/' || stem || ending AS path, stem, ending FROM fn WHERE k % 3 > 0)"""
+
+
+def _listed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    stem = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_size") % 10)
+    ending = F.element_at(F.array(*map(F.lit, listing.ENDINGS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    fn = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), stem.alias("stem"), F.lower("p_type").alias("folder"), ending.alias("ending"))
+    return fn, fn.where("k % 3 > 0").select(F.concat(F.lit("/r/"), "folder", F.lit("/"), "stem", "ending").alias("path")).distinct()
+
+
+@query(f"""WITH {LISTED}, asked AS (SELECT k AS id, CASE WHEN k % 7 = 0 THEN '' WHEN k % 2 = 0 THEN folder || '/' || stem || ending ELSE 'gone/' || stem || ending END AS path, stem || ending AS base FROM fn)
+SELECT id, path, CASE WHEN path <> '' THEN coalesce((SELECT min(f.path) FROM files f WHERE f.path = '/r/' || a.path), (SELECT min(f.path) FROM files f WHERE f.stem || f.ending = a.base)) END AS found FROM asked a""")
+def source_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The files that advisories name, by path or else by base name."""
+    fn, files = _listed(spark, sf)
+    path = F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.when(F.col("k") % 2 == 0, F.col("folder")).otherwise("gone"), F.lit("/"), "stem", "ending"))
+    return listing.find_sources(fn.select(F.col("k").alias("id"), path.alias("path")), files, "/r/")
+
+
+@query(f"""WITH {LISTED}, asked AS (SELECT DISTINCT '/b/' || k || '/' || stem || CASE WHEN k % 9 = 0 THEN '.o' ELSE '.ll:' || k END AS path, stem, k FROM fn),
+best AS (SELECT stem, arg_min(path, (list_position(['.c', '.cc', '.cpp', '.cxx'], ending), path)) AS best FROM files GROUP BY stem)
+SELECT path, CASE WHEN k % 9 = 0 THEN path ELSE coalesce(best, '/r/' || stem || '.c') END AS source FROM asked LEFT JOIN best USING (stem)""")
+def ir_source_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources that IR files were compiled from."""
+    fn, files = _listed(spark, sf)
+    path = F.concat(F.lit("/b/"), "k", F.lit("/"), "stem", F.when(F.col("k") % 9 == 0, ".o").otherwise(F.concat(F.lit(".ll:"), "k")))
+    return listing.ir_sources(fn.select(path.alias("path")), files, "/r", guess=True)
+
+
+@query("""WITH items AS (SELECT o_custkey, o_orderkey, o_orderstatus AS stage, list_position(['P', 'O', 'F'], o_orderstatus) AS rank, '{"p":"' || o_orderpriority || '","q":{"m":' || o_orderkey % 3 || ',"s":1}}' AS item FROM orders),
+once AS (SELECT * FROM items WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey, item ORDER BY rank, o_orderkey) = 1)
+SELECT o_custkey, row_number() OVER w - 1 AS place, item FROM once WINDOW w AS (PARTITION BY o_custkey ORDER BY rank, o_orderkey) QUALIFY row_number() OVER w <= 4""")
+def merged_stage_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The first items of each customer over three stages; objects are one whatever the order of their keys."""
+    priority, m = F.col("o_orderpriority"), F.col("o_orderkey") % 3
+    one = F.concat(F.lit('{"q": {"s": 1, "m": '), m, F.lit('}, "p": "'), priority, F.lit('"}'))
+    two = F.concat(F.lit('{"p": "'), priority, F.lit('", "q": {"m": '), m, F.lit(', "s": 1}}'))
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("stage"), F.when(F.col("o_orderkey") % 2 == 0, one).otherwise(two).alias("item"))
+    found = items.merged_stages(rows, ["o_custkey"], ["P", "O", "F"], "item", ["o_orderkey"], 4)
+    return found.select("o_custkey", F.col("place").cast("long").alias("place"), tolerant.canonical_text(F.col("item")).alias("item"))
+
+
+@query("""WITH items AS (SELECT p_brand, p_partkey, split_part(p_name, ' ', 1) AS target, p_name || ' of ' || p_type AS rationale FROM part), dropped AS (SELECT DISTINCT p_brand AS b, CASE WHEN p_size <= 3 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) || ' of ' || p_type END AS name FROM part WHERE p_size <= 5)
+SELECT * FROM items WHERE NOT EXISTS (SELECT 1 FROM dropped WHERE b = p_brand AND (name = target OR contains(rationale, name)))""")
+def pruned_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Items without a dropped name of their brand, as a whole field or within a text."""
+    part = table(spark, sf, "part")
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    rows = part.select("p_brand", "p_partkey", first.alias("target"), F.concat("p_name", F.lit(" of "), "p_type").alias("rationale"))
+    dropped = part.where("p_size <= 5").select("p_brand", F.when(F.col("p_size") <= 3, first).otherwise(F.concat(second, F.lit(" of "), "p_type")).alias("name"))
+    return items.prune_fields(rows, dropped, ["p_brand"], equal=["target"], containing=["rationale"])
+
+
+@query("""WITH items AS (SELECT p_brand, p_partkey, split_part(p_name, ' ', 1) AS name, [lower(p_type), split_part(p_name, ' ', 2)] AS uses FROM part), anchors AS (SELECT DISTINCT p_brand AS b, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE lower(p_type) END AS token FROM part WHERE p_size <= 8)
+SELECT p_brand, p_partkey, name FROM items WHERE EXISTS (SELECT 1 FROM anchors WHERE b = p_brand AND (token = name OR list_contains(uses, token)))""")
+def anchored_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Items some field of which names an anchor of their brand."""
+    part = table(spark, sf, "part")
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    rows = part.select("p_brand", "p_partkey", first.alias("name"), F.array(F.lower("p_type"), second).alias("uses"))
+    anchors = part.where("p_size <= 8").select("p_brand", F.when(F.col("p_size") % 2 == 0, second).otherwise(F.lower("p_type")).alias("token"))
+    return items.anchored(rows, anchors, ["p_brand"], ["name", "uses"]).drop("uses")
+
+
 @query("""WITH turns AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS opens FROM conversations),
 seg AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sub FROM turns),
 scored AS (SELECT conv_id, CAST(sub AS BIGINT) AS sub, CAST(sum(CASE WHEN role = 'user' AND contains(lower(text), 'the') THEN 4 ELSE 0 END) + sum(CASE WHEN length(text) BETWEEN 1 AND 600 THEN 3 WHEN length(text) > 2000 THEN -3 ELSE 0 END) AS BIGINT) AS score FROM seg GROUP BY conv_id, sub)
