@@ -52,7 +52,7 @@ def segments_of(lines: DataFrame, size: int = SEGMENT) -> DataFrame:
 
 def _lines(value: pa.Scalar) -> Lines:
     values = value.values
-    return list(zip(values.field(0).to_pylist(), values.field(1).to_pylist(), strict=True))
+    return list(zip(values.field(0).to_numpy().tolist(), values.field(1).to_pylist(), strict=True))
 
 
 def _summaries(segments: DataFrame, machine: Machine) -> DataFrame:

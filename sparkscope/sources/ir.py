@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkscope.functions.names import pieces, split_top_level
+from sparkscope.functions.names import contains_any, pieces, split_top_level
 from sparkscope.operators.segmented import SEGMENT, Lines, run_segments
 from sparkscope.session import materialise
 
@@ -224,22 +225,32 @@ def _all(text: str, pattern: str, *groups: str) -> Column:
 def parse_ir(lines: DataFrame) -> ProgramFacts:
     """All tables of IR lines (file, line_no, text). Order is (file, line_no, place in the line)."""
     text = F.col("text")
-    rows = materialise(signature_rows(lines).withColumn("line_no", F.col("line_no").cast("int")))
+    rows = signature_rows(lines).withColumn("line_no", F.col("line_no").cast("int"))
 
     places = F.struct("file", "line_no")
-    signatures = rows.where("fn is not null").select(F.col("fn").alias("name"), "defined", "file", F.col("line_no").alias("line"), parameters(balanced(text)).alias("params"), places.alias("at"))
-    # the last definition counts, else the first declaration
+    signatures = rows.where("fn is not null").select(F.col("fn").alias("name"), "defined", "file", F.col("line_no").alias("line"), "text", places.alias("at"))
+    # the last definition counts, else the first declaration; parameters are read of that one alone, as many files declare the same
     seen = signatures.groupBy("name").agg(
-        F.max_by(F.struct("defined", "file", "line", "params"), F.when(F.col("defined"), F.col("at"))).alias("d"),
-        F.min_by(F.struct("defined", "file", "line", "params"), "at").alias("f"),
+        F.max_by(F.struct("defined", "file", "line", "text"), F.when(F.col("defined"), F.col("at"))).alias("d"),
+        F.min_by(F.struct("defined", "file", "line", "text"), "at").alias("f"),
         F.min("at").alias("first_seen"),
     )
-    functions = seen.select("name", F.coalesce("d", "f").alias("x"), "first_seen").select("name", "x.*", "first_seen")
+    chosen = materialise(seen.select("name", F.coalesce("d", "f").alias("x"), "first_seen").select("name", "x.*", "first_seen"))
+    functions = chosen.select("name", "defined", "file", "line", parameters(balanced(text)).alias("params"), "first_seen")
 
     body = rows.where("fn is null and owner is not null").where(F.trim(text) != "}")
+    # every line is matched once, by the patterns whose instruction it names; tables below read what was found
+    patterns = {
+        DIRECT_CALL: (("call", "invoke"), ("callee", "args")), INDIRECT_CALL: (("call", "invoke"), ("ptr",)), STORE_FUNCTION: (("store",), ("src", "dst")), STORE_POINTER: (("store",), ("src", "dst")),
+        LOAD: (("load",), ("dst", "src")), FIELD_ADDRESS: (("getelementptr",), ("dst", "struct_type", "base", "field_idx")), SLOT_ADDRESS: (("getelementptr",), ("dst", "base", "slot")), LOAD_GLOBAL: (("load",), ("dst", "src")),
+    }
+    named = {p: f"m{i}" for i, p in enumerate(patterns)}
+    matched = body.select("owner", "file", "line_no", *(F.when(contains_any(text, *words), _all("text", p, *groups)).alias(named[p]) for p, (words, groups) in patterns.items()))
+    some = reduce(Column.__or__, (F.coalesce(F.size(m) > 0, F.lit(False)) for m in named.values()))
+    matched = materialise(matched.where(some))
 
     def found(pattern: str, *groups: str) -> DataFrame:
-        return body.select("owner", "file", "line_no", F.posexplode(_all("text", pattern, *groups)).alias("i", "m")).select(
+        return matched.select("owner", "file", "line_no", F.posexplode(named[pattern]).alias("i", "m")).select(
             "owner", "file", "line_no", F.struct("file", "line_no", "i").alias("ord"), *(F.col("m")[g].alias(g) for g in groups)
         )
 
