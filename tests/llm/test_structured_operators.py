@@ -335,7 +335,7 @@ def test_repeated_rows_long_inputs_and_empty_tables(spark):
 
 
 def test_one_query_for_each_operator():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
