@@ -90,5 +90,5 @@ def _split(schema: str) -> list[str]:
     return out
 
 
-PART = Base("part", {"k": "p_partkey", "s": "p_size", "a": "p_partkey % 4", "b": "p_size % 4", "c": "(p_size + 1) % 4", "v": "2 + p_size % 2"})
+PART = Base("part", {"k": "p_partkey", "s": "p_size", "a": "p_partkey % 4", "b": "p_size % 4", "c": "(p_size + 1) % 4", "v": "2 + p_size % 2", "id": "100000 + p_partkey"})
 SUPPLIER = Base("supplier", {"k": "s_suppkey", "s": "s_nationkey", "a": "s_suppkey % 4", "b": "s_nationkey % 4"})

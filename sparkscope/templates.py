@@ -83,7 +83,7 @@ SYMBOLS = (
 CALLBACKS = "static void row_callback<<k>>(int a)\n{\n  png_set_quantize(info_ptr);\n}\nvoid set_read_fn<<k>>(int a) {\n  p->read_fn = a;\n  p->row_fn = 0;\n  png_set_quantize(a);\n}\n"
 
 PATCH = """From 0123456789012345678901234567890123456789 Mon Sep 17
-Subject: [PATCH 1/2] Fix heap overflow CVE-2020-1000<<k>>
+Subject: [PATCH 1/2] Fix heap overflow CVE-2020-<<id>>
 ---
  lib/a.c | 2 +-
 diff --git a/lib/a.c b/lib/a.c
