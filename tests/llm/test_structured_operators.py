@@ -39,6 +39,38 @@ def test_url_rules_ties_and_a_vocabulary(spark):
     assert [(rows[i].verdict, rows[i].n_strict, rows[i].n_soft, rows[i].points) for i in (3, 4, 5)] == [("block", 1, 1, 140), ("allow", 0, 1, 40), ("block", 0, 3, 100)]
 
 
+
+#: pages of everyday words, and pages that the filter is for
+ORDINARY = [
+    "university.edu/farm/diet", "sports.net/track/win", "health.net/sex-education", "docs.net/spam-filter", "museum.net/nude-in-art", "adult-learning.edu", "shop.net/sale/discount-coupon", "film.net/casino-royale",
+    "bank.net/credit/loans", "news.net/crypto/bitcoin", "school.net/sex_ed/same-sex?q=young+adult", "lib.net/toll-free/tax-free-loan", "essex.net/sussex", "a.net/pharmacy/deal", "punk.net/Hardcore%20Punk",
+]
+UNWANTED = [
+    "freeporn.net", "onlinecasino.net", "casin0.net", "a.net/online/casino", "a.net/online-casino-royale/poker-slots", "payday-loans.net", "a.net/PaydayLoan", "p0rn.net", "a.net/sex?x=adult", "a.net/sex-education/free-sex",
+    "hot.singles.net", "pornhd.net", "a.net/free/poker", "a.net/win/cheap/pills/prize",
+]
+
+
+def test_url_vocabulary_means_what_it_says(spark):
+    urls_of = [f"https://{u}" for u in ORDINARY + UNWANTED]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    rows = {r.page_id: r for r in urls.judge_urls(pages).collect()}
+    assert [urls_of[i] for i in range(len(ORDINARY)) if rows[i].verdict != "allow"] == []
+    assert [urls_of[i] for i in range(len(ORDINARY), len(urls_of)) if rows[i].verdict != "block"] == []
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas())
+    names = ["page_id", "verdict", "n_strict", "n_soft", "points"]
+    assert sorted(tuple(r[n] for n in names) for r in rows.values()) == sorted(db.execute(f"SELECT {', '.join(names)} FROM ({urls.oracle()})").fetchall())
+
+
+def test_url_exceptions_cover_whole_terms():
+    words = urls.Vocabulary({"a b": 40, "b": 30, "c": 100}, 100, ["x a b", "b", "c d"])
+    assert words.count("A-b") == (0, 1, 40)  # the phrase "b" covers only itself
+    assert words.count("x/a_b") == words.count("b") == words.count("c+d") == words.count("") == (0, 0, 0)
+    assert words.count("c d c c ac") == (2, 0, 100)
+    assert urls.Vocabulary({}, 100).count("porn") == (0, 0, 0)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><a href=x>Logo</a></header>
 <nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies</div><aside>side</aside>
 <article><header><h1>Ti&amp;tle {n}</h1></header><p>Fir<b>st</b> para&nbsp;{n}.<br>Line<p>Se&#99;ond &lt;x&gt;
