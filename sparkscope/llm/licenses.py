@@ -101,6 +101,13 @@ SPDX: dict[str, str] = {
     "Artistic-2.0": "artistic", "Zlib": "zlib", "BSL-1.0": "boost", "Unlicense": "unlicense", "WTFPL": "wtfpl", "CC0-1.0": "cc0", "OFL-1.1": "ofl",
     "PSF-2.0": "psf", "PostgreSQL": "postgresql", "MS-PL": "ms-pl", "ODbL-1.0": "odbl",
 }
+# Names by which licences are called for short, by label, and the versions that follow them.
+_NAMED: dict[str, tuple[str, ...]] = {
+    "mit": ("MIT", "MIT/X11", "Expat"), "apache": ("Apache 2", "Apache 2.0", "Apache-2", "ASL 2.0"), "bsd": ("BSD", "2-clause BSD", "3-clause BSD", "BSD 2-clause", "BSD 3-clause", "Simplified BSD", "New BSD", "Modified BSD"),
+    "isc": ("ISC",), "zlib": ("zlib", "zlib/libpng"), "boost": ("Boost Software", "Boost"), "artistic": ("Artistic", "Perl Artistic"), "postgresql": ("PostgreSQL",), "psf": ("PSF",), "ofl": ("SIL Open Font", "Open Font"),
+    "gpl": ("GPL", "GNU GPL"), "lgpl": ("LGPL", "GNU LGPL"), "agpl": ("AGPL", "GNU AGPL"), "gfdl": ("GFDL", "GNU FDL"), "mpl": ("MPL",), "epl": ("EPL",), "cddl": ("CDDL",), "eupl": ("EUPL",),
+}
+_VERSIONED: dict[str, tuple[str, ...]] = {"gpl": ("2", "3"), "lgpl": ("2", "2.1", "3"), "agpl": ("3",), "mpl": ("1.1", "2"), "epl": ("1", "2"), "eupl": ("1.1", "1.2")}
 # The parts of Creative Commons licences in their spellings, the combinations and the versions.
 _CC_PARTS = {
     "by": ("Attribution",), "nc": ("NonCommercial", "Non-Commercial"), "sa": ("ShareAlike", "Share Alike"), "nd": ("NoDerivatives", "NoDerivs"),
@@ -110,8 +117,16 @@ _CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 
 
 def _templates() -> dict[str, tuple[str, ...]]:
-    """All template texts by label: passages, SPDX tags, and Creative Commons names by their parts and versions."""
+    """All template texts by label: passages, SPDX tags, short names with "license" or a version, and Creative Commons names by their parts and versions."""
     out = {label: list(texts) for label, texts in PASSAGES.items()}
+    for label, names in _NAMED.items():
+        # the base phrases count by themselves
+        out.setdefault(label, []).extend(t for n in names for t in (f"{n} license", f"{n} licence", f"{n} licensed", f"{n} licenced") if t.lower() not in PHRASES)
+    for label, versions in _VERSIONED.items():
+        for v in versions:
+            out[label] += [f"{label}v{v}", f"{label} v{v}", f"{label} version {v}", f"GNU {label} {v}"]
+    out["gpl"] += ["General Public Licence"]
+    out["apache"] += ["Apache Software License", "Apache Licence"]
     for name, label in SPDX.items():
         out.setdefault(label, []).append(f"SPDX-License-Identifier: {name}")
     for kind in _CC_KINDS:
@@ -223,11 +238,17 @@ class Scanner:
         self.whole = [s < self.bases or size < min_words for s, size in enumerate(self.sizes)]
         #: those among a state's strings: (length, sequence)
         self.finished = [
-            [(end, s) for s, end in m.ends(at) if self.whole[s] and end == self.sizes[s] and m.length[m.link[at]] < end <= m.length[at]] if at else []
+            [(end, s) for s, end in m.ends(at) if self.whole[s] and end == self.sizes[s] > 1 and m.length[m.link[at]] < end <= m.length[at]] if at else []
             for at in range(len(m.link))
         ]
+        #: sequences of one word by that word; they are looked up without a walk
+        self.single: dict[int, list[int]] = {}
+        for s, seq in enumerate(hashed):
+            if len(seq) == 1 and self.whole[s]:
+                self.single.setdefault(ids[seq[0]], []).append(s)
+        self.is_single = np.isin(np.arange(len(known) + 1), list(self.single))
         self.places: dict[int, dict[int, list[int]]] = {}
-        self.shortest = min([min_match, *(size for size, whole in zip(self.sizes, self.whole, strict=True) if whole)])
+        self.shortest = min([min_match, *(size for size, whole in zip(self.sizes, self.whole, strict=True) if whole and size > 1)])
 
     def scan(self, text: bytes | None) -> dict:
         hashes = word_hashes(text)
@@ -237,6 +258,9 @@ class Scanner:
         base: list[tuple[int, int]] = []
         short: list[tuple[int, int]] = []
         matches: list[tuple[int, int, int]] = []
+        for at in np.flatnonzero(self.is_single[ids]).tolist():
+            for s in self.single[int(ids[at])]:
+                (base if s < self.bases else short).append((at, s))
         if len(live):
             breaks = np.flatnonzero(np.diff(live) > 1)
             for a, b in zip(live[np.r_[0, breaks + 1]].tolist(), live[np.r_[breaks, len(live) - 1]].tolist(), strict=True):

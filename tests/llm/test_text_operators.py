@@ -110,6 +110,23 @@ def test_license_labels_against_brute_force(spark, documents):
     assert any(rows[i].labels != rows[i].base_labels for i in range(len(documents.text)))
 
 
+def test_short_names_of_licenses(spark):
+    texts = {
+        "Released under the MIT licence.": "mit", "GPLv3": "gpl", "see (LGPLv2.1) there": "lgpl", "GPL-v2 or later": "gpl", "under the GNU GPL 3": "gpl", "BSD 3-Clause License": "bsd", "dual BSD-licensed": "bsd", "the ISC Licence": "isc",
+        "Apache 2.0 licensed": "apache", "AGPLv3 and GPLv2": "agpl,gpl", "an artistic licence": "artistic", "zlib/libpng license": "zlib",
+        "a driving licence": "", "Apache 2.0 server": "", "the gpl": "", "mit students license nothing": "", "version 3": "", "x gplv33 gplv": "",
+    }
+    rows = {r.doc_id: r for r in licenses.scan_licenses(table(spark, list(texts))).collect()}
+    assert [rows[i].labels for i in range(len(texts))] == list(texts.values())
+    assert all(rows[i].n_base == 0 for i in range(len(texts)))
+    assert [(s.start, s.end) for s in rows[9].spans] == [(0, 1), (2, 3)]
+
+
+def test_phrases_of_one_word(spark):
+    rows = licenses.scan_licenses(table(spark, ["a b a", "b", "c a b c"]), phrases={"a": "x", "a b": "y"}, templates={"z": ["c"]}).collect()
+    assert {r.doc_id: (r.n_base, r.first_word, r.last_word, r.labels) for r in rows if r.doc_id < 3} == {0: (3, 0, 2, "x,y"), 1: (0, None, None, ""), 2: (2, 1, 1, "x,y,z")}
+
+
 def test_suffix_automaton_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):
