@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscope.session import materialise
+from sparkscope.functions import parts
+from sparkscope.session import materialise, workers_see_package
 
 
 def top_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
@@ -99,27 +100,25 @@ def containing(rows: DataFrame, id_col: str, text_col: str, names: DataFrame, na
     Each name is indexed by the rarest of its parts of GRAM characters, counted
     over the texts first: names that begin alike, or that share a frequent
     part, do not share a key, and a name with a part that no text has is out at
-    once. Texts are not moved with their parts: what a key finds are (id,
-    name) pairs, and each pair is held against the text once more. Null or
-    empty texts and names give no rows.
+    once. Parts are hashed within Arrow batches and held against a bit set of
+    fixed size, of all names' parts for the counts and of the chosen ones for
+    the lookup, so texts are not turned into rows of parts: what is shuffled
+    are counts of parts that names have, and (id, part) of chosen ones. Hashes
+    that agree by chance do no harm, as each (id, name) pair is held against
+    the text once more. Null or empty texts and names give no rows.
     """
+    workers_see_package(rows.sparkSession)
     listed = names.select(F.col(name).alias("_name")).where("_name != ''").distinct()
     texts = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text != ''")
-    size = F.least(F.length("_name"), F.lit(GRAM))
-    parts = listed.select("_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("_name") - size + 1), lambda i: F.substring("_name", i, size))).alias("_gram")).distinct()
-    lengths = [r[0] for r in parts.select(F.length("_gram").alias("l")).distinct().collect()]  # GRAM numbers at most
+    size = GRAM
+    lengths = sorted(r[0] for r in listed.select(F.least(F.length("_name"), F.lit(size)).alias("l")).distinct().collect())  # GRAM numbers at most
     if not lengths:
         return texts.select(F.col("_id").alias(id_col), F.lit("").alias(name)).where("false")
-
-    def runs(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring("_text", i, F.lit(n)))
-        return F.when(F.length("_text") >= n, each).otherwise(F.array().cast("array<string>"))
-
-    grams = texts.select("_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("_gram"))
-    seen = materialise(grams.join(parts.select("_gram").distinct(), "_gram", "left_semi"))
-    often = parts.join(seen.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram", "left")
-    rarest = often.groupBy("_name").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_absent")).where("_absent = 0").select("_name", "_gram")
-    pairs = seen.join(rarest, "_gram").select("_id", "_name").distinct()
+    own = materialise(parts.row_parts(listed.withColumn("_same", F.col("_name")), "_name", "_same", lambda t: [min(len(t), size)]))
+    often = own.join(parts.count_parts(texts, "_text", lengths, parts.bit_set(own, "hash")), "hash", "left")
+    rarest = materialise(often.groupBy(F.col("id").alias("_name")).agg(F.min_by("hash", F.struct("n", "hash")).alias("hash"), F.count_if(F.col("n").isNull()).alias("_absent")).where("_absent = 0").drop("_absent"))
+    found = parts.row_parts(texts, "_id", "_text", lengths, parts.bit_set(rarest, "hash"))
+    pairs = found.join(rarest, "hash").select(F.col("id").alias("_id"), "_name").distinct()
     return pairs.join(texts, "_id").where(F.contains("_text", "_name")).select(F.col("_id").alias(id_col), F.col("_name").alias(name)).distinct()
 
 
