@@ -72,13 +72,17 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return nodes[wide], first[wide], last[wide]
 
 
+#: Shingles of a passage beyond its first; a place has twelve binary digits for either side of a window.
+REACH = (1 << 12) - 1
+
+
 # A window's place: its center, and how many shingles of it lie before and behind within one run's reach.
 def _place(center: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
     return center << 24 | before << 12 | behind
 
 
 def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 24, place >> 12 & 0xFFF, place & 0xFFF
+    return place >> 24, place >> 12 & REACH, place & REACH
 
 
 def needed(width: int, similarity: float) -> int:
@@ -387,8 +391,11 @@ def repeated_passages(
     a document are merged, with the smallest source. Null, empty and short
     texts have no passages and rows without an id are left out. Rows that
     repeat an id are one document: their passages are not repeats of each
-    other. Extra columns are ignored.
+    other. Extra columns are ignored. A passage has at least a shingle's words
+    and at most REACH more; other values raise.
     """
+    if not 0 < shingle <= passage_words <= shingle + REACH:
+        raise ValueError(f"passage_words has to be between the shingle's {shingle} words and {shingle + REACH}")
     spark = docs.sparkSession
     workers_see_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")

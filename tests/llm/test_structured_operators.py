@@ -239,6 +239,13 @@ def words(rng, n):
     return [f"w{x}" for x in rng.integers(0, 5000, n)]
 
 
+def test_passages_have_a_length_that_places_can_hold(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for words in (4, windows.SHINGLE + windows.REACH + 1):
+        with pytest.raises(ValueError, match="passage_words"):
+            windows.repeated_passages(docs, passage_words=words)
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(6)
     passage, edited = words(rng, 51), None
