@@ -26,14 +26,14 @@ def matches(text: Column, regex: str, group: int) -> Column:
     return F.transform(value, lambda v, i: F.struct((length(parts, i + 1) + length(whole, i)).alias("pos"), v.alias("value")))
 
 
-def pattern_hits(texts: DataFrame, id_col: str, text_col: str, bank: Sequence[Pattern]) -> DataFrame:
-    """(id, rule, base, pos, value): every match of every pattern; one pass over the text, no join."""
+def pattern_hits(texts: DataFrame, id_col: str, text_col: str, bank: Sequence[Pattern], keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep, rule, base, pos, value): every match of every pattern, with further columns of its text's row; one pass over the text, no join."""
 
     def tagged(p: Pattern) -> Column:
         return F.transform(matches(F.col(text_col), p.regex, p.group), lambda m: F.struct(F.lit(p.rule).alias("rule"), F.lit(p.score).alias("base"), m["pos"].alias("pos"), m["value"].alias("value")))
 
     found = [tagged(p) for p in bank]
-    return texts.select(id_col, F.explode(F.concat(*found)).alias("h")).select(id_col, "h.*")
+    return texts.select(id_col, *keep, F.explode(F.concat(*found)).alias("h")).select(id_col, *keep, "h.*")
 
 
 def best_match(hits: DataFrame, id_col: str, score: Column) -> DataFrame:

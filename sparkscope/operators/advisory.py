@@ -55,15 +55,16 @@ def plausible_function(name: Column, blocked: Sequence[str] = ()) -> Column:
 
 
 def function_from_text(texts: DataFrame, id_col: str, text_col: str, blocked: DataFrame) -> DataFrame:
-    """(id, value, score, pos): the function an advisory text most likely names; ``blocked`` (name) lists words that never are."""
-    hits = pattern_hits(texts, id_col, text_col, FUNCTION_PHRASES)
+    """(id, value, score, pos): the function an advisory text most likely names; ``blocked`` (name) lists words that never are.
+
+    Hits are held against the text in the pass that finds them, so no text is shuffled or sent anywhere.
+    """
+    hits = pattern_hits(texts.select(id_col, F.col(text_col).alias("_text")), id_col, "_text", FUNCTION_PHRASES, ["_text"])
     plain = (F.col("base") <= 3) & ~F.col("value").contains("_") & ((F.col("value") == F.lower("value")) | (F.col("value") == F.upper("value")))
-    good = hits.where(plausible_function(F.col("value")) & ~plain)
-    good = good.join(blocked.select(F.lower("name").alias("b")), F.lower("value") == F.col("b"), "left_anti")
-    text = texts.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text"))
     file = F.concat(F.lit(r"(^|\W)"), F.lower("value"), F.lit(r"\.(c|h|cc|cpp|cxx|hpp|hh)\b"))
-    named = good.join(text, F.col(id_col) == F.col("_id")).where(~F.regexp_like("_text", file))
-    return best_match(named.select(*hits.columns), id_col, F.col("base") + name_points(F.col("value")))
+    good = hits.where(plausible_function(F.col("value")) & ~plain).where(~F.regexp_like(F.lower("_text"), file)).drop("_text")
+    named = good.join(blocked.select(F.lower("name").alias("b")), F.lower("value") == F.col("b"), "left_anti")
+    return best_match(named.where(F.col(id_col).isNotNull()), id_col, F.col("base") + name_points(F.col("value")))
 
 
 def near_top(scored: DataFrame, keys: Sequence[str], score: str, order: Sequence[str], slack: float) -> DataFrame:

@@ -194,3 +194,11 @@ def test_scalar_functions(spark):
     assert one(names.without_fence(text("```python\nx = 1\n```"))) == "x = 1" and one(names.unwrapped_code(text('{"code": "int x;"}'))) == "int x;" and one(names.unwrapped_code(text("int y;"))) == "int y;"
     assert one(names.mentions_word(text("uses BUF now"), F.array(text("buf")))) and not one(names.mentions_word(text("uses buffer"), F.array(text("buf"))))
     assert one(names.parameter_text(F.struct(text("int").alias("type"), text("x").alias("name")))) == "int x"
+
+
+def test_function_names_are_found_without_moving_texts(spark):
+    texts = spark.createDataFrame([(1, "crash via png_read at png.c"), (2, "overflow in tiff_jpeg.c in foo_bar, remote"), (3, "see xml_c in xml_c.c, or bar_baz()"), (4, None), (None, "bar_baz()")], "id int, t string")
+    found = advisory.function_from_text(texts, "id", "t", spark.createDataFrame([("nothing",)], "name string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("Join LeftAnti") == 1
+    assert {r.id: r.value for r in found.collect()} == {1: "png_read", 2: "foo_bar", 3: "bar_baz"}
