@@ -132,11 +132,18 @@ def class_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def earliest_fix(commits: DataFrame, fixes: DataFrame, remote: Column) -> DataFrame:
-    """The earliest commit (hash, time) among recorded fixes (repo, commit) of the same canonical repository."""
+    """The earliest commit (hash, time) among recorded fixes (repo, commit) of the same canonical repository.
+
+    Fixes may shorten a hash. The lengths they have are counted first, so that each hash is looked up by its beginnings of these lengths.
+    """
     from sparkscope.functions.names import repository_url
 
-    own = fixes.where(repository_url(F.col("repo")) == repository_url(remote)).select("commit")
-    return top_k(commits.join(own, F.col("hash").startswith(F.col("commit"))), [], ["time", "hash"], 1).select("hash", "time")
+    own = fixes.where((repository_url(F.col("repo")) == repository_url(remote)) & F.col("commit").isNotNull()).select("commit").distinct()
+    longest = commits.agg(F.max(F.length("hash"))).first()[0] or 0
+    lengths = sorted(r[0] for r in own.select(F.length("commit").alias("l")).distinct().where(F.col("l") <= longest).collect())  # as many as a hash has characters
+    begins = F.array(*(F.substring("hash", 1, n) for n in lengths)) if lengths else F.array().cast("array<string>")
+    asked = commits.select("hash", "time", F.explode(F.array_distinct(begins)).alias("commit"))
+    return top_k(asked.join(own, "commit", "left_semi"), [], ["time", "hash"], 1).select("hash", "time")
 
 
 def repair_rules(details: DataFrame, keys: list[str]) -> DataFrame:

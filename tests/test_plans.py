@@ -123,3 +123,14 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.classification, r.n) for r in spark.table("ev").collect()} == {("sink-hit", 1), ("smoke-only", 1)}
+
+
+def test_earliest_fix_by_beginnings_of_many_lengths(spark):
+    commits = spark.createDataFrame([("abcdef123", 5), ("abcdef999", 3), ("ffff", 1), ("1234567", 2), (None, 0)], "hash string, time int")
+    fix = lambda *c: spark.createDataFrame([("https://github.com/o/r", x) for x in c], "repo string, commit string")
+    first = lambda *c: [r.hash for r in derive.earliest_fix(commits, fix(*c), F.lit("https://github.com/O/r/")).collect()]
+    assert first("abcdef", "1234", "1234", None, "ffffff", "f" * 99) == ["1234567"] and first("abcdef") == ["abcdef999"] and first("") == ["ffff"]
+    assert first("fffff", "bcdef") == [] == first(None)
+    found = derive.earliest_fix(commits, fix("abcdef", "12"), F.lit("https://github.com/O/r/"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
