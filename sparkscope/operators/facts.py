@@ -38,6 +38,9 @@ REGISTER_WORDS = ("get", "set", "register", "attach", "assign", "config", "load"
 FIELD = r"[A-Za-z_][A-Za-z0-9_]*(?:->|\.)[A-Za-z_][A-Za-z0-9_]*"
 COMPARED = r"\s*(==|!=|<=|>=|<|>|&)\s*([^&|]+(?:\([^\)]*\)[^&|]*)?)"
 
+#: Characters of texts that one task scans.
+TASK_CHARS = 4 << 20
+
 _TEXTS = pa.list_(pa.string())
 _PARAMETER = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
 _SWITCH = pa.list_(pa.struct([("variable", pa.string()), ("body", pa.string())]))
@@ -49,9 +52,12 @@ def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Scan (path, text) for the functions wanted (path, fn); one row each, ``source`` empty if the file lacks it.
 
     The scan is written once: the tables of facts, of which a model joins many,
-    read its columns instead of scanning the sources again.
+    read its columns instead of scanning the sources again. Texts are dealt by
+    path over as many tasks as their characters ask for: texts that compress
+    well look small to Spark, which would send all of them to all tasks.
     """
     workers_see_package(files.sparkSession)
+    n_tasks = 1 + (files.agg(F.sum(F.length("text"))).first()[0] or 0) // TASK_CHARS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +68,9 @@ def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True) if rows else [[]] * len(_COLUMNS), _COLUMNS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("fn"), *arrays], ["path", "fn", *(n for n, _ in _COLUMNS)])
 
-    return materialise(files.select("path", "text").join(wanted.select("path", "fn").distinct(), "path").mapInArrow(run, SCANNED))
+    texts = files.select("path", "text").repartition(n_tasks, "path")
+    asked = wanted.select("path", "fn").distinct().repartition(n_tasks, "path")
+    return materialise(texts.join(asked.hint("merge"), "path").mapInArrow(run, SCANNED))
 
 
 def blank_noise(text: Column) -> Column:

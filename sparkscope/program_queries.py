@@ -59,7 +59,7 @@ def _joined(params: str = "params") -> Column:
 
 
 def _facts(spark: SparkSession, sf: str) -> ir.ProgramFacts:
-    text = table(spark, sf, "part").select("p_partkey", PART.filled(templates.IR).alias("text"))
+    text = PART.table(spark, sf).select("p_partkey", PART.filled(templates.IR).alias("text"))
     lines = text.select(F.lit("linked.ll").alias("file"), "p_partkey", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return ir.parse_ir(lines.select("file", (F.col("p_partkey") * 64 + F.col("i") + 1).alias("line_no"), "text"))
 
@@ -357,7 +357,7 @@ _PLAN_FIELDS = [x.split()[0] for x in validate.PLAN.split(", ")]
 def _planned(spark: SparkSession, sf: str, first: str, rows: list[tuple]) -> DataFrame:
     """(k, first..., code, plan fields): fixed rows for each supplier, with its number in their codes."""
     fixed = spark.createDataFrame(rows, f"{first}, code string, {validate.PLAN}")
-    keys = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    keys = SUPPLIER.table(spark, sf).select(F.col("s_suppkey").alias("k"))
     return keys.crossJoin(F.broadcast(fixed)).withColumn("code", F.replace("code", F.lit("<<k>>"), F.col("k").cast("string")))
 
 
@@ -489,7 +489,7 @@ def _recorded(spark: SparkSession, sf: str) -> str:
     base = Base("part", PART.numbers | {"y": "2000 + p_size", "h1": "substr(md5(cast(p_partkey as string)), 1, 10)", "h2": "substr(md5(cast(p_partkey as string)), 11, 10)", "h3": "substr(md5(cast(p_partkey as string)), 21, 10)", "cvss": "cast(p_size / 5.0D as string)"})
     metrics = [("V2", "p_size % 3 = 0"), ("V30", "p_size % 3 = 1"), ("V31", "p_size % 3 = 1 and p_partkey % 2 = 0")]
     scored = F.concat_ws(", ", *(F.when(F.expr(when), base.filled(f'"cvssMetric{v}": [{{"cvssData": {{"baseScore": <<cvss>>, "vectorString": "{v}/<<b>>"}}}}]')) for v, when in metrics))
-    part = table(spark, sf, "part").withColumn("metrics", scored)
+    part = PART.table(spark, sf).withColumn("metrics", scored)
     nvd = F.replace(base.filled(templates.NVD), F.lit("<<metrics>>"), F.col("metrics"))
     answers = {"nvd": F.when(F.col("p_size") == 50, F.lit("broken")).otherwise(nvd), "osv": F.when(F.col("p_partkey") % 2 == 0, base.filled(templates.OSV)), "gh": F.when(F.col("p_partkey") % 3 == 0, base.filled(templates.GITHUB)).when(F.col("p_partkey") % 3 == 1, F.lit("[]"))}
     each = F.array(*(F.struct(F.lit(n).alias("source"), a.alias("json")) for n, a in answers.items()))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.session import table
+from sparkscope.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ class Base:
 
     name: str
     numbers: dict[str, str]
+    #: Rows of the table that one task renders. The table is narrow, so one file of a few megabytes becomes gigabytes of texts.
+    task_rows: int = 5000
+
+    def table(self, spark: SparkSession, sf: str) -> DataFrame:
+        """The given table in as many parts as its number of rows asks for, whatever its files are."""
+        return spread(table(spark, sf, self.name), self.task_rows)
 
     def _used(self, text: str) -> list[tuple[str, str]]:
         return [(f"<<{n}>>", e) for n, e in self.numbers.items() if f"<<{n}>>" in text]
@@ -67,7 +73,7 @@ class Base:
             row, when = (row[:-1], F.expr(row[-1])) if isinstance(row[-1], When) else (row, F.lit(True))
             cells = F.struct(*(self.filled(v).cast(t).alias(n) for v, (n, t) in zip(row, fields, strict=True)))
             given.append(F.when(when, cells))
-        return table(spark, sf, self.name).select(F.explode(F.array_compact(F.array(*given))).alias("r")).select("r.*")
+        return self.table(spark, sf).select(F.explode(F.array_compact(F.array(*given))).alias("r")).select("r.*")
 
     def oracle(self, columns: Sequence[str], *values: Sequence[object]) -> str:
         """SQL for the same kind of rows; whole numbers and ``Sql`` expressions are 64-bit ones."""
@@ -91,4 +97,4 @@ def _split(schema: str) -> list[str]:
 
 
 PART = Base("part", {"k": "p_partkey", "s": "p_size", "a": "p_partkey % 4", "b": "p_size % 4", "c": "(p_size + 1) % 4", "v": "2 + p_size % 2", "id": "100000 + p_partkey"})
-SUPPLIER = Base("supplier", {"k": "s_suppkey", "s": "s_nationkey", "a": "s_suppkey % 4", "b": "s_nationkey % 4"})
+SUPPLIER = Base("supplier", {"k": "s_suppkey", "s": "s_nationkey", "a": "s_suppkey % 4", "b": "s_nationkey % 4"}, 1000)

@@ -102,6 +102,11 @@ def _remove_written() -> None:
             return
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` in parts of about ``rows`` rows, dealt by ``keys`` if given; rows are counted first. Adaptive execution leaves this number as it is."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

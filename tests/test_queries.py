@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -57,3 +58,13 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     listed = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, check=True, capture_output=True, text=True).stdout
     assert "tests/test_graph.py" in listed and "llm" not in listed
     subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_queries.py", "-k", "test_entry"], cwd=tmp_path, check=True, capture_output=True)
+
+
+def test_rendered_rows_are_dealt_over_tasks_by_their_number(spark, tmp_path):
+    from sparkscope.rendered import PART, SUPPLIER
+
+    spark.range(12_001).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(0).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = PART.rows(spark, str(tmp_path), "k long, t string", ("<<k>>", "a<<k>>"), ("<<k>>", "b"))
+    assert rows.rdd.getNumPartitions() == 3 and rows.count() == rows.distinct().count() == 24_002
+    assert SUPPLIER.rows(spark, str(tmp_path), "k long", ("<<k>>",)).count() == 0
