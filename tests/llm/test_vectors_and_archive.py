@@ -175,3 +175,18 @@ def test_whitening_of_odd_vectors(spark):
     assert whitening.whiten(spark.createDataFrame([], row)).count() == 0 == whitening.whiten(spark.createDataFrame(sound[3:5], row)).count()
     flat = whitening.whiten(spark.createDataFrame([(i, [float(i), 1.0, float(-i)]) for i in range(9)], row)).toPandas()
     assert set(flat.component) == {1} and len(flat) == 9  # two of three directions do not vary
+
+
+def test_hard_negatives_shuffle_shards_and_no_tiles(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.25, 0.5, 1.0]) for _ in range(8)], 1 if i % 3 else rng.randrange(4)) for i in range(500)]
+    monkeypatch.setattr(hardnegatives, "BLOCK", 32)
+    monkeypatch.setattr(hardnegatives, "ANCHORS", 2)
+    monkeypatch.setattr(hardnegatives, "CHUNK", 2)
+    monkeypatch.setattr(hardnegatives, "ACROSS", 2)
+    monkeypatch.setattr(hardnegatives, "DOWN", 3)
+    df = spark.createDataFrame([(i, v, m, "r", 0.0) for i, v, m in rows], VECTORS)
+    found = hardnegatives.mine_hard_negatives(df, anchor=F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r)[:6] for r in found.collect()) == mine(df, wave_bytes=1) == mined([(i, whole(v), m) for i, v, m in rows])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
