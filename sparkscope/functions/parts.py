@@ -26,18 +26,63 @@ def part_hashes(text: str, n: int, bits: np.ndarray | None = None) -> np.ndarray
     """The distinct hashes of a text's runs of ``n`` characters, those in the bit set if one is given."""
     found = [np.empty(0, np.uint64)]
     for at in range(0, len(text) - n + 1, BLOCK):
-        codes = _mix(np.frombuffer(text[at : at + BLOCK + n - 1].encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1))
-        hashes = np.full(len(codes) - n + 1, n, np.uint64)
-        for k in range(n):
-            hashes = hashes * _STEP + codes[k : k + len(hashes)]
-        hashes = _mix(hashes)
-        if bits is not None:
-            place = hashes & np.uint64(BITS - 1)
-            hashes = hashes[(bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-        found.append(np.unique(hashes))
+        hashes = _runs(text[at : at + BLOCK + n - 1], n)
+        found.append(np.unique(hashes if bits is None else hashes[_in(bits, hashes)]))
     return np.unique(np.concatenate(found))
 
 
+def _runs(text: str, n: int) -> np.ndarray:
+    """The hash of the run of ``n`` characters at each place of a text."""
+    codes = _mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1))
+    hashes = np.full(len(codes) - n + 1, n, np.uint64)
+    for k in range(n):
+        hashes = hashes * _STEP + codes[k : k + len(hashes)]
+    return _mix(hashes)
+
+
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(BITS - 1)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def batch_hashes(texts: Sequence[str | None], lengths: Sequence[Sequence[int]], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, hashes): what ``part_hashes`` gives for each text and each of its lengths. Short texts are hashed together, BLOCK characters at a time."""
+    at, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+
+    def together(rows: list[int], n: int) -> None:
+        sizes = np.array([len(texts[r]) for r in rows], np.int64)
+        hashes = _runs("".join(texts[r] for r in rows), n)
+        owner = np.repeat(np.arange(len(rows)), sizes)[: len(hashes)]
+        # a run may not reach beyond its text
+        inside = np.cumsum(sizes)[owner] - np.arange(len(hashes)) >= n
+        keep = inside if bits is None else inside & _in(bits, hashes)
+        owner, hashes = owner[keep], hashes[keep]
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        first = np.ones(len(hashes), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+        at.append(np.array(rows, np.int64)[owner[first]])
+        found.append(hashes[first])
+
+    for n in sorted({n for of in lengths for n in of}):
+        rows, size = [], 0
+        for r, (text, of) in enumerate(zip(texts, lengths, strict=True)):
+            if not text or n not in of or len(text) < n:
+                continue
+            if len(text) > BLOCK:
+                found.append(part_hashes(text, n, bits))
+                at.append(np.full(len(found[-1]), r, np.int64))
+                continue
+            if rows and size + len(text) > BLOCK:
+                together(rows, n)
+                rows, size = [], 0
+            rows.append(r)
+            size += len(text)
+        if rows:
+            together(rows, n)
+    return np.concatenate(at), np.concatenate(found)
+
+
 def bit_set(hashes: DataFrame, column: str) -> np.ndarray:
     """The bit set of a column of hashes; words of 64 bits are put together before they are collected, BITS / 64 of them at most."""
     place = hashes.select(F.col(column).bitwiseAND(BITS - 1).alias("p"))
@@ -52,8 +97,7 @@ def count_parts(texts: DataFrame, column: str, lengths: Sequence[int], bits: np.
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [part_hashes(t, n, bits) for t in batch.column(0).to_pylist() if t for n in lengths]
-            hashes, counts = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_counts=True)
+            hashes, counts = np.unique(batch_hashes(batch.column(0).to_pylist(), [lengths] * batch.num_rows, bits)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "n"])
 
     return texts.select(column).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -66,9 +110,8 @@ def row_parts(rows: DataFrame, id_col: str, text_col: str, lengths: Callable[[st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.concatenate([np.empty(0, np.uint64), *(part_hashes(t, n, bits) for n in of(t))]) if t else np.empty(0, np.uint64) for t in batch.column(1).to_pylist()]
-            at = np.repeat(np.arange(len(each)), [len(h) for h in each])
-            hashes = np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hashes)], ["id", "hash"])
+            texts = batch.column(1).to_pylist()
+            at, hashes = batch_hashes(texts, [of(t) if t else () for t in texts], bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hashes.view(np.int64))], ["id", "hash"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, hash long")

@@ -27,3 +27,17 @@ def test_bit_sets_keep_what_they_hold(spark):
     every = parts.bit_set(parts.row_parts(rows, "k", "t", [4]), "hash")
     assert {r.n for r in parts.count_parts(rows, "t", [4], every).collect()} == {1, 2}
     assert parts.bit_set(of.where("false"), "hash").sum() == 0
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    texts = ["abcabc", None, "", "bc", "𝔘dé𝔘dé", "abc", "x" * 50, "cabca"]
+    lengths = [(1, 3), (3,), (3,), (3, 2), (2,), (6, 3), (4,), (3, 1)]
+    wanted = sorted((r, h) for r, (t, of) in enumerate(zip(texts, lengths, strict=True)) for n in of if t for h in parts.part_hashes(t, n).tolist())
+    for block in (1 << 18, 8, 3):
+        monkeypatch.setattr(parts, "BLOCK", block)
+        assert sorted(zip(*(x.tolist() for x in parts.batch_hashes(texts, lengths)), strict=True)) == wanted
+    monkeypatch.setattr(parts, "BLOCK", 1 << 18)
+    calls, runs = [], parts._runs
+    monkeypatch.setattr(parts, "_runs", lambda t, n: calls.append(n) or runs(t, n))
+    parts.batch_hashes(["abcdef"] * 1000, [(3,)] * 1000)
+    assert calls == [3]
