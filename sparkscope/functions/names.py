@@ -64,7 +64,10 @@ def split_top_level(c: Column) -> Column:
             F.when(cut, F.concat(s["o"], F.array(s["b"]))).otherwise(s["o"]).alias("o"),
         )
 
-    parts = F.aggregate(pieces(_text(c), "()<>[]{},"), state, step, lambda s: F.concat(s["o"], F.array(s["b"])))
+    text = _text(c)
+    folded = F.aggregate(pieces(text, "()<>[]{},"), state, step, lambda s: F.concat(s["o"], F.array(s["b"])))
+    # most texts hold no brackets; these need no fold over their pieces
+    parts = F.when(text.rlike(r"[()<>\[\]{}]"), folded).otherwise(F.split(text, ","))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 

@@ -44,15 +44,27 @@ class Machine(Protocol):
 
 
 def segments_of(lines: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """(file, seg, lines): lines (file, line_no, text) by segments of ``size`` line numbers, each in order."""
+    """(file, seg, whole, lines): lines (file, line_no, text) by segments of ``size`` line numbers, each in order."""
     seg = F.floor(F.col("line_no") / size).alias("seg")
     text = F.struct(F.col("line_no").cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
-    return lines.select("file", seg, text.alias("l")).groupBy("file", "seg").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    return lines.select("file", seg, text.alias("l")).groupBy("file", "seg").agg(F.array_sort(F.collect_list("l")).alias("lines")).select("file", "seg", F.lit(False).alias("whole"), "lines")
+
+
+def segments_in_rows(files: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """(file, seg, whole, lines): segments of files that are one row each, (file, lines array<string>), cut where they are; lines are numbered from 1.
+
+    No line is shuffled. ``whole`` says that a file is one segment, whose state before is known.
+    """
+    parts = F.sequence(F.lit(0), F.ceil(F.size("lines") / size).cast("int") - 1)
+    cut = files.where(F.size("lines") > 0).select("file", "lines", (F.size("lines") <= size).alias("whole"), F.explode(parts).alias("seg")).withColumn("part", F.slice("lines", F.col("seg") * size + 1, F.lit(size)))
+    first = F.col("seg").cast("long") * size + 1
+    numbered = F.transform("part", lambda t, i: F.struct((first + i).alias("line_no"), F.coalesce(t, F.lit("")).alias("text")))
+    return cut.select("file", F.col("seg").cast("long").alias("seg"), "whole", numbered.alias("lines"))
 
 
 def _lines(value: pa.Scalar) -> Lines:
     values = value.values
-    return list(zip(values.field(0).to_numpy().tolist(), values.field(1).to_pylist(), strict=True))
+    return list(zip(values.field(0).to_numpy().tolist(), values.field(1).to_numpy(zero_copy_only=False).tolist(), strict=True))
 
 
 def _summaries(segments: DataFrame, machine: Machine) -> DataFrame:
@@ -117,17 +129,20 @@ def states_before(summaries: DataFrame, machine: Machine) -> DataFrame:
     return states
 
 
-def run_segments(lines: DataFrame, machine: Machine, size: int = SEGMENT) -> DataFrame:
-    """The machine's rows, with the file first, over lines (file, line_no, text) of any length of file.
+def run_segments(segments: DataFrame, machine: Machine) -> DataFrame:
+    """The machine's rows, with the file first, over segments (file, seg, whole, lines) of files of any length.
 
     Lines of a file are in order of their number; gaps are allowed, a repeated
     number is read in order of the texts. A null text is empty, an empty table
-    gives no rows.
+    gives no rows. The segments are read more than once, so write them first
+    if they are dear. A file of one segment needs no summary.
     """
-    segments = materialise(segments_of(lines, size))
-    summaries = materialise(_summaries(segments, machine))
-    states = states_before(summaries, machine).select(F.col("file").alias("f"), F.col("seg").alias("s"), "state")
-    known = segments.join(states, (F.col("file") == F.col("f")) & (F.col("seg") == F.col("s"))).select("file", "state", "lines")
+    parts = segments.where("not whole")
+    summaries = materialise(_summaries(parts, machine))
+    # states are far smaller than lines: as a written table their size is known, so lines are shuffled to them only if there are very many
+    states = materialise(states_before(summaries, machine)).select(F.col("file").alias("f"), F.col("seg").alias("s"), "state")
+    known = parts.join(states, (F.col("file") == F.col("f")) & (F.col("seg") == F.col("s"))).select("file", "state", "lines")
+    known = known.unionByName(segments.where("whole").select("file", F.lit(pickle.dumps(machine.start)).alias("state"), "lines"))
     names = ["file", *(c.split()[0] for c in machine.schema.split(", "))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,4 +157,4 @@ def run_segments(lines: DataFrame, machine: Machine, size: int = SEGMENT) -> Dat
     return known.mapInArrow(run, f"file string, {machine.schema}")
 
 
-_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}

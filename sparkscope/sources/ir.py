@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkscope.functions.names import contains_any, pieces, split_top_level
-from sparkscope.operators.segmented import SEGMENT, Lines, run_segments
-from sparkscope.session import materialise
+from sparkscope.functions import ctext
+from sparkscope.functions.names import split_top_level
+from sparkscope.operators.segmented import SEGMENT, Lines, run_segments, segments_of
+from sparkscope.session import materialise, workers_see_package
 
 # The line patterns of the IR dialect that is read.
 DEFINE = r"^define\s+.*?@([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
@@ -109,7 +110,8 @@ class SignatureMachine:
         """For each state before: (state after, first line of its signature or None for the one before, (whether the owner changes, owner))."""
         plain: list[tuple[int, int]] = []  # after each line of the run from outside: its state, and the last line that changed the owner
         end = self._run(self.OUTSIDE, lines, plain, ())
-        return (end, *(self._run(mode, lines, [], plain, end) for mode in (self.DEFINING, self.DECLARING, self.COMMENTED)))
+        # nothing ends a declaration after its comment began
+        return (end, *(self._run(mode, lines, [], plain, end) for mode in (self.DEFINING, self.DECLARING)), (self.COMMENTED, None, (False, None)))
 
     def _run(self, mode: int, lines: Lines, trace: list[tuple[int, int]], plain: list[tuple[int, int]], end: tuple = ()) -> tuple:
         head, owner, changed = None, (False, None), -1
@@ -124,7 +126,7 @@ class SignatureMachine:
                 head = line_no if mode else head
                 if defined:
                     owner, changed = (True, fn), i
-            elif text.strip() == "}":
+            elif "}" in text and text.strip() == "}":
                 owner, changed = (True, None), i
             trace.append((mode, changed))
         return mode, head, owner
@@ -174,7 +176,11 @@ def signature_rows(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     cross a segment's end are gathered by their first line; one that is never
     closed takes the rest of its file, as it does for a reader in order.
     """
-    rows = materialise(run_segments(lines, SignatureMachine(), segment))
+    return _uncut(materialise(run_segments(materialise(segments_of(lines, segment)), SignatureMachine())))
+
+
+def _uncut(rows: DataFrame) -> DataFrame:
+    """Rows of the machine with the parts of a signature joined."""
     part = F.struct("line_no", "text", "fn", "defined", "owner")
     parts = rows.where("open").groupBy("file", "head").agg(F.array_sort(F.collect_list(part)).alias("p"))
     first = F.element_at("p", 1)
@@ -182,97 +188,139 @@ def signature_rows(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return rows.where("not open").select("file", F.col("head").alias("line_no"), "text", "fn", "defined", "owner").unionByName(crossed)
 
 
-def balanced(text: Column) -> Column:
-    """What stands between the first ``(`` and its closer (or the end)."""
-    parts = pieces(F.substr(text, F.locate("(", text)), "()")
-    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("b"), F.lit(False).alias("e"))
+_BRACKETS, _BLANKS, _NAMED_TYPE = re.compile("[()]"), re.compile(r"\s+", re.ASCII), re.compile(r'%(struct\.|union\.|class\.|")')
+_PARAMETERS = pa.list_(pa.struct([("type", pa.string()), ("name", pa.string())]))
 
-    def step(s: Column, ch: Column) -> Column:
-        d = s["d"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0)
-        ended = s["e"] | ((ch == ")") & (d == 0))
-        return F.struct(d.alias("d"), F.when(ended | (s["d"] == 0), s["b"]).otherwise(F.concat(s["b"], ch)).alias("b"), ended.alias("e"))
 
-    return F.when(text.contains("("), F.aggregate(parts, init, step, lambda s: s["b"])).otherwise("")
+def balanced(text: str) -> str:
+    """What stands between the first ``(`` and its closer (or the end)."""
+    start, depth = text.find("("), 0
+    for m in _BRACKETS.finditer(text, max(start, 0)):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return text[start + 1 : m.start()]
+    return "" if start < 0 else text[start + 1 :]
+
+
+def parameters_of(text: str) -> list[dict[str, str]]:
+    """Type and name of each parameter in IR text; one without a register is named by its place among those kept."""
+    kept: list[dict[str, str]] = []
+    for part in ctext.split_top_level(text, " "):
+        types, name = [], None
+        for token in _BLANKS.split(part):
+            register = token.startswith("%")
+            if not token or token in ATTRIBUTES or ("(" in token and not register):
+                continue
+            if token in ENDING_ATTRIBUTES or (register and not _NAMED_TYPE.match(token)):
+                name = token[1:] if register else None
+                break
+            types.append(token)
+        if types and part != "..." and not part.startswith("metadata"):
+            kept.append({"type": " ".join(types), "name": f"param_{len(kept)}" if name is None else name})
+    return kept
 
 
 def parameters(text: Column) -> Column:
-    """(type, name) of each parameter in IR text; one without a register is named by its place among those kept."""
-    empty = F.array().cast("array<struct<type:string,name:string>>")
+    """(type, name) of each parameter of a signature."""
 
-    def step(kept: Column, part: Column) -> Column:
-        tokens = F.filter(F.split(part, r"\s+"), lambda t: t != "")
-        named_type = lambda t: t.rlike(r'^%(struct\.|union\.|class\.|")')
-        skipped = lambda t: t.isin(*ATTRIBUTES) | (t.contains("(") & ~t.startswith("%"))
-        stops = lambda t: ~skipped(t) & (t.isin(*ENDING_ATTRIBUTES) | (t.startswith("%") & ~named_type(t)))
-        at = F.array_position(F.transform(tokens, stops), F.lit(True)).cast("int")
-        types = F.filter(F.when(at > 0, F.slice(tokens, F.lit(1), at - 1)).otherwise(tokens), lambda t: ~skipped(t))
-        stop = F.when(at > 0, F.element_at(tokens, F.greatest(at, F.lit(1))))
-        name = F.when(stop.startswith("%"), F.substring(stop, 2, 1 << 20))
-        kind = F.array_join(types, " ")
-        new = F.array(F.struct(kind.alias("type"), F.coalesce(name, F.concat(F.lit("param_"), F.size(kept).cast("string"))).alias("name")))
-        keep = ~part.startswith("metadata") & (part != "...") & (F.size(types) > 0)
-        return F.when(keep, F.concat(kept, new)).otherwise(kept)
+    @F.arrow_udf("array<struct<type:string,name:string>>")
+    def read(values: pa.Array) -> pa.Array:
+        return pa.array([parameters_of(balanced(v)) for v in values.to_pylist()], _PARAMETERS)
 
-    return F.aggregate(split_top_level(text), empty, step)
+    return read(text)
 
 
-def _all(text: str, pattern: str, *groups: str) -> Column:
-    """Matches of a pattern as an array of structs of its groups, in order."""
-    parts = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i + 1)).alias(g) for i, g in enumerate(groups)]
-    return F.arrays_zip(*parts)
+#: Patterns of instructions: the words of which a line has one, and the groups that are kept.
+INSTRUCTIONS = {
+    DIRECT_CALL: (("call", "invoke"), ("callee", "args")), INDIRECT_CALL: (("call", "invoke"), ("ptr",)), STORE_FUNCTION: (("store",), ("src", "dst")), STORE_POINTER: (("store",), ("src", "dst")),
+    LOAD: (("load",), ("dst", "src")), FIELD_ADDRESS: (("getelementptr",), ("dst", "struct_type", "base", "field_idx")), SLOT_ADDRESS: (("getelementptr",), ("dst", "base", "slot")), LOAD_GLOBAL: (("load",), ("dst", "src")),
+}
 
 
-def parse_ir(lines: DataFrame) -> ProgramFacts:
-    """All tables of IR lines (file, line_no, text). Order is (file, line_no, place in the line)."""
-    text = F.col("text")
-    rows = signature_rows(lines).withColumn("line_no", F.col("line_no").cast("int"))
+class FactMachine(SignatureMachine):
+    """Signatures as they are, and of the lines in bodies those that a pattern matches: for each pattern the groups of its matches, one after another."""
+
+    def __init__(self, patterns: tuple[str, ...] = tuple(INSTRUCTIONS)) -> None:
+        super().__init__()
+        # in Spark's patterns a dot matches no line end of any kind
+        self.patterns = [(INSTRUCTIONS[p][0], re.compile(p.replace(".*", "[^\n\r\x85\u2028\u2029]*"), re.ASCII)) for p in patterns]
+        self.schema = ", ".join([SignatureMachine.schema, *(f"m{i} array<string>" for i in range(len(patterns)))])
 
-    places = F.struct("file", "line_no")
-    signatures = rows.where("fn is not null").select(F.col("fn").alias("name"), "defined", "file", F.col("line_no").alias("line"), "text", places.alias("at"))
+    def rows(self, state: tuple, lines: Lines) -> Iterator[tuple]:
+        none = (None,) * len(self.patterns)
+        for row in super().rows(state, lines):
+            text, fn, owner, cut = row[2], row[3], row[5], row[6]
+            if fn is not None or cut:
+                yield *row, *none
+            elif owner is not None:
+                found = [p.findall(text) if any(w in text for w in words) else None for words, p in self.patterns]
+                if any(found):
+                    yield row[0], row[1], None, *row[3:], *([g for m in f for g in ((m,) if isinstance(m, str) else m)] if f else None for f in found)
+
+
+def read_functions(segments: DataFrame) -> DataFrame:
+    """The functions of IR files alone (see :class:`ProgramFacts`), from segments of their lines; nothing else is written."""
+    return _functions(materialise(run_segments(segments, FactMachine(()))))
+
+
+def _functions(rows: DataFrame) -> DataFrame:
+    """Functions from the machine's rows, of which only signatures are read."""
+    workers_see_package(rows.sparkSession)
+    signatures = _uncut(rows.where("fn is not null or open")).where("fn is not null")
+    signatures = signatures.select(F.col("fn").alias("name"), "defined", "file", F.col("line_no").cast("int").alias("line"), "text").withColumn("at", F.struct("file", F.col("line").alias("line_no")))
     # the last definition counts, else the first declaration; parameters are read of that one alone, as many files declare the same
     seen = signatures.groupBy("name").agg(
         F.max_by(F.struct("defined", "file", "line", "text"), F.when(F.col("defined"), F.col("at"))).alias("d"),
         F.min_by(F.struct("defined", "file", "line", "text"), "at").alias("f"),
         F.min("at").alias("first_seen"),
     )
-    chosen = materialise(seen.select("name", F.coalesce("d", "f").alias("x"), "first_seen").select("name", "x.*", "first_seen"))
-    functions = chosen.select("name", "defined", "file", "line", parameters(balanced(text)).alias("params"), "first_seen")
-
-    body = rows.where("fn is null and owner is not null").where(F.trim(text) != "}")
-    # every line is matched once, by the patterns whose instruction it names; tables below read what was found
-    patterns = {
-        DIRECT_CALL: (("call", "invoke"), ("callee", "args")), INDIRECT_CALL: (("call", "invoke"), ("ptr",)), STORE_FUNCTION: (("store",), ("src", "dst")), STORE_POINTER: (("store",), ("src", "dst")),
-        LOAD: (("load",), ("dst", "src")), FIELD_ADDRESS: (("getelementptr",), ("dst", "struct_type", "base", "field_idx")), SLOT_ADDRESS: (("getelementptr",), ("dst", "base", "slot")), LOAD_GLOBAL: (("load",), ("dst", "src")),
-    }
-    named = {p: f"m{i}" for i, p in enumerate(patterns)}
-    matched = body.select("owner", "file", "line_no", *(F.when(contains_any(text, *words), _all("text", p, *groups)).alias(named[p]) for p, (words, groups) in patterns.items()))
-    some = reduce(Column.__or__, (F.coalesce(F.size(m) > 0, F.lit(False)) for m in named.values()))
-    matched = materialise(matched.where(some))
-
-    def found(pattern: str, *groups: str) -> DataFrame:
-        return matched.select("owner", "file", "line_no", F.posexplode(named[pattern]).alias("i", "m")).select(
-            "owner", "file", "line_no", F.struct("file", "line_no", "i").alias("ord"), *(F.col("m")[g].alias(g) for g in groups)
-        )
-
-    calls = found(DIRECT_CALL, "callee", "args").where(~F.col("callee").startswith("llvm."))
+    chosen = seen.select("name", F.coalesce("d", "f").alias("x"), "first_seen").select("name", "x.*", "first_seen")
+    return materialise(chosen.select("name", "defined", "file", "line", parameters(F.col("text")).alias("params"), "first_seen"))
+
+
+def parse_ir(lines: DataFrame) -> ProgramFacts:
+    """All tables of IR lines (file, line_no, text). Order is (file, line_no, place in the line)."""
+    return parse_segments(materialise(segments_of(lines)))
+
+
+def parse_segments(segments: DataFrame) -> ProgramFacts:
+    """All tables of IR files in segments, which are read more than once.
+
+    A line is matched in the pass that reads it: written are signatures, and
+    what patterns found in bodies. Functions are written with their parameters,
+    as several tables are joined with them.
+    """
+    rows = materialise(run_segments(segments, FactMachine()))
+    functions = _functions(rows)
+    matched = rows.where("fn is null and not open").select("owner", "file", F.col("head").cast("int").alias("line_no"), *(c for c in rows.columns if c.startswith("m")))
+    named = {p: f"m{i}" for i, p in enumerate(INSTRUCTIONS)}
+
+    def found(pattern: str) -> DataFrame:
+        groups, m = INSTRUCTIONS[pattern][1], F.col(named[pattern])
+        matches = F.transform(F.sequence(F.lit(0), F.size(m) - len(groups), F.lit(len(groups))), lambda i: F.struct(*(F.get(m, i + j).alias(g) for j, g in enumerate(groups))))
+        rows_ = matched.where(m.isNotNull()).select("owner", "file", "line_no", F.posexplode(matches).alias("i", "m"))
+        return rows_.select("owner", "file", "line_no", F.struct("file", "line_no", "i").alias("ord"), "m.*")
+
+    calls = found(DIRECT_CALL).where(~F.col("callee").startswith("llvm."))
     call_sites = calls.select(F.col("owner").alias("caller"), "callee", split_top_level(F.col("args")).alias("args"), "ord")
-    indirect = found(INDIRECT_CALL, "ptr").select(F.col("owner").alias("caller"), "ptr", "file", F.col("line_no").alias("line"))
+    indirect = found(INDIRECT_CALL).select(F.col("owner").alias("caller"), "ptr", "file", F.col("line_no").alias("line"))
 
-    def flow(pattern: str, kind: str, *groups: str) -> DataFrame:
-        return found(pattern, *groups).select("owner", "dst", "src", "ord", F.lit(kind).alias("kind"))
+    def flow(pattern: str, kind: str) -> DataFrame:
+        return found(pattern).select("owner", "dst", "src", "ord", F.lit(kind).alias("kind"))
 
-    stores = flow(STORE_FUNCTION, "store_fn", "src", "dst").where(~F.col("src").startswith("llvm."))
+    stores = flow(STORE_FUNCTION, "store_fn").where(~F.col("src").startswith("llvm."))
     typed = r"^(struct|class|union)\."
-    pointers = flow(STORE_POINTER, "store_ptr", "src", "dst").where(~F.col("src").rlike(typed) & ~F.col("dst").rlike(typed))
-    loads = flow(LOAD, "load", "dst", "src")
-    geps = found(FIELD_ADDRESS, "dst", "struct_type", "base", "field_idx")
+    pointers = flow(STORE_POINTER, "store_ptr").where(~F.col("src").rlike(typed) & ~F.col("dst").rlike(typed))
+    loads = flow(LOAD, "load")
+    geps = found(FIELD_ADDRESS)
     fields = geps.groupBy("owner", "dst").agg(F.max_by(F.struct("struct_type", F.col("field_idx").cast("int").alias("field_idx"), "base", "ord"), "ord").alias("g")).select("owner", "dst", "g.*")
-    slots = found(SLOT_ADDRESS, "dst", "base", "slot").groupBy("owner", "dst").agg(F.max_by(F.struct("base", F.col("slot").cast("int").alias("slot")), "ord").alias("g")).select("owner", "dst", "g.*")
+    slots = found(SLOT_ADDRESS).groupBy("owner", "dst").agg(F.max_by(F.struct("base", F.col("slot").cast("int").alias("slot")), "ord").alias("g")).select("owner", "dst", "g.*")
 
-    tables = lines.select("file", "line_no", F.regexp_extract("text", DISPATCH_TABLE, 1).alias("vtable"), F.regexp_extract("text", DISPATCH_TABLE, 2).alias("entries")).where("vtable != ''")
-    last = tables.groupBy("vtable").agg(F.max_by("entries", places).alias("entries"))
+    tables = segments.select("file", F.explode(F.filter("lines", lambda x: x["text"].startswith("@_ZTV"))).alias("l")).select("file", "l.line_no", "l.text")
+    tables = tables.select("file", "line_no", F.regexp_extract("text", DISPATCH_TABLE, 1).alias("vtable"), F.regexp_extract("text", DISPATCH_TABLE, 2).alias("entries")).where("vtable != ''")
+    last = tables.groupBy("vtable").agg(F.max_by("entries", F.struct("file", "line_no")).alias("entries"))
     slot_fn = F.regexp_extract("entry", "@([a-zA-Z_][a-zA-Z0-9_]*)", 1)
     entries = last.select("vtable", F.posexplode(F.split("entries", ",")).alias("slot", "entry")).select(
         "vtable", "slot", F.when((slot_fn != "") & ~slot_fn.rlike("^_ZT[IS]"), slot_fn).alias("fn")
     )
-    return ProgramFacts(functions, call_sites, indirect, stores.unionByName(pointers).unionByName(loads), fields, entries, slots, found(LOAD_GLOBAL, "dst", "src").select("owner", "dst", "src", "ord"))
+    return ProgramFacts(functions, call_sites, indirect, stores.unionByName(pointers).unionByName(loads), fields, entries, slots, found(LOAD_GLOBAL).select("owner", "dst", "src", "ord"))

@@ -69,3 +69,27 @@ def test_signature_rows(spark, monkeypatch, size, fan):
     assert got == sorted((f, *r) for f, lines in files.items() for r in in_order(lines))
     assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert ir.signature_rows(df.where("false"), size).count() == 0
+
+
+def test_files_in_rows_are_cut_where_they_are(spark):
+    """Segments of files that are rows need no shuffle, give the same functions and calls, and a file of one segment has no summary."""
+    text = ["define i32 @f{j}(i32 %a,", "    %struct.S* align 8 %s) {{", "  %x = load ptr, ptr @g", "  call void @h(i32 %a, f(i8* %s, 1))", "}}"]
+    files = {f"d{j}": [t.format(j=j % 3) for t in text * (1 + j % 4)][: 20 - j] for j in range(8)} | {"none": [], "null": None}
+    df = spark.createDataFrame(list(files.items()), "file string, lines array<string>")
+    cut = segmented.segments_in_rows(df, 7)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert {(r.file, r.seg, r.whole, len(r.lines)) for r in cut.collect() if r.file in ("d0", "d1", "none", "null")} == {("d0", 0, True, 5), ("d1", 0, False, 7), ("d1", 1, False, 3)}
+    lines = spark.createDataFrame([(f, i + 1, t) for f, ts in files.items() for i, t in enumerate(ts or ())], "file string, line_no int, text string")
+    told = lambda df, *columns: sorted(map(str, df.select(*columns).collect()))
+    whole, parts = ir.parse_ir(lines), ir.parse_segments(cut)
+    functions = ("name", "defined", "file", "line", "params", "first_seen")
+    assert told(ir.read_functions(cut), *functions) == told(whole.functions, *functions) == told(parts.functions, *functions)
+    assert told(parts.call_sites, "caller", "callee", "args", "ord") == told(whole.call_sites, "caller", "callee", "args", "ord")
+    assert ("@g" in text[2]) and parts.global_loads.count() == whole.global_loads.count() > 0
+
+
+def test_parameters_of_a_signature():
+    text = "define i32 @f(%struct.S* nocapture %s, i8* noundef align(4) %d, metadata i32 %m, ..., i32, [2 x (i8)] align 8 %z) {"
+    found = [(p["type"], p["name"]) for p in ir.parameters_of(ir.balanced(text))]
+    assert found == [("%struct.S*", "s"), ("i8*", "d"), ("i32", "param_2"), ("[2 x", "param_3")]
+    assert ir.balanced("no brackets") == "" and ir.balanced("f(a(b)") == "a(b)"
