@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions import classify, names, spans, tolerant
 from sparkscope.functions.patterns import Pattern, best_match, pattern_hits
 from sparkscope.operators import advisory, derive, evidence, excerpt, graph, items, ordered, retrieval, rules, seeds
+from sparkscope.operators.segmented import segments_in_rows
 from sparkscope.plans import assemble
-from sparkscope.session import materialise, shared_dir, table
+from sparkscope.session import materialise, shared_dir, spread, table
 from sparkscope.sources import build_log, headers, ir, listing, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,28 +370,32 @@ def canonical_items(spark: SparkSession, sf: str) -> DataFrame:
 IR_WORDS = """words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) - 1 AS i FROM documents)"""
 
 
-def document_lines(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "word"))
-    place, word = F.col("i") % 7, F.col("word")
-    text = (
-        F.when(place == 0, F.concat(F.lit("define void @"), word, F.lit("(i32 %a,"))).when(place == 1, F.lit("    i32 %b) {"))
-        .when(place == 6, F.lit("}")).otherwise(F.concat(F.lit("  call void @"), word, F.lit("(i32 %a, i32 7)")))
-    )
-    return words.select("file", (F.col("i") + 1).alias("line_no"), text.alias("text"))
+def document_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as IR files of a line a word, in segments cut where the document is; documents are dealt over tasks by their number."""
+    words = spread(table(spark, sf, "documents"), 1000, "doc_id").select(F.col("doc_id").cast("string").alias("file"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("words"))
+
+    def line(word: Column, i: Column) -> Column:
+        place = i % 7
+        return (
+            F.when(place == 0, F.concat(F.lit("define void @"), word, F.lit("(i32 %a,"))).when(place == 1, F.lit("    i32 %b) {"))
+            .when(place == 6, F.lit("}")).otherwise(F.concat(F.lit("  call void @"), word, F.lit("(i32 %a, i32 7)")))
+        )
+
+    return segments_in_rows(words.select("file", F.transform("words", line).alias("lines")))
 
 
 @query(f"""WITH {IR_WORDS}, owners AS (SELECT doc_id, i // 7 AS part, word AS caller FROM words WHERE i % 7 = 0)
 SELECT caller, word AS callee, 'direct' AS kind FROM words JOIN owners USING (doc_id) WHERE part = i // 7 AND i % 7 IN (2, 3, 4, 5) GROUP BY ALL""")
 def document_call_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Call edges of whole documents read as IR files, in segments."""
-    return graph.call_edges(ir.parse_ir(document_lines(spark, sf)))
+    return graph.call_edges(ir.parse_segments(materialise(document_segments(spark, sf))))
 
 
 @query(f"""WITH {IR_WORDS}, heads AS (SELECT word AS name, doc_id, i, EXISTS (SELECT 1 FROM words w WHERE w.doc_id = h.doc_id AND w.i = h.i + 1) AS whole FROM words h WHERE i % 7 = 0)
 SELECT name, CAST(doc_id AS VARCHAR) AS file, CAST(i + 1 AS BIGINT) AS line, CASE WHEN whole THEN 'i32 a, i32 b' ELSE 'i32 a' END AS params FROM heads QUALIFY row_number() OVER (PARTITION BY name ORDER BY CAST(doc_id AS VARCHAR) DESC, i DESC) = 1""")
 def document_functions(spark: SparkSession, sf: str) -> DataFrame:
     """The last definition of each name in documents read as IR files; one that its document breaks off has one parameter."""
-    functions = ir.parse_ir(document_lines(spark, sf)).functions
+    functions = ir.read_functions(materialise(document_segments(spark, sf)))
     params = F.array_join(F.transform("params", lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
     return functions.select("name", "file", F.col("line").cast("long").alias("line"), params.alias("params"))
 
