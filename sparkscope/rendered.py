@@ -38,8 +38,8 @@ class Base:
     task_rows: int = 5000
 
     def table(self, spark: SparkSession, sf: str) -> DataFrame:
-        """The given table in as many parts as its number of rows asks for, whatever its files are."""
-        return spread(table(spark, sf, self.name), self.task_rows)
+        """The given table in as many parts as its number of rows asks for, whatever its files are; dealt by key, as dealing in turn would sort each file in memory first."""
+        return spread(table(spark, sf, self.name), self.task_rows, self.numbers["k"])
 
     def _used(self, text: str) -> list[tuple[str, str]]:
         return [(f"<<{n}>>", e) for n, e in self.numbers.items() if f"<<{n}>>" in text]

@@ -68,3 +68,14 @@ def test_rendered_rows_are_dealt_over_tasks_by_their_number(spark, tmp_path):
     rows = PART.rows(spark, str(tmp_path), "k long, t string", ("<<k>>", "a<<k>>"), ("<<k>>", "b"))
     assert rows.rdd.getNumPartitions() == 3 and rows.count() == rows.distinct().count() == 24_002
     assert SUPPLIER.rows(spark, str(tmp_path), "k long", ("<<k>>",)).count() == 0
+
+
+def test_rendered_tables_are_dealt_by_key(spark):
+    """Dealing in turn sorts each file in the memory of the task that reads it."""
+    from dataclasses import replace
+
+    from sparkscope.rendered import PART, SUPPLIER
+
+    for base in (PART, SUPPLIER):
+        plan = replace(base, task_rows=5).table(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" in plan and "RoundRobin" not in plan
