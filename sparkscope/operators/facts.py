@@ -38,8 +38,9 @@ REGISTER_WORDS = ("get", "set", "register", "attach", "assign", "config", "load"
 FIELD = r"[A-Za-z_][A-Za-z0-9_]*(?:->|\.)[A-Za-z_][A-Za-z0-9_]*"
 COMPARED = r"\s*(==|!=|<=|>=|<|>|&)\s*([^&|]+(?:\([^\)]*\)[^&|]*)?)"
 
-#: Characters of texts that one task scans.
+#: Characters of texts that one task scans, and functions that one task looks up or gathers the facts of.
 TASK_CHARS = 4 << 20
+TASK_FUNCTIONS = 20_000
 
 _TEXTS = pa.list_(pa.string())
 _PARAMETER = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
@@ -52,12 +53,9 @@ def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Scan (path, text) for the functions wanted (path, fn); one row each, ``source`` empty if the file lacks it.
 
     The scan is written once: the tables of facts, of which a model joins many,
-    read its columns instead of scanning the sources again. Texts are dealt by
-    path over as many tasks as their characters ask for: texts that compress
-    well look small to Spark, which would send all of them to all tasks.
+    read its columns instead of scanning the sources again.
     """
     workers_see_package(files.sparkSession)
-    n_tasks = 1 + (files.agg(F.sum(F.length("text"))).first()[0] or 0) // TASK_CHARS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,9 +66,22 @@ def scan_functions(files: DataFrame, wanted: DataFrame) -> DataFrame:
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True) if rows else [[]] * len(_COLUMNS), _COLUMNS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("fn"), *arrays], ["path", "fn", *(n for n, _ in _COLUMNS)])
 
+    return materialise(_asked(files, wanted).mapInArrow(run, SCANNED))
+
+
+def _asked(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, text, fn) of each function wanted, once.
+
+    Both sides are dealt by path over as many tasks as the characters of the
+    texts and the functions wanted ask for, and repeated ones are dropped where
+    they are dealt to: rows that compress well look small to Spark, which would
+    send all of them to all tasks or gather them in a few.
+    """
+    n_chars, n_wanted = files.agg(F.sum(F.length("text"))).first()[0] or 0, wanted.count()
+    n_tasks = 1 + max(n_chars // TASK_CHARS, n_wanted // TASK_FUNCTIONS)
     texts = files.select("path", "text").repartition(n_tasks, "path")
-    asked = wanted.select("path", "fn").distinct().repartition(n_tasks, "path")
-    return materialise(texts.join(asked.hint("merge"), "path").mapInArrow(run, SCANNED))
+    asked = wanted.select("path", "fn").repartition(n_tasks, "path").distinct()
+    return texts.join(asked.hint("merge"), "path")
 
 
 def blank_noise(text: Column) -> Column:
@@ -231,7 +242,7 @@ def related_functions(files: DataFrame, wanted: DataFrame, limit: int = 8) -> Da
     """(path, fn, ord, name, params, relation): set-up and registration functions whose name holds the wanted one's."""
     signature = F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(([^;{}()]*(?:\([^)]*\)[^;{}()]*)*)\)\s*(?:\{|;)")
     found = F.arrays_zip(F.regexp_extract_all("text", signature, F.lit(1)).alias("name"), F.regexp_extract_all("text", signature, F.lit(2)).alias("params"))
-    rows = files.join(wanted, "path").select("path", "fn", F.posexplode(found).alias("i", "s")).select("path", "fn", "i", "s.name", F.trim("s.params").alias("params"))
+    rows = _asked(files, wanted).select("path", "fn", F.posexplode(found).alias("i", "s")).select("path", "fn", "i", "s.name", F.trim("s.params").alias("params"))
     tokens = identifier_tokens(F.col("name"))
     is_setup, is_register = (F.arrays_overlap(tokens, F.array(*map(F.lit, words))) for words in (SETUP_WORDS, REGISTER_WORDS))
     near = rows.where((F.col("name") != F.col("fn")) & F.lower("name").contains(F.lower("fn")) & (is_setup | is_register))

@@ -140,3 +140,32 @@ def test_stages(spark):
         models.stage_of(F.lit("initPalette"), plain, "sink").alias("e"), models.stage_of(F.lit("header init"), plain, "sink").alias("f"), models.milestone_stage(F.lit("transform-gating")).alias("g"),
     ).first()
     assert tuple(row) == (["entry", "parse"], ["entry", "parse", "transform", "sink"], "parse", "sink", "transform", "parse", "transform")
+
+
+def dealt_by_number(df):
+    """Whether no shuffle of a plan is one whose parts Spark sizes by their bytes."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_wanted_functions_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """Names compress well: a shuffle sized by bytes gathers millions of them in a task."""
+    monkeypatch.setattr(facts, "materialise", lambda df: df)
+    monkeypatch.setattr(facts, "TASK_CHARS", 100)
+    files = spark.createDataFrame([("a.c", SOURCE)], "path string, text string")
+    wanted = spark.createDataFrame([KEY, ("a.c", "ansi"), KEY, ("b.c", "inflate")], "path string, fn string")
+    found = facts.scan_functions(files, wanted)
+    assert dealt_by_number(found)
+    assert sorted((r.path, r.fn) for r in found.collect()) == [("a.c", "ansi"), KEY]
+    # many functions of short texts ask for tasks as well
+    monkeypatch.setattr(facts, "TASK_CHARS", 1 << 20)
+    monkeypatch.setattr(facts, "TASK_FUNCTIONS", 20)
+    many = spark.createDataFrame([("a.c", f"f{i}") for i in range(400)], "path string, fn string")
+    assert dealt_by_number(facts.scan_functions(files, many))
+
+
+def test_signatures_are_searched_where_texts_are_dealt_to(spark, monkeypatch):
+    monkeypatch.setattr(facts, "TASK_CHARS", 100)
+    files = spark.createDataFrame([("a.c", SOURCE)], "path string, text string")
+    plan = facts.related_functions(files, spark.createDataFrame([KEY, KEY], "path string, fn string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "BroadcastHashJoin" not in plan
