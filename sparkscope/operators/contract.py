@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.names import contains_any, field_parts, field_tail, has_lowercase, identifier_tokens, is_null_like, semantic_match
-from sparkscope.operators.facts import REGISTER_WORDS, SETUP_WORDS
+from sparkscope.operators.facts import REGISTER_WORDS, SETUP_WORDS, TASK_FUNCTIONS
 from sparkscope.operators.ordered import top_k
+from sparkscope.session import materialise, spread
 
 # Words of size and buffer fields, generic owners, and fields of streams and state machines.
 SIZE_WORDS = ("max", "size", "len", "length", "count", "capacity", "limit")
@@ -79,10 +80,16 @@ def support_object(target: Column, operator: Column, value: Column) -> Column:
 
 
 def activation_predicates(conditions: DataFrame, limit: int = 8) -> DataFrame:
-    """(path, fn, ord, target, operator, value, score, importance): the best relevant predicates of score 4 and more, each once."""
+    """(path, fn, ord, target, operator, value, score, importance): the best relevant predicates of score 4 and more, each once.
+
+    Scored ones are written once, counted and dealt by function over as many
+    tasks as their number asks for; all that follows stays in these. A shuffle
+    that Spark sizes by bytes would gather them in a few tasks.
+    """
     t, o, v = F.col("target"), F.col("operator"), F.col("value")
     scored = conditions.where(is_relevant(t, F.coalesce(o, F.lit("")), v)).withColumn("score", predicate_score(t, F.coalesce(o, F.lit("")), v)).where("score >= 4")
-    once = scored.groupBy("path", "fn", "target", "operator", "value").agg(F.max("score").alias("score"), F.min("ord").alias("first"))
+    dealt = spread(materialise(scored.select("path", "fn", "ord", "target", "operator", "value", "score")), TASK_FUNCTIONS, "path", "fn")
+    once = dealt.groupBy("path", "fn", "target", "operator", "value").agg(F.max("score").alias("score"), F.min("ord").alias("first"))
     order = [F.desc("score"), F.col("target"), F.col("first")]
     ranked = top_k(once, ["path", "fn"], order, limit).withColumn("ord", F.row_number().over(Window.partitionBy("path", "fn").orderBy(*order)) - 1).drop("first")
     return ranked.withColumn("importance", F.when(F.col("score") >= 7, "high").otherwise("medium"))

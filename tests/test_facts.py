@@ -169,3 +169,10 @@ def test_signatures_are_searched_where_texts_are_dealt_to(spark, monkeypatch):
     files = spark.createDataFrame([("a.c", SOURCE)], "path string, text string")
     plan = facts.related_functions(files, spark.createDataFrame([KEY, KEY], "path string, fn string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_predicates_are_ranked_in_tasks_by_their_number(spark):
+    s, _ = scan(spark, "inflate")
+    found = contract.activation_predicates(facts.field_conditions(s))
+    assert dealt_by_number(found)
+    assert found.count() > 0
