@@ -123,11 +123,17 @@ def helper_calls(scan: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def state_fields(scan: DataFrame, limit: int = 12) -> DataFrame:
-    """(path, fn, ord, owner, field, reads, kind): accessed fields, most read first."""
+    """(path, fn, ord, owner, field, reads, kind): accessed fields, most read first.
+
+    Accesses are dealt by function over as many tasks as there are functions, so
+    that counts and ranks follow in these: names compress well, and a shuffle
+    that Spark sizes by bytes would gather them in a few tasks.
+    """
     pattern = F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:->|\.)\s*([A-Za-z_][A-Za-z0-9_]*)")
     pairs = F.arrays_zip(F.regexp_extract_all("plain", pattern, F.lit(1)).alias("owner"), F.regexp_extract_all("plain", pattern, F.lit(2)).alias("field"))
     rows = scan.select("path", "fn", F.explode(pairs).alias("p")).select("path", "fn", "p.owner", "p.field")
     rows = rows.where(~F.lower("owner").isin(*NOT_OWNERS) & ~F.lower("field").isin(*NOT_FIELDS))
+    rows = rows.repartition(1 + scan.count() // TASK_FUNCTIONS, "path", "fn")
     counts = rows.groupBy("path", "fn", "owner", "field").agg(F.count("*").alias("reads")).withColumn("kind", field_kind(F.col("field")))
     order = [F.desc("reads"), F.col("owner"), F.col("field")]
     return _numbered(top_k(counts, ["path", "fn"], order, limit), ["path", "fn"], order)

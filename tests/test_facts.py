@@ -176,3 +176,10 @@ def test_predicates_are_ranked_in_tasks_by_their_number(spark):
     found = contract.activation_predicates(facts.field_conditions(s))
     assert dealt_by_number(found)
     assert found.count() > 0
+
+
+def test_fields_are_counted_in_tasks_by_the_number_of_functions(spark):
+    s, _ = scan(spark, "inflate")
+    found = facts.state_fields(s)
+    assert dealt_by_number(found)
+    assert found.count() > 0
