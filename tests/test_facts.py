@@ -1,3 +1,6 @@
+import pytest
+
+from sparkscope import program_queries, rendered, session
 from sparkscope.operators import contract, facts
 from sparkscope.plans import models
 
@@ -164,6 +167,15 @@ def test_wanted_functions_are_dealt_over_tasks_by_their_number(spark, monkeypatc
     assert dealt_by_number(facts.scan_functions(files, many))
 
 
+@pytest.mark.parametrize("name", ["source_helper_calls"])
+def test_no_step_of_a_query_over_the_scan_is_sized_by_bytes(spark, monkeypatch, name):
+    """Rendering, dealing, scan and facts as one plan of several tasks a step: the scan is not written here."""
+    monkeypatch.setattr(facts, "materialise", lambda df: df)
+    monkeypatch.setattr(facts, "TASK_CHARS", 20_000)
+    monkeypatch.setattr(rendered, "spread", lambda df, rows, *keys: session.spread(df, 20, *keys))
+    assert dealt_by_number(program_queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_signatures_are_searched_where_texts_are_dealt_to(spark, monkeypatch):
     monkeypatch.setattr(facts, "TASK_CHARS", 100)
     files = spark.createDataFrame([("a.c", SOURCE)], "path string, text string")
