@@ -167,7 +167,7 @@ def test_wanted_functions_are_dealt_over_tasks_by_their_number(spark, monkeypatc
     assert dealt_by_number(facts.scan_functions(files, many))
 
 
-@pytest.mark.parametrize("name", ["source_helper_calls"])
+@pytest.mark.parametrize("name", ["source_helper_calls", "source_parameter_conditions"])
 def test_no_step_of_a_query_over_the_scan_is_sized_by_bytes(spark, monkeypatch, name):
     """Rendering, dealing, scan and facts as one plan of several tasks a step: the scan is not written here."""
     monkeypatch.setattr(facts, "materialise", lambda df: df)
