@@ -1,8 +1,9 @@
-"""Parts of texts, which are all runs of n characters, as 64-bit hashes: numpy over Arrow batches, and bit sets of fixed size of such hashes."""
+"""Parts of texts, which are all runs of n characters, as 64-bit hashes, and names within texts: numpy over Arrow batches, and bit sets of fixed size of such hashes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,3 +116,129 @@ def row_parts(rows: DataFrame, id_col: str, text_col: str, lengths: Callable[[st
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hashes.view(np.int64))], ["id", "hash"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, hash long")
+
+
+#: Bytes of texts in which names are looked up at a time, and bytes by whose hash a place is told to be no name's start.
+PIECE, START = 1 << 16, 8
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses, modulo 2 to the 64."""
+    base = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    for b in base:
+        b[:1] = 1
+    return tuple(np.multiply.accumulate(b) for b in base)
+
+
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts in UTF-8; a null text is empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), offsets
+
+
+class Table:
+    """Which hashes may be in a set: a byte for each value of their top bits, 16 for each hash of the set."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(10, (16 * len(hashes)).bit_length())
+        self.shift, self.told = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.told[hashes >> self.shift] = True
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        return self.told[hashes >> self.shift]
+
+
+class Names:
+    """Names that are looked up in texts, in bytes of UTF-8.
+
+    The sum of bytes times powers of an odd base up to each place gives the
+    hash of any stretch at once. Places whose first START bytes (or fewer, for
+    shorter names) are no name's are dropped; at the others the hash of each
+    length that names have is looked up. A place costs as many steps as names
+    have lengths, however many of them begin alike. What is found is compared
+    byte by byte, so hashes that agree by chance do no harm.
+    """
+
+    def __init__(self, names: pa.Array):
+        data, offsets = _buffer(names)
+        sizes = np.diff(offsets)
+        self.names, self.longest = names, int(sizes.max(initial=0))
+        power = _powers(self.longest)[0]
+        #: (bytes of the start, length, sorted hashes, their names, their bytes), with one name a hash
+        self.lengths: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        starts: dict[int, list[np.ndarray]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows, start = np.flatnonzero(sizes == size), min(size, START)
+            own = data[offsets[rows][:, None] + np.arange(size)]
+            hashes = np.zeros(len(rows), np.uint64)
+            for k in range(size):
+                hashes += _BYTES[own[:, k]] * power[k]
+                if k == start - 1:
+                    starts.setdefault(start, []).append(np.unique(hashes))
+            while len(rows):
+                _, first = np.unique(hashes, return_index=True)
+                self.lengths.append((start, size, hashes[first], rows[first], own[first]))
+                rest = np.ones(len(rows), bool)
+                rest[first] = False
+                rows, own, hashes = rows[rest], own[rest], hashes[rest]
+        self.starts = {n: Table(np.concatenate(h)) for n, h in starts.items()}
+        self.whole = Table(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in self.lengths)]))
+
+    def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, names): the places of texts and of the names that they contain, each pair once, in order."""
+        data, offsets = _buffer(texts)
+        step, n, pairs, size = max(PIECE, 4 * self.longest), len(self.names), [np.empty(0, np.int64)], 0
+        for at in range(int(offsets[0]), int(offsets[-1]), step):
+            pairs.append(np.unique(self._piece(data, offsets, at, min(step, int(offsets[-1]) - at), n)))
+            size += len(pairs[-1])
+            if size > PIECE * 16:
+                pairs = [np.unique(np.concatenate(pairs))]
+                size = 0
+        return np.divmod(np.unique(np.concatenate(pairs)), max(n, 1))
+
+    def _piece(self, data: np.ndarray, offsets: np.ndarray, at: int, step: int, n: int) -> np.ndarray:
+        """row * n + name of all places in ``step`` bytes, which names may go beyond."""
+        window = data[at : min(at + step + self.longest, int(offsets[-1]))]
+        power, inverse = _powers(max(PIECE, 4 * self.longest) + self.longest)
+        sums = np.zeros(len(window) + 1, np.uint64)
+        np.cumsum(_BYTES[window] * power[: len(window)], out=sums[1:])
+        told = [np.empty(0, np.int64)]
+        for start, table in self.starts.items():
+            last = min(step, len(window) - start + 1)
+            if last <= 0:
+                continue
+            places = np.flatnonzero(table.may((sums[start : start + last] - sums[:last]) * inverse[:last]))
+            rows = np.searchsorted(offsets, places + at, "right") - 1
+            room = offsets[rows + 1] - at - places
+            for _, size, hashes, names, own in (x for x in self.lengths if x[0] == start):
+                fits = np.flatnonzero(room >= size)
+                here = places[fits]
+                hash_ = (sums[here + size] - sums[here]) * inverse[here]
+                some = np.flatnonzero(self.whole.may(hash_))
+                fits, hash_ = fits[some], hash_[some]
+                k = np.minimum(np.searchsorted(hashes, hash_), len(hashes) - 1)
+                same = np.flatnonzero(hashes[k] == hash_)
+                fits, k = fits[same], k[same]
+                for part in range(0, len(k), max(1, PIECE * 16 // size)):
+                    f, name = fits[part : part + max(1, PIECE * 16 // size)], k[part : part + max(1, PIECE * 16 // size)]
+                    equal = (window[places[f][:, None] + np.arange(size)] == own[name]).all(1)
+                    told.append(rows[f[equal]] * n + names[name[equal]])
+        return np.concatenate(told)
+
+
+def row_names(rows: DataFrame, id_col: str, text_col: str, names: Names) -> DataFrame:
+    """(id, name): the names that each row's text contains, each once a row."""
+    kind = rows.schema[id_col].dataType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = names.found(batch.column(1))
+            for i in range(0, len(at), PIECE):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[i : i + PIECE])), names.names.take(pa.array(found[i : i + PIECE]))], ["id", "name"])
+
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, name string")

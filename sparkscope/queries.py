@@ -338,7 +338,7 @@ SELECT name, count(*) AS n_docs, min(doc_id) AS first_doc FROM names JOIN docume
 def names_in_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Which documents contain which of all longer words of the conversations, anywhere in the text."""
     words = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("name")).distinct()
-    found = ordered.containing(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", "text", words, "name")
+    found = ordered.containing_rows(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", "text", words, "name")
     return found.groupBy("name").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

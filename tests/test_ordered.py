@@ -3,9 +3,11 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkscope.functions import tolerant
+from sparkscope.functions import parts, tolerant
 from sparkscope.operators import graph, ordered
 
 
@@ -60,6 +62,37 @@ def test_containing(spark):
     assert ordered.containing(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([], "n string"), "n").count() == 0
 
 
+def test_names_in_rows(spark, monkeypatch):
+    """Rows count by themselves, and no pair is shuffled; names in several blocks, by their parts, and in texts longer than a piece give the same."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ab_é") for _ in range(n))
+    texts = [(i % 90, word(rng.randrange(0, 60))) for i in range(120)] + [(7, None), (None, "aéaéaé_b"), (8, word(200) * 20), (8, "xb" * 40)]
+    names = sorted({word(rng.randrange(1, 14)) for _ in range(200)} | {"aéaéaé" + word(4) for _ in range(20)} | {"a", "zzz", "aéaéaé_b"})
+    truth = sorted(((i, n) for i, t in texts for n in names if t and n in t), key=repr)
+    rows, listed = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(n,) for n in names], "n string")
+    got = ordered.containing_rows(rows, "id", "t", listed, "n")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=repr) == truth
+    for limits in ({"BLOCK_CHARS": 400}, {"BLOCK_CHARS": 400, "NAME_BLOCKS": 1}, {"NAME_CHARS": 8}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(ordered, k, v)
+            assert sorted(map(tuple, ordered.containing_rows(rows, "id", "t", listed, "n").collect()), key=repr) == truth
+
+
+def test_names_whose_hashes_agree(monkeypatch):
+    """Texts are compared byte by byte, in pieces that names go beyond: the result does not depend on the hashes."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts, names = [word(rng.randrange(0, 300)) for _ in range(30)] + [None, "", word(5000)], sorted({word(rng.randrange(1, 12)) for _ in range(200)})
+    truth = [(i, k) for i, t in enumerate(texts) for k, n in enumerate(names) if t and n in t]
+    for piece, hashes in ((1 << 16, parts._BYTES), (16, parts._BYTES), (16, np.full(256, 7, np.uint64)), (64, np.arange(256, dtype=np.uint64) % 2 << 62)):
+        monkeypatch.setattr(parts, "PIECE", piece)
+        monkeypatch.setattr(parts, "_BYTES", hashes)
+        found = parts.Names(pa.array(names)).found(pa.array(["left out", *texts])[1:])
+        assert list(zip(*(x.tolist() for x in found), strict=True)) == truth
+
+
 def test_names_with_one_prefix_do_not_share_a_key(spark):
     """20,000 names that begin alike: no key of the index has more than a few of them."""
     names = spark.range(20_000).select(F.concat(F.lit("png_set_common_prefix_"), F.hex(F.xxhash64("id"))).alias("name"))
