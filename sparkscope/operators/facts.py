@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sparkscope.functions import ctext
 from sparkscope.functions.classify import call_phase, field_kind, parameter_role
 from sparkscope.functions.names import condition_value, contains_any, identifier_tokens, is_null_like
+from sparkscope.functions.patterns import matches
 from sparkscope.operators.ordered import top_k
 from sparkscope.session import materialise, workers_see_package
 
@@ -108,6 +109,45 @@ def function_blocks(files: DataFrame) -> DataFrame:
     return rows.select("path", "b.*", body.alias("body"))
 
 
+#: A name before an opening parenthesis.
+CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
+
+
+def called_blocks(files: DataFrame) -> DataFrame:
+    """(path, name, body, calls array<string>): like ``function_blocks``, with the names called in each block, found in the file's row without a join.
+
+    A call falls into the first block that holds it; of a file's blocks of one
+    name and body the first gets the calls of all.
+    """
+    workers_see_package(files.sparkSession)
+    kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("calls", pa.list_(pa.int32()))]))
+
+    @F.arrow_udf("array<struct<name:string,start:long,end:long,calls:array<int>>>")
+    def scan(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([_called(t or "", at or []) for t, at in zip(texts.to_pylist(), places.to_pylist(), strict=True)], kind)
+
+    rows = files.select("path", "text", matches(F.col("text"), CALL, 1).alias("m"))
+    rows = rows.select("path", "text", "m", F.explode(scan("text", F.transform("m", lambda x: x["pos"]))).alias("b"))
+    body = F.substr("text", (F.col("b.start") + 1).cast("int"), (F.col("b.end") - F.col("b.start")).cast("int"))
+    return rows.select("path", "b.name", body.alias("body"), F.array_distinct(F.transform("b.calls", lambda i: F.get("m", i)["value"])).alias("calls"))
+
+
+def _called(text: str, places: list[int]) -> list[dict]:
+    """The blocks of a text with the numbers of the places, which are in order, that fall into each."""
+    blocks = ctext.Source(text).blocks()
+    calls: list[list[int]] = [[] for _ in blocks]
+    first: dict[tuple[str, str], int] = {}
+    owner = [first.setdefault((name, text[start:end]), i) for i, (name, start, end) in enumerate(blocks)]
+    b = 0
+    for i, at in enumerate(places):
+        # blocks are in order of their starts, so the first that has not ended is the only one that may be the first to hold the place
+        while b < len(blocks) and blocks[b][2] <= at:
+            b += 1
+        if b < len(blocks) and blocks[b][1] <= at:
+            calls[owner[b]].append(i)
+    return [{"name": n, "start": s, "end": e, "calls": c} for (n, s, e), c in zip(blocks, calls, strict=True)]
+
+
 def parameter_roles(scan: DataFrame) -> DataFrame:
     """(path, fn, ord, name, type, role)"""
     rows = scan.select("path", "fn", F.posexplode("params").alias("ord", "p")).select("path", "fn", "ord", "p.name", "p.type")

@@ -345,7 +345,7 @@ def stage_evidence(spark: SparkSession, sf: str) -> DataFrame:
     files = PART.rows(spark, sf, "path string, text string", ("src/a<<k>>.c", templates.CALLBACKS))
     token = lambda t: F.array(F.lit(t))
     called = spark.createDataFrame([("png_set_quantize",)], "name string")
-    found = retrieval.stage_evidence(files, facts.function_blocks(files), called, token("png"), token("quantize"), token("palette"), token("row"))
+    found = retrieval.stage_evidence(files, None, called, token("png"), token("quantize"), token("palette"), token("row"))
     return found.select("function", "placement", "score", "registers")
 
 

@@ -100,6 +100,32 @@ def test_lifecycle(spark):
     assert chosen(side(("x", "value")), side(("mode", "control"))) == {"mode"} and chosen(side(("mode", "control")), side(("x", "value"))) == {"mode"}
 
 
+def test_blocks_are_ranked_in_their_files_rows(spark, monkeypatch):
+    """The same rows as by a join of calls and blocks, nested and repeated blocks included, in a plan that joins and shuffles no texts."""
+    from sparkscope.operators import facts, ordered
+
+    one = "int row_cb{0}(int a)\n{{\n  png_go(info_ptr); palette (é png_stop(a));\n}}\n"
+    nested = "int outer{0}(int a) {{\n  png_go(a);\n  int inner{0}(int b) {{\n    png_stop(b); png_go(row_info);\n  }}\n  png_stop (palette);\n}}\npng_go(out);\n"
+    texts = [one.format(1), nested.format(2), one.format(3) * 3 + nested.format(3), "png_go(1);", "", None, "int row_cb(int a) { quiet; }"]
+    files = spark.createDataFrame([(f"{'tests' if i % 2 else 'src'}/a{i}.c", t) for i, t in enumerate(texts)], "path string, text string")
+    tokens = lambda *t: F.array(*map(F.lit, t))
+    found = lambda blocks, apis: retrieval.stage_evidence(files, blocks, apis, tokens("png"), tokens("go"), tokens("palette"), tokens("row"), 20)
+    for names, n in ((["png_go", "png_stop", "gone"], 8), (["png_stop"], None), (["gone"], None), ([], None), ([None], None)):
+        apis = spark.createDataFrame([(x,) for x in names], "name string")
+        rows = [list(map(str, found(blocks, apis).collect())) for blocks in (None, facts.function_blocks(files))]
+        assert rows[0] == rows[1] and len(rows[0]) > 3 and n in (None, len(rows[0]))
+        plan = found(None, apis)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "SortMergeJoin" not in plan and "HashJoin" not in plan
+    apis = spark.createDataFrame([("png_go",), ("png_stop",)], "name string")
+    few = sorted(map(str, found(None, apis).collect()))
+    told = ordered.told
+    monkeypatch.setattr(ordered, "told", lambda names, column: told(names, column, 0))
+    assert sorted(map(str, found(None, apis).collect())) == few
+    # blocks of another source are joined, but not sent to all tasks
+    plan = found(facts.function_blocks(files), apis)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_retrieval(spark):
     text = "static void row_callback(int a)\n{\n  png_set_quantize(info_ptr);\n}\nvoid set_read_fn(int a) {\n  p->read_fn = a;\n  p->row_fn = 0;\n  png_set_quantize(a);\n}\n"
     files = spark.createDataFrame([("src/a.c", text), ("tests/b.c", text)], "path string, text string")
