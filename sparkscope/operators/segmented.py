@@ -146,15 +146,44 @@ def run_segments(segments: DataFrame, machine: Machine) -> DataFrame:
     names = ["file", *(c.split()[0] for c in machine.schema.split(", "))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), *(_ARROW[c.split()[1]] for c in machine.schema.split(", "))]
+        # a segment's columns are turned into arrays as they are; small segments go on together
+        held, n = [], 0
         for batch in batches:
-            kinds = None
             for file, state, value in zip(batch["file"].to_pylist(), batch["state"].to_pylist(), batch["lines"], strict=True):
-                rows = [(file, *r) for r in machine.rows(pickle.loads(state), _lines(value))]
-                kinds = kinds or [pa.string(), *(_ARROW[c.split()[1]] for c in machine.schema.split(", "))]
-                for i in range(0, len(rows), 1024):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1024], strict=True), kinds, strict=True)], names)
+                columns = _columns(machine, pickle.loads(state), _lines(value))
+                if columns[0]:
+                    held.append([[file] * len(columns[0]), *columns])
+                    n += len(columns[0])
+                if n >= ROWS:
+                    yield _batch(held, kinds, names)
+                    held, n = [], 0
+        if held:
+            yield _batch(held, kinds, names)
 
     return known.mapInArrow(run, f"file string, {machine.schema}")
 
 
+#: Rows from which on a batch is handed on; a segment's rows stay together.
+ROWS = 1024
+
+
+def _columns(machine: Machine, state: Any, lines: Lines) -> list[list | None]:
+    """A machine's rows by columns; one with ``columns`` of its own, of which None is a column of nulls, makes no rows."""
+    if own := getattr(machine, "columns", None):
+        return own(state, lines)
+    rows = list(machine.rows(state, lines))
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in machine.schema.split(", ")]
+
+
+def _batch(held: list[list[list | None]], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    arrays = []
+    for k, kind in enumerate(kinds):
+        if all(columns[k] is None for columns in held):
+            arrays.append(pa.nulls(sum(len(columns[0]) for columns in held), kind))
+        else:
+            arrays.append(pa.array([v for columns in held for v in (columns[k] if columns[k] is not None else [None] * len(columns[0]))], kind))
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
 _ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}

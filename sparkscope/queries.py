@@ -388,7 +388,7 @@ def document_segments(spark: SparkSession, sf: str) -> DataFrame:
 SELECT caller, word AS callee, 'direct' AS kind FROM words JOIN owners USING (doc_id) WHERE part = i // 7 AND i % 7 IN (2, 3, 4, 5) GROUP BY ALL""")
 def document_call_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Call edges of whole documents read as IR files, in segments."""
-    return graph.call_edges(ir.parse_segments(materialise(document_segments(spark, sf))))
+    return graph.call_edges(ir.parse_segments(materialise(document_segments(spark, sf)), with_parameters=False))
 
 
 @query(f"""WITH {IR_WORDS}, heads AS (SELECT word AS name, doc_id, i, EXISTS (SELECT 1 FROM words w WHERE w.doc_id = h.doc_id AND w.i = h.i + 1) AS whole FROM words h WHERE i % 7 = 0)

@@ -238,24 +238,90 @@ INSTRUCTIONS = {
 
 
 class FactMachine(SignatureMachine):
-    """Signatures as they are, and of the lines in bodies those that a pattern matches: for each pattern the groups of its matches, one after another."""
+    """Signatures as they are, and of the lines in bodies those that a pattern matches: for each pattern the groups of its matches, one after another.
+
+    ``rare`` is true where a pattern other than the first matches and null
+    elsewhere, so that tables of those need not read files without them.
+    """
 
     def __init__(self, patterns: tuple[str, ...] = tuple(INSTRUCTIONS)) -> None:
         super().__init__()
         # in Spark's patterns a dot matches no line end of any kind
-        self.patterns = [(INSTRUCTIONS[p][0], re.compile(p.replace(".*", "[^\n\r\x85\u2028\u2029]*"), re.ASCII)) for p in patterns]
-        self.schema = ", ".join([SignatureMachine.schema, *(f"m{i} array<string>" for i in range(len(patterns)))])
+        found = [(INSTRUCTIONS[p][0], i, re.compile(p.replace(".*", "[^\n\r\x85\u2028\u2029]*"), re.ASCII).findall) for i, p in enumerate(patterns)]
+        #: patterns by the words of which their lines have one
+        self.patterns = [(words, [(i, f) for w, i, f in found if w == words]) for words in dict.fromkeys(w for w, _, _ in found)]
+        self.n = len(patterns)
+        self.schema = ", ".join([SignatureMachine.schema, "rare boolean", *(f"m{i} array<string>" for i in range(self.n))])
+
+    def columns(self, state: tuple, lines: Lines) -> list[list | None]:
+        """The rows by columns; a column of nulls is None. Lines are told apart as in ``SignatureMachine.rows``."""
+        mode, head, owner = state
+        first, pieces, said = (lines[0][0] if lines else None), [], (None, None)
+        started = not mode
+        at: list[int] = []  # lines, and their owners
+        owners: list[str | None] = []
+        signed: dict[int, tuple] = {}  # rows of signatures: head, text, function, whether it is defined, whether it is cut
+        matched: list[dict[int, list[str]]] = [{} for _ in range(self.n)]
+        rare: set[int] = set()
+        for line_no, text in lines:
+            if mode:
+                pieces.append(text.strip())
+                mode = self._inside(mode, text)
+                if not mode:
+                    # one of a part begun before has no function here
+                    signed[len(at)] = (head, " ".join(pieces), *said, not started)
+                    at.append(first)
+                    owners.append(owner)
+                    pieces = []
+                continue
+            if text.startswith("de"):
+                mode, fn, defined = self._outside(text)
+                if defined:
+                    owner = fn
+                if mode:
+                    head = first = line_no
+                    pieces, said, started = [text], (fn, defined), True
+                    continue
+                if fn is not None:
+                    signed[len(at)] = (line_no, text, fn, defined, False)
+                    at.append(line_no)
+                    owners.append(owner)
+                    continue
+            elif "}" in text and text.strip() == "}":
+                owner = None
+            if owner is None:
+                continue
+            row, some = len(at), False
+            for words, patterns in self.patterns:
+                for w in words:
+                    if w in text:
+                        break
+                else:
+                    continue
+                for i, find in patterns:
+                    if m := find(text):
+                        matched[i][row] = [g for x in m for g in ((x,) if isinstance(x, str) else x)]
+                        some = True
+                        if i:
+                            rare.add(row)
+            if some:
+                at.append(line_no)
+                owners.append(owner)
+        if mode and pieces:
+            signed[len(at)] = (head, " ".join(pieces), *said, True)
+            at.append(first)
+            owners.append(owner)
+        heads, rest = at.copy(), [[None] * len(at) for _ in range(3)]
+        cut = [False] * len(at)
+        for row, (heads[row], *told, cut[row]) in signed.items():
+            for column, value in zip(rest, told, strict=True):
+                column[row] = value
+        flags = [row in rare or None for row in range(len(at))] if rare else None
+        return [at, heads, *(rest if signed else [None] * 3), owners, cut, flags, *([m.get(row) for row in range(len(at))] if m else None for m in matched)]
 
     def rows(self, state: tuple, lines: Lines) -> Iterator[tuple]:
-        none = (None,) * len(self.patterns)
-        for row in super().rows(state, lines):
-            text, fn, owner, cut = row[2], row[3], row[5], row[6]
-            if fn is not None or cut:
-                yield *row, *none
-            elif owner is not None:
-                found = [p.findall(text) if any(w in text for w in words) else None for words, p in self.patterns]
-                if any(found):
-                    yield row[0], row[1], None, *row[3:], *([g for m in f for g in ((m,) if isinstance(m, str) else m)] if f else None for f in found)
+        columns = self.columns(state, lines)
+        return zip(*(c if c is not None else [None] * len(columns[0]) for c in columns), strict=True)
 
 
 def read_functions(segments: DataFrame) -> DataFrame:
@@ -263,8 +329,8 @@ def read_functions(segments: DataFrame) -> DataFrame:
     return _functions(materialise(run_segments(segments, FactMachine(()))))
 
 
-def _functions(rows: DataFrame) -> DataFrame:
-    """Functions from the machine's rows, of which only signatures are read."""
+def _functions(rows: DataFrame, with_parameters: bool = True) -> DataFrame:
+    """Functions from the machine's rows, of which only signatures are read; written with their parameters, or else with the text that these are read of when asked for."""
     workers_see_package(rows.sparkSession)
     signatures = _uncut(rows.where("fn is not null or open")).where("fn is not null")
     signatures = signatures.select(F.col("fn").alias("name"), "defined", "file", F.col("line_no").cast("int").alias("line"), "text").withColumn("at", F.struct("file", F.col("line").alias("line_no")))
@@ -275,7 +341,8 @@ def _functions(rows: DataFrame) -> DataFrame:
         F.min("at").alias("first_seen"),
     )
     chosen = seen.select("name", F.coalesce("d", "f").alias("x"), "first_seen").select("name", "x.*", "first_seen")
-    return materialise(chosen.select("name", "defined", "file", "line", parameters(F.col("text")).alias("params"), "first_seen"))
+    read = lambda df: df.select("name", "defined", "file", "line", parameters(F.col("text")).alias("params"), "first_seen")
+    return materialise(read(chosen)) if with_parameters else read(materialise(chosen))
 
 
 def parse_ir(lines: DataFrame) -> ProgramFacts:
@@ -283,22 +350,24 @@ def parse_ir(lines: DataFrame) -> ProgramFacts:
     return parse_segments(materialise(segments_of(lines)))
 
 
-def parse_segments(segments: DataFrame) -> ProgramFacts:
+def parse_segments(segments: DataFrame, with_parameters: bool = True) -> ProgramFacts:
     """All tables of IR files in segments, which are read more than once.
 
     A line is matched in the pass that reads it: written are signatures, and
     what patterns found in bodies. Functions are written with their parameters,
-    as several tables are joined with them.
+    as several tables are joined with them, but for callers that ask for none.
+    Tables of other patterns than direct calls skip row groups without any.
     """
     rows = materialise(run_segments(segments, FactMachine()))
-    functions = _functions(rows)
-    matched = rows.where("fn is null and not open").select("owner", "file", F.col("head").cast("int").alias("line_no"), *(c for c in rows.columns if c.startswith("m")))
+    functions = _functions(rows, with_parameters)
+    matched = rows.where("fn is null and not open").select("owner", "file", F.col("head").cast("int").alias("line_no"), "rare", *(c for c in rows.columns if c.startswith("m")))
     named = {p: f"m{i}" for i, p in enumerate(INSTRUCTIONS)}
 
     def found(pattern: str) -> DataFrame:
         groups, m = INSTRUCTIONS[pattern][1], F.col(named[pattern])
         matches = F.transform(F.sequence(F.lit(0), F.size(m) - len(groups), F.lit(len(groups))), lambda i: F.struct(*(F.get(m, i + j).alias(g) for j, g in enumerate(groups))))
-        rows_ = matched.where(m.isNotNull()).select("owner", "file", "line_no", F.posexplode(matches).alias("i", "m"))
+        some = matched if pattern == DIRECT_CALL else matched.where("rare is not null")
+        rows_ = some.where(m.isNotNull()).select("owner", "file", "line_no", F.posexplode(matches).alias("i", "m"))
         return rows_.select("owner", "file", "line_no", F.struct("file", "line_no", "i").alias("ord"), "m.*")
 
     calls = found(DIRECT_CALL).where(~F.col("callee").startswith("llvm."))

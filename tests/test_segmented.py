@@ -88,6 +88,41 @@ def test_files_in_rows_are_cut_where_they_are(spark):
     assert ("@g" in text[2]) and parts.global_loads.count() == whole.global_loads.count() > 0
 
 
+def test_facts_by_columns_are_those_of_single_lines():
+    """From every state before: signatures as they are, and of lines in bodies the matches of each pattern; columns of nulls are not made."""
+    plain, machine, rng = ir.SignatureMachine(), ir.FactMachine(), random.Random(6)
+    more = ("  %p = load ptr, ptr @g", "  store ptr @f{j}, ptr %p", "  call void %p(i32 1)", "  invoke void @x(i32 1) call @y(i32 %a)", "  %q = getelementptr %struct.S, ptr %p, i32 0, i32 3", "define broken", "  store i32 %a, ptr %p", "  %a}}", "  call %p call")
+    patterns = [re.compile(p.replace(".*", "[^\n\r\x85\u2028\u2029]*"), re.ASCII) for p in ir.INSTRUCTIONS]
+    words = [w for w, _ in ir.INSTRUCTIONS.values()]
+    rare = set()
+    for _ in range(1500):
+        lines = [(2 * j + 1, rng.choice((*KINDS, *more, *more)).format(j=j)) for j in range(rng.randrange(0, 25))]
+        state = (rng.randrange(4), rng.choice([None, 0]), rng.choice([None, "before"]))
+        truth = []
+        for at, head, text, fn, defined, owner, cut in plain.rows(state, lines):
+            found = [[g for m in p.findall(text) for g in ((m,) if isinstance(m, str) else m)] or None if any(x in text for x in w) else None for p, w in zip(patterns, words, strict=True)]
+            if fn is not None or cut:
+                truth.append((at, head, text, fn, defined, owner, cut, None, *[None] * len(found)))
+            elif owner is not None and any(found):
+                truth.append((at, head, None, fn, defined, owner, cut, True if any(found[1:]) else None, *found))
+        assert list(machine.rows(state, lines)) == truth
+        assert all(c is None or any(x is not None for x in c) for c in machine.columns(state, lines)[7:] if truth)
+        rare |= {r[7] for r in truth}
+    assert rare == {None, True}
+
+
+def test_tables_without_a_row_are_not_read(spark):
+    """Files of direct calls alone: the tables of other patterns skip their row groups, and functions are written without parameters if none are asked for."""
+    text = ["define i32 @f(i32 %a) {", "  call void @h(i32 %a)", "}"]
+    df = spark.createDataFrame([(f"d{j}", text * (1 + j)) for j in range(4)], "file string, lines array<string>")
+    facts = ir.parse_segments(segmented.segments_in_rows(df, 7), with_parameters=False)
+    for found in (facts.flows, facts.indirect_calls, facts.fields, facts.table_slots, facts.global_loads):
+        assert "IsNotNull(rare)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 0
+    assert facts.call_sites.count() == 10
+    assert "ArrowEvalPython" not in facts.functions.select("name")._jdf.queryExecution().executedPlan().toString()
+    assert [(r.name, [p.name for p in r.params]) for r in facts.functions.collect()] == [("f", ["a"])]
+
+
 def test_parameters_of_a_signature():
     text = "define i32 @f(%struct.S* nocapture %s, i8* noundef align(4) %d, metadata i32 %m, ..., i32, [2 x (i8)] align 8 %z) {"
     found = [(p["type"], p["name"]) for p in ir.parameters_of(ir.balanced(text))]
