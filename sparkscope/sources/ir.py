@@ -30,6 +30,7 @@ FIELD_ADDRESS = (
 )
 SLOT_ADDRESS = r"%([a-zA-Z0-9_.]+)\s*=\s*getelementptr\s+(?:inbounds\s+)?(?:ptr|[^,]+\*+)\s*,\s*(?:ptr|[^,]+\*+)\s+%([a-zA-Z0-9_.]+)\s*,\s*(?:i32|i64)\s+(\d+)\s*$"
 DISPATCH_TABLE = r"^@(_ZTV[a-zA-Z0-9_]+)\s*=.*?(?:constant|global)\s+.*?\{.*?\[.*?\]\s*\[([^\]]+)\]"
+TABLE_START = "@_ZTV"
 # Parameter attributes that are neither type nor name, and those that end a parameter.
 ATTRIBUTES = (
     "nocapture", "readonly", "writeonly", "noundef", "nonnull", "inreg", "zeroext", "signext", "byval", "sret", "noalias", "nocallback", "nounwind",
@@ -240,8 +241,10 @@ INSTRUCTIONS = {
 class FactMachine(SignatureMachine):
     """Signatures as they are, and of the lines in bodies those that a pattern matches: for each pattern the groups of its matches, one after another.
 
-    ``rare`` is true where a pattern other than the first matches and null
-    elsewhere, so that tables of those need not read files without them.
+    Lines that begin as dispatch tables do, wherever they stand, have a further
+    row, with their text and no function. ``rare`` is true in these and where a
+    pattern other than the first matches, and null elsewhere, so that tables of
+    those need not read files without them.
     """
 
     def __init__(self, patterns: tuple[str, ...] = tuple(INSTRUCTIONS)) -> None:
@@ -264,6 +267,11 @@ class FactMachine(SignatureMachine):
         matched: list[dict[int, list[str]]] = [{} for _ in range(self.n)]
         rare: set[int] = set()
         for line_no, text in lines:
+            if self.n and text.startswith(TABLE_START):
+                rare.add(len(at))
+                signed[len(at)] = (line_no, text, None, None, False)
+                at.append(line_no)
+                owners.append(None)
             if mode:
                 pieces.append(text.strip())
                 mode = self._inside(mode, text)
@@ -385,7 +393,7 @@ def parse_segments(segments: DataFrame, with_parameters: bool = True) -> Program
     fields = geps.groupBy("owner", "dst").agg(F.max_by(F.struct("struct_type", F.col("field_idx").cast("int").alias("field_idx"), "base", "ord"), "ord").alias("g")).select("owner", "dst", "g.*")
     slots = found(SLOT_ADDRESS).groupBy("owner", "dst").agg(F.max_by(F.struct("base", F.col("slot").cast("int").alias("slot")), "ord").alias("g")).select("owner", "dst", "g.*")
 
-    tables = segments.select("file", F.explode(F.filter("lines", lambda x: x["text"].startswith("@_ZTV"))).alias("l")).select("file", "l.line_no", "l.text")
+    tables = rows.where("rare is not null and fn is null and not open").where(F.startswith("text", F.lit(TABLE_START))).select("file", F.col("head").alias("line_no"), "text")
     tables = tables.select("file", "line_no", F.regexp_extract("text", DISPATCH_TABLE, 1).alias("vtable"), F.regexp_extract("text", DISPATCH_TABLE, 2).alias("entries")).where("vtable != ''")
     last = tables.groupBy("vtable").agg(F.max_by("entries", F.struct("file", "line_no")).alias("entries"))
     slot_fn = F.regexp_extract("entry", "@([a-zA-Z_][a-zA-Z0-9_]*)", 1)

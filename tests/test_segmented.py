@@ -90,8 +90,8 @@ def test_files_in_rows_are_cut_where_they_are(spark):
 
 def test_facts_by_columns_are_those_of_single_lines():
     """From every state before: signatures as they are, and of lines in bodies the matches of each pattern; columns of nulls are not made."""
-    plain, machine, rng = ir.SignatureMachine(), ir.FactMachine(), random.Random(6)
-    more = ("  %p = load ptr, ptr @g", "  store ptr @f{j}, ptr %p", "  call void %p(i32 1)", "  invoke void @x(i32 1) call @y(i32 %a)", "  %q = getelementptr %struct.S, ptr %p, i32 0, i32 3", "define broken", "  store i32 %a, ptr %p", "  %a}}", "  call %p call")
+    plain, machine, machine_of_functions, rng = ir.SignatureMachine(), ir.FactMachine(), ir.FactMachine(()), random.Random(6)
+    more = ("  %p = load ptr, ptr @g", "  store ptr @f{j}, ptr %p", "  call void %p(i32 1)", "  invoke void @x(i32 1) call @y(i32 %a)", "  %q = getelementptr %struct.S, ptr %p, i32 0, i32 3", "define broken", "  store i32 %a, ptr %p", "  %a}}", "  call %p call", "@_ZTV{j} = constant {{ [2 x ptr] }} [ptr @f, ptr null]", "@_ZTVx call @z(i32 1) )")
     patterns = [re.compile(p.replace(".*", "[^\n\r\x85\u2028\u2029]*"), re.ASCII) for p in ir.INSTRUCTIONS]
     words = [w for w, _ in ir.INSTRUCTIONS.values()]
     rare = set()
@@ -105,9 +105,13 @@ def test_facts_by_columns_are_those_of_single_lines():
                 truth.append((at, head, text, fn, defined, owner, cut, None, *[None] * len(found)))
             elif owner is not None and any(found):
                 truth.append((at, head, None, fn, defined, owner, cut, True if any(found[1:]) else None, *found))
-        assert list(machine.rows(state, lines)) == truth
+        got = list(machine.rows(state, lines))
+        tables = [r for r in got if r[2] is not None and r[2].startswith("@_ZTV") and not r[6] and r[3] is None]
+        assert tables == [(no, no, t, None, None, None, False, True, *[None] * len(patterns)) for no, t in lines if t.startswith("@_ZTV")]
+        assert [r for r in got if r not in tables] == truth
         assert all(c is None or any(x is not None for x in c) for c in machine.columns(state, lines)[7:] if truth)
         rare |= {r[7] for r in truth}
+        assert all(r[2] is None or not r[2].startswith("@_ZTV") for r in machine_of_functions.rows(state, lines) if r[3] is None and not r[6])
     assert rare == {None, True}
 
 
@@ -116,7 +120,7 @@ def test_tables_without_a_row_are_not_read(spark):
     text = ["define i32 @f(i32 %a) {", "  call void @h(i32 %a)", "}"]
     df = spark.createDataFrame([(f"d{j}", text * (1 + j)) for j in range(4)], "file string, lines array<string>")
     facts = ir.parse_segments(segmented.segments_in_rows(df, 7), with_parameters=False)
-    for found in (facts.flows, facts.indirect_calls, facts.fields, facts.table_slots, facts.global_loads):
+    for found in (facts.flows, facts.indirect_calls, facts.fields, facts.table_slots, facts.global_loads, facts.table_entries):
         assert "IsNotNull(rare)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 0
     assert facts.call_sites.count() == 10
     assert "ArrowEvalPython" not in facts.functions.select("name")._jdf.queryExecution().executedPlan().toString()
